@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, media, sst, unigram
+from . import bpe, media, secrets, sst, surrogates, unigram
 from .common import table
 
+#: Key of the surrogates that the registered queries make.  A deployment brings its own.
+KEY = "registered queries"
+
 
 def vocabulary(name: str) -> str:
     """Where a public tokenizer's file is."""
@@ -28,6 +31,14 @@ def op4_byte_bpe(spark, sf_dir):
     return bpe.digest_ids(bpe.encode_decode(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern(), keep=["doc_id"]))
 
 
+def op5_surrogates(spark, sf_dir):
+    return surrogates.surrogate_documents(table(spark, sf_dir, "documents"), KEY)
+
+
+def op8_secret_scan(spark, sf_dir):
+    return secrets.digest_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_token_shards(spark, sf_dir):
     return sst.token_shards(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -37,5 +48,5 @@ def op10_token_counts(spark, sf_dir):
     return unigram.token_counts(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern()).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op4_byte_bpe, op9_token_shards, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op4_byte_bpe, op5_surrogates, op8_secret_scan, op9_token_shards, op10_token_counts)}
+ORACLE_SQL = {"op8_secret_scan": secrets.ORACLE}
