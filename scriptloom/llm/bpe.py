@@ -5,7 +5,9 @@ become token-position rows, first one for each byte.  A recursive query then joi
 row and its right neighbour with the merge table, takes each word's pair of least rank (of
 equal ranks the leftmost), contracts it, and goes on with the words that had one; the other
 words' rows are final.  That is the order in which the tiktoken library merges, so the ids
-are the same.  A second query decodes them: token bytes, aggregated in order of position.
+are the same.  A second query decodes them: token bytes, aggregated in order of position.  It
+runs for every distinct word; as decoded bytes nearly always are the word's own, only those
+that aren't are remembered.
 
 The merge table has every way to cut a token into two tokens, as a pair's rank is that of
 its joined bytes.  Words are handled in blocks of ``BLOCK_WORDS`` and remembered up to a
@@ -32,6 +34,8 @@ from .pieces import PieceCache, quick_pieces
 from .unigram import load_ranks
 
 BLOCK_WORDS = 40_000
+#: Pieces remembered in a Python worker, at some 200 bytes each.
+CACHED = 1_000_000
 
 ENCODE_SQL = """
 WITH RECURSIVE step AS (
@@ -82,7 +86,8 @@ class Coder:
             self.db.register("given", pa.table(data))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        self.cache = PieceCache(self.pieces, 250_000)
+        #: Ids by piece; and what pieces decode to that don't decode to themselves.
+        self.cache, self.other = PieceCache(self.pieces, CACHED), {}
 
     def words(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """(ids, decoded) of each distinct word."""
@@ -112,17 +117,23 @@ class Coder:
                 out[own[i][0]] = (data[at[k] : at[k + 1]], bytes.fromhex(text))
         return out
 
-    def pieces(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
+    def pieces(self, pieces: list[str]) -> list[bytes]:
         cut = [self.find(p) for p in pieces]
         known = self.words(list(set().union(*cut)))
-        return [known[c[0]] if len(c) == 1 else tuple(map(b"".join, zip(*(known[w] for w in c), strict=True))) for c in cut]
+        other = {w: decoded for w, (_, decoded) in known.items() if decoded != w.encode()}
+        for p, c in zip(pieces, cut, strict=True) if other else ():
+            if not other.keys().isdisjoint(c):
+                self.other[p] = b"".join(known[w][1] for w in c)
+        return [known[c[0]][0] if len(c) == 1 else b"".join([known[w][0] for w in c]) for c in cut]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         cut = [quick_pieces(x) for x in texts]
         cut = [self.find(text) if c is None else c for text, c in zip(texts, cut, strict=True)]
         self.cache.fill(cut)
+        get, other = self.cache.__getitem__, self.other
         for c in cut:
-            yield tuple(map(b"".join, zip(*map(self.cache.__getitem__, c), strict=True))) if c else (b"", b"")
+            decoded = b"".join(other.get(p) or p.encode() for p in c) if other else "".join(c).encode()
+            yield b"".join(map(get, c)), decoded
 
 
 def coder(ranks: str, pattern: str) -> Coder:
