@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, secrets, sst, surrogates, unigram
+from . import bpe, media, secrets, sst, surrogates, toxicity, unigram, warc
 from .common import table
 
 #: Key of the surrogates that the registered queries make.  A deployment brings its own.
@@ -35,6 +35,14 @@ def op5_surrogates(spark, sf_dir):
     return surrogates.surrogate_documents(table(spark, sf_dir, "documents"), KEY)
 
 
+def op6_warc_segments(spark, sf_dir):
+    return warc.archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_secret_scan(spark, sf_dir):
     return secrets.digest_secrets(table(spark, sf_dir, "documents"))
 
@@ -48,5 +56,5 @@ def op10_token_counts(spark, sf_dir):
     return unigram.token_counts(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern()).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op4_byte_bpe, op5_surrogates, op8_secret_scan, op9_token_shards, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op4_byte_bpe, op5_surrogates, op6_warc_segments, op7_toxicity, op8_secret_scan, op9_token_shards, op10_token_counts)}
 ORACLE_SQL = {"op8_secret_scan": secrets.ORACLE}
