@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, secrets, sst, surrogates, toxicity, unigram, warc
+from . import bpe, jaccard, media, secrets, sst, surrogates, templates, toxicity, unigram, warc
 from .common import table
 
 #: Key of the surrogates that the registered queries make.  A deployment brings its own.
@@ -26,6 +26,14 @@ def op1_media_columns(spark, sf_dir):
     return media.digest_media(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    return jaccard.link_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_template_leaks(spark, sf_dir):
+    return templates.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_byte_bpe(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return bpe.digest_ids(bpe.encode_decode(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern(), keep=["doc_id"]))
@@ -56,5 +64,19 @@ def op10_token_counts(spark, sf_dir):
     return unigram.token_counts(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern()).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op4_byte_bpe, op5_surrogates, op6_warc_segments, op7_toxicity, op8_secret_scan, op9_token_shards, op10_token_counts)}
-ORACLE_SQL = {"op8_secret_scan": secrets.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_media_columns,
+        op2_ngram_jaccard,
+        op3_template_leaks,
+        op4_byte_bpe,
+        op5_surrogates,
+        op6_warc_segments,
+        op7_toxicity,
+        op8_secret_scan,
+        op9_token_shards,
+        op10_token_counts,
+    )
+}
+ORACLE_SQL = {"op2_ngram_jaccard": jaccard.ORACLE, "op8_secret_scan": secrets.ORACLE}
