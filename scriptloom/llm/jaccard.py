@@ -30,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, chunks
@@ -97,8 +97,12 @@ def set_key(grams: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
+def tag_of(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key, bands of each document."""
+    """doc_id, tag (a digest of the text), key, bands of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,9 +113,9 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 for k, s in zip(keys, sets, strict=True):
                     if k is not None and k not in hashed:
                         hashed[k] = band_hashes(signature(s, bands * rows), bands, rows)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(keys, pa.binary()), pa.array([hashed.get(k) for k in keys], pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("tag"), pa.array(keys, pa.binary()), pa.array([hashed.get(k) for k in keys], pa.list_(pa.int64()))], names=["doc_id", "tag", "key", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return docs.select("doc_id", "text", tag_of(F.col("text")).alias("tag")).mapInArrow(run, "doc_id long, tag string, key binary, bands array<long>")
 
 
 def with_grams(docs: DataFrame, n: int) -> DataFrame:
@@ -213,8 +217,9 @@ def verified(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "key binary, root binary, links long")
 
 
-def link_documents(docs: DataFrame, n: int = N, label: str = "jaccard") -> DataFrame:
-    """doc_id, class_id, n_links for each document (doc_id, text)."""
+def link_sets(docs: DataFrame, n: int = N, label: str = "jaccard") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tag, key) for each document (doc_id, text), with a null key if it has no
+    words; and (key, root, class_id, n_links) for each set."""
     spark = docs.sparkSession
     bands, rows = plan_bands()
     work = Workspace(spark, label)
@@ -245,12 +250,32 @@ def link_documents(docs: DataFrame, n: int = N, label: str = "jaccard") -> DataF
     each = sets.select("key", "copies", "first_id").join(links, "key", "left").join(classes.withColumnRenamed("node", "key"), "key", "left")
     each = each.select("key", F.coalesce("root", "key").alias("root"), "first_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     least = each.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    each = work.save(each.join(least, "root").select("key", "class_id", "n_links"), "result")
-    out = signed.select("doc_id", "key").join(each, "key", "left")
+    each = work.save(each.join(least, "root").select("key", "root", "class_id", "n_links"), "result")
+    return signed.select("doc_id", "tag", "key"), each
+
+
+def link_documents(docs: DataFrame, n: int = N) -> DataFrame:
+    """doc_id, class_id, n_links for each document (doc_id, text)."""
+    signed, each = link_sets(docs, n)
+    out = signed.join(each, "key", "left")
     alone = F.col("key").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
+    """One document of each class, with all its columns: that of the least identifier, of
+    those the one with the least digest of its text, of repeated rows any.  Documents
+    without words stay."""
+    signed, each = link_sets(docs, n, "distinct")
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tag")
+    kept = signed.join(each, "key").groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.tag").alias("__tag"))
+    wordless = signed.where("key is null").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    tagged = docs.withColumn("__own", tag_of(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag"))
+    worded = tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__own"])
+    return worded.unionByName(tagged.join(wordless, same, "left_semi")).drop("__own")
+
+
 ORACLE = f"""
 WITH RECURSIVE worded AS (
     SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents
