@@ -1,4 +1,408 @@
-"""All queries of the engine and their SQL twins, by name."""
+"""All queries of the engine and their SQL twins, by name.
+
+The tables have no blank, padded or forbidden text, so faults are put in by key, by the same
+SQL on both sides (``HOSTILE``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import body, header, json, xml
+from ..functions.errors import CONTAINER_ID_EMPTY, CONTAINER_ID_SPACE, FIELD, FORBIDDEN as FORBIDDEN_ERROR, SEGMENT, SPEAKER, TITLE, XML
+from ..functions.text import EDGES, ENTITIES, FORBIDDEN, SPACES, code_point, escape, first_forbidden, optional
+from ..operators import documents as docs_
+from ..operators import validate
+from ..sources.tables import conversation_blocks, conversation_documents, conversation_title, table, text_documents
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# SQL that Spark and DuckDB read alike -----------------------------------------------------
+
+
+def hostile(text: str, key: str) -> str:
+    """A column with faults by key."""
+    cases = {0: "'   '", 1: f"'  ' || {text} || '\u0085'", 2: f"{text} || '\x01'", 3: f"'\x1c' || {text}", 4: f"{text} || '﷐'", 5: f"'<' || {text} || '>&\"'"}
+    return f"CASE {key} % 8 " + " ".join(f"WHEN {k} THEN {v}" for k, v in cases.items()) + f" ELSE {text} END"
+
+
+def trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '{EDGES}', '', 'g')"
+
+
+def blank_null(x: str) -> str:
+    return f"nullif({trimmed(x)}, '')"
+
+
+def escaped(x: str, which: str = "".join(ENTITIES)) -> str:
+    for c, e in ENTITIES.items():
+        if c in which:
+            x = f"replace({x}, '{c * (2 if c == chr(39) else 1)}', '{e}')"
+    return x
+
+
+def forbidden(x: str) -> str:
+    return f"nullif(regexp_extract({x}, '{FORBIDDEN}', 0), '')"
+
+
+def point(x: str) -> str:
+    return f"printf('U+%04X', ord({x}))"
+
+
+TITLED = f"SELECT doc_id, {hostile('substr(text, 1, 60)', 'doc_id')} AS raw FROM documents"
+
+
+def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{hostile('substr(text, 1, 60)', 'doc_id')} AS raw")
+
+
+# Text ---------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, {blank_null('raw')} AS title FROM ({TITLED})")
+def normalise_titles(spark, sf_dir):
+    return titled(spark, sf_dir).select("doc_id", optional(F.col("raw")).alias("title"))
+
+
+@query(f"SELECT doc_id, CASE WHEN {blank_null('raw')} IS NULL THEN NULL ELSE '<title>' || {escaped(trimmed('raw'))} || '</title>' END AS markup, CASE WHEN {blank_null('raw')} IS NULL THEN '{TITLE}' END AS error FROM ({TITLED})")
+def title_markup(spark, sf_dir):
+    return titled(spark, sf_dir).select("doc_id", xml.title_markup(F.col("raw")).alias("m")).select("doc_id", F.col("m.value").alias("markup"), "m.error")
+
+
+@query(f"SELECT '{TITLE}' AS error, count(*)::BIGINT AS n FROM ({TITLED}) WHERE {blank_null('raw')} IS NULL")
+def title_errors(spark, sf_dir):
+    own = titled(spark, sf_dir).select(header.document_title(F.col("raw"))["error"].alias("error"))
+    return own.where("error is not null").groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey AS key, '<title>' || " + escaped(trimmed("p_name")) + " || '</title>' AS markup FROM part")
+def bulk_title_markup(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), xml.title_markup(F.col("p_name"))["value"].alias("markup"))
+
+
+@query(f"SELECT page_id, {escaped('html')} AS escaped FROM pages")
+def escape_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", escape(F.col("html")).alias("escaped"))
+
+
+@query(f"SELECT doc_id, {point('c')} AS first_forbidden, ({FORBIDDEN_ERROR!r} || {point('c')}) AS error FROM (SELECT doc_id, {forbidden('raw')} AS c FROM ({TITLED})) WHERE c IS NOT NULL")
+def forbidden_chars(spark, sf_dir):
+    own = titled(spark, sf_dir).select("doc_id", first_forbidden(F.col("raw")).alias("c")).where("c is not null")
+    return own.select("doc_id", code_point(F.col("c")).alias("first_forbidden"), F.concat(F.lit(FORBIDDEN_ERROR), code_point(F.col("c"))).alias("error"))
+
+
+# Identifiers and speakers -------------------------------------------------------------------
+
+_IDS = "SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN '  c' || conv_id || '-t' || turn || ' ' WHEN 1 THEN 'c ' || turn WHEN 2 THEN '  ' ELSE 'c' || conv_id || '-t' || turn END AS raw FROM conversations"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN error IS NULL THEN v END AS id, error FROM (
+  SELECT conv_id, turn, v, CASE WHEN v = '' THEN '{CONTAINER_ID_EMPTY.format("utterance")}' WHEN regexp_matches(v, '[{SPACES}]') THEN '{CONTAINER_ID_SPACE.format("utterance")}' END AS error
+  FROM (SELECT conv_id, turn, {trimmed('raw')} AS v FROM ({_IDS})))""")
+def xml_id_validation(spark, sf_dir):
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    own = spark.sql(_IDS).select("conv_id", "turn", header.xml_id(F.col("raw"), body.UTTERANCE).alias("i"))
+    return own.select("conv_id", "turn", F.col("i.value").alias("id"), "i.error")
+
+
+_WHO = "SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '  ' || role || ' ' WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE role END AS raw FROM conversations"
+
+
+@query(f"SELECT conv_id, turn, {blank_null('raw')} AS who, CASE WHEN raw IS NOT NULL AND {blank_null('raw')} IS NULL THEN '{SPEAKER}' END AS error FROM ({_WHO})")
+def speaker_validation(spark, sf_dir):
+    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
+    own = spark.sql(_WHO).select("conv_id", "turn", header.optional_speaker(F.col("raw")).alias("s"))
+    return own.select("conv_id", "turn", F.col("s.value").alias("who"), "s.error")
+
+
+# Headers ------------------------------------------------------------------------------------
+
+
+@query("SELECT conv_id::VARCHAR AS doc_key, string_agg(DISTINCT role, ',' ORDER BY role) AS speakers FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def profile_cast(spark, sf_dir):
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    return own.where("size(header.profileDesc.speaker) > 0").select("doc_key", F.array_join("header.profileDesc.speaker", ",").alias("speakers"))
+
+
+@query("SELECT conv_id::VARCHAR AS doc_key, count(DISTINCT role) FILTER (WHERE role <> 'system')::BIGINT AS speakers, 0::BIGINT AS languages, count(DISTINCT role) FILTER (WHERE role <> 'system') = 0 AS is_empty FROM conversations GROUP BY conv_id")
+def profile_counts(spark, sf_dir):
+    p = F.col("header.profileDesc")
+    return conversation_documents(table(spark, sf_dir, "conversations")).select("doc_key", header.count_speakers(p).alias("speakers"), header.count_languages(p).alias("languages"), header.profile_is_empty(p).alias("is_empty"))
+
+
+@query("""SELECT doc_id::VARCHAR AS doc_key, k.key, l.doc_id IS NOT NULL AND k.key IN ('quality', 'toxic') AS found,
+  CASE k.key WHEN 'quality' THEN l.quality::VARCHAR WHEN 'toxic' THEN l.toxic::VARCHAR END AS "desc"
+FROM documents LEFT JOIN labels l USING (doc_id) CROSS JOIN (VALUES ('quality'), ('toxic'), ('Quality'), ('other')) k(key)""")
+def annotation_lookup(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    systems = F.array(*(F.struct(F.lit(n).alias("id"), F.col(n).cast("string").alias("desc")) for n in ("quality", "toxic", "toxic")))
+    head = header.header(header.file_desc(F.lit("x")), encoding=header.encoding_desc(systems))
+    labelled = labels.select(F.col("doc_id").cast("string").alias("doc_key"), head.alias("header"))
+    keys = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.explode(F.array(*(F.lit(k) for k in ("quality", "toxic", "Quality", "other")))).alias("key"))
+    return validate.find_annotation_systems(labelled, keys).select("doc_key", "key", "found", "desc")
+
+
+@query("SELECT user_id, count(*)::BIGINT AS changes, string_agg(event_type || '/' || user_id, ',' ORDER BY ts, event_id) AS log FROM events GROUP BY user_id")
+def revision_log(spark, sf_dir):
+    change = header.revision_change(F.col("event_type"), F.col("user_id").cast("string"))["value"]
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", change.alias("change")))).alias("s"))
+    own = rows.select("user_id", header.revision_desc(F.col("s.change")).alias("r"))
+    return own.select("user_id", F.size("r.change").cast("bigint").alias("changes"), F.array_join(F.transform("r.change", lambda c: F.concat_ws("/", c["description"], c["resp"])), ",").alias("log"))
+
+
+@query(f"""SELECT doc_id, '<teiHeader><fileDesc><title>' || {escaped("'Document ' || doc_id", '&<>')} || '</title><series>' || {escaped('source', '&<>')} || '</series></fileDesc>'
+  || '<profileDesc><lang>' || lang || '</lang></profileDesc>' || CASE WHEN doc_id % 2 = 0 THEN '<encodingDesc><annotationSystem xml:id="lang' || doc_id || '"/></encodingDesc>' ELSE '' END
+  || '<revisionDesc><change>Read from ' || source || '<resp>' || lang || '</resp></change></revisionDesc></teiHeader>' AS xml FROM documents""")
+def header_assembly(spark, sf_dir):
+    system = header.annotation_system(F.concat(F.lit(" lang"), F.col("doc_id").cast("string")), F.lit("  "))["value"]
+    systems = F.when(F.col("doc_id") % 2 == 0, F.array(system))
+    change = header.revision_change(F.concat(F.lit("Read from "), F.col("source"), F.lit(" ")), F.col("lang"))["value"]
+    head = header.assembled(
+        header.file_desc(F.concat(F.lit("Document "), F.col("doc_id").cast("string")), F.col("source"), F.lit(" ")),
+        header.profile_desc(languages=F.array("lang")),
+        header.encoding_desc(systems),
+        header.revision_desc(F.array(change)),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", xml.header_xml(head).alias("xml"))
+
+
+# Bodies -------------------------------------------------------------------------------------
+
+_BLOCKS = "SELECT conv_id::VARCHAR AS doc_key, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS block_pos, CASE WHEN role = 'system' THEN 'p' ELSE 'u' END AS kind, 'c' || conv_id || '-t' || turn AS id, CASE WHEN role <> 'system' THEN role END AS who, text FROM conversations"
+
+
+def long_blocks(spark, sf_dir) -> DataFrame:
+    own = docs_.blocks_long(conversation_documents(table(spark, sf_dir, "conversations")))
+    return own.select("doc_key", "block_pos", "kind", "id", "who", body.flat_text(F.col("inline")).alias("text"))
+
+
+@query(_BLOCKS)
+def blocks_long(spark, sf_dir):
+    return long_blocks(spark, sf_dir)
+
+
+@query(f"SELECT * FROM ({_BLOCKS}) WHERE kind = 'p'")
+def paragraphs_only(spark, sf_dir):
+    return long_blocks(spark, sf_dir).where("kind = 'p'")
+
+
+@query(f"SELECT * FROM ({_BLOCKS}) WHERE kind = 'u'")
+def utterances_only(spark, sf_dir):
+    return long_blocks(spark, sf_dir).where("kind = 'u'")
+
+
+@query("SELECT conv_id::VARCHAR AS doc_key, count(*)::BIGINT AS blocks, count(*) FILTER (WHERE role = 'system')::BIGINT AS paragraphs, count(*) FILTER (WHERE role <> 'system')::BIGINT AS utterances, false AS is_empty FROM conversations GROUP BY conv_id")
+def block_counts(spark, sf_dir):
+    b = F.col("blocks")
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    return own.select("doc_key", body.count_blocks(b).alias("blocks"), body.count_blocks(body.paragraphs(b)).alias("paragraphs"), body.count_blocks(body.utterances(b)).alias("utterances"), body.body_is_empty(b).alias("is_empty"))
+
+
+@query("SELECT d.doc_id::VARCHAR AS doc_key FROM documents d WHERE NOT EXISTS (SELECT 1 FROM conversations c WHERE c.conv_id = d.doc_id)")
+def empty_bodies(spark, sf_dir):
+    heads = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), header.header(header.file_desc(F.lit("x"))).alias("header"))
+    own = docs_.compose(heads, docs_.from_blocks(conversation_blocks(table(spark, sf_dir, "conversations"))))
+    return own.where(body.body_is_empty(F.col("blocks"))).select("doc_key")
+
+
+@query(f"""WITH b AS (SELECT doc_key, block_pos, id FROM ({_BLOCKS})), n AS (SELECT doc_key, count(*) AS n FROM b GROUP BY doc_key)
+SELECT doc_key, block_pos, id FROM b UNION ALL SELECT doc_key, (block_pos + n)::BIGINT, id FROM b JOIN n USING (doc_key) WHERE block_pos < 2""")
+def extend_bodies(spark, sf_dir):
+    b = long_blocks(spark, sf_dir).select("doc_key", "block_pos", "id")
+    return docs_.extend_bodies(b, b.where("block_pos < 2"))
+
+
+_LINES = f"SELECT doc_id, string_split({hostile('text', 'doc_id')}, chr(10)) AS lines FROM documents"
+
+
+@query(f"""SELECT doc_id, len(lines)::BIGINT AS segments, CASE WHEN len(list_filter(lines, lambda x: {trimmed('x')} = '')) > 0 THEN '{SEGMENT.format("paragraph")}' END AS error FROM ({_LINES})""")
+def segment_validation(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"split({hostile('text', 'doc_id')}, '\n', -1) AS lines")
+    return rows.select("doc_id", F.size("lines").cast("bigint").alias("segments"), body.paragraph_of(F.col("lines"))["error"].alias("error"))
+
+
+@query("SELECT doc_id, replace(text, chr(10), '') AS text FROM documents")
+def inline_flatten(spark, sf_dir):
+    lines = F.split("text", "\n", -1)
+    return table(spark, sf_dir, "documents").select("doc_id", body.flat_text(body.segments(lines)).alias("text"))
+
+
+# Mixed inline content: text, an emphasis around text, a pause and an emphasis, text.
+def _mixed():
+    lang, src = F.col("lang"), F.col("source")
+    inner = body.joined(body.text(src), body.pause(F.lit("PT1S"), lang), body.hi(body.text(lang)))
+    return body.joined(body.text(F.lit("a<b ")), body.hi(inner, F.lit('st"ress')), body.text(F.lit(" end")))
+
+
+@query("""SELECT doc_id, '<p>a&lt;b <hi rend="st&quot;ress">' || source || '<pause dur="PT1S" type="' || lang || '"/><hi>' || lang || '</hi></hi> end</p>' AS xml,
+  '["a<b ",{"rend":"st\\"ress","$value":["' || source || '",{"@dur":"PT1S","@type":"' || lang || '"},{"$value":["' || lang || '"]}]}," end"]' AS json, 7::BIGINT AS tokens FROM documents""")
+def mixed_inline(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", body.paragraph(_mixed())["value"].alias("b"))
+    return rows.select("doc_id", xml.block_xml(F.col("b")).alias("xml"), json.inline_json(F.col("b.inline")).alias("json"), F.size("b.inline").cast("bigint").alias("tokens"))
+
+
+# Documents ----------------------------------------------------------------------------------
+
+
+def conversation_xml(text: str = "text") -> str:
+    one = f"CASE WHEN role = 'system' THEN '<p xml:id=\"c' || conv_id || '-t' || turn || '\">' || {escaped(text, '&<>')} || '</p>' ELSE '<u xml:id=\"c' || conv_id || '-t' || turn || '\" who=\"' || role || '\">' || {escaped(text, '&<>')} || '</u>' END"
+    return f"""SELECT conv_id::VARCHAR AS doc_key, '<TEI><teiHeader><fileDesc><title>Conversation ' || conv_id || '</title></fileDesc></teiHeader><text><body>' || string_agg({one}, '' ORDER BY turn) || '</body></text></TEI>' AS xml FROM conversations GROUP BY conv_id"""
+
+
+def conversation_markup(conversations: DataFrame) -> DataFrame:
+    """Canonical XML straight from the table: markup is made before its one shuffle."""
+    from ..sources.tables import turn_block
+
+    rows = conversations.select("conv_id", "turn", xml.block_xml(turn_block()).alias("markup"))
+    rows = rows.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "markup")))["markup"], "").alias("markup"))
+    head = header.header(header.file_desc(conversation_title()))
+    own = xml.emitted(xml.document_xml(head, F.col("markup")))
+    return rows.select(F.col("conv_id").cast("string").alias("doc_key"), own.alias("e")).select("doc_key", F.col("e.value").alias("xml"), "e.error")
+
+
+@query(f"SELECT doc_key, CASE WHEN {forbidden('xml')} IS NULL THEN xml END AS xml FROM ({conversation_xml()})")
+def emit_documents(spark, sf_dir):
+    return conversation_markup(table(spark, sf_dir, "conversations")).select("doc_key", "xml")
+
+
+_TITLE_XML = f"'<TEI><teiHeader><fileDesc><title>' || {escaped(trimmed('raw'), '&<>')} || '</title></fileDesc></teiHeader><text><body/></text></TEI>'"
+
+
+@query(f"""SELECT doc_key, CASE WHEN c IS NULL THEN xml END AS xml, '{XML}{FORBIDDEN_ERROR}' || {point('c')} AS error
+FROM (SELECT doc_id::VARCHAR AS doc_key, {_TITLE_XML} AS xml, {forbidden('raw')} AS c FROM ({TITLED}) WHERE {blank_null('raw')} IS NOT NULL)""")
+def emit_errors(spark, sf_dir):
+    own = docs_.from_titles(titled(spark, sf_dir), F.col("doc_id"), F.col("raw"))
+    return docs_.emit(own.where("error is null"))
+
+
+@query(_BLOCKS)
+def round_trip_conversations(spark, sf_dir):
+    own = docs_.parse(conversation_markup(table(spark, sf_dir, "conversations")), "doc_key", "xml")
+    return docs_.blocks_long(own).select("doc_key", "block_pos", "kind", "id", "who", body.flat_text(F.col("inline")).alias("text"))
+
+
+@query("SELECT doc_id::VARCHAR AS doc_key, true AS same FROM documents")
+def round_trip_idempotent(spark, sf_dir):
+    first = docs_.emit(text_documents(table(spark, sf_dir, "documents")))
+    again = docs_.parse(first, "doc_key", "xml").select("doc_key", xml.emit_xml(F.col("header"), F.col("blocks"))["value"].alias("again"))
+    return first.join(again, "doc_key").select("doc_key", F.col("xml").eqNullSafe(F.col("again")).alias("same"))
+
+
+_BROKEN = """SELECT page_id, CASE page_id % 6
+ WHEN 0 THEN '<TEI><text><body/></text></TEI>'
+ WHEN 1 THEN '<TEI><teiHeader><fileDesc><title>Broken</title></fileDesc>'
+ WHEN 2 THEN '<TEI><teiHeader><fileDesc><title>   </title></fileDesc></teiHeader><text><body/></text></TEI>'
+ WHEN 3 THEN '<TEI><teiHeader><fileDesc><title>T</title></fileDesc></teiHeader><text><body><div/></body></text></TEI>'
+ WHEN 4 THEN '<TEI><teiHeader><fileDesc><title>T</title></fileDesc></teiHeader><text><body><p>a<b/></p></body></text></TEI>'
+ ELSE '<TEI><teiHeader><fileDesc><title> Page ' || page_id || ' </title></fileDesc></teiHeader><text><body> <p>x</p> </body></text></TEI>' END AS raw FROM pages"""
+
+
+@query(f"""SELECT page_id::VARCHAR AS doc_key, CASE WHEN page_id % 6 = 5 THEN 'Page ' || page_id END AS title, '{XML}' || CASE page_id % 6 WHEN 0 THEN 'missing field `teiHeader`' WHEN 1 THEN 'start tag not closed'
+ WHEN 2 THEN '{TITLE}' WHEN 3 THEN 'unknown variant `div`, expected `p` or `u`' WHEN 4 THEN 'data did not match any variant of untagged enum Inline' END AS error FROM pages""")
+def parse_errors(spark, sf_dir):
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    own = docs_.parse(spark.sql(_BROKEN), "page_id", "raw")
+    return own.select("doc_key", F.col("header.fileDesc.title").alias("title"), "error")
+
+
+@query()
+def parse_pages(spark, sf_dir):
+    """Web pages are no documents: each gives an error, none fails the job."""
+    own = docs_.parse(table(spark, sf_dir, "pages"), "page_id", "html")
+    return own.select("doc_key", F.col("error").isNotNull().alias("rejected"))
+
+
+@query(f"""SELECT doc_key, '{{"teiHeader":{{"fileDesc":{{"title":"Conversation ' || doc_key || '"}}}},"text":{{"body":{{"$value":[' || string_agg(CASE WHEN kind = 'p' THEN '{{"p":{{"@xml:id":"' || id || '","$value":["' || t || '"]}}}}' ELSE '{{"u":{{"@xml:id":"' || id || '","@who":"' || who || '","$value":["' || t || '"]}}}}' END, ',' ORDER BY block_pos) || ']}}}}}}' AS json
+FROM (SELECT *, replace(replace(replace(text, '\\', '\\\\'), '"', '\\"'), chr(10), '\\n') AS t FROM ({_BLOCKS})) GROUP BY doc_key""")
+def document_json(spark, sf_dir):
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    head = header.header(header.file_desc(F.col("header.fileDesc.title")))
+    return own.select("doc_key", json.document_json(head, F.col("blocks")).alias("json"))
+
+
+@query("SELECT conv_id::VARCHAR AS doc_key, true AS same FROM conversations GROUP BY conv_id")
+def round_trip_json(spark, sf_dir):
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    written = own.select("doc_key", json.document_json(F.col("header"), F.col("blocks")).alias("json"))
+    again = docs_.parse(written, "doc_key", "json", "json").select("doc_key", F.struct("header", "blocks").alias("again"))
+    return own.join(again, "doc_key").select("doc_key", F.struct("header", "blocks").eqNullSafe(F.col("again")).alias("same"))
+
+
+# Extensions ---------------------------------------------------------------------------------
+
+
+@query("SELECT doc_key, id, count(*)::BIGINT AS uses FROM (SELECT conv_id::VARCHAR AS doc_key, 'r-' || role AS id FROM conversations) GROUP BY ALL HAVING count(*) > 1")
+def duplicate_ids(spark, sf_dir):
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    by_role = F.transform("blocks", lambda b: b.withField("id", F.concat(F.lit("r-"), F.coalesce(b["who"], F.lit("system")))))
+    return validate.duplicate_ids(own.withColumn("blocks", by_role))
+
+
+@query("SELECT DISTINCT conv_id::VARCHAR AS doc_key, role AS who FROM conversations WHERE role NOT IN ('system', 'user')")
+def dangling_speakers(spark, sf_dir):
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    head = header.header(header.file_desc(F.lit("x")), header.profile_desc(speakers=F.array(F.lit("user"))))
+    return validate.dangling_speakers(own.withColumn("header", head))
+
+
+@query(f"SELECT doc_key, block_pos, coalesce(who, 'Narrator') AS speaker, text FROM (SELECT doc_key, block_pos, CASE WHEN block_pos % 3 = 0 THEN NULL ELSE who END AS who, kind, text FROM ({_BLOCKS})) WHERE kind = 'u'")
+def utterance_list(spark, sf_dir):
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    some = F.transform("blocks", lambda b, i: b.withField("who", F.when(i % 3 != 0, b["who"])))
+    return validate.utterance_list(own.withColumn("blocks", some))
+
+
+@query(f"""WITH b AS ({_BLOCKS}), a AS (SELECT doc_key, block_pos, text FROM b), c AS (SELECT doc_key, block_pos, CASE WHEN block_pos = 1 THEN text || '!' ELSE text END AS text FROM b WHERE block_pos < 4)
+SELECT doc_key, block_pos, CASE WHEN c.doc_key IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a LEFT JOIN c USING (doc_key, block_pos) WHERE c.text IS DISTINCT FROM a.text""")
+def semantic_diff(spark, sf_dir):
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    louder = F.transform(F.slice("blocks", 1, 4), lambda b, i: F.when(i == 1, b.withField("inline", F.transform(b["inline"], lambda t: t.withField("text", F.concat(t["text"], F.lit("!")))))).otherwise(b))
+    return validate.differences(own, own.withColumn("blocks", louder))
+
+
+@query(f"SELECT doc_key, sha256(xml) AS hash FROM ({conversation_xml()})")
+def content_hash(spark, sf_dir):
+    return conversation_markup(table(spark, sf_dir, "conversations")).select("doc_key", validate.content_hash(F.col("xml")).alias("hash"))
+
+
+@query("SELECT conv_id::VARCHAR AS doc_key, count(*)::BIGINT AS blocks, count(*)::BIGINT AS segments, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')))::BIGINT AS words FROM conversations GROUP BY conv_id")
+def word_counts(spark, sf_dir):
+    return validate.word_counts(conversation_documents(table(spark, sf_dir, "conversations")))
+
+
+_SPANS = "SELECT conv_id::VARCHAR AS doc_key, turn AS span_id, 'c' || conv_id || '-t' || (turn + CASE WHEN turn % 7 = 6 THEN 1000 ELSE 0 END) AS block_id, (turn % 3)::INT AS start, CASE WHEN turn % 5 = 4 THEN 0 ELSE 100 END AS stop FROM conversations"
+
+
+@query(f"""SELECT s.doc_key, s.span_id, CASE WHEN b.text IS NULL THEN 'unknown block' WHEN s.start >= s.stop THEN 'empty span' ELSE 'outside the block' END AS error
+FROM ({_SPANS}) s LEFT JOIN ({_BLOCKS}) b ON b.doc_key = s.doc_key AND b.id = s.block_id WHERE b.text IS NULL OR s.start >= s.stop OR s.stop > length(b.text)""")
+def span_errors(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    c.createOrReplaceTempView("conversations")
+    return validate.span_errors(spark.sql(_SPANS.replace("::VARCHAR", "::STRING")), conversation_documents(c))
+
+
+@query(f"SELECT s.doc_key, s.span_id, substr(b.text, s.start + 1, 20) AS text FROM (SELECT *, start + 20 AS other FROM ({_SPANS})) s JOIN ({_BLOCKS}) b ON b.doc_key = s.doc_key AND b.id = s.block_id")
+def span_texts(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    c.createOrReplaceTempView("conversations")
+    spans = spark.sql(_SPANS.replace("::VARCHAR", "::STRING")).withColumn("stop", F.col("start") + 20)
+    return validate.span_texts(spans, conversation_documents(c))
+
+
+@query("SELECT 'customer ' || c_custkey AS doc_key, '" + FIELD.format("language") + "' AS error FROM customer WHERE c_custkey % 10 = 0")
+def language_errors(spark, sf_dir):
+    own = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("doc_key"), header.language_tag(F.when(F.col("c_custkey") % 10 == 0, " ").otherwise("en-GB"))["error"].alias("error"))
+    return own.where("error is not null")
