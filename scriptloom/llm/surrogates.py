@@ -77,6 +77,10 @@ def kind_of(value: Column) -> Column:
     return kinds.otherwise("name")
 
 
+def _characters(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
 def _moved(h: Column, char: Column) -> Column:
     """A character's counterpart in its class, ``h`` places on."""
     low, new = F.lower(char), char
@@ -95,7 +99,7 @@ def _pass(text: Column, key: Column) -> Column:
         h = F.when(char.rlike(r"[\p{L}\p{N}]"), F.xxhash64(acc["h"], F.lower(char))).otherwise(acc["h"])
         return F.struct(h.alias("h"), F.concat(acc["out"], _moved(acc["h"], char)).alias("out"))
 
-    return F.aggregate(F.split(text, "(?!^)"), start, step, lambda acc: acc["out"])
+    return F.aggregate(_characters(text), start, step, lambda acc: acc["out"])
 
 
 def cipher(text: Column, key: str, label: str) -> Column:
@@ -106,7 +110,7 @@ def cipher(text: Column, key: str, label: str) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """Luhn sum modulo 10 of a string of digits."""
-    steps = F.transform(F.split(F.reverse(digits), ""), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.when(d.cast("int") > 4, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)))
+    steps = F.transform(_characters(F.reverse(digits)), lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(F.when(d.cast("int") > 4, d.cast("int") * 2 - 9).otherwise(d.cast("int") * 2)))
     return F.aggregate(steps, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)), lambda a: a % 10)
 
 
