@@ -6,8 +6,8 @@ words stay, in lower case.  Windows of ``WINDOW`` tokens are hashed; documents'
 some benchmark item has are joined with the items' windows by hash.  A document's windows
 that lie on one diagonal of an item, that is, follow each other as they do there, are
 consistent if every slot value of the item stands for one value of the document and the
-other way round.  A document leaks an item if consistent windows cover at least half of the
-item's windows, or ``ENOUGH`` of them.
+other way round; if not, only the diagonal's windows without slots count.  A document leaks
+an item if such windows cover at least half of the item's windows, or ``ENOUGH`` of them.
 
 Documents' windows are sifted by a bitmap of the items' hashes before they leave the task,
 so only near-certain matches are shuffled.  The items' hashes are collected and sent to the
@@ -135,9 +135,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, most_shipped: int = MOST_SHIPP
     pairs = mine.join(theirs, ["hash", "size"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
     values = F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("mine"))
     doc = ["id", "tag", "item_id", "item_tag"]
-    lines = pairs.groupBy(*doc, "diagonal").agg(F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_list(values))).alias("v"), F.max("windows").alias("windows"))
+    literal = F.collect_set(F.when(F.size("slots") == 0, F.col("item_at")))
+    lines = pairs.groupBy(*doc, "diagonal").agg(literal.alias("literal"), F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_list(values))).alias("v"), F.max("windows").alias("windows"))
     distinct = lambda c: F.size(F.array_distinct(F.col("v")[c]))
-    lines = lines.where((distinct("theirs") == F.size("v")) & (distinct("mine") == F.size("v")))
+    consistent = (distinct("theirs") == F.size("v")) & (distinct("mine") == F.size("v"))
+    lines = lines.withColumn("places", F.when(consistent, F.col("places")).otherwise(F.col("literal"))).where(F.size("places") > 0)
     each = lines.groupBy(*doc).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"), F.max("windows").alias("windows"), F.max(F.size("v")).cast("long").alias("slots"))
     leaks = each.where((F.col("matched") >= F.col("windows") * SHARE) | (F.col("matched") >= ENOUGH))
     return leaks.select(F.col("id").alias("doc_id"), "tag", "item_id", "matched", "windows", "slots")

@@ -46,9 +46,7 @@ def found(docs, items, **kw):
 def test_leaks(docs_of, items):
     docs = docs_of(list(DOCS.values()))
     got = found(docs, items)
-    assert {(list(DOCS)[d], i) for d, i in got} == {("verbatim", 1), ("changed", 1), ("upper", 1), ("short", 5), ("inconsistent", 1)}
-    # Windows that hold both of two clashing values belong to one diagonal, which goes as a whole
-    # unless the clash is out of reach; see the next test.
+    assert {(list(DOCS)[d], i) for d, i in got} == {("verbatim", 1), ("changed", 1), ("upper", 1), ("short", 5)}
     assert found(docs, items, most_shipped=0).keys() == got.keys()
 
 
@@ -59,12 +57,20 @@ def test_clashing_slots_are_no_leak(docs_of, spark):
     assert set(found(docs_of([same, clash, merged, item]), items)) == {(0, 1), (3, 1)}
 
 
+def test_literal_windows_count_beside_clashing_ones(docs_of, spark):
+    item = "they paid 7 coins for bread and 7 coins for cheese while many quiet people were standing around in the warm evening light and said nothing about it at all"
+    items = spark.createDataFrame([(1, item)], SCHEMA)
+    clash = item.replace("7", "8", 1)
+    whole, part = found(docs_of([item, clash]), items)[0, 1], found(docs_of([item, clash]), items)[1, 1]
+    assert whole.matched == whole.windows > part.matched > T.ENOUGH
+
+
 def test_pairs_and_filtering(docs_of, items):
     docs = docs_of(list(DOCS.values())).withColumn("extra", F.lit(1))
     pairs = T.leaked_items(docs.unionByName(docs), items).collect()
     assert len(pairs) == len({(r.doc_id, r.item_id) for r in pairs})
     kept = T.without_leaks(docs, items)
-    assert kept.columns == docs.columns and {list(DOCS)[r.doc_id] for r in kept.collect()} == {"clean", "part"}
+    assert kept.columns == docs.columns and {list(DOCS)[r.doc_id] for r in kept.collect()} == {"clean", "part", "inconsistent"}
 
 
 def test_odd_rows(odd, none, items, spark):
