@@ -211,6 +211,18 @@ def read_json(payload: str) -> dict:
         top = json.loads(payload)
     except ValueError as e:
         raise Rejected(f"invalid JSON: {e}") from None
+    return read_members(top)
+
+
+def read_msgpack(payload: bytes) -> dict:
+    """header and blocks of a document in MessagePack, or Rejected."""
+    from .msgpack import unpack
+
+    return read_members(unpack(payload or b""))
+
+
+def read_members(top) -> dict:
+    """header and blocks of a document's plain maps and lists, or Rejected."""
     get = lambda d, k: d[k] if isinstance(d, dict) and k in d else _value_error(f"missing field `{k}`")
     field = lambda s, name: _needed(s, errors.FIELD.format(name))
     h = get(top, "teiHeader")
@@ -261,7 +273,8 @@ def _udf(read):
 
 
 def parse_xml(xml: Column) -> Column:
-    """A struct of header, blocks and error."""
+    """A struct of header, blocks and error.  Over plain columns; where the text is made by
+    higher-order functions in the same plan node, use ``operators.documents.parse``."""
     return _udf(read_xml)(xml)
 
 

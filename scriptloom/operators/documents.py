@@ -80,13 +80,13 @@ def emit_long(blocks: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def parse(df: DataFrame, key: str, text: str, form: str = "xml") -> DataFrame:
-    """doc_key, header, blocks, error from a column of XML (or, by ``form``, JSON) documents.
+    """doc_key, header, blocks, error from a column of XML (or, by ``form``, JSON or MessagePack) documents.
 
     A plan node of its own over Arrow batches: what follows, higher-order functions included,
     is never drawn into the parser, and it runs once a row."""
-    from ..functions.parse import guarded, read_json, read_xml
+    from ..functions.parse import guarded, read_json, read_msgpack, read_xml
 
-    read = {"xml": read_xml, "json": read_json}[form]
+    read = {"xml": read_xml, "json": read_json, "msgpack": read_msgpack}[form]
     rows = df.select(F.col(key).cast("string").alias("doc_key"), F.col(text).alias("text"))
     schema = T.StructType.fromDDL(f"{SCHEMA}, error string")
     types = to_arrow_schema(schema)
@@ -101,6 +101,23 @@ def parse(df: DataFrame, key: str, text: str, form: str = "xml") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def to_msgpack(docs: DataFrame) -> DataFrame:
+    """doc_key, packed: each document in MessagePack, from its JSON form, in Arrow batches."""
+    import json as text
+
+    from ..functions.json import document_json
+    from ..functions.msgpack import pack
+
+    rows = docs.select("doc_key", document_json(F.col("header"), F.col("blocks")).alias("json"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [None if x is None else pack(text.loads(x)) for x in batch.column("json").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), pa.array(packed, pa.binary())], names=["doc_key", "packed"])
+
+    return rows.mapInArrow(run, "doc_key string, packed binary")
+
+
 def error_of(kind: str, message: Column) -> Column:
     """Any operator's error in one form: kind and message."""
     return F.when(message.isNotNull(), F.struct(F.lit(kind).alias("kind"), message.alias("message")))

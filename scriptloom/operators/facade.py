@@ -69,6 +69,15 @@ class Document:
     def from_json(cls, payload: str) -> Document:
         return cls._parsed(parse.guarded(parse.read_json, payload))
 
+    def to_msgpack(self) -> bytes:
+        from ..functions.msgpack import pack
+
+        return pack(self.to_dict())
+
+    @classmethod
+    def from_msgpack(cls, payload: bytes) -> Document:
+        return cls._parsed(parse.guarded(parse.read_msgpack, payload))
+
     @classmethod
     def from_dict(cls, value: dict) -> Document:
         import json as text

@@ -341,6 +341,13 @@ def round_trip_json(spark, sf_dir):
     return own.join(again, "doc_key").select("doc_key", F.struct("header", "blocks").eqNullSafe(F.col("again")).alias("same"))
 
 
+@query("SELECT conv_id::VARCHAR AS doc_key, true AS same FROM conversations GROUP BY conv_id")
+def round_trip_msgpack(spark, sf_dir):
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    again = docs_.parse(docs_.to_msgpack(own), "doc_key", "packed", "msgpack").select("doc_key", F.struct("header", "blocks").alias("again"))
+    return own.join(again, "doc_key").select("doc_key", F.struct("header", "blocks").eqNullSafe(F.col("again")).alias("same"))
+
+
 # Extensions ---------------------------------------------------------------------------------
 
 

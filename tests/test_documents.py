@@ -194,3 +194,23 @@ def test_table_adapters(spark):
     one, two = text_documents(d).orderBy("doc_key").collect()
     assert [b.inline[0].text for b in one.blocks] == ["a", "b"] and one.header.fileDesc.series == "src"
     assert two.blocks == [] and two.header.profileDesc.lang == []
+
+
+def test_msgpack(spark):
+    from scriptloom.functions import msgpack as M
+
+    for value in (None, True, 0, 127, 128, -5, "", "é" * 40, "x" * 70000, [1] * 20, {"a": [{}], "b": {"c": None}}, {str(i): i for i in range(20)}):
+        assert M.unpack(M.pack(value)) == value
+    assert M.pack({"a": "b"}) == b"\x81\xa1a\xa1b" and M.unpack(b"\xff") == -1
+    for broken in (b"", b"\xa5ab", b"\x91", b"\xc1", b"\xc0\xc0"):
+        with pytest.raises(P.Rejected):
+            M.unpack(broken)
+    full = facade.parse_xml(FULL)
+    assert facade.Document.from_msgpack(full.to_msgpack()) == full
+    with pytest.raises(ValueError, match="teiHeader"):
+        facade.Document.from_msgpack(M.pack({}))
+    docs = D.parse(spark.createDataFrame([(1, FULL)], "k long, x string"), "k", "x")
+    packed = D.to_msgpack(docs)
+    assert bytes(packed.first().packed) == full.to_msgpack()
+    again = D.parse(packed, "doc_key", "packed", "msgpack").first()
+    assert (again.header, again.blocks, again.error) == (docs.first().header, docs.first().blocks, None)
