@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks
-from .pieces import PieceCache, quick_pieces
+from .common import chunks, resident
+from .pieces import PieceCache, cut_texts
 from .unigram import load_ranks
 
 BLOCK_WORDS = 40_000
-#: Pieces remembered in a Python worker, at some 200 bytes each.
-CACHED = 1_000_000
+#: Pieces remembered in a Python worker, at some 180 bytes each.
+CACHED = 800_000
 
 ENCODE_SQL = """
 WITH RECURSIVE step AS (
@@ -64,18 +64,18 @@ SELECT e.word, list(e.id ORDER BY e.pos) AS ids, string_agg(v.hex, '' ORDER BY e
 FROM encoded e JOIN vocabulary v ON v.id = e.id GROUP BY e.word
 """
 
-_coders: dict = {}
-
 
 class Coder:
     """Ids (little-endian, 32-bit) and decoded bytes of texts."""
 
-    def __init__(self, ranks: str, pattern: str, memory: str = "160MB"):
+    def __init__(self, ranks: str, pattern: str, memory: str = "120MB"):
         import duckdb
 
         self.find = regex.compile(pattern).findall
         self.ranks = load_ranks(ranks)
         self.base = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
+        #: Ids are kept in two bytes where the vocabulary allows it.
+        self.kind = "<u2" if max(self.ranks.values()) < 1 << 16 else "<u4"
         cuts = [(self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
         left, right, rank = zip(*(c for c in cuts if None not in c), strict=True)
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory})
@@ -91,12 +91,12 @@ class Coder:
 
     def words(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """(ids, decoded) of each distinct word."""
-        out, rest = {}, []
+        out, rest, width = {}, [], np.dtype(self.kind).itemsize
         for w in words:
             b = w.encode()
             # What is a token is not merged from its bytes; as in tiktoken.
             if (r := self.ranks.get(b)) is not None:
-                out[w] = (r.to_bytes(4, "little"), b)
+                out[w] = (r.to_bytes(width, "little"), b)
             else:
                 rest.append((w, b))
         for lo in range(0, len(rest), BLOCK_WORDS):
@@ -112,7 +112,7 @@ class Coder:
             ids = got.column("ids").combine_chunks()
             if isinstance(ids, pa.ChunkedArray):
                 ids = pa.concat_arrays(ids.chunks)
-            data, at = np.asarray(ids.flatten()).astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]) * 4
+            data, at = np.asarray(ids.flatten()).astype(self.kind).tobytes(), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]) * width
             for k, (i, text) in enumerate(zip(got.column("word").to_pylist(), got.column("decoded").to_pylist(), strict=True)):
                 out[own[i][0]] = (data[at[k] : at[k + 1]], bytes.fromhex(text))
         return out
@@ -127,19 +127,21 @@ class Coder:
         return [known[c[0]][0] if len(c) == 1 else b"".join([known[w][0] for w in c]) for c in cut]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        cut = [quick_pieces(x) for x in texts]
-        cut = [self.find(text) if c is None else c for text, c in zip(texts, cut, strict=True)]
-        self.cache.fill(cut)
-        get, other = self.cache.__getitem__, self.other
-        for c in cut:
-            decoded = b"".join(other.get(p) or p.encode() for p in c) if other else "".join(c).encode()
-            yield b"".join(map(get, c)), decoded
+        cut = cut_texts(texts)
+        get, other = self.cache.fill([cut.pieces]), self.other
+        ids = cut.joined(list(map(get, cut.pieces)), self.kind)
+        decoded = cut.joined([other.get(p) or p.encode() for p in cut.pieces], "u1")
+        for text, slow, own, back in zip(texts, cut.slow, ids, decoded, strict=True):
+            if slow:
+                words = self.find(text)
+                get = self.cache.fill([words])
+                own = np.frombuffer(b"".join(map(get, words)), self.kind)
+                back = b"".join(other.get(w) or w.encode() for w in words)
+            yield own.astype("<u4").tobytes(), bytes(back)
 
 
 def coder(ranks: str, pattern: str) -> Coder:
-    if (ranks, pattern) not in _coders:
-        _coders[ranks, pattern] = Coder(ranks, pattern)
-    return _coders[ranks, pattern]
+    return resident(("bpe", ranks, pattern), lambda: Coder(ranks, pattern))
 
 
 def encode_decode(df: DataFrame, ranks: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +58,32 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The one large thing that this Python worker keeps between tasks, by its key.
+_resident: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """What ``make`` gives, kept by this Python worker while tasks ask for the same key.
+
+    Spark uses workers again for other operators' tasks; whatever comes next takes the place
+    of what was kept, so a worker never holds two operators' tables."""
+    if key not in _resident:
+        vacate()
+        _resident[key] = make()
+    return _resident[key]
+
+
+def vacate() -> None:
+    """Gives up what the worker keeps, and its memory back to the system where that's possible."""
+    if not _resident:
+        return
+    _resident.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with about ``limit`` characters each, and their texts (null: empty)."""
     texts = [x or "" for x in batch.column(text).to_pylist()]

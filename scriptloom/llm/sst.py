@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks
-from .pieces import PieceCache, quick_pieces
+from .common import Workspace, chunks, resident
+from .pieces import PieceCache, cut_texts
 
 MAGIC = b"SLSST001"
 BLOCK_BYTES = 64 * 1024
@@ -44,36 +44,76 @@ BLOOM_BITS, BLOOM_HASHES = 10, 7
 _FOOTER = struct.Struct("<QIQIQQBI8s")
 END_ID = 0
 
-_encoders: dict = {}
+
+
+_ENDS = (",", ".", "\n")
+
+
+def _core(piece: str) -> tuple[str, str, str]:
+    """A piece's line feed, the rest, and the mark at its end."""
+    line = "\n" if piece[:1] == "\n" and len(piece) > 1 else ""
+    mark = piece[-1] if piece[-1:] in (",", ".") and piece[-2:-1].isalpha() else ""
+    return line, piece[len(line) : len(piece) - len(mark)], mark
 
 
 class _Encoder:
-    """Ids of texts as little-endian 32-bit integers, through the tokenizers library."""
+    """Ids of texts as little-endian 32-bit integers, through the tokenizers library.
+
+    Pieces are encoded many at a time with a special token between them, which the library
+    takes out before it splits and merges, so each is encoded as if alone.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size(with_added_tokens=True) > 1 << 16
-        self.cache = PieceCache(self.encode, 400_000)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [quick_pieces(x) for x in texts]
-        self.cache.fill([x for x in cut if x])
-        get = self.cache.__getitem__
-        return [self.encode([text])[0] if x is None else b"".join(map(get, x)) for text, x in zip(texts, cut, strict=True)]
+        self.kind = "<u4" if self.wide else "<u2"
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = [t.content for t in added.values()]
+        plain = (i for i, t in added.items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized))
+        self.mark = next(plain, None)
+        self.between = "" if self.mark is None else added[self.mark].content
+        self.cache = PieceCache(self.pieces, 1_000_000)
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def pieces(self, pieces: list[str]) -> list[bytes]:
+        """A comma or full stop after a letter, and a line feed, are tokens by themselves, so
+        only what is between them is encoded, once for all pieces that share it."""
+        cores = [_core(p) for p in pieces]
+        known = self.cache.known
+        wanted = list({c for _, c, _ in cores}.difference(known))
+        new = dict(zip(wanted, self.whole(wanted), strict=True))
+        ends = dict(zip(_ENDS, self.whole(list(_ENDS)), strict=True)) | {"": b""}
+        return [ends[a] + (new.get(c) if c in new else known[c]) + ends[b] for a, c, b in cores]
+
+    def whole(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for lo in range(0, len(pieces), 5000):
+            own = pieces[lo : lo + 5000]
+            if self.mark is None or any(m in p for m in self.marks for p in own):
+                out += [self.ids(p).tobytes() for p in own]
+                continue
+            ids = self.ids(self.between.join(own))
+            at, width, data = np.flatnonzero(ids == self.mark), ids.itemsize, ids.tobytes()
+            starts, stops = [0, *((at + 1) * width).tolist()], [*(at * width).tolist(), len(data)]
+            out += [data[a:b] for a, b in zip(starts, stops, strict=True)]
+        return out
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        cut = cut_texts(texts)
+        get = self.cache.fill([cut.pieces])
+        quick = cut.joined(list(map(get, cut.pieces)), self.kind)
+        return [self.ids(text) if slow else own for text, own, slow in zip(texts, quick, cut.slow, strict=True)]
 
 
 def encoder(path: str) -> _Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _encoders:
-        _encoders[path] = _Encoder(path)
-    return _encoders[path]
+    return resident(("sst", path), lambda: _Encoder(path))
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -226,13 +266,13 @@ def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int | None
         name = f"{uuid.uuid4().hex}.sst"
         first = last = writer = out = None
         for batch in batches:
-            for own, texts in chunks(batch, "text"):
+            for own, texts in chunks(batch, "text", 2_000_000):
                 for key, ids in zip(own.column("id").to_pylist(), encode(texts), strict=True):
                     if writer is None:
                         out = fs.open_output_stream(f"{base}/{name}")
                         writer, first = ShardWriter(out, encode.wide), key
                     tail = [] if end_id is None else [end_id]
-                    writer.add(key_of(key), np.concatenate([np.frombuffer(ids, "<u4"), np.array(tail, "<u4")]))
+                    writer.add(key_of(key), np.concatenate([ids, np.array(tail, ids.dtype)]))
                     last = key
         if writer:
             writer.close()

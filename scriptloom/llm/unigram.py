@@ -22,11 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import chunks
+from .common import chunks, resident
 from .pieces import PieceCache, quick_pieces
 
-_models: dict = {}
-
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -102,8 +100,7 @@ class _Counter:
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
         cut = [quick_pieces(x) for x in texts]
-        self.cache.fill([x for x in cut if x])
-        get, mask = self.cache.__getitem__, (1 << _FIELD) - 1
+        get, mask = self.cache.fill(x for x in cut if x), (1 << _FIELD) - 1
         for text, own in zip(texts, cut, strict=True):
             n = self.words(self.find(text)) if own is None else sum(map(get, own))
             yield n & mask, n >> _FIELD & mask, n >> 2 * _FIELD
@@ -117,9 +114,7 @@ def token_counts(df: DataFrame, ranks: str, pattern: str, text: str = "text") ->
     schema = T.StructType(df.schema.fields + [T.StructField(n, T.LongType()) for n in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (ranks, pattern) not in _models:
-            _models[ranks, pattern] = _Counter(ranks, pattern)
-        count = _models[ranks, pattern]
+        count = resident(("unigram", ranks, pattern), lambda: _Counter(ranks, pattern))
         for batch in batches:
             for own, texts in chunks(batch, text):
                 rows = zip(*count(texts), strict=True)

@@ -30,6 +30,18 @@ def test_quick_pieces_cut_only_where_the_pattern_cuts():
             assert [w for p in cut for w in find(p)] == find(text), text
 
 
+def test_texts_cut_together_are_cut_as_alone():
+    texts = ["a b\nc d.", "", "x", " lead", "tab\there is", "two  spaces", "é ü\nñ", "nul\0", "nb\u00a0sp ace", "trail "]
+    cut = pieces.cut_texts(texts)
+    for i, text in enumerate(texts):
+        own = [cut.pieces[j] for j in cut.index[cut.offsets[i] : cut.offsets[i + 1]]]
+        alone = pieces.quick_pieces(text)
+        assert cut.slow[i] == (alone is None) and (own == [""] if not alone else own == alone)
+    got = cut.joined([p.encode() for p in cut.pieces], "u1")
+    assert [bytes(g).decode() for g in got] == ["" if s else t for t, s in zip(texts, cut.slow, strict=True)]
+    assert pieces.cut_texts([]).joined([], "u1") == []
+
+
 def test_cache_keeps_early_pieces_and_changes_no_value():
     cache = pieces.PieceCache(lambda xs: [x.upper() for x in xs], 2)
     assert cache.fill([["a", "b"]])("a") == "A"
