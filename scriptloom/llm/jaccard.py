@@ -236,8 +236,9 @@ def link_sets(docs: DataFrame, n: int = N, label: str = "jaccard") -> tuple[Data
     placed = found.join(parts, "root").select(F.col("node").alias("key"), F.col("root").alias("component"), "blocks").join(sets, "key")
     placed = work.save(placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "placed")
     # One document of each candidate set gives its n-grams; those without identifier apart.
+    # The candidates are never broadcast: they grow with the corpus.
     ids = placed.where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
+    texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
     grams = with_grams(texts, n).dropDuplicates(["key"])
     cut = placed.join(grams, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cut = cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("component", "low", "high", "block", "key", "copies", "bands", "grams")
