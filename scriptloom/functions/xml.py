@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import errors
-from .header import document_title
+from .header import document_title, encoding_is_empty, profile_is_empty, revision_is_empty
 from .text import IN_ATTRIBUTE, IN_TEXT, checked, escape, forbidden_error
 
 
@@ -24,9 +24,13 @@ def title_markup(raw: Column) -> Column:
     return checked(serialize_title(own["value"]), own["error"])
 
 
-def element(name: str, content: Column, attributes: Column | None = None) -> Column:
-    start = F.lit(f"<{name}") if attributes is None else F.concat(F.lit(f"<{name}"), attributes)
-    return F.when(content == "", F.concat(start, F.lit("/>"))).otherwise(F.concat(start, F.lit(">"), content, F.lit(f"</{name}>")))
+def element(name: str | Column, content: Column, attributes: Column | None = None, empty: Column | None = None) -> Column:
+    """``empty`` says when there is no content, so that the content stands in the expression
+    once, however deep elements nest; without it there always is some."""
+    name = F.lit(name) if isinstance(name, str) else name
+    start = F.concat(F.lit("<"), name) if attributes is None else F.concat(F.lit("<"), name, attributes)
+    whole = F.concat(start, F.lit(">"), content, F.lit("</"), name, F.lit(">"))
+    return whole if empty is None else F.when(empty, F.concat(start, F.lit("/>"))).otherwise(whole)
 
 
 def attribute(name: str, value: Column) -> Column:
@@ -35,7 +39,7 @@ def attribute(name: str, value: Column) -> Column:
 
 def _leaf(name: str, value: Column) -> Column:
     """Nothing for null."""
-    return F.when(value.isNotNull(), element(name, escape(value, IN_TEXT))).otherwise("")
+    return F.when(value.isNotNull(), element(name, escape(value, IN_TEXT), empty=value == "")).otherwise("")
 
 
 def _each(items: Column, one) -> Column:
@@ -47,15 +51,18 @@ def file_xml(f: Column) -> Column:
 
 
 def profile_xml(p: Column) -> Column:
-    return element("profileDesc", F.concat(_leaf("synopsis", p["synopsis"]), _each(p["speaker"], lambda s: _leaf("speaker", s)), _each(p["lang"], lambda s: _leaf("lang", s))))
+    content = F.concat(_leaf("synopsis", p["synopsis"]), _each(p["speaker"], lambda s: _leaf("speaker", s)), _each(p["lang"], lambda s: _leaf("lang", s)))
+    return element("profileDesc", content, empty=profile_is_empty(p))
 
 
 def encoding_xml(e: Column) -> Column:
-    return element("encodingDesc", _each(e["annotationSystem"], lambda s: element("annotationSystem", _leaf("desc", s["desc"]), attribute("xml:id", s["id"]))))
+    systems = _each(e["annotationSystem"], lambda s: element("annotationSystem", _leaf("desc", s["desc"]), attribute("xml:id", s["id"]), s["desc"].isNull()))
+    return element("encodingDesc", systems, empty=encoding_is_empty(e))
 
 
 def revision_xml(r: Column) -> Column:
-    return element("revisionDesc", _each(r["change"], lambda c: element("change", F.concat(escape(c["description"], IN_TEXT), _leaf("resp", c["resp"])))))
+    changes = _each(r["change"], lambda c: element("change", F.concat(escape(c["description"], IN_TEXT), _leaf("resp", c["resp"]))))
+    return element("revisionDesc", changes, empty=revision_is_empty(r))
 
 
 def header_xml(h: Column) -> Column:
@@ -81,20 +88,27 @@ def inline_xml(tokens: Column) -> Column:
 
 
 def block_xml(block: Column) -> Column:
-    own = inline_xml(block["inline"])
-    return F.when(block["kind"] == "p", element("p", own, attribute("xml:id", block["id"]))).otherwise(element("u", own, F.concat(attribute("xml:id", block["id"]), attribute("who", block["who"]))))
+    who = F.when(block["kind"] == "u", attribute("who", block["who"])).otherwise("")
+    hollow = ~F.exists(block["inline"], lambda t: (t["kind"] != "text") | (t["text"] != ""))
+    return element(block["kind"], inline_xml(block["inline"]), F.concat(attribute("xml:id", block["id"]), who), hollow)
 
 
-def document_xml(header: Column, body: Column) -> Column:
-    """``body``: the blocks' markup."""
-    return F.concat(F.lit("<TEI>"), header_xml(header), F.lit("<text>"), element("body", body), F.lit("</text></TEI>"))
+def document_xml(header: Column, body: Column, empty: Column) -> Column:
+    """``body``: the blocks' markup; ``empty``: there are no blocks."""
+    return F.concat(F.lit("<TEI>"), header_xml(header), F.lit("<text>"), element("body", body, empty=empty), F.lit("</text></TEI>"))
 
 
-def emitted(xml: Column) -> Column:
-    """The markup, unless XML forbids a character of it: value and error."""
-    return checked(xml, F.concat(F.lit(errors.XML), forbidden_error(xml)))
+def blocks_document(header: Column, blocks: Column) -> Column:
+    """A document's XML, not yet checked for forbidden characters."""
+    return document_xml(header, _each(blocks, block_xml), F.size(blocks) == 0)
+
+
+def emission_error(xml: Column) -> Column:
+    return F.concat(F.lit(errors.XML), forbidden_error(xml))
 
 
 def emit_xml(header: Column, blocks: Column) -> Column:
-    """A document's canonical XML: value and error."""
-    return emitted(document_xml(header, _each(blocks, block_xml)))
+    """A document's canonical XML: value and error.  As an expression by itself it makes the
+    markup more than once; over tables use ``operators.documents.emit``."""
+    xml = blocks_document(header, blocks)
+    return checked(xml, emission_error(xml))

@@ -65,18 +65,24 @@ def extend_bodies(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(moved)
 
 
+def emitted(rows: DataFrame) -> DataFrame:
+    """doc_key, xml, error from markup (doc_key, xml) that may have forbidden characters.
+    Each step is a projection over the one before, so markup and check are made once."""
+    rows = rows.select("doc_key", "xml", xml.emission_error(F.col("xml")).alias("error"))
+    return rows.select("doc_key", F.when(F.col("error").isNull(), F.col("xml")).alias("xml"), "error")
+
+
 def emit(docs: DataFrame) -> DataFrame:
     """doc_key, xml, error: canonical XML of each document; no shuffle."""
-    return docs.select("doc_key", xml.emit_xml(F.col("header"), F.col("blocks")).alias("e")).select("doc_key", F.col("e.value").alias("xml"), "e.error")
+    return emitted(docs.select("doc_key", xml.blocks_document(F.col("header"), F.col("blocks")).alias("xml")))
 
 
 def emit_long(blocks: DataFrame, headers: DataFrame) -> DataFrame:
     """The same from long blocks (doc_key, block_pos, markup): markup is made before the one
     shuffle that puts it in order."""
     bodies = blocks.groupBy("doc_key").agg(F.array_join(F.array_sort(F.collect_list(F.struct("block_pos", "markup")))["markup"], "").alias("markup"))
-    rows = headers.join(bodies, "doc_key", "left")
-    own = xml.emitted(xml.document_xml(F.col("header"), F.coalesce("markup", F.lit(""))))
-    return rows.select("doc_key", own.alias("e")).select("doc_key", F.col("e.value").alias("xml"), "e.error")
+    rows = headers.join(bodies, "doc_key", "left").withColumn("markup", F.coalesce("markup", F.lit("")))
+    return emitted(rows.select("doc_key", xml.document_xml(F.col("header"), F.col("markup"), F.col("markup") == "").alias("xml")))
 
 
 def parse(df: DataFrame, key: str, text: str, form: str = "xml") -> DataFrame:

@@ -269,8 +269,7 @@ def conversation_markup(conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", xml.block_xml(turn_block()).alias("markup"))
     rows = rows.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "markup")))["markup"], "").alias("markup"))
     head = header.header(header.file_desc(conversation_title()))
-    own = xml.emitted(xml.document_xml(head, F.col("markup")))
-    return rows.select(F.col("conv_id").cast("string").alias("doc_key"), own.alias("e")).select("doc_key", F.col("e.value").alias("xml"), "e.error")
+    return docs_.emitted(rows.select(F.col("conv_id").cast("string").alias("doc_key"), xml.document_xml(head, F.col("markup"), F.col("markup") == "").alias("xml")))
 
 
 @query(f"SELECT doc_key, CASE WHEN {forbidden('xml')} IS NULL THEN xml END AS xml FROM ({conversation_xml()})")
@@ -297,7 +296,7 @@ def round_trip_conversations(spark, sf_dir):
 @query("SELECT doc_id::VARCHAR AS doc_key, true AS same FROM documents")
 def round_trip_idempotent(spark, sf_dir):
     first = docs_.emit(text_documents(table(spark, sf_dir, "documents")))
-    again = docs_.parse(first, "doc_key", "xml").select("doc_key", xml.emit_xml(F.col("header"), F.col("blocks"))["value"].alias("again"))
+    again = docs_.emit(docs_.parse(first, "doc_key", "xml")).select("doc_key", F.col("xml").alias("again"))
     return first.join(again, "doc_key").select("doc_key", F.col("xml").eqNullSafe(F.col("again")).alias("same"))
 
 
