@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from scriptloom.llm import bpe, catalog, jaccard, surrogates, templates, toxicity
 from scriptloom.llm.common import Workspace, table
 
+#: Pieces that the last stage remembers in a worker: few, as the stages before have grown the
+#: executors' heaps.
+CACHED = 200_000
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of half or more go."""
@@ -38,7 +42,8 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, decoded again; their digests for each document."""
-    return bpe.digest_ids(bpe.encode_decode(docs, catalog.vocabulary("byte_bpe_multi_50k.tiktoken"), catalog.pattern(), keep=["doc_id"]))
+    ranks = catalog.vocabulary("byte_bpe_multi_50k.tiktoken")
+    return bpe.digest_ids(bpe.encode_decode(docs, ranks, catalog.pattern(), keep=["doc_id"], cached=CACHED))
 
 
 STAGES = [

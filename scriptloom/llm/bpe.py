@@ -33,7 +33,7 @@ from .common import chunks, resident
 from .pieces import PieceCache, cut_texts
 from .unigram import load_ranks
 
-BLOCK_WORDS = 40_000
+BLOCK_WORDS = 20_000
 #: Pieces remembered in a Python worker, at some 180 bytes each.
 CACHED = 800_000
 
@@ -68,7 +68,7 @@ FROM encoded e JOIN vocabulary v ON v.id = e.id GROUP BY e.word
 class Coder:
     """Ids (little-endian, 32-bit) and decoded bytes of texts."""
 
-    def __init__(self, ranks: str, pattern: str, memory: str = "120MB"):
+    def __init__(self, ranks: str, pattern: str, cached: int = CACHED, memory: str = "100MB"):
         import duckdb
 
         self.find = regex.compile(pattern).findall
@@ -87,7 +87,7 @@ class Coder:
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
         #: Ids by piece; and what pieces decode to that don't decode to themselves.
-        self.cache, self.other = PieceCache(self.pieces, CACHED), {}
+        self.cache, self.other = PieceCache(self.pieces, cached), {}
 
     def words(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
         """(ids, decoded) of each distinct word."""
@@ -140,21 +140,22 @@ class Coder:
             yield own.astype("<u4").tobytes(), bytes(back)
 
 
-def coder(ranks: str, pattern: str) -> Coder:
-    return resident(("bpe", ranks, pattern), lambda: Coder(ranks, pattern))
+def coder(ranks: str, pattern: str, cached: int = CACHED) -> Coder:
+    return resident(("bpe", ranks, pattern, cached), lambda: Coder(ranks, pattern, cached))
 
 
-def encode_decode(df: DataFrame, ranks: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def encode_decode(df: DataFrame, ranks: str, pattern: str, text: str = "text", keep: list[str] | None = None, cached: int = CACHED) -> DataFrame:
     """Adds ``ids`` (binary, little-endian 32-bit) and ``decoded`` (binary) to the columns in
-    ``keep`` (None: all)."""
+    ``keep`` (None: all).  ``cached``: pieces that a Python worker remembers; it trades
+    memory for time and changes no result."""
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "decoded")]
     df = df.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = coder(ranks, pattern)
+        code = coder(ranks, pattern, cached)
         for batch in batches:
-            for own, texts in chunks(batch, "__text", 2_000_000):
+            for own, texts in chunks(batch, "__text", 1_000_000):
                 ids, decoded = zip(*code(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=[*keep, "ids", "decoded"])
 

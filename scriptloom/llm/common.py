@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text handled together inside a Python worker.  Bounds its memory.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 #: Bytes of one Arrow batch that a Python worker hands back to the JVM.
 BATCH_BYTES = 8_000_000
 

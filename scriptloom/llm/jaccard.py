@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks
+from .common import Workspace, chunks, vacate
 from .graph import components
 from .words import mixed, windows, words
 
@@ -105,6 +105,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, tag (a digest of the text), key, bands of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             for own, texts in chunks(batch, "text", 1_000_000):
                 sets = gram_sets(texts, n)
@@ -122,6 +123,7 @@ def with_grams(docs: DataFrame, n: int) -> DataFrame:
     """key, grams (little-endian 64-bit) of each document with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             for _, texts in chunks(batch, "text", 1_000_000):
                 sets = [s for s in gram_sets(texts, n) if len(s)]
@@ -193,6 +195,7 @@ def verified(members: DataFrame) -> DataFrame:
     low, high (the blocks), block, key, copies, bands, grams, sorted by the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         group, rows = None, []
 
         def done() -> pa.RecordBatch:

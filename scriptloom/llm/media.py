@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_BYTES
+from .common import BATCH_BYTES, vacate
 
 RATE, BLOCK = 8_000, 64
 UP, DOWN, TAPS = 3, 4, 12
@@ -190,6 +190,7 @@ def audio_features(df: DataFrame, media: str = "media") -> DataFrame:
     types = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             rows, size, start = [], 0, 0
             column = batch.column(media)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks
+from .common import Workspace, chunks, vacate
 from .words import windows, words
 
 WINDOW, LEAST = 8, 5
@@ -90,6 +90,7 @@ def all_windows(df: DataFrame, key: str, text: str, sizes: tuple[int, ...] | Non
         wanted = np.sort(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         bitmap = None
         if wanted is not None:
             bitmap = np.zeros(1 << 24, bool)

@@ -116,7 +116,7 @@ def token_counts(df: DataFrame, ranks: str, pattern: str, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = resident(("unigram", ranks, pattern), lambda: _Counter(ranks, pattern))
         for batch in batches:
-            for own, texts in chunks(batch, text):
+            for own, texts in chunks(batch, text, 4_000_000):
                 rows = zip(*count(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, pa.int64()) for x in rows)], names=[*own.schema.names, *added])
 

@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, Workspace
+from .common import BATCH_BYTES, Workspace, vacate
 
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4 * 1024
@@ -152,6 +152,7 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     lazily, a row per archive: path, records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         fs, base = pafs.FileSystem.from_uri(root)
         fs.create_dir(base, recursive=True)
         out = name = None
@@ -188,6 +189,7 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     number = lambda v: None if v is None else int(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 fs, place = pafs.FileSystem.from_uri(path)
@@ -226,6 +228,7 @@ def reassemble(records: DataFrame) -> DataFrame:
     schema = "record_id string, record_type string, page_id long, refers_to long, stated_digest string, payload binary, payload_bytes long, payload_digest string, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vacate()
         for batch in batches:
             rows = [_decoded(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("record_type", "stated_digest", "blocks", "numbers", "total")), strict=True)]
             new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.binary(), pa.int64(), pa.string(), pa.string())]
