@@ -59,8 +59,9 @@ def _core(piece: str) -> tuple[str, str, str]:
 class _Encoder:
     """Ids of texts as little-endian 32-bit integers, through the tokenizers library.
 
-    Pieces are encoded many at a time with a special token between them, which the library
-    takes out before it splits and merges, so each is encoded as if alone.
+    Pieces of letters go to the library's BPE model directly.  Others are encoded many at a
+    time with a special token between them, which the library takes out before it splits and
+    merges, so each is encoded as if alone.
     """
 
     def __init__(self, path: str):
@@ -75,6 +76,22 @@ class _Encoder:
         self.mark = next(plain, None)
         self.between = "" if self.mark is None else added[self.mark].content
         self.cache = PieceCache(self.pieces, 1_000_000)
+        self.letters = self._letters()
+
+    def _letters(self) -> dict | None:
+        """The byte alphabet, if a piece of letters is one pre-token whose ids the model gives
+        directly: no normalizer, a byte-level pre-tokenizer with its usual pattern, BPE, and
+        no added token of letters."""
+        from tokenizers import models, pre_tokenizers
+
+        pre = self.tokenizer.pre_tokenizer
+        usual = isinstance(pre, pre_tokenizers.ByteLevel) and not pre.add_prefix_space and pre.use_regex
+        if not usual or self.tokenizer.normalizer is not None or not isinstance(self.tokenizer.model, models.BPE) or any(m.strip().isalpha() for m in self.marks):
+            return None
+        # Printable bytes stand for themselves, the others, in order, for code points from 256 on.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+        hidden = [b for b in range(256) if b not in shown]
+        return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(hidden)}
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -90,6 +107,21 @@ class _Encoder:
         return [ends[a] + (new.get(c) if c in new else known[c]) + ends[b] for a, c, b in cores]
 
     def whole(self, pieces: list[str]) -> list[bytes]:
+        if self.letters is None:
+            return self.encoded(pieces)
+        tokenize, letters, kind = self.tokenizer.model.tokenize, self.letters, self.kind
+        out, rest = [None] * len(pieces), []
+        for i, p in enumerate(pieces):
+            if (p[1:] if p[:1] == " " else p).isalpha():
+                ids = [t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))]
+                out[i] = np.array(ids, kind).tobytes()
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self.encoded([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
         out = []
         for lo in range(0, len(pieces), 5000):
             own = pieces[lo : lo + 5000]

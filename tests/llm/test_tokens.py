@@ -128,6 +128,20 @@ def test_shards_hold_every_document_in_order(spark, odd):
         start += len(ids)
 
 
+def test_encoder_equals_the_library():
+    tokenizer = Tokenizer.from_file(VOCAB)
+    rng = np.random.default_rng(8)
+    alphabet = list("abcdeéñßüxyz'.,!  \n\n12é漢字ǅªº²ⅷ\u0301\U0001f600")
+    texts = ["".join(rng.choice(alphabet, rng.integers(1, 30))) for _ in range(4000)] + ODD[1:] + ["été, naïve. Straße\nZürich"]
+    own = sst._Encoder(VOCAB)
+    assert own.letters is not None
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in own(texts)] == want
+    own = sst._Encoder(VOCAB)
+    own.letters = None
+    assert [x.tolist() for x in own(texts)] == want
+
+
 def test_lookup_by_binary_search(spark, docs_of):
     tokenizer = Tokenizer.from_file(VOCAB)
     docs = docs_of([f"document number {i} of many " * (i % 50) for i in range(2000)]).withColumn("doc_id", F.col("doc_id") * 3 - 900)
