@@ -2,8 +2,9 @@
 
 Writers hide words by look-alike signs (1d10t), repetition (idiooot) and spacing (i d i o t).
 A word that may be so hidden is a lattice of characters: each sign may stand for letters, a
-repeated letter may be one, and signs between single letters may be nothing.  Viterbi
-decoding finds the likeliest path under a trigram model of characters, counted over all
+repeated letter may be one, and what is between single letters may be nothing or the end of
+a word.  A run of single letters is one lattice; its words as drawn together, without the
+model, are read beside the likeliest ones.  Viterbi decoding finds the likeliest path under a trigram model of characters, counted over all
 documents, and the channel's costs.  Texts are then scored as restored, by logistic
 regression over words and word beginnings.
 
@@ -55,8 +56,9 @@ _SIGN = "[" + re.escape("".join(LEET)) + "*]"
 _HIDDEN = re.compile(rf"{_LETTER}{_SIGN}+{_LETTER}|(?<!\w){_SIGN}{{1,2}}{_LETTER}{{2}}|{_LETTER}{{2}}[0-9@$]{{1,2}}(?![\w$])|({_LETTER})\1\1", re.I)
 _TOKEN = re.compile(rf"(?:{_LETTER}|{_SIGN})+", re.I)
 _WORD = re.compile(rf"{_LETTER}+")
-_QUICK_SPACED = re.compile(r"\b\w[ .\-_]\w[ .\-_]\w\b")
-_SPACED = re.compile(rf"(?<!\w)(?:{_LETTER}|{_SIGN})(?:(?P<s>[ .\-_])(?:{_LETTER}|{_SIGN})(?!\w))(?:(?P=s)(?:{_LETTER}|{_SIGN})(?!\w))+")
+SEPARATORS = " .-_"
+_QUICK_SPACED = re.compile(r"[ .\-_]\S[ .\-_]\S(?![^\W_])")
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER}|{_SIGN})(?:(?P<s>[ .\-_])(?:{_LETTER}|{_SIGN})(?![^\W_]))(?:(?P=s)(?:{_LETTER}|{_SIGN})(?![^\W_]))+")
 
 
 def _lookup() -> np.ndarray:
@@ -108,10 +110,13 @@ class CharModel:
         self.cost = (-np.log(p3)).astype(np.float32)
 
     def decode(self, token: str) -> str:
-        """The likeliest reading of a token (lower case)."""
+        """The likeliest reading of a token or a run of spaced letters (lower case)."""
+        if token.count("*") > 1:
+            return self.decode_wild(token)
         cost = self.cost
-        # State: the last two letters' codes.  Value: cost, reading.
-        states = {(0, 0): (0.0, "")}
+        # State: the last two letters' codes.  Value: cost, reading as a chain of its letters.
+        states: dict = {(0, 0): (0.0, None)}
+        last, run = "", 0
         for i, c in enumerate(token):
             new: dict = {}
 
@@ -119,23 +124,102 @@ class CharModel:
                 if (a, b) not in new or value < new[a, b][0]:
                     new[a, b] = (value, text)
 
+            if c in SEPARATORS:
+                for (a, b), (value, text) in states.items():
+                    to(a, b, value, text)
+                    if b:
+                        to(b, 0, value + float(cost[a, b, 0]), (text, " "))
+                states = new
+                continue
             own = _CODES.get(c)
+            run = run + 1 if i and token[i - 1] == c else 1
+            if own and run > 3:
+                continue  # From the third on, a repeated letter adds the same to all states.
             readings = [(c, 0.0)] if own else [(x, SUBSTITUTE) for x in LEET.get(c, "")]
-            repeat = i and token[i - 1] == c
             for (a, b), (value, text) in states.items():
+                # A letter after the end of a word repeats nothing.
+                repeat = c == last and not (a and not b)
                 if repeat:
                     to(a, b, value + DROP_REPEAT, text)
                 if c == "*":
                     for x, k in _CODES.items():
-                        to(b, k, value + WILDCARD + float(cost[a, b, k]), text + x)
+                        to(b, k, value + WILDCARD + float(cost[a, b, k]), (text, x))
                 for x, extra in readings:
                     k = _CODES[x]
-                    to(b, k, value + extra + (KEEP_REPEAT if repeat else 0) + float(cost[a, b, k]), text + x)
+                    to(b, k, value + extra + (KEEP_REPEAT if repeat else 0) + float(cost[a, b, k]), (text, x))
                 if not own:
-                    to(0, 0, value + KEEP_SIGN * (not repeat), text if text.endswith(" ") else text + " ")
-            states = new
-        best = min(((value + float(cost[a, b, 0]), text) for (a, b), (value, text) in states.items()), default=(0, ""))
-        return best[1].strip()
+                    to(0, 0, value + KEEP_SIGN * (not repeat), (text, " "))
+            states, last = new, c
+        _, text = min(((value + float(cost[a, b, 0]), text) for (a, b), (value, text) in states.items()), key=lambda s: s[0], default=(0, None))
+        out = []
+        while text:
+            text, x = text
+            out.append(x)
+        return " ".join("".join(reversed(out)).split())
+
+    def decode_wild(self, token: str) -> str:
+        """The same over arrays of all states, for tokens in which many are met."""
+        cost = self.cost.astype(np.float64)
+        value = np.full((SIZE, SIZE), np.inf)
+        value[0, 0] = 0.0
+        # States right after the end of a word: a letter, then a boundary.
+        fresh = np.zeros((SIZE, SIZE), bool)
+        fresh[1:, 0] = True
+        here, every = np.arange(SIZE * SIZE, dtype=np.int16).reshape(SIZE, SIZE), np.arange(SIZE)
+        back: list[tuple[np.ndarray, np.ndarray]] = []
+        last, still = "", 0
+        for i, c in enumerate(token):
+            if not (i and token[i - 1] == c):
+                still = 0
+            if still > 64:
+                continue  # Costs and moves stay as they are for the rest of this run.
+            repeat = c == last and ~fresh
+            new, origin, said = np.full((SIZE, SIZE), np.inf), here.copy(), np.zeros((SIZE, SIZE), np.int8)
+
+            def to(a, b, v, source, what, new=new, origin=origin, said=said):
+                better = v < new[a, b]
+                new[a, b], origin[a, b], said[a, b] = np.where(better, v, new[a, b]), np.where(better, source, origin[a, b]), np.where(better, what, said[a, b])
+
+            def emit(k, v):
+                total = v + cost[:, :, k]
+                best = total.argmin(0)
+                to(every, k, total[best, every], best * SIZE + every, k)
+
+            if c in SEPARATORS:
+                new[:] = value
+                emit(0, np.where(every[None] > 0, value, np.inf))
+                value = new
+                back.append((origin, said))
+                continue
+            if c == last:
+                new[:] = np.where(repeat, value + DROP_REPEAT, np.inf)
+            own = _CODES.get(c)
+            if c == "*":
+                total = value[:, :, None] + cost
+                best = total.argmin(0)
+                v = np.take_along_axis(total, best[None], 0)[0] + WILDCARD
+                source = best * SIZE + every[:, None]
+                better = v < new
+                better[:, 0] = False
+                new[better], origin[better], said[better] = v[better], source[better], np.broadcast_to(every, (SIZE, SIZE))[better]
+            for x, extra in [(c, 0.0)] if own else [(x, SUBSTITUTE) for x in LEET.get(c, "")]:
+                emit(_CODES[x], value + extra + KEEP_REPEAT * np.asarray(repeat, float))
+            if not own:
+                kept = value + KEEP_SIGN * ~np.broadcast_to(np.asarray(repeat, bool), (SIZE, SIZE))
+                at = int(kept.argmin())
+                if kept.flat[at] < new[0, 0]:
+                    new[0, 0], origin[0, 0], said[0, 0] = kept.flat[at], at, -1
+            still = still + 1 if np.array_equal(new, value) else 0
+            value, last = new, c
+            back.append((origin, said))
+        state = int((value + cost[:, :, 0]).argmin())
+        out = []
+        for origin, said in reversed(back):
+            k, before = int(said.flat[state]), int(origin.flat[state])
+            if k or before != state:
+                out.append(ALPHABET[k - 1] if k > 0 else " ")
+            state = before
+        return " ".join("".join(reversed(out)).split())
 
 
 class Restorer:
@@ -150,29 +234,48 @@ class Restorer:
         if got is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            # A word of this length is no hidden one, and would only be slow.
-            got = self.known[token] = self.model.decode(token) if len(token) <= 64 else token
+            got = self.known[token] = self.model.decode(token) if len(token) <= 64 or token[1] in SEPARATORS else token
         return got
 
-    def joined(self, text: str) -> str:
-        """With spaced-out words drawn together, for a text in lower case."""
-        if not _QUICK_SPACED.search(text):
-            return text
-        return _SPACED.sub(lambda m: re.sub(r"[ .\-_]", "", m[0]), text)
-
     def words(self, piece: str) -> list[str]:
         """Words of a piece, in lower case; both as read and, if that may differ, as written."""
+        if len(piece) > 4 and piece[1] in SEPARATORS and _SPACED.fullmatch(piece):
+            return self.spaced(piece)
         plain = _WORD.findall(piece)
         if not _HIDDEN.search(piece):
             return plain
-        return [w for t in _TOKEN.findall(piece) for w in self.token(t).split()] + plain
+        return [w for t in _TOKEN.findall(piece) for w in self.read(t)] + plain
+
+    def read(self, token: str) -> list[str]:
+        """Likeliest words of a token or run; exclamation marks and stars at its ends may be no letters."""
+        return [w for t in dict.fromkeys((token, token.rstrip("!* .-_").lstrip("*"))) for w in self.token(t).split()]
+
+    def spaced(self, run: str) -> list[str]:
+        """Words of a run of spaced letters: as read, and as drawn together."""
+        if not _WORD.search(run):
+            return []
+        return self.read(run) + self.words(re.sub(r"[ .\-_]", "", run))
 
     def restore(self, text: str) -> str:
         """The text in lower case with hidden words as they read."""
-        return _TOKEN.sub(lambda m: self.token(m[0]) if _HIDDEN.search(m[0]) else m[0], self.joined((text or "").lower()))
+
+        def plain(part: str) -> str:
+            return _TOKEN.sub(lambda m: self.token(m[0]) if _HIDDEN.search(m[0]) else m[0], part)
+
+        return "".join(self.token(x) if spaced and _WORD.search(x) else x if spaced else plain(x) for x, spaced in self._parts((text or "").lower()))
+
+    def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
+        """A text in lower case cut into runs of spaced letters (True) and what is between."""
+        at = 0
+        if _QUICK_SPACED.search(text):
+            for m in _SPACED.finditer(text):
+                yield text[at : m.start()], False
+                yield m[0], True
+                at = m.end()
+        yield text[at:], False
 
     def pieces(self, text: str) -> list[str]:
-        return self.joined(text.lower()).split()
+        return [p for x, spaced in self._parts(text.lower()) for p in ([x] if spaced else x.split())]
 
 
 def features(word: str) -> list[str]:

@@ -119,3 +119,21 @@ def test_logistic_regression_reaches_its_optimum():
     w = X.logistic(x, y, np.ones(200), 1.0)
     p = 1 / (1 + np.exp(-x @ w))
     assert np.abs(x.T @ (p - y) + np.array([1, 1, 1, 1e-6]) * w).max() < 1e-4
+
+
+SPACED = ["she is a stupid man and i am a fool", "an idiot is a stupid idiot and a moron", "y a un idiot"] * 40
+
+
+def test_separators_are_nothing_or_the_end_of_a_word():
+    r = X.Restorer(X.trigram_array(SPACED))
+    assert r.restore("you a i d i o t here") == "you a idiot here"
+    assert r.restore("a s t u p i d i d i o t") == "a stupid idiot"
+    for text in ("a i d i o t", "s t u p i d i d i o t", "s-t-u-p-1-d-i-d-i-o-t", "i_d_i_o_t", "i d ! o t", "s t u p i d i d i o t !"):
+        assert "idiot" in {w for p in r.pieces("you " + text) for w in r.words(p)}, text
+    assert r.restore("1 2 3 4 5") == "1 2 3 4 5"
+
+
+def test_arrays_of_states_decode_alike():
+    model = X.CharModel(X.trigram_array(SPACED))
+    for token in ("1d10t", "idiooot", "m0r0n!!!", "a i d i o t", "s t u p i d i d i 0 0 t", "id*ot", "st*p1d", "i!!d|0t"):
+        assert model.decode_wild(token) == model.decode(token), token
