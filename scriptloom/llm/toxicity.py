@@ -234,7 +234,7 @@ class Restorer:
         if got is None:
             if len(self.known) > 100_000:
                 self.known.clear()
-            got = self.known[token] = self.model.decode(token) if len(token) <= 64 or token[1] in SEPARATORS else token
+            got = self.known[token] = self.model.decode(token)
         return got
 
     def words(self, piece: str) -> list[str]:

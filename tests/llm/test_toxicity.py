@@ -133,6 +133,12 @@ def test_separators_are_nothing_or_the_end_of_a_word():
     assert r.restore("1 2 3 4 5") == "1 2 3 4 5"
 
 
+def test_long_tokens_are_decoded():
+    r = X.Restorer(X.trigram_array(SPACED))
+    for text in ("idi" + "o" * 60 + "t", "1d10t" + "!" * 60, "idi" + "o" * 5000 + "t", "1d10t" + "!" * 3000, "id*ot" + "*" * 3000):
+        assert "idiot" in {w for p in r.pieces(text) for w in r.words(p)}, text[:9]
+
+
 def test_arrays_of_states_decode_alike():
     model = X.CharModel(X.trigram_array(SPACED))
     for token in ("1d10t", "idiooot", "m0r0n!!!", "a i d i o t", "s t u p i d i d i 0 0 t", "id*ot", "st*p1d", "i!!d|0t"):
