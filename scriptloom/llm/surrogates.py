@@ -55,7 +55,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has; texts without it are passed by quickly.
-_HINT = r"@|[0-9]{3}|[0-9]\.[0-9]|\p{Lu}[\p{Ll}'’-]*\.? \p{Lu}"
+_HINT = r"@|[0-9][ .-]?[0-9]|\+[0-9]|\p{Lu}[\p{Ll}'’-]*\.? \p{Lu}"
 
 #: Letters that are exchanged with each other, lower case: of one script and one class.
 CLASSES = (

@@ -112,3 +112,15 @@ def test_odd_rows(odd, none):
 def test_main_path_is_native(docs_of):
     plan = P.surrogate_documents(docs_of([TEXT]), KEY)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+SHORTEST = {
+    "mail": ["a@b.c"], "bank": ["DE12AAAA1AAA", "DE12 AAAA BBBB"], "phone": ["+1 2345", "+1 23 45", "+49 89 12 34 56", "+1(23)4567", "(555)5551234", "555-555-1234"],
+    "ip": ["1.2.3.4"], "social": ["078-05-1120"], "account": ["1 2 3 4 5 6 7 8 9 0 1 2 3", "12 34 56 78 90 12 34 56", "1-2-3-4-5-6-7-8-9-0-1-2-3"], "name": ["Mr Xu", "Anna Li", "Dr. Li"],
+}
+
+
+def test_the_hint_passes_over_no_entity(spark):
+    values = [v for k in P.PATTERNS for v in SHORTEST[k]]
+    rows = spark.createDataFrame([(v, f"so {v} it is") for v in values], "v string, text string").select("v", P._found(F.col("text")).alias("found")).collect()
+    assert [(r.v, r.found) for r in rows] == [(v, [v]) for v in values]
