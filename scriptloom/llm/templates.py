@@ -1,13 +1,15 @@
 """Benchmark passages in documents, also where their numbers, names and units were changed.
 
-Texts become sequences of template tokens: numbers, names (capitalised words that open no
-sentence; neighbours are one) and units (after a number) become typed placeholders, other
-words stay, in lower case.  Windows of ``WINDOW`` tokens are hashed; documents' windows that
+Texts become sequences of template tokens: numbers, names (capitalised words; neighbours
+are one) and units (after a number) become typed placeholders, other
+words stay, in lower case.  A capitalised word that opens a sentence is read in two ways, in
+items and documents: as a word and as a name (where it starts a new one).  Windows of ``WINDOW`` tokens are hashed; documents' windows that
 some benchmark item has are joined with the items' windows by hash.  A document's windows
 that lie on one diagonal of an item, that is, follow each other as they do there, are
 consistent if every slot value of the item stands for one value of the document and the
 other way round; if not, only the diagonal's windows without slots count.  A document leaks
-an item if such windows cover at least half of the item's windows, or ``ENOUGH`` of them.
+an item if such windows cover at least half of the item's windows, or ``ENOUGH`` of them,
+in the first reading, in both, or in all three with the exact one below.
 
 Documents' windows are sifted by a bitmap of the items' hashes before they leave the task,
 so only near-certain matches are shuffled.  The items' hashes are collected and sent to the
@@ -15,8 +17,10 @@ tasks while there are at most ``MOST_SHIPPED`` of them; beyond that every window
 and joined, with the same result.  Groups are bounded by an item's length.
 
 An item of fewer than WINDOW tokens is one window of its own length; of fewer than
-``LEAST``, none: it cannot be told from chance.  Windows with fewer than half of their
-tokens literal are passed over, in items and documents alike.  Null and empty texts have no
+``LEAST``, none: it cannot be told from chance.  Template windows with fewer than half of
+their tokens literal are passed over.  Where an item's words are so, or make no template
+window, windows of the words as they are (``EXACT``, no placeholder, nothing merged) are
+matched instead, so verbatim copies are found whatever they're made of.  Null and empty texts have no
 windows.  Repeated rows give a pair once; two texts that share an identifier are matched
 apart and give the better match.
 """
@@ -31,63 +35,119 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, chunks, vacate
-from .words import windows, words
+from .words import Words, windows, words
 
 WINDOW, LEAST = 8, 5
 ENOUGH, SHARE = 6, 0.5
 MOST_SHIPPED = 4_000_000
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Readings of a text: openers of sentences as words, as names, and all words as they are.
+OPENERS_LITERAL, OPENERS_NAMES, EXACT = 0, 1, 2
 # Units that make way for a placeholder after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb lbs oz ml l s sec min h hr hrs hz khz mhz w kw v a k c f percent dollar dollars euro euros pound pounds cent cents meter meters metre metres kilometer kilometers kilometre kilometres mile miles gram grams kilogram kilograms liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years foot feet inch inches degree degrees".split()
 
 
-def template(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, list]]:
-    """For each text: token hashes, kinds (0: literal), and the (text, start, stop) of each."""
-    found = words(texts)
+def _kinds(found: Words, opener_names: bool) -> np.ndarray:
+    """Kinds of words (0: literal)."""
     units = np.sort(words([" ".join(UNITS)]).hash)
     # The least a unit needs is a number before it.
-    follows = np.concatenate([[False], found.number[:-1] & (found.text[1:] == found.text[:-1])])
+    follows = np.concatenate([[False], found.number[:-1] & (found.text[1:] == found.text[:-1])])[: len(found.hash)]
     spot = np.minimum(np.searchsorted(units, found.hash), len(units) - 1)
     kind = np.zeros(len(found.hash), np.int8)
-    kind[found.title & ~found.opens] = NAME
+    kind[found.title if opener_names else found.title & ~found.opens] = NAME
     kind[(units[spot] == found.hash) & follows] = UNIT
     kind[found.number] = NUMBER
-    same = np.concatenate([[False], (kind[1:] == kind[:-1]) & (found.text[1:] == found.text[:-1])])
+    return kind
+
+
+def _reading(found: Words, kind: np.ndarray, n: int, merge: bool = True) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of ``n`` texts: token hashes, kinds, spans, and the word each starts with."""
+    same = np.concatenate([[False], (kind[1:] == kind[:-1]) & (found.text[1:] == found.text[:-1])])[: len(kind)]
     # A number with separators, or a name of several words, is one placeholder.
-    goes = same & ((kind == NUMBER) & found.joint | (kind == NAME))
+    goes = same & ((kind == NUMBER) & found.joint | (kind == NAME) & ~found.opens) & merge
     keep = np.flatnonzero(~goes)
     last = np.concatenate([keep[1:], [len(kind)]]) - 1 if len(keep) else keep
-    hashes = np.where(kind > 0, kind.astype(np.uint64), found.hash)[keep]
+    hashes = np.where(kind > 0, kind.astype(np.uint64), found.hash)[keep] if merge else found.hash
     text, start, stop, kind = found.text[keep], found.start[keep], found.stop[last] if len(keep) else found.stop[keep], kind[keep]
-    cuts = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
-    return [(hashes[a:b], kind[a:b], np.stack([start[a:b], stop[a:b]], 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    cuts = np.searchsorted(text, np.arange(n + 1)).tolist()
+    begins = np.searchsorted(found.text, np.arange(n)).tolist()
+    return [(hashes[a:b], kind[a:b], np.stack([start[a:b], stop[a:b]], 1), keep[a:b] - w) for a, b, w in zip(cuts[:-1], cuts[1:], begins, strict=True)]
+
+
+def template(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, list]]:
+    """For each text: token hashes, kinds (0: literal), and the (text, start, stop) of each."""
+    found = words(texts)
+    return [own[:3] for own in _reading(found, _kinds(found, False), len(texts))]
+
+
+def readings(texts: list[str], wanted: tuple[int, ...] = (OPENERS_LITERAL, OPENERS_NAMES)) -> dict[int, list]:
+    """What ``_reading`` gives for each reading."""
+    found = words(texts)
+    names = _kinds(found, True)
+    out = {}
+    for r in wanted:
+        out[r] = _reading(found, _kinds(found, False) if r == OPENERS_LITERAL else names, len(texts), r != EXACT)
+    return out
 
 
 def template_windows(hashes: np.ndarray, kinds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the windows that are literal enough."""
-    literal = np.concatenate([[0], np.cumsum(kinds == 0)])
+    fit = np.flatnonzero(_literal(kinds, size) * 2 >= size)
     found = windows(hashes, size)
-    fit = np.flatnonzero((literal[size:] - literal[: len(literal) - size]) * 2 >= size) if len(found) else np.zeros(0, int)
     # Windows of different sizes never share a hash.
     return fit, found[fit] ^ np.uint64(size)
 
 
+def exact_windows(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of all windows of words as they are; apart from templates' hashes."""
+    found = windows(hashes, size)
+    return np.arange(len(found)), found ^ np.uint64(size + (1 << 63))
+
+
+def _literal(kinds: np.ndarray, size: int) -> np.ndarray:
+    """How many tokens of each window are literal."""
+    sums = np.concatenate([[0], np.cumsum(kinds == 0)])
+    return sums[size:] - sums[: max(0, len(sums) - size)]
+
+
+def item_windows(own: dict[int, tuple]) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """An item's windows: size, places and hashes by reading."""
+    out = {}
+    for r, (hashes, kinds, _, _) in sorted(own.items()):
+        size = min(WINDOW, len(hashes))
+        if size < LEAST:
+            continue
+        if r != EXACT:
+            out[r] = (size, *template_windows(hashes, kinds, size))
+            continue
+        at, found = exact_windows(hashes, size)
+        # Only where the readings by templates have nothing.
+        if any(len(out[x][1]) == 0 for x in out) or len(out) < 2:
+            fit = slice(None)
+        else:
+            fit = np.flatnonzero(_literal(kinds, size) * 2 < size)
+        out[r] = (size, at[fit], found[fit])
+    return out
+
+
 def slots(text: str, kinds: np.ndarray, spans: np.ndarray, at: int, size: int) -> list[str]:
     """Values of a window's placeholders, with their kind."""
     own = range(at, at + size)
     return [f"{kinds[i]}:{' '.join(text[spans[i][0] : spans[i][1]].split()).lower()}" for i in own if kinds[i]]
 
 
-_WINDOWS = "id long, tag string, size int, at long, hash long, slots array<string>, n long"
+_WINDOWS = "id long, tag string, reading int, size int, at long, place long, hash long, slots array<string>, n array<long>"
 
 
-def all_windows(df: DataFrame, key: str, text: str, sizes: tuple[int, ...] | None, wanted: np.ndarray | None = None) -> DataFrame:
+def all_windows(df: DataFrame, key: str, text: str, sizes: tuple[tuple[int, int], ...] | None, wanted: np.ndarray | None = None) -> DataFrame:
     """A row for each window (of ``wanted`` hashes, if given): id, tag (a digest of the text),
-    size, place, hash, slots, and how many windows the text has.  ``sizes`` None: the one
-    size that fits the text."""
+    reading, size, token and word where it starts, hash, slots, and ``n``.  ``sizes``: pairs
+    of reading and size; None: those of an item, and ``n`` is at how many words windows of
+    the first reading, the first two, and all start."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
     if wanted is not None:
         wanted = np.sort(wanted)
+    kinds_of = (OPENERS_LITERAL, OPENERS_NAMES) if sizes is None else tuple(sorted({r for r, _ in sizes}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vacate()
@@ -95,24 +155,41 @@ def all_windows(df: DataFrame, key: str, text: str, sizes: tuple[int, ...] | Non
         if wanted is not None:
             bitmap = np.zeros(1 << 24, bool)
             bitmap[wanted & np.uint64((1 << 24) - 1)] = True
+
+        def made(own: dict[int, tuple]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+            if sizes is None:
+                yield from ((r, *w) for r, w in item_windows(own).items())
+                return
+            for r, size in sizes:
+                hashes, kinds = own[r][:2]
+                if size <= len(hashes):
+                    yield (r, size, *(exact_windows(hashes, size) if r == EXACT else template_windows(hashes, kinds, size)))
+
         for batch in batches:
-            for own, texts in chunks(batch, "text", 1_000_000):
+            for part, texts in chunks(batch, "text", 1_000_000):
                 out = []
-                heads = zip(own.column("id").to_pylist(), own.column("tag").to_pylist(), texts, template(texts), strict=True)
-                for i, tag, body, (hashes, kinds, spans) in heads:
-                    for size in (min(WINDOW, len(hashes)),) if sizes is None else sizes:
-                        if size < LEAST or size > len(hashes):
-                            continue
-                        at, found = template_windows(hashes, kinds, size)
-                        n = len(at)
-                        if bitmap is not None and n:
+                read = readings(texts, kinds_of)
+                for k, (i, tag, body) in enumerate(zip(part.column("id").to_pylist(), part.column("tag").to_pylist(), texts, strict=True)):
+                    own = {r: read[r][k] for r in kinds_of}
+                    n, places, mine = None, [set(), set(), set()], []
+                    for r, size, at, found in made(own):
+                        if bitmap is not None and len(at):
                             hit = np.flatnonzero(bitmap[found & np.uint64((1 << 24) - 1)])
                             hit = hit[wanted[np.minimum(np.searchsorted(wanted, found[hit]), len(wanted) - 1)] == found[hit]]
                             at, found = at[hit], found[hit]
-                        signed = found.view(np.int64).tolist()
-                        out += [(i, tag, size, a, h, slots(body, kinds, spans, a, size), n) for a, h in zip(at.tolist(), signed, strict=True)]
+                        if not len(at):
+                            continue
+                        _, kinds, spans, word = own[r]
+                        start = word[at].tolist()
+                        if sizes is None:
+                            for level in range(r, EXACT + 1):
+                                places[level].update(start)
+                        mine += [(r, size, a, w, h, [] if r == EXACT else slots(body, kinds, spans, a, size)) for a, w, h in zip(at.tolist(), start, found.view(np.int64).tolist(), strict=True)]
+                    if sizes is None:
+                        n = [len(p) for p in places]
+                    out += [(i, tag, *m, n) for m in mine]
                 if out:
-                    types = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
+                    types = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
                     names = [x.split()[0] for x in _WINDOWS.split(", ")]
                     for lo in range(0, len(out), 50_000):
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[lo : lo + 50_000], strict=True), types, strict=True)], names=names)
@@ -124,25 +201,33 @@ def find_leaks(docs: DataFrame, items: DataFrame, most_shipped: int = MOST_SHIPP
     """doc_id, tag, item_id, matched, windows, slots: documents that leak items."""
     work = Workspace(docs.sparkSession, "templates")
     known = work.save(all_windows(items, "item_id", "text", None), "items")
-    sizes = tuple(sorted(r.size for r in known.select("size").distinct().collect()))  # at most WINDOW of them
+    sizes = tuple(sorted((r.reading, r.size) for r in known.select("reading", "size").distinct().collect()))  # at most 3 * WINDOW of them
+    # Either reading of a document may meet either of an item.
+    templates = {n for r, n in sizes if r != EXACT}
+    sizes = tuple(sorted({(r, n) for n in templates for r in (OPENERS_LITERAL, OPENERS_NAMES)} | {x for x in sizes if x[0] == EXACT}))
     hashes = known.select("hash").distinct()
     wanted = None
     if hashes.count() <= most_shipped:
         wanted = np.array([r.hash for r in hashes.collect()], np.int64).view(np.uint64)
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, tag string, item_id long, matched long, windows long, slots long")
-    mine = all_windows(docs, "doc_id", "text", sizes, wanted).dropDuplicates(["id", "tag", "size", "at"])
-    theirs = known.select("hash", "size", F.col("id").alias("item_id"), F.col("tag").alias("item_tag"), F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n").alias("windows"))
+    mine = all_windows(docs, "doc_id", "text", sizes, wanted).drop("n", "place").dropDuplicates(["id", "tag", "reading", "size", "at"])
+    theirs = known.select("hash", "size", F.col("id").alias("item_id"), F.col("tag").alias("item_tag"), F.col("reading").alias("item_reading"), F.col("at").alias("item_at"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), F.col("n").alias("windows"))
     pairs = mine.join(theirs, ["hash", "size"]).withColumn("diagonal", F.col("at") - F.col("item_at"))
     values = F.arrays_zip(F.col("item_slots").alias("theirs"), F.col("slots").alias("mine"))
     doc = ["id", "tag", "item_id", "item_tag"]
-    literal = F.collect_set(F.when(F.size("slots") == 0, F.col("item_at")))
-    lines = pairs.groupBy(*doc, "diagonal").agg(literal.alias("literal"), F.collect_set("item_at").alias("places"), F.array_distinct(F.flatten(F.collect_list(values))).alias("v"), F.max("windows").alias("windows"))
+    literal = F.collect_set(F.when(F.size("slots") == 0, F.col("item_place")))
+    lines = pairs.groupBy(*doc, "reading", "item_reading", "diagonal").agg(literal.alias("literal"), F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_list(values))).alias("v"), F.max("windows").alias("windows"))
     distinct = lambda c: F.size(F.array_distinct(F.col("v")[c]))
     consistent = (distinct("theirs") == F.size("v")) & (distinct("mine") == F.size("v"))
     lines = lines.withColumn("places", F.when(consistent, F.col("places")).otherwise(F.col("literal"))).where(F.size("places") > 0)
-    each = lines.groupBy(*doc).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("matched"), F.max("windows").alias("windows"), F.max(F.size("v")).cast("long").alias("slots"))
-    leaks = each.where((F.col("matched") >= F.col("windows") * SHARE) | (F.col("matched") >= ENOUGH))
+    # Matched words by level: the first reading, both by templates, all.
+    upto = lambda k: F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("item_reading") <= k, F.col("places")))))).cast("long")
+    each = lines.groupBy(*doc).agg(*(upto(k).alias(f"m{k}") for k in range(EXACT + 1)), F.max("windows").alias("n"), F.max(F.size("v")).cast("long").alias("slots"))
+    levels = [F.struct((F.col(f"m{k}") / F.greatest(F.col("n")[k], F.lit(1))).alias("share"), F.col(f"m{k}").alias("matched"), F.col("n")[k].alias("windows")) for k in range(EXACT + 1)]
+    level = F.greatest(*levels)
+    enough = F.greatest(*(F.col(f"m{k}") for k in range(EXACT + 1))) >= ENOUGH
+    leaks = each.withColumn("best", level).where((F.col("best.share") >= SHARE) | enough).select("*", "best.matched", "best.windows")
     return leaks.select(F.col("id").alias("doc_id"), "tag", "item_id", "matched", "windows", "slots")
 
 

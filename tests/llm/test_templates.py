@@ -95,3 +95,12 @@ def test_verbatim_matches_equal_brute_force(spark, docs_of):
     got = set(found(docs_of(docs), spark.createDataFrame(list(enumerate(passages)), SCHEMA)))
     want = {(d, i) for d, x in enumerate(docs) for i, p in enumerate(passages) if len(windows_by_hand(x) & windows_by_hand(p)) >= T.ENOUGH}
     assert got == want and len(want) >= 20
+
+
+OPENING = "Alice has 12 apples. Alice buys 7 more. Alice eats 3 pears. Alice sells 5 plums. Alice keeps the rest"
+
+
+def test_names_that_open_sentences(docs_of, spark):
+    items = spark.createDataFrame([(1, OPENING), (2, "What is the capital city of France?")], SCHEMA)
+    docs = docs_of([OPENING.replace("Alice", "Bob").replace("12", "15"), "Q: What is the capital city of France?", "so, What is the capital city of France", OPENING.replace(". ", ".\n"), FILL])
+    assert set(found(docs, items)) == {(0, 1), (1, 2), (2, 2), (3, 1)} == set(found(docs, items, most_shipped=0))
