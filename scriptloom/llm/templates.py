@@ -80,7 +80,7 @@ def template(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, list]]:
     return [own[:3] for own in _reading(found, _kinds(found, False), len(texts))]
 
 
-def readings(texts: list[str], wanted: tuple[int, ...] = (OPENERS_LITERAL, OPENERS_NAMES)) -> dict[int, list]:
+def readings(texts: list[str], wanted: tuple[int, ...] = (OPENERS_LITERAL, OPENERS_NAMES, EXACT)) -> dict[int, list]:
     """What ``_reading`` gives for each reading."""
     found = words(texts)
     names = _kinds(found, True)
@@ -147,7 +147,7 @@ def all_windows(df: DataFrame, key: str, text: str, sizes: tuple[tuple[int, int]
     rows = df.select(F.col(key).cast("long").alias("id"), F.md5(F.coalesce(text, F.lit("")).cast("binary")).alias("tag"), F.coalesce(text, F.lit("")).alias("text"))
     if wanted is not None:
         wanted = np.sort(wanted)
-    kinds_of = (OPENERS_LITERAL, OPENERS_NAMES) if sizes is None else tuple(sorted({r for r, _ in sizes}))
+    kinds_of = (OPENERS_LITERAL, OPENERS_NAMES, EXACT) if sizes is None else tuple(sorted({r for r, _ in sizes}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vacate()

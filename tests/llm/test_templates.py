@@ -104,3 +104,10 @@ def test_names_that_open_sentences(docs_of, spark):
     items = spark.createDataFrame([(1, OPENING), (2, "What is the capital city of France?")], SCHEMA)
     docs = docs_of([OPENING.replace("Alice", "Bob").replace("12", "15"), "Q: What is the capital city of France?", "so, What is the capital city of France", OPENING.replace(". ", ".\n"), FILL])
     assert set(found(docs, items)) == {(0, 1), (1, 2), (2, 2), (3, 1)} == set(found(docs, items, most_shipped=0))
+
+
+def test_verbatim_windows_short_of_literals(docs_of, spark):
+    sums, names, title = "Compute 12 + 7 * 3 - 4 / 2", "Alice Brown, Peter Stone, Carmen Lund, Hugo Green", "Great Expectations And Other Famous Stories Retold"
+    items = spark.createDataFrame(list(enumerate([sums, names, title])), SCHEMA)
+    docs = docs_of([FILL + sums, "well: " + names, "We read " + title + " once", sums.replace("7", "8"), names.replace("Hugo", "Otto").replace("Carmen", "Claire")])
+    assert set(found(docs, items)) == {(0, 0), (1, 1), (2, 2)} == set(found(docs, items, most_shipped=0))
