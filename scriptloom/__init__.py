@@ -1,3 +1,7 @@
 """Columnar processing of structured scripts and training text on Spark."""
 
-__version__ = "0.1.0"
+import sys
+
+__version__ = "0.2.0"
+#: The interpreter that runs the library.
+__py_runtime__ = sys.version

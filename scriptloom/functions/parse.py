@@ -1,7 +1,11 @@
 """XML and JSON documents to the model, in Arrow batches.
 
 Spark's own XML reader loses text between inline elements, so this is the one place where
-documents leave the JVM.  A bad document gives an error in its row, never a failed job.
+documents leave the JVM.  A bad document gives an error in its row, never a failed job:
+members of a wrong type and texts that Arrow can't hold are errors too.
+
+A document is a string, so what its declaration says of its encoding is not heeded.  Raw
+carriage returns are line ends, as XML has it; those that the writer escapes stay.
 """
 
 from __future__ import annotations
@@ -54,7 +58,7 @@ class _Node:
 def read_tree(xml: str) -> _Node:
     top = _Node("", {})
     stack = [top]
-    parser = expat.ParserCreate()
+    parser = expat.ParserCreate("utf-8")
     parser.buffer_text = True
 
     def start(name, attributes):
@@ -78,8 +82,26 @@ def read_tree(xml: str) -> _Node:
     return top.children[0]
 
 
-def _needed(text: str, message: str) -> str:
-    text = text.strip(_SPACES)
+def _string(value, name: str) -> str | None:
+    if value is not None and not isinstance(value, str):
+        raise Rejected(f"invalid type for `{name}`: expected a string")
+    return value
+
+
+def _listed(value, name: str) -> list:
+    if not isinstance(value, list):
+        raise Rejected(f"invalid type for `{name}`: expected a sequence")
+    return value
+
+
+def _map(value, name: str) -> dict:
+    if not isinstance(value, dict):
+        raise Rejected(f"invalid type for `{name}`: expected a map")
+    return value
+
+
+def _needed(text: str | None, message: str) -> str:
+    text = (text or "").strip(_SPACES)
     if not text:
         raise Rejected(message)
     return text
@@ -171,10 +193,6 @@ def read_xml(xml: str) -> dict:
     return {"header": header, "blocks": _blocks(root.one("text", True).one("body", True)), "error": None}
 
 
-def _value_error(message: str):
-    raise Rejected(message)
-
-
 def read_inline(value, depth: int, out: list[dict]) -> None:
     """Tokens of a JSON inline: a text, else an emphasis, else a pause."""
     if isinstance(value, str):
@@ -182,14 +200,14 @@ def read_inline(value, depth: int, out: list[dict]) -> None:
         return
     if isinstance(value, dict):
         if set(value) <= {"rend", "$value"} and isinstance(value.get("$value"), list) and value["$value"]:
-            own = [_token(depth, "hi", rend=value.get("rend"))]
+            own = [_token(depth, "hi", rend=_string(value.get("rend"), "rend"))]
             for v in value["$value"]:
                 read_inline(v, depth + 1, own)
             if not any(t["kind"] == "text" and not t["text"].strip(_SPACES) for t in own):
                 out += own
                 return
         elif set(value) <= {"@dur", "@type"}:
-            out.append(_token(depth, "pause", dur=value.get("@dur"), type=value.get("@type")))
+            out.append(_token(depth, "pause", dur=_string(value.get("@dur"), "@dur"), type=_string(value.get("@type"), "@type")))
             return
     raise Rejected(errors.INLINE)
 
@@ -200,8 +218,8 @@ def inline_error(payload: str | None) -> str | None:
         read_inline(json.loads(payload or ""), 0, [])
     except Rejected as e:
         return str(e)
-    except ValueError as e:
-        return f"invalid JSON: {e}"
+    except (ValueError, RecursionError) as e:
+        return f"invalid JSON: {e}".encode("utf-8", "replace").decode()
     return None
 
 
@@ -223,38 +241,81 @@ def read_msgpack(payload: bytes) -> dict:
 
 def read_members(top) -> dict:
     """header and blocks of a document's plain maps and lists, or Rejected."""
-    get = lambda d, k: d[k] if isinstance(d, dict) and k in d else _value_error(f"missing field `{k}`")
-    field = lambda s, name: _needed(s, errors.FIELD.format(name))
-    h = get(top, "teiHeader")
-    f = get(h, "fileDesc")
-    p, e, r = (h.get(n) for n in ("profileDesc", "encodingDesc", "revisionDesc"))
+
+    def member(of, name: str, owner: str):
+        if name not in _map(of, owner):
+            raise Rejected(f"missing field `{name}`")
+        return of[name]
+
+    def each(of: dict, name: str) -> list:
+        return _listed(of.get(name) or [], name)
+
+    def field(value, name: str) -> str:
+        return _needed(_string(value, name), errors.FIELD.format(name))
+
+    h = _map(member(top, "teiHeader", "document"), "teiHeader")
+    f = _map(member(h, "fileDesc", "teiHeader"), "fileDesc")
+    p, e, r = (None if h.get(n) is None else _map(h[n], n) for n in ("profileDesc", "encodingDesc", "revisionDesc"))
+
+    def system(s) -> dict:
+        s = _map(s, "annotationSystem")
+        return {"id": field(s.get("@xml:id", s.get("@id")), errors.SYSTEM), "desc": _string(s.get("desc"), "desc")}
+
+    def change(c) -> dict:
+        c = _map(c, "change")
+        return {"description": _needed(_string(c.get("$value"), "change"), errors.NOTE), "resp": None if c.get("resp") is None else field(c["resp"], errors.RESPONSIBLE)}
+
     header = {
-        "fileDesc": {"title": _needed(get(f, "title"), errors.TITLE), "series": f.get("series"), "synopsis": f.get("synopsis")},
-        "profileDesc": p if p is None else {"synopsis": p.get("synopsis"), "speaker": [field(s, errors.SPEAKER_NAME) for s in p.get("speaker", [])], "lang": [field(s, errors.LANGUAGE) for s in p.get("lang", [])]},
-        "encodingDesc": e if e is None else {"annotationSystem": [{"id": field(s.get("@xml:id", s.get("@id")), errors.SYSTEM), "desc": s.get("desc")} for s in e.get("annotationSystem", [])]},
-        "revisionDesc": r if r is None else {"change": [{"description": _needed(c.get("$value", ""), errors.NOTE), "resp": c.get("resp") and field(c["resp"], errors.RESPONSIBLE)} for c in r.get("change", [])]},
+        "fileDesc": {"title": _needed(_string(member(f, "title", "fileDesc"), "title"), errors.TITLE), "series": _string(f.get("series"), "series"), "synopsis": _string(f.get("synopsis"), "synopsis")},
+        "profileDesc": None if p is None else {"synopsis": _string(p.get("synopsis"), "synopsis"), "speaker": [field(s, errors.SPEAKER_NAME) for s in each(p, "speaker")], "lang": [field(s, errors.LANGUAGE) for s in each(p, "lang")]},
+        "encodingDesc": None if e is None else {"annotationSystem": [system(s) for s in each(e, "annotationSystem")]},
+        "revisionDesc": None if r is None else {"change": [change(c) for c in each(r, "change")]},
     }
     blocks = []
-    for b in get(get(get(top, "text"), "body"), "$value"):
+    for b in _listed(member(_map(member(member(top, "text", "document"), "body", "text"), "body"), "$value", "body"), "$value"):
+        if len(_map(b, "block")) != 1:
+            raise Rejected("a block has one member, `p` or `u`")
         ((kind, own),) = b.items()
         if kind not in ("p", "u"):
             raise Rejected(f"unknown variant `{kind}`, expected `p` or `u`")
+        own = _map(own, kind)
         tokens: list[dict] = []
-        for v in own.get("$value", []):
+        for v in each(own, "$value"):
             read_inline(v, 0, tokens)
-        who = own.get("@who") if kind == "u" else None
-        blocks.append({"kind": kind, "id": _identifier(own.get("@xml:id", own.get("@id"))), "who": None if who is None else _needed(who, errors.SPEAKER), "inline": tokens})
+        who = _string(own.get("@who"), "@who") if kind == "u" else None
+        identifier = _string(own.get("@xml:id", own.get("@id")), "@xml:id")
+        blocks.append({"kind": kind, "id": _identifier(identifier), "who": None if who is None else _needed(who, errors.SPEAKER), "inline": tokens})
     return {"header": header, "blocks": blocks, "error": None}
 
 
-def guarded(read, text: str | None) -> dict:
+def _failed(error: str) -> dict:
+    # Errors may quote what no UTF-8 text can hold.
+    return {"header": None, "blocks": None, "error": error.encode("utf-8", "replace").decode()}
+
+
+def guarded(read, text: str | bytes | None) -> dict:
     """The document, or its error; a null text is an empty one."""
     try:
         return read(text or "")
     except Rejected as e:
-        return {"header": None, "blocks": None, "error": errors.XML + str(e) if read is read_xml else str(e)}
-    except (TypeError, AttributeError, KeyError, RecursionError) as e:
-        return {"header": None, "blocks": None, "error": f"not a document: {e}"}
+        return _failed(errors.XML + str(e) if read is read_xml else str(e))
+    except (ValueError, TypeError, AttributeError, LookupError, RecursionError, OverflowError) as e:
+        return _failed(f"not a document: {e}")
+
+
+def as_arrow(found: list[dict], kind: pa.DataType) -> pa.Array:
+    """Structs of header, blocks and error; what Arrow can't hold is an error of its row."""
+    pick = lambda f: {n.name: f[n.name] for n in kind}
+    try:
+        return pa.array([pick(f) for f in found], kind)
+    except (ValueError, TypeError, OverflowError):
+        out = []
+        for f in found:
+            try:
+                out.append(pa.array([pick(f)], kind))
+            except (ValueError, TypeError, OverflowError) as e:
+                out.append(pa.array([pick(_failed(f"not a document: {e}"))], kind))
+        return pa.concat_arrays(out)
 
 
 def _udf(read):
@@ -266,7 +327,7 @@ def _udf(read):
     arrow_type = to_arrow_type(spark_type)
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([guarded(read, x) for x in texts.to_pylist()], arrow_type)
+        return as_arrow([guarded(read, x) for x in texts.to_pylist()], arrow_type)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, spark_type).asNondeterministic()

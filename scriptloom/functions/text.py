@@ -18,8 +18,10 @@ EDGES = f"^[{SPACES}]+|[{SPACES}]+$"
 FORBIDDEN = r"[^\x{09}\x{0A}\x{0D}\x{20}-\x{D7FF}\x{E000}-\x{FDCF}\x{FDF0}-\x{FFFD}" + "".join(rf"\x{{{p:X}0000}}-\x{{{p:X}FFFD}}" for p in range(1, 17)) + "]"
 
 ENTITIES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&apos;"}
+#: White space that XML's readers would change if it stood there as it is.
+REFERENCES = {"\r": "&#13;", "\n": "&#10;", "\t": "&#9;"}
 #: What the document writer escapes, in text and in attributes.
-IN_TEXT, IN_ATTRIBUTE = "&<>", '&<>"'
+IN_TEXT, IN_ATTRIBUTE = "&<>\r", '&<>"\r\n\t'
 
 
 def trim(text: Column) -> Column:
@@ -55,9 +57,9 @@ def field(text: Column, name: str) -> Column:
 
 def escape(text: Column, which: str = "".join(ENTITIES)) -> Column:
     """Entities for the characters in ``which``; what is escaped already is escaped again."""
-    for c in ENTITIES:  # the ampersand comes first
+    for c, entity in (ENTITIES | REFERENCES).items():  # the ampersand comes first
         if c in which:
-            text = F.replace(text, F.lit(c), F.lit(ENTITIES[c]))
+            text = F.replace(text, F.lit(c), F.lit(entity))
     return text
 
 
