@@ -85,43 +85,47 @@ def emit_long(blocks: DataFrame, headers: DataFrame) -> DataFrame:
     return emitted(rows.select("doc_key", xml.document_xml(F.col("header"), F.col("markup"), F.col("markup") == "").alias("xml")))
 
 
-def parse(df: DataFrame, key: str, text: str, form: str = "xml") -> DataFrame:
-    """doc_key, header, blocks, error from a column of XML (or, by ``form``, JSON or MessagePack) documents.
+def parse(df: DataFrame, key: str, text: str, form: str = "xml", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_key, header, blocks, error from a column of XML (or, by ``form``, JSON or MessagePack) documents,
+    and the columns in ``keep`` as they are, so that nothing has to be joined to them again.
 
     A plan node of its own over Arrow batches: what follows, higher-order functions included,
     is never drawn into the parser, and it runs once a row."""
-    from ..functions.parse import guarded, read_json, read_msgpack, read_xml
+    from ..functions.parse import as_arrow, guarded, read_json, read_msgpack, read_xml
 
     read = {"xml": read_xml, "json": read_json, "msgpack": read_msgpack}[form]
-    rows = df.select(F.col(key).cast("string").alias("doc_key"), F.col(text).alias("text"))
-    schema = T.StructType.fromDDL(f"{SCHEMA}, error string")
+    rows = df.select(F.col(key).cast("string").alias("doc_key"), F.col(text).alias("__text"), *keep)
+    schema = T.StructType([*T.StructType.fromDDL(f"{SCHEMA}, error string").fields, *(df.schema[c] for c in keep)])
     types = to_arrow_schema(schema)
+    made = pa.struct([types.field(n) for n in ("header", "blocks", "error")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, PARSED_TOGETHER):
                 own = batch.slice(lo, PARSED_TOGETHER)
-                found = [guarded(read, x) for x in own.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([own.column("doc_key"), *(pa.array([f[n] for f in found], types.field(n).type) for n in ("header", "blocks", "error"))], schema=types)
+                found = as_arrow([guarded(read, x) for x in own.column("__text").to_pylist()], made)
+                yield pa.RecordBatch.from_arrays([own.column("doc_key"), *found.flatten(), *(own.column(c) for c in keep)], names=types.names)
 
     return rows.mapInArrow(run, schema)
 
 
-def to_msgpack(docs: DataFrame) -> DataFrame:
-    """doc_key, packed: each document in MessagePack, from its JSON form, in Arrow batches."""
+def to_msgpack(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_key, packed, and the columns in ``keep``: each document in MessagePack, from its
+    JSON form, in Arrow batches."""
     import json as text
 
     from ..functions.json import document_json
     from ..functions.msgpack import pack
 
-    rows = docs.select("doc_key", document_json(F.col("header"), F.col("blocks")).alias("json"))
+    rows = docs.select("doc_key", document_json(F.col("header"), F.col("blocks")).alias("json"), *keep)
+    schema = T.StructType([*T.StructType.fromDDL("doc_key string, packed binary").fields, *(docs.schema[c] for c in keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [None if x is None else pack(text.loads(x)) for x in batch.column("json").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), pa.array(packed, pa.binary())], names=["doc_key", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), pa.array(packed, pa.binary()), *(batch.column(c) for c in keep)], names=schema.names)
 
-    return rows.mapInArrow(run, "doc_key string, packed binary")
+    return rows.mapInArrow(run, schema)
 
 
 def error_of(kind: str, message: Column) -> Column:

@@ -122,10 +122,11 @@ def emit_xml(document: Document) -> str:
 
 def register(spark: SparkSession) -> None:
     """SQL functions: escape_xml_text, title_markup, title_error, first_forbidden_xml_char,
-    parse_document, emit_document.  All but the parser are SQL expressions, so the optimizer
-    sees through them."""
+    parse_document (a struct of header, blocks and error), emit_document(header, blocks)
+    (canonical XML, null where it has forbidden characters).  All but the parser are SQL
+    expressions, so the optimizer sees through them."""
     from ..functions.errors import TITLE
-    from ..functions.text import EDGES, ENTITIES, FORBIDDEN
+    from ..functions.text import EDGES, ENTITIES, FORBIDDEN, IN_ATTRIBUTE, IN_TEXT, REFERENCES
 
     sql = lambda s: "r'" + s.replace("'", "\\'") + "'" if "'" not in s else '"' + s + '"'
     escaped = "s"
@@ -141,3 +142,38 @@ def register(spark: SparkSession) -> None:
     for name, out in functions.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURNS STRING RETURN {out}")
     spark.udf.register("parse_document", parse._udf(parse.read_xml))
+
+    def text(value: str, which: str = IN_TEXT) -> str:
+        for c, entity in (ENTITIES | REFERENCES).items():
+            if c in which:
+                value = f"replace({value}, chr({ord(c)}), '{entity}')"
+        return value
+
+    def attribute(name: str, value: str) -> str:
+        return f"coalesce(concat(' {name}=\"', {text(value, IN_ATTRIBUTE)}, '\"'), '')"
+
+    def leaf(name: str, value: str) -> str:
+        return f"CASE WHEN {value} IS NULL THEN '' WHEN {value} = '' THEN '<{name}/>' ELSE concat('<{name}>', {text(value)}, '</{name}>') END"
+
+    def section(name: str, field: str, content: str, empty: str) -> str:
+        return f"CASE WHEN header.{field} IS NULL THEN '' WHEN {empty} THEN '<{name}/>' ELSE concat('<{name}>', {content}, '</{name}>') END"
+
+    def each(items: str, one: str) -> str:
+        return f"array_join(transform({items}, x -> {one}), '')"
+
+    profile, systems, changes = "header.profileDesc", "header.encodingDesc.annotationSystem", "header.revisionDesc.change"
+    file = "concat('<fileDesc>', " + ", ".join(leaf(n, f"header.fileDesc.{n}") for n in ("title", "series", "synopsis")) + ", '</fileDesc>')"
+    parts = [
+        section("profileDesc", "profileDesc", f"concat({leaf('synopsis', profile + '.synopsis')}, {each(profile + '.speaker', leaf('speaker', 'x'))}, {each(profile + '.lang', leaf('lang', 'x'))})", f"{profile}.synopsis IS NULL AND size({profile}.speaker) = 0 AND size({profile}.lang) = 0"),
+        section("encodingDesc", "encodingDesc", each(systems, f"concat('<annotationSystem', {attribute('xml:id', 'x.id')}, CASE WHEN x.desc IS NULL THEN '/>' ELSE concat('>', {leaf('desc', 'x.desc')}, '</annotationSystem>') END)"), f"size({systems}) = 0"),
+        section("revisionDesc", "revisionDesc", each(changes, f"concat('<change>', {text('x.description')}, {leaf('resp', 'x.resp')}, '</change>')"), f"size({changes}) = 0"),
+    ]
+    follows = "coalesce(get(b.inline, i + 1).depth, 0)"
+    hollow = f"(t.kind = 'hi' AND {follows} <= t.depth)"
+    token = f"CASE t.kind WHEN 'text' THEN {text('t.text')} WHEN 'pause' THEN concat('<pause', {attribute('dur', 't.dur')}, {attribute('type', 't.type')}, '/>') ELSE concat('<hi', {attribute('rend', 't.rend')}, CASE WHEN {hollow} THEN '/>' ELSE '>' END) END"
+    inline = f"array_join(transform(b.inline, (t, i) -> concat({token}, repeat('</hi>', t.depth + CASE WHEN t.kind = 'hi' AND NOT {hollow} THEN 1 ELSE 0 END - {follows}))), '')"
+    start = f"concat('<', b.kind, {attribute('xml:id', 'b.id')}, CASE WHEN b.kind = 'u' THEN {attribute('who', 'b.who')} ELSE '' END)"
+    block = f"CASE WHEN exists(b.inline, t -> t.kind <> 'text' OR t.text <> '') THEN concat({start}, '>', {inline}, '</', b.kind, '>') ELSE concat({start}, '/>') END"
+    body = f"CASE WHEN size(blocks) = 0 THEN '<body/>' ELSE concat('<body>', array_join(transform(blocks, b -> {block}), ''), '</body>') END"
+    whole = f"concat('<TEI><teiHeader>', {file}, {', '.join(parts)}, '</teiHeader><text>', {body}, '</text></TEI>')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION emit_document(header {HEADER}, blocks {BLOCKS}) RETURNS STRING RETURN SELECT CASE WHEN NOT x RLIKE {sql(FORBIDDEN)} THEN x END FROM (SELECT {whole} AS x)")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import body
+from ..functions.text import optional
 from .documents import blocks_long
 
 NARRATOR = "Narrator"
@@ -48,7 +49,8 @@ def span_errors(spans: DataFrame, docs: DataFrame) -> DataFrame:
     before they start, or name no block."""
     texts = blocks_long(docs).where("id is not null").select("doc_key", F.col("id").alias("block_id"), F.length(body.flat_text(F.col("inline"))).alias("size"))
     rows = spans.join(texts, ["doc_key", "block_id"], "left")
-    error = F.when(F.col("size").isNull(), "unknown block").when(F.col("start") >= F.col("stop"), "empty span").when((F.col("start") < 0) | (F.col("stop") > F.col("size")), "outside the block")
+    open_ = F.col("start").isNull() | F.col("stop").isNull()
+    error = F.when(F.col("size").isNull(), "unknown block").when(open_, "span without start or end").when(F.col("start") >= F.col("stop"), "empty span").when((F.col("start") < 0) | (F.col("stop") > F.col("size")), "outside the block")
     return rows.select("doc_key", "span_id", error.alias("error")).where("error is not null")
 
 
@@ -98,13 +100,37 @@ def find_annotation_systems(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.join(first.withColumn("found", F.lit(True)), ["doc_key", "key"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-MODEL_VERSION = 1
+MODEL_VERSION = 2
+#: The version of documents that state none.
+UNSTATED = 1
+
+
+def _empty_lists(docs: DataFrame) -> dict[str, Column]:
+    """Version 0 left out what was empty: bodies, and the lists of a profile."""
+    p, none = F.col("header.profileDesc"), F.array().cast("array<string>")
+    lists = p.withField("speaker", F.coalesce(p["speaker"], none)).withField("lang", F.coalesce(p["lang"], none))
+    return {"blocks": F.coalesce("blocks", body.empty_body()), "header": F.col("header").withField("profileDesc", F.when(p.isNotNull(), lists))}
+
+
+def _blank_texts(docs: DataFrame) -> dict[str, Column]:
+    """Version 1 kept optional texts that are blank; since then they are null."""
+    f = F.col("header.fileDesc")
+    return {"header": F.col("header").withField("fileDesc", f.withField("series", optional(f["series"])).withField("synopsis", optional(f["synopsis"])))}
+
+
+#: What brings documents of a version to the next one: the columns it changes.
+MIGRATIONS = {0: _empty_lists, 1: _blank_texts}
 
 
 def versioned(docs: DataFrame) -> DataFrame:
-    """The documents with the model's version, those without one brought up to it."""
+    """The documents brought up to the model's version, step by step, with ``model_version``
+    and ``version_error``.  One of a version that the library doesn't know, newer ones above
+    all, stays as it is and has an error."""
     if "model_version" not in docs.columns:
-        return docs.withColumn("model_version", F.lit(MODEL_VERSION))
-    # Version 0 kept no empty sections.
-    migrated = F.when(F.coalesce("model_version", F.lit(0)) < 1, F.coalesce("blocks", body.empty_body())).otherwise(F.col("blocks"))
-    return docs.withColumn("blocks", migrated).withColumn("model_version", F.lit(MODEL_VERSION))
+        docs = docs.withColumn("model_version", F.lit(UNSTATED))
+    out = docs.withColumn("model_version", F.coalesce(F.col("model_version").cast("int"), F.lit(UNSTATED)))
+    for version, changed in sorted(MIGRATIONS.items()):
+        due = F.col("model_version") == version
+        out = out.withColumns({c: F.when(due, new).otherwise(F.col(c)) for c, new in changed(out).items()} | {"model_version": F.when(due, version + 1).otherwise(F.col("model_version"))})
+    error = F.concat(F.lit("model version "), F.col("model_version").cast("string"), F.lit(f" is not known; this is version {MODEL_VERSION}"))
+    return out.withColumn("version_error", F.when(F.col("model_version") != MODEL_VERSION, error))

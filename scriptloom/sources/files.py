@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json import quoted
 from ..operators.documents import emit, parse
 
 
@@ -14,16 +15,29 @@ def read_xml(spark: SparkSession, path: str) -> DataFrame:
     return parse(files, "doc_key", "value")
 
 
-def write_xml(docs: DataFrame, path: str) -> None:
-    """A line for each document that can be written; the others are left to ``emit``'s errors.
-    Line feeds in texts are character references, so a line is a whole document."""
-    rows = emit(docs).where("error is null")
-    rows.select(F.replace("xml", F.lit("\n"), F.lit("&#10;")).alias("value")).write.mode("error").text(path)
+#: Where ``write_xml`` puts what can't be written; readers of the folder pass over it.
+REJECTED = "_rejected"
+
+
+def write_xml(docs: DataFrame, path: str) -> int:
+    """A line for each document that can be written: its key as a JSON text, a tab, its XML.
+    Line ends in texts are character references, so a line is a whole document.  The others'
+    keys and errors go to a Parquet table below ``REJECTED``; returns how many they are."""
+    seen = Observation("written")
+    rows = emit(docs).observe(seen, F.count("error").alias("rejected"))
+    line = F.concat_ws("\t", F.coalesce(quoted(F.col("doc_key")), F.lit("null")), F.replace("xml", F.lit("\n"), F.lit("&#10;")))
+    rows.where("error is null").select(line.alias("value")).write.mode("error").text(path)
+    rejected = seen.get["rejected"]
+    if rejected:
+        emit(docs).where("error is not null").select("doc_key", "error").write.mode("error").parquet(f"{path.rstrip('/')}/{REJECTED}")
+    return rejected
 
 
 def read_xml_lines(spark: SparkSession, path: str) -> DataFrame:
-    """What ``write_xml`` has written, parsed again."""
-    rows = spark.read.text(path).select(F.xxhash64("value").cast("string").alias("doc_key"), "value")
+    """What ``write_xml`` has written, parsed again, under the same keys."""
+    cut = F.split("value", "\t", 2)
+    key = F.get(F.from_json(F.concat(F.lit("["), cut[0], F.lit("]")), "array<string>"), 0)
+    rows = spark.read.text(path, lineSep="\n").select(key.alias("doc_key"), cut[1].alias("value"))
     return parse(rows, "doc_key", "value")
 
 
