@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import body, header, json, xml
-from ..functions.errors import CONTAINER_ID_EMPTY, CONTAINER_ID_SPACE, FIELD, FORBIDDEN as FORBIDDEN_ERROR, SEGMENT, SPEAKER, TITLE, XML
+from ..functions.errors import CONTAINER_ID_EMPTY, CONTAINER_ID_SPACE, CONTENT, FIELD, FORBIDDEN as FORBIDDEN_ERROR, NOTE, RESPONSIBLE, REVISION, SEGMENT, SPEAKER, SPEAKER_NAME, TITLE, XML
 from ..functions.text import EDGES, ENTITIES, FORBIDDEN, SPACES, code_point, escape, first_forbidden, optional
 from ..operators import documents as docs_
 from ..operators import validate
-from ..sources.tables import conversation_blocks, conversation_documents, conversation_title, table, text_documents
+from ..sources.tables import conversation_blocks, conversation_documents, conversation_title, table, text_documents, turn_block
+from ..streaming import pull
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -62,11 +63,12 @@ def point(x: str) -> str:
     return f"printf('U+%04X', ord({x}))"
 
 
-TITLED = f"SELECT doc_id, {hostile('substr(text, 1, 60)', 'doc_id')} AS raw FROM documents"
+TITLED = f"SELECT doc_id, {hostile('text', 'doc_id')} AS raw FROM documents"
 
 
 def titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{hostile('substr(text, 1, 60)', 'doc_id')} AS raw")
+    """Whole texts as titles, with faults."""
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{hostile('text', 'doc_id')} AS raw")
 
 
 # Text ---------------------------------------------------------------------------------------
@@ -106,25 +108,25 @@ def forbidden_chars(spark, sf_dir):
 
 # Identifiers and speakers -------------------------------------------------------------------
 
-_IDS = "SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN '  c' || conv_id || '-t' || turn || ' ' WHEN 1 THEN 'c ' || turn WHEN 2 THEN '  ' ELSE 'c' || conv_id || '-t' || turn END AS raw FROM conversations"
+_ID = "CASE (conv_id + turn) % 5 WHEN 0 THEN '  c' || conv_id || '-t' || turn || ' ' WHEN 1 THEN 'c ' || turn WHEN 2 THEN '  ' ELSE 'c' || conv_id || '-t' || turn END AS raw"
+_IDS = f"SELECT conv_id, turn, {_ID} FROM conversations"
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN error IS NULL THEN v END AS id, error FROM (
   SELECT conv_id, turn, v, CASE WHEN v = '' THEN '{CONTAINER_ID_EMPTY.format("utterance")}' WHEN regexp_matches(v, '[{SPACES}]') THEN '{CONTAINER_ID_SPACE.format("utterance")}' END AS error
   FROM (SELECT conv_id, turn, {trimmed('raw')} AS v FROM ({_IDS})))""")
 def xml_id_validation(spark, sf_dir):
-    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
-    own = spark.sql(_IDS).select("conv_id", "turn", header.xml_id(F.col("raw"), body.UTTERANCE).alias("i"))
+    own = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", _ID).select("conv_id", "turn", header.xml_id(F.col("raw"), body.UTTERANCE).alias("i"))
     return own.select("conv_id", "turn", F.col("i.value").alias("id"), "i.error")
 
 
-_WHO = "SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN '  ' || role || ' ' WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE role END AS raw FROM conversations"
+_ROLE = "CASE conv_id % 4 WHEN 0 THEN '  ' || role || ' ' WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE role END AS raw"
+_WHO = f"SELECT conv_id, turn, {_ROLE} FROM conversations"
 
 
 @query(f"SELECT conv_id, turn, {blank_null('raw')} AS who, CASE WHEN raw IS NOT NULL AND {blank_null('raw')} IS NULL THEN '{SPEAKER}' END AS error FROM ({_WHO})")
 def speaker_validation(spark, sf_dir):
-    table(spark, sf_dir, "conversations").createOrReplaceTempView("conversations")
-    own = spark.sql(_WHO).select("conv_id", "turn", header.optional_speaker(F.col("raw")).alias("s"))
+    own = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", _ROLE).select("conv_id", "turn", header.optional_speaker(F.col("raw")).alias("s"))
     return own.select("conv_id", "turn", F.col("s.value").alias("who"), "s.error")
 
 
@@ -264,8 +266,6 @@ def conversation_xml(text: str = "text") -> str:
 
 def conversation_markup(conversations: DataFrame) -> DataFrame:
     """Canonical XML straight from the table: markup is made before its one shuffle."""
-    from ..sources.tables import turn_block
-
     rows = conversations.select("conv_id", "turn", xml.block_xml(turn_block()).alias("markup"))
     rows = rows.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "markup")))["markup"], "").alias("markup"))
     head = header.header(header.file_desc(conversation_title()))
@@ -296,28 +296,27 @@ def round_trip_conversations(spark, sf_dir):
 @query("SELECT doc_id::VARCHAR AS doc_key, true AS same FROM documents")
 def round_trip_idempotent(spark, sf_dir):
     first = docs_.emit(text_documents(table(spark, sf_dir, "documents")))
-    again = docs_.emit(docs_.parse(first, "doc_key", "xml")).select("doc_key", F.col("xml").alias("again"))
-    return first.join(again, "doc_key").select("doc_key", F.col("xml").eqNullSafe(F.col("again")).alias("same"))
+    again = docs_.parse(first, "doc_key", "xml", keep=("xml",)).select("doc_key", "xml", xml.blocks_document(F.col("header"), F.col("blocks")).alias("again"))
+    return again.select("doc_key", F.col("xml").eqNullSafe(F.col("again")).alias("same"))
 
 
-_BROKEN = """SELECT page_id, CASE page_id % 6
+_BROKEN = """CASE page_id % 6
  WHEN 0 THEN '<TEI><text><body/></text></TEI>'
- WHEN 1 THEN '<TEI><teiHeader><fileDesc><title>Broken</title></fileDesc>'
+ WHEN 1 THEN '<TEI><teiHeader><fileDesc><title>Cut off</title></fileDesc>'
  WHEN 2 THEN '<TEI><teiHeader><fileDesc><title>   </title></fileDesc></teiHeader><text><body/></text></TEI>'
  WHEN 3 THEN '<TEI><teiHeader><fileDesc><title>T</title></fileDesc></teiHeader><text><body><div/></body></text></TEI>'
  WHEN 4 THEN '<TEI><teiHeader><fileDesc><title>T</title></fileDesc></teiHeader><text><body><p>a<b/></p></body></text></TEI>'
- ELSE '<TEI><teiHeader><fileDesc><title> Page ' || page_id || ' </title></fileDesc></teiHeader><text><body> <p>x</p> </body></text></TEI>' END AS raw FROM pages"""
+ ELSE '<TEI><teiHeader><fileDesc><title> Page ' || page_id || ' </title></fileDesc></teiHeader><text><body> <p>' || replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p> </body></text></TEI>' END AS raw"""
 
 
-@query(f"""SELECT page_id::VARCHAR AS doc_key, CASE WHEN page_id % 6 = 5 THEN 'Page ' || page_id END AS title, '{XML}' || CASE page_id % 6 WHEN 0 THEN 'missing field `teiHeader`' WHEN 1 THEN 'start tag not closed'
+@query(f"""SELECT page_id::VARCHAR AS doc_key, CASE WHEN page_id % 6 = 5 THEN 'Page ' || page_id END AS title, CASE WHEN page_id % 6 = 5 THEN html END AS text, '{XML}' || CASE page_id % 6 WHEN 0 THEN 'missing field `teiHeader`' WHEN 1 THEN 'start tag not closed'
  WHEN 2 THEN '{TITLE}' WHEN 3 THEN 'unknown variant `div`, expected `p` or `u`' WHEN 4 THEN 'data did not match any variant of untagged enum Inline' END AS error FROM pages""")
 def parse_errors(spark, sf_dir):
-    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
-    own = docs_.parse(spark.sql(_BROKEN), "page_id", "raw")
-    return own.select("doc_key", F.col("header.fileDesc.title").alias("title"), "error")
+    own = docs_.parse(table(spark, sf_dir, "pages").selectExpr("page_id", _BROKEN), "page_id", "raw")
+    return own.select("doc_key", F.col("header.fileDesc.title").alias("title"), body.flat_text(F.flatten(F.transform("blocks", lambda b: b["inline"]))).alias("text"), "error")
 
 
-@query()
+@query("SELECT page_id::VARCHAR AS doc_key, true AS rejected FROM pages")
 def parse_pages(spark, sf_dir):
     """Web pages are no documents: each gives an error, none fails the job."""
     own = docs_.parse(table(spark, sf_dir, "pages"), "page_id", "html")
@@ -334,17 +333,17 @@ def document_json(spark, sf_dir):
 
 @query("SELECT conv_id::VARCHAR AS doc_key, true AS same FROM conversations GROUP BY conv_id")
 def round_trip_json(spark, sf_dir):
-    own = conversation_documents(table(spark, sf_dir, "conversations"))
-    written = own.select("doc_key", json.document_json(F.col("header"), F.col("blocks")).alias("json"))
-    again = docs_.parse(written, "doc_key", "json", "json").select("doc_key", F.struct("header", "blocks").alias("again"))
-    return own.join(again, "doc_key").select("doc_key", F.struct("header", "blocks").eqNullSafe(F.col("again")).alias("same"))
+    own = conversation_documents(table(spark, sf_dir, "conversations")).withColumn("own", F.struct("header", "blocks"))
+    written = own.select("doc_key", json.document_json(F.col("header"), F.col("blocks")).alias("json"), "own")
+    again = docs_.parse(written, "doc_key", "json", "json", keep=("own",))
+    return again.select("doc_key", F.col("own").eqNullSafe(F.struct("header", "blocks")).alias("same"))
 
 
 @query("SELECT conv_id::VARCHAR AS doc_key, true AS same FROM conversations GROUP BY conv_id")
 def round_trip_msgpack(spark, sf_dir):
-    own = conversation_documents(table(spark, sf_dir, "conversations"))
-    again = docs_.parse(docs_.to_msgpack(own), "doc_key", "packed", "msgpack").select("doc_key", F.struct("header", "blocks").alias("again"))
-    return own.join(again, "doc_key").select("doc_key", F.struct("header", "blocks").eqNullSafe(F.col("again")).alias("same"))
+    own = conversation_documents(table(spark, sf_dir, "conversations")).withColumn("own", F.struct("header", "blocks"))
+    again = docs_.parse(docs_.to_msgpack(own, ("own",)), "doc_key", "packed", "msgpack", keep=("own",))
+    return again.select("doc_key", F.col("own").eqNullSafe(F.struct("header", "blocks")).alias("same"))
 
 
 # Extensions ---------------------------------------------------------------------------------
@@ -389,22 +388,21 @@ def word_counts(spark, sf_dir):
     return validate.word_counts(conversation_documents(table(spark, sf_dir, "conversations")))
 
 
-_SPANS = "SELECT conv_id::VARCHAR AS doc_key, turn AS span_id, 'c' || conv_id || '-t' || (turn + CASE WHEN turn % 7 = 6 THEN 1000 ELSE 0 END) AS block_id, (turn % 3)::INT AS start, CASE WHEN turn % 5 = 4 THEN 0 ELSE 100 END AS stop FROM conversations"
+_SPAN = ("CAST(conv_id AS STRING) AS doc_key", "turn AS span_id", "'c' || conv_id || '-t' || (turn + CASE WHEN turn % 7 = 6 THEN 1000 ELSE 0 END) AS block_id", "CAST(turn % 3 AS INT) AS start", "CASE WHEN turn % 5 = 4 THEN 0 WHEN turn % 11 = 1 THEN NULL ELSE 100 END AS stop")
+_SPANS = f"SELECT {', '.join(_SPAN)} FROM conversations"
 
 
-@query(f"""SELECT s.doc_key, s.span_id, CASE WHEN b.text IS NULL THEN 'unknown block' WHEN s.start >= s.stop THEN 'empty span' ELSE 'outside the block' END AS error
-FROM ({_SPANS}) s LEFT JOIN ({_BLOCKS}) b ON b.doc_key = s.doc_key AND b.id = s.block_id WHERE b.text IS NULL OR s.start >= s.stop OR s.stop > length(b.text)""")
+@query(f"""SELECT s.doc_key, s.span_id, CASE WHEN b.text IS NULL THEN 'unknown block' WHEN s.stop IS NULL THEN 'span without start or end' WHEN s.start >= s.stop THEN 'empty span' ELSE 'outside the block' END AS error
+FROM ({_SPANS}) s LEFT JOIN ({_BLOCKS}) b ON b.doc_key = s.doc_key AND b.id = s.block_id WHERE b.text IS NULL OR s.stop IS NULL OR s.start >= s.stop OR s.stop > length(b.text)""")
 def span_errors(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    c.createOrReplaceTempView("conversations")
-    return validate.span_errors(spark.sql(_SPANS.replace("::VARCHAR", "::STRING")), conversation_documents(c))
+    return validate.span_errors(c.selectExpr(*_SPAN), conversation_documents(c))
 
 
 @query(f"SELECT s.doc_key, s.span_id, substr(b.text, s.start + 1, 20) AS text FROM (SELECT *, start + 20 AS other FROM ({_SPANS})) s JOIN ({_BLOCKS}) b ON b.doc_key = s.doc_key AND b.id = s.block_id")
 def span_texts(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    c.createOrReplaceTempView("conversations")
-    spans = spark.sql(_SPANS.replace("::VARCHAR", "::STRING")).withColumn("stop", F.col("start") + 20)
+    spans = c.selectExpr(*_SPAN).withColumn("stop", F.col("start") + 20)
     return validate.span_texts(spans, conversation_documents(c))
 
 
@@ -412,3 +410,269 @@ def span_texts(spark, sf_dir):
 def language_errors(spark, sf_dir):
     own = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("doc_key"), header.language_tag(F.when(F.col("c_custkey") % 10 == 0, " ").otherwise("en-GB"))["error"].alias("error"))
     return own.where("error is not null")
+
+
+# Setters and pushes: a rejected change leaves the old value ---------------------------------
+
+
+def _turns(spark, sf_dir, *more: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "role", "text", f"{hostile('role', 'turn')} AS raw", *more)
+
+
+_RAW = f"SELECT conv_id, turn, role, text, {hostile('role', 'turn')} AS raw FROM conversations"
+
+
+def _checked(name: str, message: str, validator) -> None:
+    """A query of a validator over hostile roles: value and error."""
+
+    @query(f"SELECT conv_id, turn, {blank_null('raw')} AS value, CASE WHEN {blank_null('raw')} IS NULL THEN '{message}' END AS error FROM ({_RAW})")
+    def run(spark, sf_dir):
+        return _turns(spark, sf_dir).select("conv_id", "turn", validator(F.col("raw")).alias("v")).select("conv_id", "turn", "v.value", "v.error")
+
+    QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
+
+
+_checked("speaker_names", FIELD.format(SPEAKER_NAME), header.speaker_name)
+_checked("responsible_parties", FIELD.format(RESPONSIBLE), header.responsible_party)
+_checked("speaker_references", SPEAKER, header.speaker)
+
+
+@query(f"SELECT doc_id, {blank_null('raw')} AS series, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'kept' END AS synopsis FROM ({TITLED})")
+def file_setters(spark, sf_dir):
+    first = header.file_desc(F.lit("x"), F.lit("old"), F.lit(" kept "))
+    own = header.with_text(first, "series", F.col("raw"))
+    rows = titled(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, header.with_text(own, "synopsis", F.lit(" "))).otherwise(own).alias("f"))
+    return rows.select("doc_id", "f.series", "f.synopsis")
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN v IS NULL THEN 'first' ELSE 'first,' || v || ',' || v END AS speakers, CASE WHEN v IS NULL THEN '{FIELD.format(SPEAKER_NAME)}' END AS error,
+  CASE WHEN v IS NULL THEN 'en' ELSE 'en,' || v END AS languages FROM (SELECT conv_id, turn, {blank_null('raw')} AS v FROM ({_RAW}))""")
+def profile_growth(spark, sf_dir):
+    """Repeated names stay; a blank one changes nothing."""
+    raw = F.col("raw")
+    once = header.add_speaker(header.profile_desc(speakers=F.array(F.lit("first")), languages=F.array(F.lit("en"))), raw)
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", "raw", once["error"].alias("error"), header.add_speaker(once["value"], raw)["value"].alias("p"))
+    rows = rows.withColumn("p", header.add_language(F.col("p"), raw)["value"])
+    return rows.select("conv_id", "turn", F.array_join("p.speaker", ",").alias("speakers"), "error", F.array_join("p.lang", ",").alias("languages"))
+
+
+@query("""SELECT doc_id, 'lang,source,lang' AS ids, lang AS first_lang, source AS first_source, NULL::VARCHAR AS other_case, false AS is_empty FROM documents""")
+def encoding_growth(spark, sf_dir):
+    """Identifiers may repeat; the first of them is found."""
+    e = header.encoding_desc()
+    for name, value in (("lang", F.col("lang")), (" source ", F.col("source")), ("lang", F.lit("later"))):
+        e = header.add_annotation_system(e, header.annotation_system(F.lit(name), value)["value"])
+    rows = table(spark, sf_dir, "documents").select("doc_id", e.alias("e"))
+    first = lambda k: header.find_annotation_system(F.col("e"), F.lit(k))["desc"]
+    return rows.select("doc_id", F.array_join(F.transform("e.annotationSystem", lambda s: s["id"]), ",").alias("ids"), first("lang").alias("first_lang"), first("source").alias("first_source"), first("Lang").alias("other_case"), header.encoding_is_empty(F.col("e")).alias("is_empty"))
+
+
+@query(f"SELECT conv_id, turn, 'made,' || coalesce(v || '/' || role, '') AS log, CASE WHEN v IS NULL THEN '{FIELD.format(REVISION)}' END AS error FROM (SELECT conv_id, turn, role, {blank_null('raw')} AS v FROM ({_RAW}))")
+def revision_growth(spark, sf_dir):
+    change = header.revision_change(F.col("raw"), F.concat(F.lit(" "), F.col("role")))
+    first = header.revision_desc(F.array(header.revision_change(F.lit("made"), F.lit(" "))["value"]))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", change["error"].alias("error"), header.add_change(first, change["value"]).alias("r"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform("r.change", lambda c: F.coalesce(F.concat_ws("/", c["description"], c["resp"]), F.lit(""))), ",").alias("log"), "error")
+
+
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<teiHeader><fileDesc><title>x</title></fileDesc><profileDesc><lang>' || lang || '</lang></profileDesc></teiHeader>'
+  WHEN 1 THEN '<teiHeader><fileDesc><title>x</title></fileDesc><encodingDesc/></teiHeader>' ELSE '<teiHeader><fileDesc><title>x</title></fileDesc><revisionDesc/></teiHeader>' END AS xml FROM documents""")
+def section_setters(spark, sf_dir):
+    """The section that is set last stays, empty or not."""
+    bare = header.header(header.file_desc(F.lit("x")))
+    old = header.with_section(bare, "profileDesc", header.profile_desc(F.lit("old")).cast(header.PROFILE))
+    new = header.with_section(old, "profileDesc", header.profile_desc(languages=F.array("lang")).cast(header.PROFILE))
+    encoding = header.with_section(bare, "encodingDesc", header.encoding_desc().cast(header.ENCODING))
+    revision = header.with_section(bare, "revisionDesc", header.revision_desc().cast(header.REVISION))
+    head = F.when(F.col("doc_id") % 3 == 0, new).when(F.col("doc_id") % 3 == 1, encoding).otherwise(revision)
+    return table(spark, sf_dir, "documents").select("doc_id", head.alias("h")).select("doc_id", xml.header_xml(F.col("h")).alias("xml"))
+
+
+@query("SELECT conv_id, turn, 'p:' || text || '|u:' || role || ':' || text || '|p:end' AS body, 3::BIGINT AS blocks FROM conversations")
+def pushed_blocks(spark, sf_dir):
+    text = F.array("text")
+    blocks = body.empty_body()
+    for block in (body.paragraph_of(text), body.utterance_of(F.col("role"), text), body.paragraph_of(F.array(F.lit("end")))):
+        blocks = body.push_block(blocks, block["value"])
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", blocks.alias("b"))
+    shown = F.transform("b", lambda b: F.concat_ws(":", b["kind"], b["who"], body.flat_text(b["inline"])))
+    return rows.select("conv_id", "turn", F.array_join(shown, "|").alias("body"), body.count_blocks(F.col("b")).alias("blocks"))
+
+
+@query(f"""SELECT conv_id, turn, {blank_null('raw')} AS who, CASE WHEN {blank_null('raw')} IS NULL THEN '{SPEAKER}' END AS error, true AS same FROM ({_RAW})""")
+def deprecated_builders(spark, sf_dir):
+    """The old names give what the new ones give."""
+    import warnings
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", DeprecationWarning)
+        p, u = body.new_paragraph(F.array("text")), body.new_utterance(F.col("raw"), F.array("text"))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", u.alias("u"), (p.eqNullSafe(body.paragraph_of(F.array("text"))) & u.eqNullSafe(body.utterance_of(F.col("raw"), F.array("text")))).alias("same"))
+    return rows.select("conv_id", "turn", "u.value.who", "u.error", "same")
+
+
+_CONTAINER = "CASE WHEN role = 'system' THEN 'paragraph' ELSE 'utterance' END"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN error IS NULL THEN v ELSE 'old' END AS id, error, NULL::VARCHAR AS cleared FROM (
+  SELECT conv_id, turn, v, CASE WHEN v = '' THEN {_CONTAINER} || '{CONTAINER_ID_EMPTY.format("")}' WHEN regexp_matches(v, '[{SPACES}]') THEN {_CONTAINER} || '{CONTAINER_ID_SPACE.format("")}' END AS error
+  FROM (SELECT conv_id, turn, role, {trimmed('raw')} AS v FROM (SELECT conv_id, turn, role, {_ID} FROM conversations)))""")
+def block_identifiers(spark, sf_dir):
+    block = body.set_id(turn_block(), F.lit(" old "))["value"]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_ID), block.alias("b")).select("conv_id", "turn", body.set_id(F.col("b"), F.col("raw")).alias("s"))
+    return rows.select("conv_id", "turn", "s.value.id", "s.error", body.clear_id(F.col("s.value"))["id"].alias("cleared"))
+
+
+@query(f"SELECT conv_id, turn, coalesce({blank_null('raw')}, 'old') AS who, CASE WHEN {blank_null('raw')} IS NULL THEN '{SPEAKER}' END AS error, NULL::VARCHAR AS cleared FROM ({_RAW})")
+def block_speakers(spark, sf_dir):
+    block = body.set_speaker(body.utterance_of(None, F.array("text"))["value"], F.lit(" old "))["value"]
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", "raw", block.alias("b")).select("conv_id", "turn", body.set_speaker(F.col("b"), F.col("raw")).alias("s"))
+    return rows.select("conv_id", "turn", "s.value.who", "s.error", body.clear_speaker(F.col("s.value"))["who"].alias("cleared"))
+
+
+_BLANK = f"{blank_null('raw')} IS NULL"
+
+
+@query(f"""SELECT conv_id, turn, text || CASE WHEN {_BLANK} THEN '' ELSE raw END || 'last' AS text, CASE WHEN {_BLANK} THEN {_CONTAINER} || '{SEGMENT.format("")}' END AS error,
+  {_CONTAINER} || '{CONTENT.format("")}' AS inline_error FROM ({_RAW})""")
+def pushed_content(spark, sf_dir):
+    """A blank segment or an empty emphasis isn't appended."""
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", "raw", body.push_segment(turn_block(), F.col("raw")).alias("s"))
+    rows = rows.select("conv_id", "turn", "s.error", body.push_inline(F.col("s.value"), body.hi(body.empty_tokens())).alias("i"))
+    more = body.push_inline(F.col("i.value"), body.joined(body.pause(), body.hi(body.text(F.lit("last")))))["value"]
+    return rows.select("conv_id", "turn", body.flat_text(more["inline"]).alias("text"), "error", F.col("i.error").alias("inline_error"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN error IS NULL THEN {blank_null('raw')} END AS who, error, CASE WHEN {_BLANK} THEN '{SPEAKER}' WHEN turn % 3 = 0 THEN '{CONTENT.format("utterance")}' END AS inline_error FROM (
+  SELECT *, CASE WHEN {_BLANK} THEN '{SPEAKER}' WHEN turn % 3 = 0 THEN '{SEGMENT.format("utterance")}' END AS error FROM ({_RAW}))""")
+def validated_utterances(spark, sf_dir):
+    """A wrong speaker is reported before wrong content."""
+    third = F.col("turn") % 3 == 0
+    by_text = body.utterance_of(F.col("raw"), F.array("text", F.when(third, " ").otherwise("x")))
+    by_inline = body.utterance(F.col("raw"), F.when(third, body.hi(body.empty_tokens())).otherwise(body.text(F.col("text"))))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", by_text.alias("t"), by_inline["error"].alias("inline_error"))
+    return rows.select("conv_id", "turn", "t.value.who", "t.error", "inline_error")
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN NOT ({_BLANK}) THEN '<p><hi rend=" r ">' || {escaped('raw', '&<>')} || '</hi></p>' END AS xml, CASE WHEN {_BLANK} THEN '{SEGMENT.format("hi")}' END AS error,
+  CASE WHEN {_BLANK} THEN '<p><hi>a</hi></p>' ELSE '<p><hi rend="' || turn || '">a' || {escaped('raw', '&<>')} || '</hi></p>' END AS pushed, '{CONTENT.format("hi")}' AS empty FROM ({_RAW})""")
+def emphases(spark, sf_dir):
+    """Checked emphases; their attribute set and cleared; content pushed into them."""
+    raw, a = F.col("raw"), body.hi(body.text(F.lit("a")), F.lit("first"))
+    pushed = body.push_into_hi(a, body.text(raw))
+    rend = F.when(pushed["error"].isNull(), F.col("turn").cast("string"))
+    marked = F.transform(pushed["value"], lambda t: F.when(t["kind"] == "hi", body.with_attribute(body.with_attribute(t, "rend", None), "rend", rend)).otherwise(t))
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", body.checked_hi(body.text(raw), F.lit(" r ")).alias("h"), body.paragraph(marked)["value"].alias("p"), body.checked_hi(body.empty_tokens())["error"].alias("empty"))
+    return rows.select("conv_id", "turn", F.when(F.col("h.error").isNull(), xml.block_xml(body.paragraph(F.col("h.value"))["value"])).alias("xml"), "h.error", xml.block_xml(F.col("p")).alias("pushed"), "empty")
+
+
+@query("SELECT conv_id, turn, '<p><pause' || CASE WHEN turn % 2 = 0 THEN ' dur=\"PT' || turn || 'S\"' ELSE '' END || ' type=\"' || role || '\"/></p>' AS xml FROM conversations")
+def pause_attributes(spark, sf_dir):
+    duration = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("PT"), F.col("turn").cast("string"), F.lit("S")))
+    first = body.pause(F.lit("PT9S"), F.lit("old"))
+    own = F.transform(first, lambda t: body.with_attribute(body.with_attribute(body.with_attribute(t, "dur", None), "dur", duration), "type", F.col("role")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", body.paragraph(own)["value"].alias("p")).select("conv_id", "turn", xml.block_xml(F.col("p")).alias("xml"))
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{CONTENT.format("paragraph")}' WHEN 1 THEN '{CONTENT.format("utterance")}' WHEN 2 THEN '{SEGMENT.format("paragraph")}' WHEN 3 THEN '{CONTENT.format("hi")}' END AS error FROM documents""")
+def content_errors(spark, sf_dir):
+    """Empty, nested and blank content: the first offence, under the outer container's name."""
+    text, nothing = body.text(F.col("text")), body.empty_tokens()
+    deep = body.hi(body.joined(body.text(F.lit("a")), body.hi(body.text(F.lit(" ")))))
+    cases = [(nothing, body.PARAGRAPH), (body.joined(text, body.hi(body.hi(nothing))), body.UTTERANCE), (body.joined(text, deep, body.hi(nothing)), body.PARAGRAPH), (nothing, body.EMPHASIS), (body.pause(), body.UTTERANCE)]
+    error = F.lit(None).cast("string")
+    for k, (tokens, container) in enumerate(cases):
+        error = F.when(F.col("doc_id") % 6 == k, body.content_error(tokens, container)).otherwise(error)
+    return table(spark, sf_dir, "documents").select("doc_id", error.alias("error"))
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN {_BLANK} THEN 'speaker' END AS kind, CASE WHEN {_BLANK} THEN '{SPEAKER}' END AS message FROM ({_RAW})""")
+def error_values(spark, sf_dir):
+    """Errors of any operator in one form."""
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", docs_.error_of("speaker", header.speaker(F.col("raw"))["error"]).alias("e"))
+    return rows.select("conv_id", "turn", "e.kind", "e.message")
+
+
+# Parser, versions, references, spans, values, streams, SQL ----------------------------------
+
+
+_NOTES = "'<TEI><teiHeader><fileDesc><title>T</title></fileDesc><revisionDesc><change>' || CASE WHEN conv_id % 3 = 0 THEN ' ' ELSE 'note ' || turn END || '<resp>' || role || '</resp></change></revisionDesc></teiHeader><text><body/></text></TEI>' AS raw"
+
+
+@query(f"SELECT conv_id || '/' || turn AS doc_key, CASE WHEN conv_id % 3 <> 0 THEN 'note ' || turn END AS note, CASE WHEN conv_id % 3 <> 0 THEN role END AS resp, CASE WHEN conv_id % 3 = 0 THEN '{XML}{NOTE}' END AS error FROM conversations")
+def parsed_notes(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id || '/' || turn AS key", _NOTES)
+    change = F.col("header.revisionDesc.change")[0]
+    return docs_.parse(rows, "key", "raw").select("doc_key", change["description"].alias("note"), change["resp"].alias("resp"), "error")
+
+
+# Members of wrong types, cut and nested texts, by key: JSON documents that are none.
+_JSON = '''CASE doc_id % 8
+ WHEN 0 THEN '{"teiHeader":{"fileDesc":{"title":"D' || doc_id || '","series":5}},"text":{"body":{"$value":[]}}}'
+ WHEN 1 THEN '{"teiHeader":{"fileDesc":{"title":"D' || doc_id || '"}},"text":{"body":{"$value":[{}]}}}'
+ WHEN 2 THEN '{"teiHeader":{"fileDesc":{"title":' || doc_id || '}},"text":{"body":{"$value":[]}}}'
+ WHEN 3 THEN '{"teiHeader":[],"text":{"body":{"$value":[]}}}'
+ WHEN 4 THEN '{"teiHeader":{"fileDesc":{"title":"D"},"profileDesc":{"speaker":"x"}},"text":{"body":{"$value":[]}}}'
+ WHEN 5 THEN '{"teiHeader":{"fileDesc":{"title":"D"}},"text":{"body":{"$value":[{"p":{"$value":[{"rend":1,"$value":["a"]}]}}]}}}'
+ WHEN 6 THEN '{"teiHeader":{"fileDesc":{"title":"D"}},"text":{"body":{"$value":[{"p":{"@xml:id":7,"$value":["a"]}}]}}}'
+ ELSE '{"teiHeader":{"fileDesc":{"title":"D' || doc_id || '"}},"text":{"body":{"$value":[{"u":{"@who":"' || lang || '","$value":["' || source || '"]}}]}}}' END AS raw'''
+
+
+@query("""SELECT doc_id::VARCHAR AS doc_key, CASE WHEN doc_id % 8 = 7 THEN 'D' || doc_id END AS title, CASE WHEN doc_id % 8 = 7 THEN lang END AS who, CASE doc_id % 8
+ WHEN 0 THEN 'invalid type for `series`: expected a string' WHEN 1 THEN 'a block has one member, `p` or `u`' WHEN 2 THEN 'invalid type for `title`: expected a string' WHEN 3 THEN 'invalid type for `teiHeader`: expected a map'
+ WHEN 4 THEN 'invalid type for `speaker`: expected a sequence' WHEN 5 THEN 'invalid type for `rend`: expected a string' WHEN 6 THEN 'invalid type for `@xml:id`: expected a string' END AS error FROM documents""")
+def parse_json_errors(spark, sf_dir):
+    own = docs_.parse(table(spark, sf_dir, "documents").selectExpr("doc_id", _JSON), "doc_id", "raw", "json")
+    return own.select("doc_key", F.col("header.fileDesc.title").alias("title"), F.get("blocks", 0)["who"].alias("who"), "error")
+
+
+@query("""SELECT conv_id::VARCHAR AS doc_key, conv_id % 4 AS stated, CASE WHEN conv_id % 4 = 3 THEN 3 ELSE 2 END AS model_version, CASE WHEN conv_id % 4 = 3 THEN ' ' END AS series,
+  CASE WHEN conv_id % 4 = 3 THEN 'model version 3 is not known; this is version 2' END AS version_error FROM conversations GROUP BY conv_id""")
+def model_versions(spark, sf_dir):
+    own = conversation_documents(table(spark, sf_dir, "conversations")).withColumn("stated", F.col("doc_key").cast("long") % 4)
+    old = own.withColumn("header", F.col("header").withField("fileDesc", F.col("header.fileDesc").withField("series", F.when(F.col("stated") != 2, " "))))
+    got = validate.versioned(old.withColumn("model_version", F.when(F.col("stated") != 1, F.col("stated"))))
+    return got.select("doc_key", "stated", "model_version", "header.fileDesc.series", "version_error")
+
+
+@query("""SELECT conv_id::VARCHAR AS doc_key, 'to' AS attribute, 'c' || conv_id || '-t' || (turn + 1) AS target FROM conversations c
+WHERE NOT EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = c.conv_id AND d.turn = c.turn + 1)""")
+def dangling_references(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    pointers = c.selectExpr("CAST(conv_id AS STRING) AS doc_key", "'#c' || conv_id || '-t' || turn AS `from`", "'c' || conv_id || '-t' || (turn + 1) AS `to`")
+    return validate.dangling_references(pointers, conversation_documents(c))
+
+
+_OVER = ("CAST(conv_id AS STRING) AS doc_key", "'b' || turn % 2 AS block_id", "turn AS span_id", "CAST(turn * 10 AS INT) AS start", "CAST(turn * 10 + CASE WHEN turn % 3 = 0 THEN 45 ELSE 5 END AS INT) AS stop")
+
+
+@query(f"""WITH s AS (SELECT {', '.join(_OVER)} FROM conversations)
+SELECT doc_key, block_id, span_id FROM s WHERE EXISTS (SELECT 1 FROM s t WHERE t.doc_key = s.doc_key AND t.block_id = s.block_id AND t.start < s.start AND t.stop > s.start)""")
+def overlapping_spans(spark, sf_dir):
+    return validate.overlapping_spans(table(spark, sf_dir, "conversations").selectExpr(*_OVER))
+
+
+@query("SELECT conv_id, turn, role FROM conversations WHERE role NOT IN ('system', 'user')")
+def outside_values(spark, sf_dir):
+    return validate.outside_values(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), "role", ["system", "user"])
+
+
+@query(f"""SELECT doc_key, block_pos, kind, id, who, text, NULL::VARCHAR AS error FROM ({_BLOCKS})
+UNION ALL SELECT 'page ' || page_id, -1, NULL, NULL, NULL, NULL, '{XML}missing field `teiHeader`' FROM pages""")
+def streamed_blocks(spark, sf_dir):
+    """The pull parser over a batch: blocks of good documents, an error of each bad one."""
+    good = conversation_markup(table(spark, sf_dir, "conversations")).select("doc_key", "xml")
+    bad = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("doc_key"), F.concat(F.lit("<TEI><text>"), escape(F.col("html")), F.lit("</text></TEI>")).alias("xml"))
+    own = pull.iter_blocks(good.unionByName(bad), "doc_key", "xml")
+    return own.select("doc_key", F.coalesce("block_pos", F.lit(-1).cast("bigint")).alias("block_pos"), "kind", "id", "who", body.flat_text(F.col("inline")).alias("text"), "error")
+
+
+@query(f"""SELECT d.doc_key, {escaped('d.xml')} AS escaped, '<title>Conversation ' || d.doc_key || '</title>' AS title, d.xml AS xml, NULL::VARCHAR AS title_error FROM ({conversation_xml()}) d""")
+def sql_functions(spark, sf_dir):
+    """The registered SQL functions: parser, writer, titles, escaping."""
+    from ..operators import facade
+
+    facade.register(spark)
+    own = conversation_markup(table(spark, sf_dir, "conversations")).select("doc_key", "xml")
+    parsed = own.selectExpr("doc_key", "xml", "parse_document(xml) AS d")
+    return parsed.selectExpr("doc_key", "escape_xml_text(xml) AS escaped", "title_markup('  ' || d.header.fileDesc.title) AS title", "emit_document(d.header, d.blocks) AS xml", "title_error(d.header.fileDesc.title) AS title_error")
