@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from scriptloom import __version__
+from scriptloom import __py_runtime__, __version__
+from scriptloom.functions import body as body_
+from scriptloom.functions import header
 from scriptloom.functions import parse as P
 from scriptloom.functions import xml
 from scriptloom.operators import documents as D
@@ -10,11 +12,11 @@ from scriptloom.sources import files
 from scriptloom.sources.tables import conversation_documents, text_documents
 from scriptloom.streaming import pull
 
-MINIMAL = "<TEI><teiHeader><fileDesc><title>Wolf 359</title></fileDesc></teiHeader><text><body/></text></TEI>"
+MINIMAL = "<TEI><teiHeader><fileDesc><title>Tide Tables</title></fileDesc></teiHeader><text><body/></text></TEI>"
 PRETTY = """<TEI>
   <teiHeader>
     <fileDesc>
-      <title>  Wolf 359  </title>
+      <title>  Tide Tables  </title>
     </fileDesc>
   </teiHeader>
   <text>
@@ -53,9 +55,9 @@ def test_round_trips(spark):
     ("raw", "want"),
     [
         ("<TEI><text><body/></text></TEI>", "teiHeader"),
-        ("<TEI><teiHeader><fileDesc><title>Broken</title></fileDesc>", "start tag not closed"),
-        (MINIMAL.replace("Wolf 359", "   "), "document title may not be empty"),
-        (MINIMAL.replace("<title>Wolf 359</title>", ""), "missing field `title`"),
+        ("<TEI><teiHeader><fileDesc><title>Cut off</title></fileDesc>", "start tag not closed"),
+        (MINIMAL.replace("Tide Tables", "   "), "document title may not be empty"),
+        (MINIMAL.replace("<title>Tide Tables</title>", ""), "missing field `title`"),
         (MINIMAL.replace("<text><body/></text>", ""), "missing field `text`"),
         (MINIMAL.replace("<body/>", ""), "missing field `body`"),
         (body("<div/>"), "unknown variant `div`"),
@@ -71,7 +73,7 @@ def test_round_trips(spark):
         (MINIMAL.replace("</fileDesc>", "</fileDesc><profileDesc><speaker/></profileDesc>"), "speaker may not be empty"),
         (MINIMAL.replace("</fileDesc>", "</fileDesc><encodingDesc><annotationSystem/></encodingDesc>"), "missing field `@xml:id`"),
         ("", "XML processing error"),
-        (MINIMAL.replace("Wolf", "&#1;"), "XML processing error"),
+        (MINIMAL.replace("Tide", "&#1;"), "XML processing error"),
     ],
 )
 def test_rejected_xml(raw, want):
@@ -102,7 +104,7 @@ def test_forbidden_characters_fail_on_emission_alone(spark):
     got = {r.doc_key: r for r in D.emit(docs).collect()}
     assert docs.where("error is not null").count() == 0
     assert got["1"].xml is None and got["1"].error == "XML processing error: document contains XML 1.0 forbidden character U+0000"
-    assert got["2"].xml == MINIMAL.replace("Wolf 359", "ok")
+    assert got["2"].xml == MINIMAL.replace("Tide Tables", "ok")
 
 
 def test_long_forms_and_back(spark):
@@ -129,10 +131,10 @@ def test_parsing_is_one_python_node_without_exchange(spark):
 
 
 def test_facade(spark):
-    d = facade.Document("  Wolf 359 ")
-    assert d.title == "Wolf 359" and d.emit_title_markup() == "<title>Wolf 359</title>"
+    d = facade.Document("  Tide Tables ")
+    assert d.title == "Tide Tables" and d.emit_title_markup() == "<title>Tide Tables</title>"
     assert facade.emit_xml(d) == MINIMAL and facade.parse_xml(MINIMAL) == d
-    assert facade.emit_title_markup("Alice Isn't Dead") == "<title>Alice Isn&apos;t Dead</title>"
+    assert facade.emit_title_markup("It's late") == "<title>It&apos;s late</title>"
     with pytest.raises(ValueError, match="document title may not be empty"):
         facade.Document("   ")
     with pytest.raises(ValueError, match="document title may not be empty"):
@@ -141,14 +143,14 @@ def test_facade(spark):
         facade.parse_xml("<TEI/>")
     full = facade.parse_xml(FULL)
     assert facade.Document.from_json(full.to_json()) == full and facade.emit_xml(facade.Document.from_dict(full.to_dict())) == FULL
-    assert __version__
+    assert __version__ and __py_runtime__.startswith("3.")
 
 
 def test_sql_functions(spark):
     facade.register(spark)
-    got = spark.sql("SELECT escape_xml_text('a<b>&\"''') AS e, title_markup('  R&D ') AS m, title_markup(' ') AS n, title_error(' ') AS t, first_forbidden_xml_char('a\u0001') AS c").first()
-    assert tuple(got) == ("a&lt;b&gt;&amp;&quot;&apos;", "<title>R&amp;D</title>", None, "document title may not be empty", "\x01")
-    assert spark.sql(f"SELECT parse_document('{MINIMAL}').header.fileDesc.title AS t").first().t == "Wolf 359"
+    got = spark.sql("SELECT escape_xml_text('a<b>&\"''') AS e, title_markup('  A&B ') AS m, title_markup(' ') AS n, title_error(' ') AS t, first_forbidden_xml_char('a\u0001') AS c").first()
+    assert tuple(got) == ("a&lt;b&gt;&amp;&quot;&apos;", "<title>A&amp;B</title>", None, "document title may not be empty", "\x01")
+    assert spark.sql(f"SELECT parse_document('{MINIMAL}').header.fileDesc.title AS t").first().t == "Tide Tables"
 
 
 def test_checks_across_parts(spark):
@@ -166,7 +168,7 @@ def test_checks_across_parts(spark):
     assert validate.outside_values(spans, "block_id", ["b"]).count() == 1
     assert {(r.speaker, r.text) for r in validate.utterance_list(docs).collect()} == {("host", "abc"), ("guest", "d")}
     assert validate.differences(docs, docs).count() == 0
-    assert validate.versioned(docs).first().model_version == validate.MODEL_VERSION
+    assert {r.span_id: r.error for r in validate.span_errors(spans.withColumn("stop", F.when(F.col("span_id") != 1, F.col("stop"))), docs).collect()}[1] == "span without start or end"
 
 
 def test_files_and_streams(spark, tmp_path):
@@ -180,10 +182,10 @@ def test_files_and_streams(spark, tmp_path):
     rows = spark.table("blocks").collect()
     assert len(rows) == 2 and {(r.kind, r.who) for r in rows} == {("u", "host"), (None, None)}
     docs = files.read_xml(spark, str(tmp_path / "in")).where("error is null")
-    files.write_xml(docs, str(tmp_path / "out"))
+    assert files.write_xml(docs, str(tmp_path / "out")) == 0
     assert files.read_xml_lines(spark, str(tmp_path / "out")).first().blocks == read["a.xml"].blocks
     files.write_documents(docs, str(tmp_path / "parquet"))
-    assert spark.read.parquet(str(tmp_path / "parquet")).select("header.fileDesc.title").first().title == "Wolf 359"
+    assert spark.read.parquet(str(tmp_path / "parquet")).select("header.fileDesc.title").first().title == "Tide Tables"
 
 
 def test_table_adapters(spark):
@@ -214,3 +216,77 @@ def test_msgpack(spark):
     assert bytes(packed.first().packed) == full.to_msgpack()
     again = D.parse(packed, "doc_key", "packed", "msgpack").first()
     assert (again.header, again.blocks, again.error) == (docs.first().header, docs.first().blocks, None)
+
+
+def test_line_ends_survive(spark, tmp_path):
+    text = "one\rtwo\r\nthree\nfour\tfive"
+    rows = spark.createDataFrame([("a\tb", text), ("a\tb", text), (None, text), ("bad", "\x01")], "k string, t string")
+    docs = rows.select(F.col("k").alias("doc_key"), header.header(header.file_desc(F.lit("T"))).alias("header"), F.array(body_.utterance_of(F.lit("w"), F.array("t"))["value"].withField("inline", body_.joined(body_.text(F.col("t")), body_.pause(F.col("t"), F.lit("x"))))).alias("blocks"))
+    back = D.parse(D.emit(docs).where("error is null"), "doc_key", "xml").collect()
+    assert {(r.blocks[0].inline[0].text, r.blocks[0].inline[1].dur) for r in back} == {(text, text)}
+    assert files.write_xml(docs, str(tmp_path / "lines")) == 1
+    again = files.read_xml_lines(spark, str(tmp_path / "lines")).collect()
+    assert sorted((r.doc_key or "", r.blocks[0].inline[0].text, r.error) for r in again) == [("", text, None), ("a\tb", text, None), ("a\tb", text, None)]
+    (rejected,) = spark.read.parquet(str(tmp_path / "lines" / files.REJECTED)).collect()
+    assert rejected.doc_key == "bad" and "U+0001" in rejected.error
+
+
+def test_a_declared_encoding_is_not_heeded():
+    for name in ("ISO-8859-1", "UTF-16", "utf-8"):
+        assert P.read_xml(f'<?xml version="1.0" encoding="{name}"?>' + MINIMAL.replace("Tide", "é"))["header"]["fileDesc"]["title"] == "é Tables"
+
+
+BAD_JSON = ['{"teiHeader":{"fileDesc":{"title":"D"}},"text":{"body":{"$value":[{}]}}}', '{"teiHeader":{"fileDesc":{"title":"D","series":5}},"text":{"body":{"$value":[]}}}', "[" * 100_000, '"\\ud800"', '{"teiHeader":{"fileDesc":{"title":"\\ud800"}},"text":{"body":{"$value":[]}}}', "null", "7" * 5000, "{", "", None]
+
+
+def test_wrong_members_are_errors_of_their_rows(spark):
+    got = D.parse(spark.createDataFrame(list(enumerate([*BAD_JSON, MINIMAL])), "k long, x string"), "k", "x", "json", keep=("x",)).collect()
+    assert len(got) == len(BAD_JSON) + 1 and all(r.error and r.header is None and r.blocks is None for r in got)
+    assert [r.x for r in got] == [*BAD_JSON, MINIMAL]
+    packed = spark.createDataFrame([(1, bytearray(b"\xa1\xff")), (2, bytearray(b"\x81\x90\xc0")), (3, None)], "k long, x binary")
+    assert all(r.error for r in D.parse(packed, "k", "x", "msgpack").collect())
+
+
+def test_every_mutated_document_gives_a_document_or_an_error(spark):
+    import json
+    import random
+
+    from scriptloom.functions import msgpack as M
+
+    rng = random.Random(11)
+    whole = facade.parse_xml(FULL).to_dict()
+
+    def mutated(value):
+        if rng.random() < 0.06:
+            return rng.choice([None, 5, -1.5, True, "", " ", "x", [], {}, [[]], {"p": 1}, "\ud800", "\0"])
+        if isinstance(value, dict):
+            return {(k if rng.random() > 0.02 else "?"): mutated(v) for k, v in value.items()}
+        return [mutated(v) for v in value] if isinstance(value, list) else value
+
+    trees = [mutated(whole) for _ in range(300)]
+    cut = lambda x: x[: rng.randrange(len(x))] + rng.choice(["", "<", "&", "]]>", "\0", "</p>", "é"]) + x[rng.randrange(len(x)) :]
+    pack = M.pack(whole)
+    binary = [bytearray(pack[: (i := rng.randrange(len(pack)))] + bytes([rng.randrange(256)]) + pack[i + 1 :]) for _ in range(300)]
+    for form, rows, kind in (("json", [json.dumps(t) for t in trees], "string"), ("json", [cut(json.dumps(whole)) for _ in range(100)], "string"), ("xml", [cut(FULL) for _ in range(300)], "string"), ("msgpack", binary, "binary")):
+        got = D.parse(spark.createDataFrame(list(enumerate(rows)), f"k long, x {kind}"), "k", "x", form).collect()
+        assert len(got) == len(rows) and all((r.error is None) == (r.header is not None and r.blocks is not None) for r in got)
+        assert any(r.error is None for r in got) or form == "xml"
+
+
+def test_versions(spark):
+    docs = D.parse(spark.createDataFrame([(1, FULL)], "k long, x string"), "k", "x")
+    got = validate.versioned(docs).first()
+    assert (got.model_version, got.version_error, got.blocks) == (validate.MODEL_VERSION, None, docs.first().blocks)
+    newer = validate.versioned(docs.withColumn("model_version", F.lit(7))).first()
+    assert newer.model_version == 7 and "7" in newer.version_error
+    oldest = docs.withColumn("blocks", F.lit(None).cast(body_.BLOCKS)).withColumn("header", F.col("header").withField("profileDesc", F.col("header.profileDesc").withField("speaker", F.lit(None).cast("array<string>"))))
+    got = validate.versioned(oldest.withColumn("model_version", F.lit(0))).first()
+    assert (got.model_version, got.blocks, got.header.profileDesc.speaker) == (validate.MODEL_VERSION, [], [])
+
+
+def test_documents_are_written_in_sql(spark):
+    facade.register(spark)
+    rows = spark.createDataFrame([(1, FULL), (2, MINIMAL), (3, body("<p/><p>a&#13;<hi rend='&#10;'>b</hi></p>"))], "k long, x string")
+    parsed = D.parse(rows, "k", "x", keep=("k",))
+    assert all(r.a == r.b for r in parsed.select(F.expr("emit_document(header, blocks)").alias("a"), xml.emit_xml(F.col("header"), F.col("blocks"))["value"].alias("b")).collect())
+    assert D.from_titles(spark.createDataFrame([(1, "\1")], "k long, t string"), F.col("k"), F.col("t")).selectExpr("emit_document(header, blocks) AS x").first().x is None

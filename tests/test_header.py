@@ -10,15 +10,15 @@ def one(spark, column):
 
 def test_recording_header_metadata(spark):
     head = H.assembled(
-        H.file_desc(F.lit("The Silt Verses"), synopsis=F.lit(" River gods ")),
-        H.profile_desc(F.lit("s"), F.array(F.lit("Carpenter")), F.array(F.lit("en-GB"))),
-        H.encoding_desc(F.array(H.annotation_system(F.lit("bromide"), F.lit("Cliché detection"))["value"])),
+        H.file_desc(F.lit("Low Water"), synopsis=F.lit(" Salt and mud ")),
+        H.profile_desc(F.lit("s"), F.array(F.lit("Pilot")), F.array(F.lit("en-GB"))),
+        H.encoding_desc(F.array(H.annotation_system(F.lit("tropes"), F.lit("worn phrases"))["value"])),
         H.revision_desc(F.array(H.revision_change(F.lit("Initial ingest"), F.lit(None).cast("string"))["value"])),
     )
     h = one(spark, head)
-    assert (h.fileDesc.title, h.fileDesc.series, h.fileDesc.synopsis) == ("The Silt Verses", None, "River gods")
-    assert (h.profileDesc.speaker, h.profileDesc.lang) == (["Carpenter"], ["en-GB"])
-    assert h.encodingDesc.annotationSystem[0].asDict() == {"id": "bromide", "desc": "Cliché detection"}
+    assert (h.fileDesc.title, h.fileDesc.series, h.fileDesc.synopsis) == ("Low Water", None, "Salt and mud")
+    assert (h.profileDesc.speaker, h.profileDesc.lang) == (["Pilot"], ["en-GB"])
+    assert h.encodingDesc.annotationSystem[0].asDict() == {"id": "tropes", "desc": "worn phrases"}
     assert h.revisionDesc.change[0].asDict() == {"description": "Initial ingest", "resp": None}
 
 
