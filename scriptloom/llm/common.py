@@ -7,9 +7,12 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters of text handled together inside a Python worker.  Bounds its memory.
 CHUNK_CHARS = 1_000_000
@@ -37,16 +40,37 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: The workspace within which operators make theirs, if a caller has set one.
+_within: ContextVar[Workspace | None] = ContextVar("within", default=None)
+
+
 class Workspace:
     """Tables and files of one run below the shared folder.
 
     A saved table cuts the lineage: what is read from it survives the loss of executors,
     as Spark's committed output does not live on any of them.
+
+    Operators read their results lazily from tables they have saved.  A caller who wants
+    them gone afterwards runs the operator and saves its result within ``temporary``:
+
+        with Workspace(spark, "mine").temporary():
+            jaccard.link_documents(docs).write.parquet(path)
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        outer = _within.get()
+        self.path = f"{outer.path if outer else shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+    @contextmanager
+    def temporary(self) -> Iterator[Workspace]:
+        """All workspaces made inside lie within this one, and it is removed at the end."""
+        before = _within.set(self)
+        try:
+            yield self
+        finally:
+            _within.reset(before)
+            self.drop()
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -58,6 +82,27 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bits of the map that ``sifted`` broadcasts: at most 2 ** (SIFT_BITS - 6) rows of 16 bytes.
+SIFT_BITS = 26
+
+
+def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``key`` may be among those of ``wanted``, and those whose key is not.
+
+    A bit map of the wanted keys' hashes is broadcast; its size is bounded whatever the
+    tables' sizes, and where it fills up more rows are "may be".  So a join of a large table
+    with few keys shuffles little of it, and the other rows go on as they are.  Null keys
+    are keys like any other.  ``wanted`` is read more than once: give a saved table."""
+    place = F.xxhash64(key).bitwiseAND(F.lit((1 << SIFT_BITS) - 1))
+    word = F.shiftright(place, 6)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    own = wanted.select(F.col(key).cast(rows.schema[key].dataType).alias(key))
+    bits = own.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    marked = rows.join(F.broadcast(bits), word == F.col("__word"), "left")
+    may = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(may).drop("__word", "__bits"), marked.where(~may).drop("__word", "__bits")
+
+
 #: The one large thing that this Python worker keeps between tasks, by its key.
 _resident: dict = {}
 

@@ -7,14 +7,18 @@
    bounded by the segment, so no key gathers the corpus.
 3. ``candidates`` intersects and unites the lists, segment by segment.
 4. ``find_secrets`` verifies the rules on their candidates with the regular expressions;
-   rules without a query are verified on every document.
+   rules without a query are verified on every document.  Only documents that may be
+   candidates are shuffled to meet their rules; the others stay where they are.  The index
+   and its candidates are saved in the shared folder.
 
 Spans count code points, the end exclusive.  A rule's matches are leftmost and do not
 overlap; those whose part is shorter than the rule asks are dropped.
 
 Null texts count as empty: no spans.  Rows with a null identifier are in no list and are
-verified in full.  Repeated rows each keep their row.  The index is keyed by identifier, so
-differing rows that share one are candidates together, which only adds verifications.
+verified in full, where they are.  Repeated rows each keep their row.  The index is keyed by
+identifier, so differing rows that share one are candidates together, which only adds
+verifications.  Very long texts are searched whole.  An empty table gives no rows.  Other
+columns pass through; those named like the results (``secrets``, ``kinds``) are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace, sifted
+
 SEGMENT = 4096
 #: Strings that an expression is taken to stand for before its trigrams are drawn.
 MOST_STRINGS = 64
@@ -210,17 +216,23 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     trigrams = sorted(set().union(*(c for q in queries.values() if q for c in q)))
     docs = docs.drop(*({"secrets", "kinds"} & set(docs.columns)))
-    if trigrams:
-        able = candidates(build_index(docs, trigrams, text=text), rules)
-        docs = docs.join(able, "doc_id", "left")
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = []
-    for i, rule in enumerate(rules):
-        own = spans(body, rule, i)
-        if queries[rule.kind] is not None:
-            own = F.when(F.col("doc_id").isNull() | F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False)), own).otherwise(F.array().cast("array<struct<start:bigint,order:int,stop:bigint,kind:string>>"))
-        found.append(own)
-    return docs.withColumn("secrets", F.array_sort(F.concat(*found))).drop("kinds")
+    body, none = F.coalesce(F.col(text), F.lit("")), F.array().cast("array<struct<start:bigint,order:int,stop:bigint,kind:string>>")
+
+    def verified(rows: DataFrame, able) -> DataFrame:
+        """``able`` says of a rule with a query whether a row is to be verified."""
+        found = [spans(body, r, i) if queries[r.kind] is None else F.when(able(r), spans(body, r, i)).otherwise(none) for i, r in enumerate(rules)]
+        return rows.withColumn("secrets", F.array_sort(F.concat(*found)))
+
+    if not trigrams:
+        return verified(docs, lambda r: F.lit(True))
+    work = Workspace(docs.sparkSession, "secrets")
+    index = work.save(build_index(docs, trigrams, text=text), "index")
+    able = work.save(candidates(index, rules), "candidates")
+    may, no = sifted(docs, able.select("doc_id"), "doc_id")
+    # A null identifier may share its hash with a candidate's, but it meets none in the join.
+    here = verified(no.unionByName(may.where("doc_id is null")), lambda r: F.col("doc_id").isNull())
+    met = verified(may.where("doc_id is not null").join(able, "doc_id", "left"), lambda r: F.coalesce(F.array_contains("kinds", r.kind), F.lit(False)))
+    return here.unionByName(met.drop("kinds"))
 
 
 def digest_secrets(documents: DataFrame) -> DataFrame:

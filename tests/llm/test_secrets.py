@@ -98,6 +98,12 @@ def test_null_ids_repeats_and_empty(spark, odd, none):
     assert sorted(r.n_hex for r in S.digest_secrets(rows).collect()) == [0, 1, 1, 1]
 
 
+def test_documents_that_are_no_candidates_are_not_shuffled(spark, docs_of):
+    texts = TEXTS + [f"plain words {i}" for i in range(200)]
+    got = {r.doc_id: r.spans for r in S.digest_secrets(docs_of(texts)).collect()}
+    assert got == {i: ",".join(f"{k}:{a}:{b}" for a, _, b, k in brute(t or "")) for i, t in enumerate(texts)}
+
+
 def test_main_path_is_native(docs_of):
     plan = S.digest_secrets(docs_of(TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
