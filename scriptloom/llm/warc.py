@@ -11,14 +11,17 @@ origin, orders them by number, verifies that none is missing or repeated and tha
 length is right, undoes the chunked framing, and gives payloads with their digests.  What
 fails a check is kept with its ``error`` and no payload.
 
-Payloads are looked up by digest with a partial aggregate and a join that Spark can split
-where one payload has very many pages; only segments are shuffled for reassembly, grouped
-by record, so a group is one page.  Writing tasks name their files themselves; only files
-that Spark's committed manifest lists are read.
+Payloads are looked up by digest, with a partial aggregate, among identifiers and digests
+alone; of the pages themselves only those that may be revisits are shuffled, by identifier
+and digest, so a payload with very many pages is spread.  Only segments are shuffled for
+reassembly, grouped by record, so a group is one page.  Writing tasks name their files
+themselves; only files that Spark's committed manifest lists are read.
 
 Null html counts as an empty payload.  Rows with a null identifier revisit a page that has
 one, if its payload is the same.  Repeated rows with the identifier of the response are
-responses too.  An empty table writes no archive and gives no rows.
+responses too.  Very long pages are cut into segments; reassembly holds one page at a time.
+An empty table writes no archive and gives no rows.  Columns but page_id, url and html are
+not read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, Workspace, vacate
+from .common import BATCH_BYTES, Workspace, sifted, vacate
 
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4 * 1024
@@ -138,13 +141,17 @@ def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 def first_pages(pages: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     """Adds ``refers_to``: the first page of the same payload, if that is another one and the
     payload has ``least`` bytes."""
-    pages = pages.withColumn("__sha1", F.sha1(F.coalesce("html", F.lit(""))))
-    firsts = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least).groupBy("__sha1").agg(F.min("page_id").alias("__first"), F.count("*").alias("__n"))
-    # Only payloads that several pages have take part in the join's other side.
-    firsts = firsts.where("__n > 1").drop("__n")
-    joined = pages.join(firsts, "__sha1", "left")
-    other = F.col("__first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__first"))
-    return joined.withColumn("refers_to", F.when(other, F.col("__first"))).drop("__sha1", "__first")
+    pages, sha1 = pages.drop("refers_to"), F.sha1(F.coalesce("html", F.lit("")))
+    keys = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least).select("page_id", sha1.alias("__sha1"))
+    # Only payloads that several pages have take part in the joins.
+    firsts = keys.groupBy("__sha1").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    other = ~F.col("page_id").eqNullSafe(F.col("refers_to"))
+    work = Workspace(pages.sparkSession, "revisits")
+    revisits = work.save(keys.join(firsts, "__sha1").where(other).distinct(), "revisits")
+    may, no = sifted(pages, revisits.select("page_id"), "page_id")
+    own = revisits.select(F.col("page_id").alias("__id"), F.col("__sha1").alias("__own"), "refers_to")
+    met = may.join(own, F.col("page_id").eqNullSafe(F.col("__id")) & (sha1 == F.col("__own")), "left")
+    return met.select(*pages.columns, "refers_to").unionByName(no.withColumn("refers_to", F.lit(None).cast("long")))
 
 
 def write_archives(pages: DataFrame, root: str) -> DataFrame:

@@ -32,6 +32,12 @@ def test_a_null_id_revisits(spark):
     assert [(r.record_type, r.refers_to, r.payload_bytes) for r in got] == [("revisit", 3, 10)]
 
 
+def test_pages_of_one_payload_are_spread(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "'u' AS url", "if(id % 3 = 0, '<p>same</p>', concat('<p>', id, '</p>')) AS html")
+    got = {r.page_id: r.refers_to for r in W.first_pages(pages).select("page_id", "refers_to").collect()}
+    assert got == {i: 0 if i % 3 == 0 and i else None for i in range(3000)}
+
+
 def test_an_empty_table(spark):
     assert W.archive_pages(spark, spark.createDataFrame([], SCHEMA)).collect() == []
 
