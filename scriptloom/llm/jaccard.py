@@ -1,15 +1,16 @@
 """Similarity join of documents by the Jaccard index of their word n-gram sets.
 
 1. Each text gives its set of n-grams (hashes of ``N`` words, 64 bits; a text with fewer
-   words is one n-gram), a key of 128 bits of the set, and MinHash signatures.  Copies share
-   a key and are one set from here on.
+   words is one n-gram, one with signs alone is one by itself), a key of 128 bits of the
+   set, and MinHash signatures.  Copies share a key and are one set from here on.
 2. Bands: ``plan_bands`` takes the number of rows that leaves the fewest chance candidates
    among those whose bands, within the budget of hashes, find a pair at the threshold with
    the wanted recall.  Sets are shuffled by band hash, not compared there: each bucket gives
    a star of edges to its least set, and components of these edges hold every candidate
    pair.
-3. Components are cut into blocks of ``BLOCK`` sets; each pair of blocks is a task of its
-   own in which the pairs that share a band are verified on their full n-gram sets.  A task
+3. Components are cut into blocks of ``BLOCK`` sets.  A set is sent to those blocks alone
+   in which another shares a band with it; each pair of blocks is a group of its own in
+   which the pairs that share a band are verified on their full n-gram sets.  A group
    returns a row for each of its sets, with its links and its root, never pairs.
 4. Components of the verified links are the classes.
 
@@ -17,9 +18,13 @@
 its class, and ``n_links``, the number of other documents that are as similar as the
 threshold, copies included.  Cost beyond the linear part is that of verifying candidates.
 
-Null, empty and wordless texts have no n-grams: they are linked to nothing, each a class of
-its own with its identifier.  Rows with null identifiers are linked too; a class of such
-rows alone has a null class_id.  Repeated rows are copies.
+Null and empty texts have no n-grams: they are linked to nothing, each a class of its own
+with its identifier.  Texts of signs or white space alone are linked to their exact copies.
+Rows with null identifiers are linked too; a class of such rows alone has a null class_id.
+Repeated rows are copies; rows that share an identifier are documents of their own.  Very
+long texts are cut into words a million characters at a time; their set is one row.  An
+empty table gives no rows.  Other columns are not read, so their names can't clash;
+``one_of_each`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, vacate
+from .common import Workspace, chunks, sifted, vacate
 from .graph import components
 from .words import mixed, windows, words
 
@@ -41,7 +46,7 @@ N = 5
 #: The threshold as a fraction, so that comparisons are exact.
 NUMERATOR, DENOMINATOR = 4, 5
 RECALL, HASHES = 0.9999, 336
-BLOCK = 512
+BLOCK = 256
 #: Pairs in a block pair beyond which intersections are counted by matrices.
 DENSE = 2000
 
@@ -87,9 +92,11 @@ def gram_sets(texts: list[str], n: int = N) -> list[np.ndarray]:
     found = words(texts)
     cuts = np.searchsorted(found.text, np.arange(len(texts) + 1))
     out = []
-    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        own = found.hash[lo:hi]
-        out.append(np.unique(windows(own, min(n, hi - lo))) if hi > lo else np.zeros(0, np.uint64))
+    for text, lo, hi in zip(texts, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if hi > lo:
+            out.append(np.unique(windows(found.hash[lo:hi], min(n, hi - lo))))
+        else:
+            out.append(np.array([xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))] if text else [], np.uint64))
     return out
 
 
@@ -97,12 +104,13 @@ def set_key(grams: np.ndarray) -> bytes | None:
     return xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None
 
 
-def tag_of(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+def tag_of(doc_id: str, text: str) -> Column:
+    """A digest of a row's identifier and text."""
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
 
 
 def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, tag (a digest of the text), key, bands of each document."""
+    """doc_id, tag, key, bands of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vacate()
@@ -116,7 +124,7 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                         hashed[k] = band_hashes(signature(s, bands * rows), bands, rows)
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("tag"), pa.array(keys, pa.binary()), pa.array([hashed.get(k) for k in keys], pa.list_(pa.int64()))], names=["doc_id", "tag", "key", "bands"])
 
-    return docs.select("doc_id", "text", tag_of(F.col("text")).alias("tag")).mapInArrow(run, "doc_id long, tag string, key binary, bands array<long>")
+    return docs.select("doc_id", "text", tag_of("doc_id", "text").alias("tag")).mapInArrow(run, "doc_id long, tag string, key binary, bands array<long>")
 
 
 def with_grams(docs: DataFrame, n: int) -> DataFrame:
@@ -238,15 +246,20 @@ def link_sets(docs: DataFrame, n: int = N, label: str = "jaccard") -> tuple[Data
     parts = found.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = found.join(parts, "root").select(F.col("node").alias("key"), F.col("root").alias("component"), "blocks").join(sets, "key")
     placed = work.save(placed.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")), "placed")
+    # Components of one block need no look at their bands; in others, the blocks a band is in.
+    banded = placed.where("blocks > 1").select("key", "block", F.explode("bands").alias("band"))
+    spread = banded.groupBy("band").agg(F.collect_set("block").alias("others"))
+    met = banded.join(spread, "band").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    met = met.unionByName(placed.where("blocks = 1").select("key", F.array(F.lit(0)).alias("others")))
     # One document of each candidate set gives its n-grams; those without identifier apart.
-    # The candidates are never broadcast: they grow with the corpus.
+    # What can't be a candidate isn't shuffled, and candidates are never broadcast whole.
     ids = placed.where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
+    able, _ = sifted(docs.select("doc_id", "text"), ids, "doc_id")
+    texts = able.join(ids.hint("merge"), "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
     grams = with_grams(texts, n).dropDuplicates(["key"])
-    cut = placed.join(grams, "key").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = placed.join(met, "key").join(grams, "key").withColumn("other", F.explode("others"))
     cut = cut.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("component", "low", "high", "block", "key", "copies", "bands", "grams")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    checked = work.save(verified(cut.repartition(parts, "component", "low", "high").sortWithinPartitions("component", "low", "high")), "verified")
+    checked = work.save(verified(cut.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")), "verified")
     work.drop("placed")
 
     classes = components(checked.select(F.col("key").alias("a"), F.col("root").alias("b")), work, "classes")
@@ -268,16 +281,19 @@ def link_documents(docs: DataFrame, n: int = N) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
     """One document of each class, with all its columns: that of the least identifier, of
-    those the one with the least digest of its text, of repeated rows any.  Documents
-    without words stay."""
+    those the one with the least digest, of repeated rows any.  Null and empty texts stay."""
     signed, each = link_sets(docs, n, "distinct")
+    members = signed.join(each, "key").select("root", "doc_id", "tag")
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tag")
-    kept = signed.join(each, "key").groupBy("root").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.tag").alias("__tag"))
-    wordless = signed.where("key is null").select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
-    tagged = docs.withColumn("__own", tag_of(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag"))
-    worded = tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__own"])
-    return worded.unionByName(tagged.join(wordless, same, "left_semi")).drop("__own")
+    groups = members.groupBy("root").agg(F.min(order)["tag"].alias("first"), F.count("*").alias("n")).where("n > 1")
+    work = Workspace(docs.sparkSession, "distinct")
+    crowd = work.save(members.join(groups, "root").select("doc_id", "tag", (F.col("tag") == F.col("first")).alias("__kept")).distinct(), "crowd")
+    # Only documents that may have copies are shuffled.
+    able, alone = sifted(docs, crowd.select("doc_id"), "doc_id")
+    found = able.withColumn("__own", tag_of("doc_id", "text")).join(crowd.select(F.col("tag").alias("__own"), "__kept"), "__own", "left").where("coalesce(__kept, true)")
+    # Of repeated rows that are kept one stays; those outside the crowd are all kept.
+    once = found.withColumn("__row", F.when(F.col("__kept").isNull(), F.monotonically_increasing_id())).dropDuplicates(["__own", "__row"])
+    return once.select(*docs.columns).unionByName(alone)
 
 
 ORACLE = f"""
@@ -286,6 +302,7 @@ WITH RECURSIVE worded AS (
 ), grams AS (
     SELECT DISTINCT doc_id, array_to_string(ws[i : i + {N - 1}], ' ') AS gram
     FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - {N - 2}))) AS i FROM worded WHERE len(ws) > 0)
+    UNION SELECT doc_id, '|' || text FROM documents WHERE text <> '' AND len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) = 0
 ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
 common AS (
     SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY ALL

@@ -15,7 +15,6 @@ import numpy as np
 #: Characters laid end to end; longer texts are cut between words.
 SPAN = 1_000_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
-_LONGEST = 4096
 
 
 @lru_cache
@@ -33,10 +32,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return folded, word, upper, digit
 
 
-@lru_cache
-def _powers() -> np.ndarray:
+@lru_cache(1)
+def _powers(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.full(_LONGEST, _MULTIPLIER, np.uint64))
+        return np.cumprod(np.full(n, _MULTIPLIER, np.uint64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -78,10 +77,12 @@ def _analyse(texts: list[str], offset: int = 0, opens: bool = True) -> Words:
         return Words(none, none, none, none.astype(np.uint64), *(none.astype(bool) for _ in range(4)))
     at = np.flatnonzero(inside[1:-1])
     first = np.concatenate([[0], np.cumsum(stop - start)[:-1]])
-    place = (np.arange(len(at)) - np.repeat(first, stop - start)) % _LONGEST
+    place = np.arange(len(at)) - np.repeat(first, stop - start)
+    # As many as the longest word has characters, rounded up so that few sizes are met.
+    powers = _powers(max(4096, 1 << int((stop - start).max()).bit_length()))
     own = points[at]
     with np.errstate(over="ignore"):
-        hashes = mixed(np.add.reduceat((folded[own].astype(np.uint64) + np.uint64(1)) * _powers()[place], first))
+        hashes = mixed(np.add.reduceat((folded[own].astype(np.uint64) + np.uint64(1)) * powers[place], first))
     capitals = np.add.reduceat(upper[own].astype(np.int32), first)
     digits = np.add.reduceat(digit[own].astype(np.int32), first)
     # What is between a word and the one before it.

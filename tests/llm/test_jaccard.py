@@ -14,7 +14,7 @@ from .conftest import ODD
 
 def grams(text, n=J.N):
     w = regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
-    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else {"|" + text} if text else set()
 
 
 def brute(texts):
@@ -42,7 +42,7 @@ def near_copies(seed, groups=12, size=8):
             for _ in range(int(rng.integers(0, 1 + len(base) // 25))):
                 own[int(rng.integers(len(own)))] = str(rng.choice(vocabulary))
             texts.append(" ".join(own) if k % 3 else " ".join(own).upper() + ".")
-    texts += ["a b c", "A, b c!", "one two three four five", "one two three four five six", "", None, "...", "x y"]
+    texts += ["a b c", "A, b c!", "one two three four five", "one two three four five six", "", None, "...", "x y", "...", "!?", "...", " "]
     return texts
 
 
@@ -129,3 +129,45 @@ def test_words_of_long_texts_are_those_of_short_ones(monkeypatch):
     monkeypatch.setattr(W, "SPAN", 40)
     got = W.words(texts)
     assert all((getattr(got, f) == getattr(want, f)).all() for f in ("text", "start", "stop", "hash", "number", "title"))
+
+
+def test_long_words_are_told_apart():
+    from scriptloom.llm.words import words
+
+    a, b, c = (words([x]).hash.tolist() for x in ("x" * 4096 + "y" * 4096, "y" * 4096 + "x" * 4096, "X" * 4096 + "y" * 4096))
+    assert a != b and a == c
+
+
+def test_a_chain_halves_with_each_pair_of_rounds(spark, monkeypatch):
+    work = Workspace(spark, "chain")
+    rounds = []
+    monkeypatch.setattr(work, "save", lambda df, name, save=work.save: rounds.append(name) or save(df, name))
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long"), work, "t").collect()}
+    assert got == dict.fromkeys(range(301), 0)
+    assert sum("map" in n for n in rounds) <= 24
+
+
+@pytest.mark.parametrize("bits", [26, 8])
+def test_sifting_loses_no_wanted_row(spark, monkeypatch, bits):
+    from scriptloom.llm import common
+
+    monkeypatch.setattr(common, "SIFT_BITS", bits)
+    rows = spark.range(5000).union(spark.sql("SELECT cast(null AS bigint)")).withColumn("x", F.lit("x"))
+    may, no = common.sifted(rows, spark.createDataFrame([(7,), (900,), (None,), (10**6,)], "id int"), "id")
+    assert may.columns == no.columns == rows.columns
+    a, b = {r.id for r in may.collect()}, {r.id for r in no.collect()}
+    assert {7, 900, None} <= a and not a & b and a | b == {*range(5000), None}
+    assert len(a) < (10 if bits == 26 else 400)
+
+
+def test_copies_that_may_not_exist_are_not_shuffled(spark, docs_of):
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(40)] + ["same words in both of these two texts here"] * 2
+    plan = J.one_of_each(docs_of(texts))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_extra_columns_and_repeated_rows(spark):
+    rows = [(1, "a b c d e f", "k1"), (1, "a b c d e f", "k1"), (2, "A b c d e f!", "k2"), (3, "", "k3"), (3, "", "k3"), (4, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string").withColumn("root", F.lit(5))
+    out = J.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3, 3, 4]
