@@ -5,25 +5,34 @@ become token-position rows, first one for each byte.  A recursive query then joi
 row and its right neighbour with the merge table, takes each word's pair of least rank (of
 equal ranks the leftmost), contracts it, and goes on with the words that had one; the other
 words' rows are final.  That is the order in which the tiktoken library merges, so the ids
-are the same.  A second query decodes them: token bytes, aggregated in order of position.  It
-runs for every distinct word; as decoded bytes nearly always are the word's own, only those
-that aren't are remembered.
+are the same.  A second query decodes documents from their final ids: token bytes,
+aggregated in order of position.
 
 The merge table has every way to cut a token into two tokens, as a pair's rank is that of
-its joined bytes.  Words are handled in blocks of ``BLOCK_WORDS`` and remembered up to a
-limit, so memory is bounded.  A word of n bytes takes up to n rounds over its rows: words of
-thousands of bytes are right but slow.
-
-Narrow: no shuffle.  Null texts count as empty: no ids, nothing decoded.  Other columns pass
-through; columns named like the results are replaced.
+its joined bytes.  Words are handled in blocks of ``BLOCK_BYTES`` and remembered up to a
+limit, so memory is bounded.
+
+Words over ``LONG`` bytes would need a round for each token.  They are first cut where no
+token of the vocabulary crosses, so no merge does; what stays long is contracted by
+``LONG_SQL``: in each round all of a word's pairs of the least rank that don't overlap, up
+to the first that makes a cheaper pair with its neighbours.  That is what the leftmost pairs
+would come to one by one, so the ids are the same; rounds are as many as different ranks are
+met, and the table that grows is keyed by place, so it holds each place once.
+
+Narrow: no shuffle.  Null texts count as empty: no ids, nothing decoded.  Repeated rows are
+encoded alike; an empty table gives no rows.  Other columns pass through; columns named like
+the results are replaced.
 """
 
 from __future__ import annotations
 
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +42,10 @@ from .common import chunks, resident
 from .pieces import PieceCache, cut_texts
 from .unigram import load_ranks
 
-BLOCK_WORDS = 20_000
+#: Bytes of words that one query contracts together; a longer word is a block by itself.
+BLOCK_BYTES = 200_000
+#: Bytes of a word from which it is cut and contracted as a long one.
+LONG = 64
 #: Pieces remembered in a Python worker, at some 180 bytes each.
 CACHED = 800_000
 
@@ -59,9 +71,42 @@ WITH RECURSIVE step AS (
 SELECT word, pos, id FROM step WHERE NOT live
 """
 
+LONG_SQL = """
+WITH RECURSIVE step(word, pos, id, live) USING KEY (word, pos) AS (
+    SELECT word, pos, id, TRUE AS live FROM bytes_in
+  UNION ALL (
+    WITH pairs AS (
+        SELECT word, pos, id, lag(id) OVER w AS before, lead(pos) OVER w AS next_pos, lead(id) OVER w AS next_id, lead(id, 2) OVER w AS after
+        FROM step WHERE live AND id >= 0 WINDOW w AS (PARTITION BY word ORDER BY pos)
+    ), ranked AS (
+        SELECT p.*, rank, min(rank) OVER (PARTITION BY word) AS least
+        FROM pairs p JOIN merges ON left_id = id AND right_id = next_id
+    ), runs AS (
+        SELECT *, sum(fresh) OVER (PARTITION BY word ORDER BY pos) AS run
+        FROM (SELECT *, CASE WHEN lag(next_pos) OVER (PARTITION BY word ORDER BY pos) = pos THEN 0 ELSE 1 END AS fresh FROM ranked WHERE rank = least)
+    ), apart AS (
+        SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY word, run ORDER BY pos) AS k FROM runs) WHERE k % 2 = 1
+    ), cheaper AS (
+        SELECT a.word, min(a.pos) AS pos FROM apart a
+        LEFT JOIN merges x ON x.left_id = a.before AND x.right_id = a.rank
+        LEFT JOIN merges y ON y.left_id = a.rank AND y.right_id = a.after
+        LEFT JOIN merges b ON b.left_id = a.rank AND b.right_id = a.rank
+        WHERE least(x.rank, y.rank, b.rank) < a.rank GROUP BY a.word
+    ), chosen AS (
+        SELECT a.word, a.pos, a.next_pos, a.rank FROM apart a LEFT JOIN cheaper c ON c.word = a.word WHERE c.pos IS NULL OR a.pos <= c.pos
+    )
+    SELECT p.word, p.pos, CASE WHEN g.word IS NOT NULL THEN -1 WHEN a.word IS NOT NULL THEN a.rank ELSE p.id END AS id, b.word IS NOT NULL AS live
+    FROM pairs p
+    LEFT JOIN chosen a ON a.word = p.word AND a.pos = p.pos
+    LEFT JOIN chosen g ON g.word = p.word AND g.next_pos = p.pos
+    LEFT JOIN (SELECT DISTINCT word FROM chosen) b ON b.word = p.word
+  )
+)
+SELECT word, pos, id FROM step WHERE id >= 0
+"""
+
 DECODE_SQL = """
-SELECT e.word, list(e.id ORDER BY e.pos) AS ids, string_agg(v.hex, '' ORDER BY e.pos) AS decoded
-FROM encoded e JOIN vocabulary v ON v.id = e.id GROUP BY e.word
+SELECT doc, list(v.text ORDER BY pos) AS parts FROM tokens_in t JOIN vocabulary v ON v.id = t.id GROUP BY doc
 """
 
 
@@ -76,68 +121,109 @@ class Coder:
         self.base = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         #: Ids are kept in two bytes where the vocabulary allows it.
         self.kind = "<u2" if max(self.ranks.values()) < 1 << 16 else "<u4"
+        self.starts: set[bytes] = set()
         cuts = [(self.ranks.get(t[:i]), self.ranks.get(t[i:]), r) for t, r in self.ranks.items() for i in range(1, len(t))]
         left, right, rank = zip(*(c for c in cuts if None not in c), strict=True)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory})
+        # What a query can't hold it writes into this process's own temporary folder, as Spark's sorts do.
+        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": memory, "temp_directory": f"{tempfile.gettempdir()}/scriptloom-{os.getpid()}"})
         for name, data in (
             ("merges", {"left_id": pa.array(left, pa.int32()), "right_id": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())}),
-            ("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]}),
+            # A character for each byte, so that the bytes of a token can be text.
+            ("vocabulary", {"id": pa.array(self.ranks.values(), pa.int32()), "text": [t.decode("latin-1") for t in self.ranks]}),
         ):
             self.db.register("given", pa.table(data))
             self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM given")
             self.db.unregister("given")
-        #: Ids by piece; and what pieces decode to that don't decode to themselves.
-        self.cache, self.other = PieceCache(self.pieces, cached), {}
-
-    def words(self, words: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """(ids, decoded) of each distinct word."""
-        out, rest, width = {}, [], np.dtype(self.kind).itemsize
+        self.cache = PieceCache(self.pieces, cached)
+
+    def cut(self, word: bytes) -> list[bytes]:
+        """A long word in parts that no token of the vocabulary reaches across."""
+        if not self.starts:
+            self.starts = {t[:i] for t in self.ranks for i in range(1, len(t) + 1)}
+        starts, ranks, out, at, reach = self.starts, self.ranks, [], 0, 1
+        for i in range(len(word)):
+            if i >= reach:
+                out.append(word[at:i])
+                at, reach = i, i + 1
+            stop = i + 2
+            while stop <= len(word) and word[i:stop] in starts:
+                if stop > reach and word[i:stop] in ranks:
+                    reach = stop
+                stop += 1
+        return [*out, word[at:]]
+
+    def words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of each distinct word."""
+        out, rest, parts, width = {}, [], {}, np.dtype(self.kind).itemsize
         for w in words:
             b = w.encode()
             # What is a token is not merged from its bytes; as in tiktoken.
             if (r := self.ranks.get(b)) is not None:
-                out[w] = (r.to_bytes(width, "little"), b)
+                out[w] = r.to_bytes(width, "little")
+            elif len(b) > LONG:
+                parts[w] = self.cut(b)
             else:
                 rest.append((w, b))
-        for lo in range(0, len(rest), BLOCK_WORDS):
-            own = rest[lo : lo + BLOCK_WORDS]
+        out.update(self.contracted(rest, ENCODE_SQL))
+        if parts:
+            own = dict.fromkeys(p for ps in parts.values() for p in ps)
+            known = {p: self.ranks[p].to_bytes(width, "little") for p in own if p in self.ranks}
+            known |= self.contracted([(p, p) for p in own if p not in known and len(p) <= LONG], ENCODE_SQL)
+            known |= self.contracted([(p, p) for p in own if p not in known], LONG_SQL)
+            out.update((w, b"".join(map(known.__getitem__, ps))) for w, ps in parts.items())
+        return out
+
+    def contracted(self, rest: list[tuple], sql: str) -> dict:
+        """The ids of (name, bytes) by name."""
+        out, width, lo = {}, np.dtype(self.kind).itemsize, 0
+        while lo < len(rest):
+            hi, size = lo, 0
+            while hi < len(rest) and (hi == lo or size + len(rest[hi][1]) <= BLOCK_BYTES):
+                size += len(rest[hi][1])
+                hi += 1
+            own, lo = rest[lo:hi], hi
             sizes = np.array([len(b) for _, b in own])
             flat = np.frombuffer(b"".join(b for _, b in own), np.uint8)
             word = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
             pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             self.db.register("bytes_in", pa.table({"word": word, "pos": pos, "id": self.base[flat]}))
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE encoded AS {ENCODE_SQL}")
+            got = self.db.sql(f"SELECT word, id FROM ({sql}) ORDER BY word, pos").to_arrow_table()
             self.db.unregister("bytes_in")
-            got = self.db.sql(DECODE_SQL).to_arrow_table()
-            ids = got.column("ids").combine_chunks()
-            if isinstance(ids, pa.ChunkedArray):
-                ids = pa.concat_arrays(ids.chunks)
-            data, at = np.asarray(ids.flatten()).astype(self.kind).tobytes(), np.concatenate([[0], np.cumsum(np.asarray(ids.value_lengths()))]) * width
-            for k, (i, text) in enumerate(zip(got.column("word").to_pylist(), got.column("decoded").to_pylist(), strict=True)):
-                out[own[i][0]] = (data[at[k] : at[k + 1]], bytes.fromhex(text))
+            data = np.asarray(got.column("id")).astype(self.kind).tobytes()
+            at = (np.searchsorted(np.asarray(got.column("word")), np.arange(len(own) + 1)) * width).tolist()
+            out.update((name, data[a:b]) for (name, _), a, b in zip(own, at[:-1], at[1:], strict=True))
+        return out
+
+    def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
+        """What lists of ids stand for."""
+        sizes, out = np.array([len(x) for x in ids]), [b""] * len(ids)
+        if not sizes.sum():
+            return out
+        flat = np.concatenate(ids).astype(np.int32)
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), sizes)
+        self.db.register("tokens_in", pa.table({"doc": doc, "pos": np.arange(len(flat), dtype=np.int32), "id": flat}))
+        got = self.db.sql(DECODE_SQL).to_arrow_table()
+        self.db.unregister("tokens_in")
+        for k, text in zip(got.column("doc").to_pylist(), pc.binary_join(got.column("parts"), "").to_pylist(), strict=True):
+            out[k] = text.encode("latin-1")
         return out
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         cut = [self.find(p) for p in pieces]
         known = self.words(list(set().union(*cut)))
-        other = {w: decoded for w, (_, decoded) in known.items() if decoded != w.encode()}
-        for p, c in zip(pieces, cut, strict=True) if other else ():
-            if not other.keys().isdisjoint(c):
-                self.other[p] = b"".join(known[w][1] for w in c)
-        return [known[c[0]][0] if len(c) == 1 else b"".join([known[w][0] for w in c]) for c in cut]
+        return [known[c[0]] if len(c) == 1 else b"".join([known[w] for w in c]) for c in cut]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         cut = cut_texts(texts)
-        get, other = self.cache.fill([cut.pieces]), self.other
+        get = self.cache.fill([cut.pieces])
         ids = cut.joined(list(map(get, cut.pieces)), self.kind)
-        decoded = cut.joined([other.get(p) or p.encode() for p in cut.pieces], "u1")
-        for text, slow, own, back in zip(texts, cut.slow, ids, decoded, strict=True):
+        for k, slow in enumerate(cut.slow):
             if slow:
-                words = self.find(text)
+                words = self.find(texts[k])
                 get = self.cache.fill([words])
-                own = np.frombuffer(b"".join(map(get, words)), self.kind)
-                back = b"".join(other.get(w) or w.encode() for w in words)
-            yield own.astype("<u4").tobytes(), bytes(back)
+                ids[k] = np.frombuffer(b"".join(map(get, words)), self.kind)
+        for own, back in zip(ids, self.decoded(ids), strict=True):
+            yield own.astype("<u4").tobytes(), back
 
 
 def coder(ranks: str, pattern: str, cached: int = CACHED) -> Coder:
