@@ -13,11 +13,14 @@ identifiers do; a null identifier has the empty key and sorts first.  Each block
 a whole key, so a lookup needs the footer, the index and one block.  Values are ids as
 little-endian integers, two bytes each while the vocabulary allows it, else four.
 
-Documents are dealt out by range of identifier, so a shard is one sorted task and the whole
-is in order; a task writes under a name of its own and returns it, and only names that
-Spark's committed output lists are ever read, so repeated and lost tasks do no harm.  Equal
-identifiers keep all their rows, next to each other, ordered by text.  An empty table gives
-no rows.  Null texts count as empty.
+Documents are dealt out by range of identifier and digest of the text, so tasks are sorted,
+the whole is in order, and identifiers that very many rows share, or that are null, are
+spread.  A task starts a new shard after ``SHARD_BYTES``; it writes under names of its own
+and returns them, and only names that Spark's committed output lists are ever read, so
+repeated and lost tasks do no harm.  Equal identifiers keep all their rows, next to each
+other, ordered by the digest.  An empty table gives no rows.  Null texts count as empty; a
+very long text is one entry, and one block.  Columns but identifier and text are not read,
+so their names can't clash.
 """
 
 from __future__ import annotations
@@ -40,12 +43,12 @@ from .pieces import PieceCache, cut_texts
 
 MAGIC = b"SLSST001"
 BLOCK_BYTES = 64 * 1024
+#: Bytes after which a shard is closed; one more block may follow.
+SHARD_BYTES = 64 * 1024 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 _FOOTER = struct.Struct("<QIQIQQBI8s")
 END_ID = 0
 
-
-
 _ENDS = (",", ".", "\n")
 
 
@@ -97,8 +100,8 @@ class _Encoder:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        """A comma or full stop after a letter, and a line feed, are tokens by themselves, so
-        only what is between them is encoded, once for all pieces that share it."""
+        """A comma or full stop after a letter, and a line feed, are cut off by the usual
+        pattern, so only what is between them is encoded, once for all pieces that share it."""
         cores = [_core(p) for p in pieces]
         known = self.cache.known
         wanted = list({c for _, c, _ in cores}.difference(known))
@@ -107,8 +110,6 @@ class _Encoder:
         return [ends[a] + (new.get(c) if c in new else known[c]) + ends[b] for a, c, b in cores]
 
     def whole(self, pieces: list[str]) -> list[bytes]:
-        if self.letters is None:
-            return self.encoded(pieces)
         tokenize, letters, kind = self.tokenizer.model.tokenize, self.letters, self.kind
         out, rest = [None] * len(pieces), []
         for i, p in enumerate(pieces):
@@ -135,6 +136,8 @@ class _Encoder:
         return out
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if self.letters is None:  # Pieces are known to be encoded alone by the usual pattern only.
+            return [self.ids(text) for text in texts]
         cut = cut_texts(texts)
         get = self.cache.fill([cut.pieces])
         quick = cut.joined(list(map(get, cut.pieces)), self.kind)
@@ -284,40 +287,48 @@ def open_shard(path: str) -> Shard:
     return Shard(fs.open_input_file(place))
 
 
-def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int | None = END_ID, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, root: str, tokenizer: str, end_id: int | None = END_ID, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes every text and writes the shards below ``root`` (a URI).  Returns, lazily, a
-    row per shard: path, first and last identifier, entries, ids."""
+    row per shard: path, first and last identifier, the first text's digest, entries, ids."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    rows = rows.withColumn("tag", F.md5(F.col("text").cast("binary")))
+    order = (F.col("id").asc_nulls_first(), F.col("tag"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         fs, base = pafs.FileSystem.from_uri(root)
         fs.create_dir(base, recursive=True)
-        name = f"{uuid.uuid4().hex}.sst"
-        first = last = writer = out = None
+        first = last = name = tag = writer = out = None
+        tail = [] if end_id is None else [end_id]
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            out.close()
+            return pa.RecordBatch.from_pydict({"path": [f"{root}/{name}"], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "first_tag": [tag], "entries": [writer.entries], "n_ids": [writer.ids]})
+
         for batch in batches:
             for own, texts in chunks(batch, "text", 2_000_000):
-                for key, ids in zip(own.column("id").to_pylist(), encode(texts), strict=True):
+                for key, digest, ids in zip(own.column("id").to_pylist(), own.column("tag").to_pylist(), encode(texts), strict=True):
                     if writer is None:
+                        name, first, tag = f"{uuid.uuid4().hex}.sst", key, digest
                         out = fs.open_output_stream(f"{base}/{name}")
-                        writer, first = ShardWriter(out, encode.wide), key
-                    tail = [] if end_id is None else [end_id]
+                        writer = ShardWriter(out, encode.wide)
                     writer.add(key_of(key), np.concatenate([ids, np.array(tail, ids.dtype)]))
                     last = key
+                    if writer.at >= shard_bytes:
+                        yield closed()
+                        writer = None
         if writer:
-            writer.close()
-            out.close()
-            yield pa.RecordBatch.from_pydict({"path": [f"{root}/{name}"], "first_id": pa.array([first], pa.int64()), "last_id": pa.array([last], pa.int64()), "entries": [writer.entries], "n_ids": [writer.ids]})
+            yield closed()
 
-    return rows.mapInArrow(run, "path string, first_id long, last_id long, entries long, n_ids long")
+    return rows.mapInArrow(run, "path string, first_id long, last_id long, first_tag string, entries long, n_ids long")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Every document of the shards in ``manifest``: doc_id, start, n_tokens, ids (binary,
     little-endian 32-bit).  The manifest's rows, one a shard, are all that the driver sees."""
-    shards = sorted(manifest.collect(), key=lambda r: (r.first_id is not None, r.first_id or 0, r.last_id or 0))
+    shards = sorted(manifest.collect(), key=lambda r: (r.first_id is not None, r.first_id or 0, r.first_tag))
     starts, total = [], 0
     for r in shards:
         starts.append((r.path, total))
