@@ -3,12 +3,18 @@
 Distinct pre-tokens go into a trie of bytes.  A node's forward state, the least cost of any
 segmentation of its prefix and the number of its tokens, depends on the prefix alone, so it
 is computed once however many pre-tokens share it; the state of a pre-token's last node is
-its count.  Costs are whole micronats, so sums are exact: the token of rank r has
-probability proportional to 1/(r + 1) (Zipf's law over a public vocabulary's ranks; nothing
-is trained).  Of equal costs the one with fewer tokens counts.
-
-Narrow: no shuffle.  Trie and caches have a size limit and start anew beyond it, which
-changes no count.  Null texts count as empty: no pre-tokens, no tokens, cost 0.
+its count.  Costs are whole micronats, so sums are exact.  Of equal costs the one with fewer
+tokens counts, of these the one whose last token is longer.
+
+The vocabulary is a public tokenizer's; the model's probabilities are estimated from the
+corpus by one round of Viterbi training: all texts are segmented under Zipf's law over the
+ranks, tokens are counted (partial sums in each task, at most one row a token from each),
+and a token's probability is its share, with one added to each count.
+
+Both passes are narrow but for the sums by token.  Trie and caches have a size limit and
+start anew beyond it, which changes no count.  Null texts count as empty: no pre-tokens, no
+tokens, cost 0; very long texts are counted whole.  Repeated rows each count; an empty table
+gives no rows.  Other columns pass through; those named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -17,13 +23,15 @@ import base64
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks, resident
-from .pieces import PieceCache, quick_pieces
+from .pieces import PieceCache, cut_texts
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,8 +45,28 @@ def zipf_costs(ranks: dict[bytes, int]) -> dict[bytes, int]:
     return {t: round(1e6 * (math.log(r + 1) + mass)) for t, r in ranks.items()}
 
 
+def estimated_costs(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> np.ndarray:
+    """Cost in micronats of each token, in order of rank, as the texts have them."""
+    tokens = sorted(vocabulary := load_ranks(ranks), key=vocabulary.get)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = resident(("segments", ranks, pattern), lambda: _Segmenter(ranks, pattern))
+        total = np.zeros(len(tokens), np.int64)
+        for batch in batches:
+            for _, texts in chunks(batch, text, 4_000_000):
+                total += segment(texts)
+        (at,) = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["token", "n"])
+
+    counted = df.select(text).mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    n = np.zeros(len(tokens), np.int64)
+    for r in counted.collect():  # at most one row a token of the vocabulary
+        n[r.token] = r.n
+    return np.round(1e6 * (np.log(n.sum() + len(n)) - np.log(n + 1.0))).astype(np.int64)
+
+
 class ForwardTrie:
-    """Forward states of all prefixes seen so far."""
+    """Forward states of all prefixes seen so far: cost, tokens, and where the last one starts."""
 
     def __init__(self, costs: dict[bytes, int], limit: int = 1_000_000):
         self.costs, self.limit = costs, limit
@@ -46,16 +74,16 @@ class ForwardTrie:
         self.clear()
 
     def clear(self) -> None:
-        #: From (node << 8 | byte) to node; states hold (cost, tokens) by node.
+        #: From (node << 8 | byte) to node; states by node.
         self.edges: dict[int, int] = {}
-        self.states: list[tuple[int, int]] = [(0, 0)]
+        self.states: list[tuple[int, int, int]] = [(0, 0, 0)]
 
-    def count(self, word: bytes) -> tuple[int, int]:
-        """(tokens, cost) of a pre-token's best segmentation."""
+    def path(self, word: bytes) -> list[tuple[int, int, int]]:
+        """The states of a pre-token's prefixes."""
         if len(self.states) > self.limit:
             self.clear()
         edges, states, costs, longest = self.edges, self.states, self.costs, self.longest
-        node, path = 0, [(0, 0)]
+        node, path = 0, [states[0]]
         for end, byte in enumerate(word, 1):
             edge = node << 8 | byte
             known = edges.get(edge)
@@ -65,59 +93,101 @@ class ForwardTrie:
                     cost = costs.get(word[start:end])
                     if cost is not None:
                         before = path[start]
-                        state = (before[0] + cost, before[1] + 1)
+                        state = (before[0] + cost, before[1] + 1, start)
                         if best is None or state < best:
                             best = state
                 known = edges[edge] = len(states)
                 states.append(best)
             node = known
             path.append(states[node])
-        cost, tokens = path[-1]
+        return path
+
+    def count(self, word: bytes) -> tuple[int, int]:
+        """(tokens, cost) of a pre-token's best segmentation."""
+        cost, tokens, _ = self.path(word)[-1]
         return tokens, cost
 
+    def tokens(self, word: bytes) -> list[bytes]:
+        """A pre-token's best segmentation, last token first."""
+        path, end, out = self.path(word), len(word), []
+        while end:
+            start = path[end][2]
+            out.append(word[start:end])
+            end = start
+        return out
 
-#: Three sums in one number: pre-tokens, tokens and cost, 40 bits for each of the first two.
-_FIELD = 40
 
+class _Segmenter:
+    """Counts of tokens, in order of rank, over texts."""
 
-class _Counter:
     def __init__(self, ranks: str, pattern: str):
         self.find = regex.compile(pattern).findall
-        self.trie = ForwardTrie(zipf_costs(load_ranks(ranks)))
+        vocabulary = load_ranks(ranks)
+        self.place = {t: i for i, t in enumerate(sorted(vocabulary, key=vocabulary.get))}
+        self.trie = ForwardTrie(zipf_costs(vocabulary))
         self.cache = PieceCache(self.pieces, 1_000_000)
 
-    def words(self, words: list[str]) -> int:
-        tokens = cost = 0
-        for w in words:
-            t, c = self.trie.count(w.encode())
-            tokens, cost = tokens + t, cost + c
-        return cost << 2 * _FIELD | tokens << _FIELD | len(words)
-
-    def pieces(self, pieces: list[str]) -> list[int]:
+    def pieces(self, pieces: list[str]) -> list[bytes]:
         # Sorted, so that neighbours share prefixes even if the trie starts anew in between.
-        done = {p: self.words(self.find(p)) for p in sorted(pieces)}
+        done = {p: np.array([self.place[t] for w in self.find(p) for t in self.trie.tokens(w.encode())], np.int32).tobytes() for p in sorted(pieces)}
         return [done[p] for p in pieces]
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[int, int, int]]:
-        cut = [quick_pieces(x) for x in texts]
-        get, mask = self.cache.fill(x for x in cut if x), (1 << _FIELD) - 1
-        for text, own in zip(texts, cut, strict=True):
-            n = self.words(self.find(text)) if own is None else sum(map(get, own))
-            yield n & mask, n >> _FIELD & mask, n >> 2 * _FIELD
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        cut = cut_texts(texts)
+        lists = [cut.pieces, *(self.find(t) for t, slow in zip(texts, cut.slow, strict=True) if slow)]
+        total, get = np.zeros(len(self.place)), self.cache.fill(lists)
+        for own, times in [(cut.pieces, np.bincount(cut.index, minlength=len(cut.pieces))), *((x, None) for x in lists[1:])]:
+            values = list(map(get, own))
+            ids = np.frombuffer(b"".join(values), np.int32)
+            sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+            total += np.bincount(ids, None if times is None else np.repeat(times, sizes), len(total))
+        return total.astype(np.int64)
+
+
+class _Counter:
+    """Pre-tokens, tokens and cost of texts."""
+
+    def __init__(self, ranks: str, pattern: str, costs: np.ndarray):
+        self.find = regex.compile(pattern).findall
+        vocabulary = load_ranks(ranks)
+        self.trie = ForwardTrie(dict(zip(sorted(vocabulary, key=vocabulary.get), costs.tolist(), strict=True)))
+        self.cache = PieceCache(self.pieces, 1_000_000)
+
+    def words(self, words: list[str]) -> tuple[int, int, int]:
+        counts = [self.trie.count(w.encode()) for w in words]
+        return len(words), sum(t for t, _ in counts), sum(c for _, c in counts)
 
+    def pieces(self, pieces: list[str]) -> list[tuple[int, int, int]]:
+        done = {p: self.words(self.find(p)) for p in sorted(pieces)}
+        return [done[p] for p in pieces]
 
-def token_counts(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> DataFrame:
-    """Adds ``n_pretokens``, ``n_tokens`` and ``cost_micronats`` to each row (columns of these
-    names are replaced), from the rank file's vocabulary and the split pattern."""
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        """A row for each text."""
+        cut = cut_texts(texts)
+        values = np.array(list(map(self.cache.fill([cut.pieces]), cut.pieces)), np.int64).reshape(-1, 3)
+        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(values[cut.index], axis=0)])
+        out = sums[cut.offsets[1:]] - sums[cut.offsets[:-1]]
+        for k, slow in enumerate(cut.slow):
+            if slow:
+                out[k] = self.words(self.find(texts[k]))
+        return out
+
+
+def token_counts(df: DataFrame, ranks: str, pattern: str, text: str = "text", costs: np.ndarray | None = None) -> DataFrame:
+    """Adds ``n_pretokens``, ``n_tokens`` and ``cost_micronats`` to each row, from the rank
+    file's vocabulary and the split pattern.  ``costs``: in order of rank; estimated from
+    these texts, in a pass before this one, if not given."""
     added = ["n_pretokens", "n_tokens", "cost_micronats"]
     df = df.drop(*(c for c in added if c in df.columns))
     schema = T.StructType(df.schema.fields + [T.StructField(n, T.LongType()) for n in added])
+    costs = estimated_costs(df, ranks, pattern, text) if costs is None else costs
+    key = ("unigram", ranks, pattern, hash(costs.tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = resident(("unigram", ranks, pattern), lambda: _Counter(ranks, pattern))
+        count = resident(key, lambda: _Counter(ranks, pattern, costs))
         for batch in batches:
             for own, texts in chunks(batch, text, 4_000_000):
-                rows = zip(*count(texts), strict=True)
-                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, pa.int64()) for x in rows)], names=[*own.schema.names, *added])
+                rows = count(texts)
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(rows[:, k]) for k in range(3))], names=[*own.schema.names, *added])
 
     return df.mapInArrow(run, schema)
