@@ -5,7 +5,9 @@ the JVM.  ``audio_features`` reads such files back and computes, file by file:
 
 1. samples resampled by the ratio UP/DOWN with a windowed-sinc low-pass whose taps are
    split into UP phases, so only samples that are kept are computed;
-2. log-mel energies of overlapping Hann frames;
+2. log-mel energies of overlapping Hann frames, rounded to ``STEPS`` parts of a neper, as
+   are the frames' energies in decibels, so that equal payloads give equal bytes although
+   processors differ in the last digits of a transform;
 3. segments by hysteresis: a segment is a run of frames over the low threshold that has at
    least one frame over the high one; both are set from the file's own energies;
 4. windows of ``TENSOR_FRAMES`` frames cut from each segment, the last one padded with the
@@ -14,8 +16,9 @@ the JVM.  ``audio_features`` reads such files back and computes, file by file:
 
 Both are narrow: no shuffle, one file in memory at a time, long files in blocks.  Equal
 payloads give equal bytes.  Null payloads count as empty; an empty payload is one block of
-zeros, has no segment and gives a stream of no rows.  Repeated rows are computed again.
-Other columns pass through.
+zeros, has no segment and gives a stream of no rows.  Repeated rows are computed again; an
+empty table gives no rows.  Other columns pass through; columns named like the results
+(``samples``, ``rate``, ``features``, ``n_windows``, ``active_s``) are replaced.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ TENSOR_FRAMES = 16
 #: Percentiles of a file's frame energies over which a segment must rise once, and stay.
 HIGH, LOW = 80, 50
 FLOOR = 1e-10
+STEPS = 64
 #: Samples handled at once.
 SPAN = 1 << 16
 
@@ -126,6 +130,11 @@ def mel_bank(rate: float, size: int = FRAME, mels: int = MELS) -> np.ndarray:
     return np.maximum(0, np.minimum((f - low) / (mid - low), (high - f) / (high - mid))).astype(np.float32)
 
 
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Multiples of 1 / STEPS, which 32-bit numbers hold exactly."""
+    return np.round(x * STEPS) / STEPS
+
+
 def log_mel(y: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel energies, a row for each frame, and each frame's energy in decibels."""
     if len(y) < FRAME:
@@ -138,8 +147,8 @@ def log_mel(y: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     for lo in range(0, count, step):
         part = frames[lo : lo + step]
         power = np.abs(np.fft.rfft(part * window, axis=1)) ** 2
-        mels[lo : lo + step] = np.log(power.astype(np.float32) @ bank + FLOOR)
-        energy[lo : lo + step] = 10 * np.log10((part**2).mean(axis=1) + FLOOR)
+        mels[lo : lo + step] = rounded(np.log(power.astype(np.float32) @ bank + FLOOR))
+        energy[lo : lo + step] = rounded(10 * np.log10((part**2).mean(axis=1) + FLOOR))
     return mels, energy
 
 
@@ -169,7 +178,7 @@ def feature_stream(samples: bytes, rate: int) -> tuple[bytes, int, float]:
             starts.append(lo * HOP / rate_out)
             ends.append(((hi - 1) * HOP + FRAME) / rate_out)
             rows.append((lo, hi))
-    block = np.full((len(rows), TENSOR_FRAMES, MELS), np.log(FLOOR), np.float32)
+    block = np.full((len(rows), TENSOR_FRAMES, MELS), rounded(np.log(FLOOR)), np.float32)
     for k, (lo, hi) in enumerate(rows):
         block[k, : hi - lo] = mels[lo:hi]
     flat = pa.FixedSizeListArray.from_arrays(pa.array(block.reshape(-1)), TENSOR_FRAMES * MELS)
