@@ -2,27 +2,35 @@
 
 Entities are found by regular expressions: mail addresses, phone numbers, internet
 addresses, account and card numbers, social-security and bank-account numbers, and names
-that follow an honorific or start with a listed given name.  Each is replaced by a value of
-the same type and shape:
+that follow an honorific or a phrase such as "my name is", or start with a listed given
+name; with initials, particles, hyphens, apostrophes and inner or all capitals.  Where a text
+has a name, its words alone ("Smith", "John") are mentions too, wherever they stand in that
+text.  Each is replaced by a value of the same type and shape:
 
 * Letters and digits go through a keyed cipher, character by character, in which each
-  depends on all others: once forward and once backward.  A letter stays in its script, its
-  case and its class (vowel or consonant), a digit a digit, and everything else stays as it
-  is; so do country codes and top-level domains.
-* Internet addresses are permuted as 32-bit numbers, so they stay valid.
+  depends on all others: once forward and once backward, by a chain of SHA-256 digests that
+  starts from the key.  A letter stays in its script, its case and its class (vowel or
+  consonant where the script has them), a digit a digit, and everything else stays as it is;
+  so do country codes, top-level domains and particles.
+* Internet addresses of 32 bits are permuted as numbers, longer ones digit by digit, so they
+  stay valid.
 * The last digit of a card or account number keeps the remainder of its Luhn sum.
-* Listed given names are exchanged within their gender and script; honorifics stay.
+* Listed given names are exchanged within their gender and script along a cycle in an order
+  that the key gives, so one known pair tells nothing of the others; honorifics stay.
 
 All of these are permutations of the values of one shape.  So different values get
 different surrogates, however many there are, and equal ones get equal surrogates in every
 document, without a table of entities to join.  Case and punctuation aren't part of a
 value: "Ann@x.org" and "ann@X.org", or two spellings of a number, stay together.
-``collisions`` checks that over a whole corpus and ``replace_entities(check=True)`` fails
-rather than returning texts in which two people have become one.
+``collisions`` checks that over a whole corpus and ``replace_entities(check=True)``, which
+does so at once when it is called, fails rather than returning texts in which two people
+have become one.
 
 Narrow but for that check, which aggregates entities only, by surrogate, with partial
-sums.  Null texts stay null with no entities; empty ones stay empty.  Repeated rows are
-replaced alike.  Columns named like the results are replaced.
+sums.  Null texts stay null with no entities; empty ones stay empty; very long texts are
+replaced whole.  Repeated rows are replaced alike; an empty table gives no rows.  Columns
+named like the results are replaced.  Letters of scripts that have neither a class nor a
+range below stay.
 """
 
 from __future__ import annotations
@@ -34,28 +42,47 @@ from pyspark.sql import functions as F
 
 # Given names by gender and script, exchanged within each list.
 GIVEN = {
-    ("f", "latin"): "Alice Anna Barbara Carmen Charlotte Claire Elena Emily Emma Greta Hannah Ingrid Isabel Julia Laura Linda Lucia Maria Marie Mary Nicole Olivia Patricia Paula Rosa Sarah Sofia Sophie Susan Ursula".split(),
-    ("m", "latin"): "Albert Antonio Carlos Charles Daniel David Diego Felix Frank George Hans Henry Hugo Ivan Jacques James Jean John Jorge Jose Karl Luis Marco Michael Otto Paul Peter Pierre Robert Thomas William".split(),
+    ("f", "latin"): "Aisha Alice Amina Anna Barbara Carmen Charlotte Claire Elena Emily Emma Fatima Greta Hannah Ingrid Isabel Jennifer Jessica Julia Karen Katarzyna Lakshmi Laura Leila Linda Lucia Maria Marie Mary Mei Nadia Nicole Olivia Patricia Paula Priya Rosa Sarah Sofia Sophie Susan Ursula Yuki Zainab".split(),
+    ("m", "latin"): "Ahmed Albert Ali Antonio Arjun Carlos Charles Daniel David Diego Felix Frank George Giovanni Hans Hassan Henry Hiroshi Hugo Ivan Jacques James Jean John Jorge Jose Joseph Karl Kenji Luis Marco Michael Mohammed Omar Otto Pablo Paul Peter Pierre Rahul Richard Robert Takeshi Thomas Wei William Yusuf".split(),
     ("f", "cyrillic"): "Анна Вера Дарья Елена Ирина Мария Нина Ольга Софья Татьяна".split(),
     ("m", "cyrillic"): "Алексей Борис Виктор Дмитрий Иван Михаил Николай Олег Павел Сергей".split(),
 }
-# Words before a name.
+# Words before a name, inside one, and phrases that a name follows.
 HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra".split()
+PARTICLES = "van von der den de del della di da dos du la le bin ibn al ter ten zu zur zum".split()
+CUES = ("[Mm]y name is ", "[Nn]ame: ", "[Ss]igned by ", "[Dd]ear ", "[Ii]ch heiße ", "[Mm]e llamo ", "[Jj]e m'appelle ")
+
+
+def _listed(words: list[str]) -> str:
+    """Any of the words, as written or in capitals; by first letters, so that most texts fail at once."""
+    by = {}
+    for w in words:
+        for form in dict.fromkeys((w, w.upper())):
+            by.setdefault(form[0], []).append(form[1:])
+    return "(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(by.items())) + ")"
+
 
 _EDGE, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-_NAME = r"\p{Lu}[\p{Ll}'’-]++"
+#: A word of a name: hyphens and apostrophes inside, but no possessive ending.
+_NAME = r"\p{Lu}[\p{L}\p{M}]*+(?:['’-](?!s(?!\p{L}))[\p{L}\p{M}]++)*+"
+_INITIAL = r"\p{Lu}\."
+_PARTICLE = "(?:" + "|".join(PARTICLES) + ")"
+_MORE = rf"(?: {_INITIAL}| (?:{_PARTICLE} ){{0,3}}{_NAME})"
+_FIRST = rf"(?:{_INITIAL} ?){{0,3}}(?:{_PARTICLE} ){{0,3}}{_NAME}"
+_SIX = r"[0-9A-Fa-f]{1,4}"
 PATTERNS = {
     "mail": r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "bank": _EDGE + r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?" + _END,
-    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})" + _END,
+    "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|[2-9][0-9]{2}[2-9][0-9]{6})" + _END,
     "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*[0-9])(?:{_SIX}(?::{_SIX}){{7}}|(?:{_SIX}(?::{_SIX}){{0,5}})?::(?:{_SIX}(?::{_SIX}){{0,5}})?)(?![\p{{L}}\p{{N}}:])",
     "social": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "account": _EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + _END,
-    "name": r"(?<!\p{L})(?=\p{Lu})(?:(?:" + "|".join(HONORIFICS) + r")\.? " + _NAME + r"|(?:" + "|".join(n for names in GIVEN.values() for n in names) + r") " + _NAME + r")(?: " + _NAME + r"){0,2}" + _END,
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{_listed(HONORIFICS)}\.? {_FIRST}|{_listed([n for names in GIVEN.values() for n in names])}{_MORE}|(?<={'|'.join(CUES)}){_FIRST}){_MORE}{{0,3}}" + _END,
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every entity has; texts without it are passed by quickly.
-_HINT = r"@|[0-9][ .-]?[0-9]|\+[0-9]|\p{Lu}[\p{Ll}'’-]*\.? \p{Lu}"
+_HINT = rf"@|[0-9][ .-]?[0-9]|\+[0-9]|:[0-9A-Fa-f]{{0,4}}:|\p{{Lu}}[\p{{L}}\p{{M}}'’-]*\.? (?:\p{{Lu}}|{_PARTICLE} )|" + "|".join(f"{c}" + r"\p{L}" for c in CUES)
 
 #: Letters that are exchanged with each other, lower case: of one script and one class.
 CLASSES = (
@@ -68,7 +95,12 @@ CLASSES = (
     "бвгджзйклмнпрстфхцчшщъь",
     "αεηιουω",
     "βγδζθκλμνξπρστφχψ",
+    "".join(c for c in map(chr, range(0x100, 0x180)) if c.islower() and c.upper().lower() == c and c not in "žšřč"),
 )
+#: First and last letter of scripts without case, whose letters are exchanged with each other.
+RANGES = ((0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
+#: Digits of long internet addresses.
+HEX = ("0123456789abcdef",)
 
 
 def kind_of(value: Column) -> Column:
@@ -81,31 +113,42 @@ def _characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def _moved(h: Column, char: Column) -> Column:
-    """A character's counterpart in its class, ``h`` places on."""
-    low, new = F.lower(char), char
-    for letters in CLASSES:
-        at = F.instr(F.lit(letters), low)
-        moved = F.substring(F.lit(letters), F.pmod(at - 1 + F.pmod(h, F.lit(len(letters))), F.lit(len(letters))).cast("int") + 1, F.lit(1))
-        new = F.when(at > 0, F.when(char == low, moved).otherwise(F.upper(moved))).otherwise(new)
-    return new
-
-
-def _pass(text: Column, key: Column) -> Column:
-    """The cipher from left to right: each letter moves by a hash of the key and all before it."""
+def _moved(digest: Column, char: Column, classes: tuple[str, ...], ranges: tuple[tuple[int, int], ...]) -> Column:
+    """A character's counterpart in its class, as many places on as the digest says."""
+    h = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+    low, point, letters = F.lower(char), F.ascii(char).cast("long"), "".join(classes)
+    # The class's number by letter, and its start and size by number, as texts of three digits each.
+    digits = lambda numbers: F.lit("".join(f"{n:03d}" for n in numbers))
+    at = lambda numbers, i: F.substring(digits(numbers), (i - 1) * 3 + 1, F.lit(3)).cast("int")
+    place = F.instr(F.lit(letters), low)
+    kind = at([k for k, c in enumerate(classes, 1) for _ in c], place)
+    start, size = at([sum(map(len, classes[:k])) for k in range(len(classes))], kind), at(map(len, classes), kind)
+    moved = F.substring(F.lit(letters), start + F.pmod(place - 1 - start + h, size).cast("int") + 1, F.lit(1))
+    out = F.when(place > 0, F.when(char == low, moved).otherwise(F.upper(moved)))
+    if ranges:
+        first = last = F.lit(None).cast("long")
+        for a, b in ranges:
+            first, last = (F.when(point.between(a, b), F.lit(x).cast("long")).otherwise(y) for x, y in ((a, first), (b, last)))
+        other = F.decode(F.unhex(F.lpad(F.hex(F.pmod(point - first + h, last - first + 1) + first), 4, "0")), "UTF-16BE")
+        out = out.when(first.isNotNull(), other)
+    return out.otherwise(char)
+
+
+def _pass(text: Column, key: Column, classes: tuple[str, ...], ranges: tuple[tuple[int, int], ...]) -> Column:
+    """The cipher from left to right: each letter moves by a digest of the key and all before it."""
     start = F.struct(key.alias("h"), F.lit("").alias("out"))
 
     def step(acc: Column, char: Column) -> Column:
-        h = F.when(char.rlike(r"[\p{L}\p{N}]"), F.xxhash64(acc["h"], F.lower(char))).otherwise(acc["h"])
-        return F.struct(h.alias("h"), F.concat(acc["out"], _moved(acc["h"], char)).alias("out"))
+        h = F.when(char.rlike(r"[\p{L}\p{N}]"), F.sha2(F.concat(acc["h"], F.lower(char)), 256)).otherwise(acc["h"])
+        return F.struct(h.alias("h"), F.concat(acc["out"], _moved(acc["h"], char, classes, ranges)).alias("out"))
 
     return F.aggregate(_characters(text), start, step, lambda acc: acc["out"])
 
 
-def cipher(text: Column, key: str, label: str) -> Column:
+def cipher(text: Column, key: str, label: str, classes: tuple[str, ...] = CLASSES, ranges: tuple[tuple[int, int], ...] = RANGES) -> Column:
     """A keyed permutation of the texts of one shape."""
-    keys = [F.xxhash64(F.sha2(F.lit(f"{key}|{label}|{i}"), 256)) for i in (1, 2)]
-    return F.reverse(_pass(F.reverse(_pass(text, keys[0])), keys[1]))
+    keys = [F.sha2(F.lit(f"{key}|{label}|{i}"), 256) for i in (1, 2)]
+    return F.reverse(_pass(F.reverse(_pass(text, keys[0], classes, ranges)), keys[1], classes, ranges))
 
 
 def _luhn(digits: Column) -> Column:
@@ -127,7 +170,8 @@ def _address(value: Column, key: str) -> Column:
     octets = F.split(value, r"\.")
     left, right = (octets[i].cast("bigint") * 256 + octets[i + 1].cast("bigint") for i in (0, 2))
     for i in range(4):
-        mix = F.pmod(F.xxhash64(F.sha2(F.lit(f"{key}|ip|{i}"), 256), right), F.lit(65536))
+        digest = F.sha2(F.concat(F.sha2(F.lit(f"{key}|ip|{i}"), 256), right.cast("string")), 256)
+        mix = F.conv(F.substring(digest, 1, 4), 16, 10).cast("bigint")
         left, right = right, F.pmod(left + mix, F.lit(65536))
     return F.concat_ws(".", *(x.cast("string") for half in (left, right) for x in (F.floor(half / 256), F.pmod(half, F.lit(256)))))
 
@@ -149,30 +193,36 @@ def _bank(value: Column, key: str) -> Column:
     return F.concat(F.substring(value, 1, 2), cipher(F.substring(value, F.lit(3), F.length(value)), key, "bank"))
 
 
-def _turn(names: list[str], key: str) -> int:
-    """By how much a list of given names is turned; never not at all."""
+def exchanged(key: str) -> dict[str, str]:
+    """Each listed given name's counterpart: the next in its list, in an order that the key gives."""
     import hashlib
 
-    return 1 + int.from_bytes(hashlib.sha256(f"{key}|{names[0]}".encode()).digest()[:8], "big") % (len(names) - 1)
+    out = {}
+    for names in GIVEN.values():
+        order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|given|{n}".encode()).digest())
+        out.update(zip(order, [*order[1:], order[0]], strict=True))
+    return out
 
 
 def _name(value: Column, key: str) -> Column:
     """Word by word, so that a surname alone and with a given name stay together."""
-    turned = {n: names[(i + _turn(names, key)) % len(names)] for names in GIVEN.values() for i, n in enumerate(names)}
-    given = F.create_map(*(F.lit(x) for pair in turned.items() for x in pair))
-    words = F.split(value, " ")
+    given = F.create_map(*(F.lit(x) for pair in exchanged(key).items() for x in pair))
+    titles = [f for h in HONORIFICS for f in (h, h.upper())]
 
     def one(word: Column) -> Column:
-        return F.when(word.rlike(r"\A(?:" + "|".join(HONORIFICS) + r")\.?\z"), word).when(F.map_contains_key(given, word), given[word]).otherwise(_surname(word, key))
+        plain = F.initcap(F.lower(word))
+        own = F.when(word == F.upper(word), F.upper(given[plain])).otherwise(given[plain])
+        stays = word.rlike(r"\A(?:" + "|".join(titles) + r")\.?\z") | word.isin(PARTICLES)
+        return F.when(stays, word).when(F.map_contains_key(given, plain), own).otherwise(_surname(word, key))
 
-    return F.array_join(F.transform(words, one), " ")
+    return F.array_join(F.transform(F.split(value, " "), one), " ")
 
 
 def _surname(word: Column, key: str) -> Column:
     """The cipher, once more if it gives a listed given name, so that none is met by two."""
     listed = [n for names in GIVEN.values() for n in names]
-    out = cipher(word, key, "name")
-    return F.when(out.isin(listed), cipher(out, key, "name")).otherwise(out)
+    once = F.array(cipher(word, key, "name"))
+    return F.transform(once, lambda out: F.when(F.initcap(F.lower(out)).isin(listed), cipher(out, key, "name")).otherwise(out))[0]
 
 
 def surrogate(kind: Column, value: Column, key: str) -> Column:
@@ -180,6 +230,7 @@ def surrogate(kind: Column, value: Column, key: str) -> Column:
         F.when(kind == "mail", _mail(value, key))
         .when(kind == "phone", _phone(value, key))
         .when(kind == "ip", _address(value, key))
+        .when(kind == "ip6", cipher(value, key, "ip6", HEX, ()))
         .when(kind == "account", _account(value, key))
         .when(kind == "bank", _bank(value, key))
         .when(kind == "social", cipher(value, key, "social"))
@@ -190,16 +241,37 @@ def surrogate(kind: Column, value: Column, key: str) -> Column:
 def _identity(kind: Column, value: Column) -> Column:
     """What makes two mentions the same: no case, no punctuation outside addresses."""
     low = F.lower(value)
-    return F.when(kind.isin("mail", "ip"), low).when(kind == "name", value).otherwise(F.regexp_replace(low, r"[^\p{L}\p{N}]", ""))
+    return F.when(kind.isin("mail", "ip", "ip6", "name"), low).otherwise(F.regexp_replace(low, r"[^\p{L}\p{N}]", ""))
 
 
 def _found(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
 
 
+def _words_of(found: Column) -> Column:
+    """Words of the names among the mentions that stand for a person alone, longest first; as
+    written and in capitals."""
+    names = F.filter(found, lambda v: v.rlike(r"\A\p{Lu}\p{L}*+[.'’ -]") & (kind_of(v) == "name"))
+    titles = [f for h in HONORIFICS for f in (h, h.upper())]
+    words = F.flatten(F.transform(names, lambda v: F.split(v, " ")))
+    own = F.filter(words, lambda w: w.rlike(r"\A\p{Lu}[\p{L}\p{M}'’-]+\z") & ~w.isin(titles))
+    every = F.array_distinct(F.concat(own, F.transform(own, lambda w: F.upper(w))))
+    return F.transform(F.reverse(F.array_sort(F.transform(every, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), lambda x: x["w"])
+
+
+def _marked(docs: DataFrame, text: str) -> DataFrame:
+    """Adds the mentions (``__m``) and, where the text has names, the expression for it with
+    their words (``__p``)."""
+    body = F.col(text)
+    first = docs.withColumn("__m", F.coalesce(_found(body), F.array().cast("array<string>"))).withColumn("__w", F.when(F.size("__m") > 0, _words_of(F.col("__m"))))
+    alone = F.concat(F.lit(rf"{ENTITY}|(?<!\p{{L}})(?:\Q"), F.array_join("__w", r"\E|\Q"), F.lit(r"\E)(?!\p{L})"))
+    named = first.withColumn("__p", F.when(F.size("__w") > 0, alone))
+    return named.withColumn("__m", F.when(F.col("__p").isNull(), F.col("__m")).otherwise(F.regexp_extract_all(body, F.col("__p"), F.lit(0)))).drop("__w")
+
+
 def entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Every distinct mention: kind, value, surrogate."""
-    values = docs.select(F.explode(F.array_distinct(_found(F.col(text)))).alias("value")).groupBy("value").agg(F.count("*").alias("documents"))
+    values = _marked(docs.select(text), text).select(F.explode(F.array_distinct("__m")).alias("value")).groupBy("value").agg(F.count("*").alias("documents"))
     return values.withColumn("kind", kind_of(F.col("value"))).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key))
 
 
@@ -219,13 +291,13 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", check: bool
         if clash:
             raise ValueError(f"two values have one surrogate: {clash[0].asDict()}")
     body = F.col(text)
-    kept = docs.drop("entities", "__m") if {"entities", "__m"} & set(docs.columns) else docs
-    marked = kept.withColumn("__m", F.coalesce(_found(body), F.array().cast("array<string>")))
+    marked = _marked(docs.drop(*({"entities", "__m", "__p", "__w"} & set(docs.columns))), text)
     kinds = F.transform("__m", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     full = F.transform(kinds, lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"), surrogate(e["kind"], e["value"], key).alias("surrogate")))
     out = marked.withColumn("entities", F.when(F.size("__m") > 0, full).otherwise(F.array().cast("array<struct<kind:string,value:string,surrogate:string>>")))
-    turns = F.zip_with(F.split(body, ENTITY, -1), F.col("entities"), lambda gap, e: F.concat(gap, F.coalesce(e["surrogate"], F.lit(""))))
-    return out.withColumn(text, F.when(F.size("__m") > 0, F.array_join(turns, "")).otherwise(body)).drop("__m")
+    gaps = F.when(F.col("__p").isNull(), F.split(body, ENTITY, -1)).otherwise(F.split(body, F.col("__p"), -1))
+    turns = F.zip_with(gaps, F.col("entities"), lambda gap, e: F.concat(gap, F.coalesce(e["surrogate"], F.lit(""))))
+    return out.withColumn(text, F.when(F.size("__m") > 0, F.array_join(turns, "")).otherwise(body)).drop("__m", "__p")
 
 
 def surrogate_documents(documents: DataFrame, key: str) -> DataFrame:
