@@ -1,7 +1,14 @@
 """From raw documents to token ids, in five stages over the whole corpus.
 
 Each stage is written to the shared folder and read again, so a later stage never repeats an
-earlier one, and a lost executor costs the tasks it ran.
+earlier one, and a lost executor costs the tasks it ran.  Once a stage is written, what its
+operators saved and the stage before go; only the last one's rows stay, with their ids.
+
+Null and empty texts score by the bias alone, are copies of nothing, leak nothing, stay as
+they are and have no ids.  Of repeated rows one stays, unless their text is null or empty.
+Ties between copies go to the least identifier, then the least digest.  All columns of
+``documents`` pass through all stages but the last, whatever their names; an empty table gives
+no rows, and without labels nothing is rejected as toxic.
 """
 
 from __future__ import annotations
@@ -41,9 +48,12 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, decoded again; their digests for each document."""
+    """Token ids (binary, little-endian 32-bit), with their number, and digests of them and of
+    what they decode to."""
     ranks = catalog.vocabulary("byte_bpe_multi_50k.tiktoken")
-    return bpe.digest_ids(bpe.encode_decode(docs, ranks, catalog.pattern(), keep=["doc_id"], cached=CACHED))
+    coded = bpe.encode_decode(docs, ranks, catalog.pattern(), keep=["doc_id"], cached=CACHED)
+    kept = bpe.digest_ids(coded.withColumn("token_ids", F.col("ids")))
+    return kept.withColumnRenamed("token_ids", "ids")
 
 
 STAGES = [
@@ -62,7 +72,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table ``documents``."""
     work = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = work.save(stage(spark, docs, sf_dir), name)
+        with Workspace(spark, "stage").temporary():
+            docs = work.save(stage(spark, docs, sf_dir), name)
+        if before:
+            work.drop(before)
+        before = name
     return docs
