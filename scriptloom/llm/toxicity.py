@@ -13,12 +13,20 @@ Steps, all distributed:
    back is bounded by the alphabet (``len(ALPHABET) + 1`` cubed).
 2. ``fit``: the model learns from at most ``SAMPLE`` labelled documents of each label, least
    hash of the identifier first, weighted back to the labels' shares among all labelled
-   rows.  Features are those with the strongest likelihood ratio.  Labels, languages,
-   sources and identifiers are no features.
+   rows.  Features are all whose likelihood ratio reaches a level; the level is the one of
+   ``LEVELS`` with the least loss in cross-validation over ``FOLDS`` folds of these training
+   rows.  Labels, languages, sources and identifiers are no features.
 3. ``score``: narrow, one pass; the model is some hundreds of kilobytes.
 
-Null and empty texts are scored by the bias alone.  Without a toxic label to learn from, all
-scores are 0.  Repeated rows are scored alike; columns named like the results are replaced.
+Every word is decoded that has a sign that may stand for a letter beside one, or a letter
+three times in a row; twice in a row is common spelling and is read as written.  A run of
+signs without a letter is a number.
+
+Null and empty texts are scored by the bias alone; very long texts are scored whole.  Without
+a toxic label to learn from, all scores are 0.  Of rows that share an identifier the one with
+the least digest is learnt from; an identifier that is labelled both ways counts as toxic.
+Repeated rows are scored alike; an empty table gives no rows; columns named like the results
+are replaced.
 """
 
 from __future__ import annotations
@@ -29,17 +37,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, vacate
+from .common import Workspace, chunks, vacate
 from .pieces import PieceCache
 
 SAMPLE = 4000
-FEATURES = 400
-#: Least likelihood ratio (G²) of a feature, and least number of sampled documents with it.
-LEAST_G2, LEAST_DOCS = 12.0, 3
+#: Likelihood ratios (G²) that a feature may have to reach, and the least number of sampled
+#: documents with it.
+LEVELS, LEAST_DOCS = (12.0, 16.0, 24.0), 3
+FOLDS = 4
 PREFIXES = (4, 5, 6)
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàâäáãåçèéêëìíîïñòóôöõùúûüßœæ"
@@ -52,8 +61,8 @@ SUBSTITUTE, DROP_REPEAT, KEEP_REPEAT, WILDCARD, KEEP_SIGN = 1.0, 0.5, 2.0, 1.5,
 
 _LETTER = r"[^\W\d_]"
 _SIGN = "[" + re.escape("".join(LEET)) + "*]"
-#: A word that may be hidden: signs among letters, or a letter three times in a row.
-_HIDDEN = re.compile(rf"{_LETTER}{_SIGN}+{_LETTER}|(?<!\w){_SIGN}{{1,2}}{_LETTER}{{2}}|{_LETTER}{{2}}[0-9@$]{{1,2}}(?![\w$])|({_LETTER})\1\1", re.I)
+#: A word that may be hidden: a sign beside a letter, or a letter three times in a row.
+_HIDDEN = re.compile(rf"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|({_LETTER})\1\1", re.I)
 _TOKEN = re.compile(rf"(?:{_LETTER}|{_SIGN})+", re.I)
 _WORD = re.compile(rf"{_LETTER}+")
 SEPARATORS = " .-_"
@@ -260,7 +269,12 @@ class Restorer:
         """The text in lower case with hidden words as they read."""
 
         def plain(part: str) -> str:
-            return _TOKEN.sub(lambda m: self.token(m[0]) if _HIDDEN.search(m[0]) else m[0], part)
+            return _TOKEN.sub(lambda m: meant(m[0]) if _HIDDEN.search(m[0]) else m[0], part)
+
+        def meant(token: str) -> str:
+            """As written if only marks that aren't letters would go."""
+            own = self.token(token)
+            return token if own.split() == _WORD.findall(token) else own
 
         return "".join(self.token(x) if spaced and _WORD.search(x) else x if spaced else plain(x) for x, spaced in self._parts((text or "").lower()))
 
@@ -286,7 +300,7 @@ def features(word: str) -> list[str]:
 def sample_labels(labels: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, dict[int, float]]:
     """At most ``size`` training labels of each kind, and what each then counts for.  Rows
     whose crc32 of the identifier is a multiple of five are held out."""
-    train = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    train = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     totals = {r.toxic: r.n for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for k in (0, 1):
@@ -295,54 +309,116 @@ def sample_labels(labels: DataFrame, size: int = SAMPLE) -> tuple[DataFrame, dic
     return chosen, {k: n / min(n, size) for k, n in totals.items()}
 
 
+def _g2(a: Column, b: Column, n1: float, n0: float) -> Column:
+    """Likelihood ratio of a feature that ``a`` of ``n1`` toxic and ``b`` of ``n0`` other documents have."""
+    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
+    total = n0 + n1
+    return 2 * sum(part(o, row * column / total) for o, row, column in ((a, a + b, n1), (b, a + b, n0), (n1 - a, total - a - b, n1), (n0 - b, total - a - b, n0)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, size: int = SAMPLE, text: str = "text") -> dict[str, float]:
-    """Weights by feature; "" is the bias.  No weights if there is nothing to learn."""
+    """Weights by feature; "" is the bias.  No weights if there is nothing to learn.
+
+    What comes to the driver is bounded by the sample: features that ``LEAST_DOCS`` of its
+    documents have and that reach the least level in some fold, and who has which."""
     chosen, weight = sample_labels(labels, size)
     if 1 not in weight:
         return {}
-    # Bounded by 2 * size rows, so they are broadcast and their documents' features collected.
+    # Bounded by 2 * size rows, so they are broadcast; equal identifiers give one document.
     rows = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by(text, F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vacate()
         restorer = Restorer(counts)
         for batch in batches:
-            for own, texts in chunks(batch, text):
+            for own, texts in chunks(batch, "text"):
                 found = [sorted({f for p in set(restorer.pieces(x)) for w in restorer.words(p) for f in features(w)}) for x in texts]
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("toxic"), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "found"])
 
-    found = rows.mapInArrow(run, "doc_id long, toxic int, found array<string>")
+    work = Workspace(docs.sparkSession, "toxicity")
+    found = work.save(rows.mapInArrow(run, "doc_id long, toxic int, found array<string>").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")), "found")
+    documents = sorted((r.doc_id, r.toxic, r.fold) for r in found.select("doc_id", "toxic", "fold").collect())
+    at = {d: i for i, (d, _, _) in enumerate(documents)}
+    y, fold = (np.array([d[k] for d in documents], float) for k in (1, 2))
+    weights = np.array([weight[t] for t in y.astype(int)])
+
     one = F.lit(1).cast("long")
-    n = {k: 0 for k in (0, 1)} | {r.toxic: r.n for r in chosen.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    seen = found.select("toxic", F.explode("found").alias("feature")).groupBy("feature").agg(F.sum(F.when(F.col("toxic") == 1, one)).alias("a"), F.sum(F.when(F.col("toxic") == 0, one)).alias("b")).fillna(0)
-    part = lambda o, e: F.when(o > 0, o * F.log(o / e)).otherwise(0.0)
-    a, b, total = F.col("a").cast("double"), F.col("b").cast("double"), float(n[0] + n[1])
-    g2 = 2 * sum(part(o, (row * k / total)) for o, row, k in ((a, a + b, n[1]), (b, a + b, n[0]), (n[1] - a, total - a - b, n[1]), (n[0] - b, total - a - b, n[0])))
-    best = seen.where((a + b) >= LEAST_DOCS).withColumn("g2", g2).where(F.col("g2") >= LEAST_G2).orderBy(F.desc("g2"), "feature").limit(FEATURES)
-    names = sorted(r.feature for r in best.collect())
-    at = {f: i for i, f in enumerate(names)}
-    known = F.array(*(F.lit(f) for f in names)) if names else F.array().cast("array<string>")
-    sample = found.select("doc_id", "toxic", F.array_sort(F.array_intersect("found", known)).alias("found")).collect()
-    sample.sort(key=lambda r: (r.doc_id, r.toxic, r.found))
-    x = np.zeros((len(sample), len(names) + 1))
-    x[:, -1] = 1
-    for i, r in enumerate(sample):
-        x[i, [at[f] for f in r.found]] = 1
-    y = np.array([r.toxic for r in sample], float)
-    w = logistic(x, y, np.array([weight[r.toxic] for r in sample]))
-    return {**dict(zip(names, w[:-1].tolist(), strict=True)), "": float(w[-1])}
-
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Ridge logistic regression by Newton's method; the last column is the bias."""
+    here = lambda k, t: F.sum(F.when((F.col("fold") == k) & (F.col("toxic") == t), one).otherwise(0)).alias(f"f{k}t{t}")
+    seen = found.select("toxic", "fold", F.explode("found").alias("feature")).groupBy("feature").agg(*(here(k, t) for k in range(FOLDS) for t in (1, 0)))
+    n = {(k, t): float(((fold == k) & (y == t)).sum()) for k in range(FOLDS) for t in (1, 0)}
+    # Ratios without each fold, and over all (the last one); only features that reach a level come to the driver.
+    rests = [[j for j in range(FOLDS) if j != k] for k in range(FOLDS)] + [list(range(FOLDS))]
+    had = lambda ks, t: sum(F.col(f"f{k}t{t}") for k in ks).cast("double")
+    ratio = F.array(*(_g2(had(ks, 1), had(ks, 0), *(sum(n[k, t] for k in ks) for t in (1, 0))) for ks in rests))
+    able = seen.where(had(range(FOLDS), 1) + had(range(FOLDS), 0) >= LEAST_DOCS).select("feature", ratio.alias("ratio")).where(F.array_max("ratio") >= LEVELS[0])
+    able = sorted((r.feature, r.ratio) for r in able.collect())
+    names, ratios = [f for f, _ in able], np.array([x for _, x in able], float).reshape(-1, FOLDS + 1).T
+    strong = docs.sparkSession.createDataFrame([(f, j) for j, f in enumerate(names)], "feature string, column int")
+    has = found.select("doc_id", F.explode("found").alias("feature")).join(F.broadcast(strong), "feature").groupBy("doc_id").agg(F.collect_list("column").alias("columns")).collect()
+    work.drop()
+    row = np.repeat(np.array([at[r.doc_id] for r in has], np.int64), [len(r.columns) for r in has])
+    x = Incidence(row, np.array([c for r in has for c in r.columns], np.int64), len(documents), len(names))
+
+    def loss(level: float) -> float:
+        total = 0.0
+        for k in range(FOLDS):
+            rest, own = fold != k, ratios[k] >= level
+            w = logistic(x.part(rest, own), y[rest], weights[rest], steps=8)
+            z = x.part(~rest, own) @ w
+            total += float((weights[~rest] * np.logaddexp(0, np.where(y[~rest] > 0, -z, z))).sum())
+        return total
+
+    level = min(LEVELS, key=loss)
+    own = ratios[-1] >= level
+    w = logistic(x.part(np.ones(len(y), bool), own), y, weights)
+    return {**{names[j]: float(v) for j, v in zip(np.flatnonzero(own).tolist(), w[:-1], strict=True)}, "": float(w[-1])}
+
+
+class Incidence:
+    """A matrix of zeros and ones as the places of its ones; the last column, all ones, is the bias."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, height: int, width: int):
+        order = np.lexsort((column, row))
+        self.row, self.column, self.height, self.width = row[order], column[order], height, width
+        self.shape = (height, width + 1)
+
+    def part(self, rows: np.ndarray, columns: np.ndarray) -> Incidence:
+        """Some rows and columns, given as masks."""
+        keep = rows[self.row] & columns[self.column]
+        place = lambda m: np.cumsum(m) - 1
+        return Incidence(place(rows)[self.row[keep]], place(columns)[self.column[keep]], int(rows.sum()), int(columns.sum()))
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.column], self.height) + w[-1]
+
+    def back(self, u: np.ndarray) -> np.ndarray:
+        """The transpose times ``u``."""
+        return np.append(np.bincount(self.column, u[self.row], self.width), u.sum())
+
+
+def logistic(x: np.ndarray | Incidence, y: np.ndarray, weight: np.ndarray, penalty: float = 0.05, steps: int = 30) -> np.ndarray:
+    """Ridge logistic regression by Newton's method, its steps by conjugate gradients, so any
+    number of features will do; the last column is the bias."""
+    back = x.back if isinstance(x, Incidence) else lambda u: x.T @ u
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - y)) + ridge * w
-        hessian = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(ridge)
-        move = np.linalg.solve(hessian, gradient)
+        gradient = back(weight * (p - y)) + ridge * w
+        curve = weight * np.maximum(p * (1 - p), 1e-6)
+        move, rest = np.zeros_like(w), gradient.copy()
+        turn, size = rest.copy(), float(rest @ rest)
+        for _ in range(60):
+            if size <= 1e-12 * float(gradient @ gradient) or size < 1e-18:
+                break
+            bent = back(curve * (x @ turn)) + ridge * turn
+            step = size / float(turn @ bent)
+            move += step * turn
+            rest -= step * bent
+            size, before = float(rest @ rest), size
+            turn = rest + size / before * turn
         w -= move * min(1, 5 / max(1e-9, np.abs(move).max()))
         if np.abs(move).max() < 1e-6:
             break

@@ -119,6 +119,12 @@ def test_logistic_regression_reaches_its_optimum():
     w = X.logistic(x, y, np.ones(200), 1.0)
     p = 1 / (1 + np.exp(-x @ w))
     assert np.abs(x.T @ (p - y) + np.array([1, 1, 1, 1e-6]) * w).max() < 1e-4
+    row, column = np.nonzero(x[:, :3])
+    sparse = X.Incidence(row, column, 200, 3)
+    assert np.allclose(X.logistic(sparse, y, np.ones(200), 1.0), w, atol=1e-5)
+    rows, columns = np.arange(200) % 3 > 0, np.array([True, False, True])
+    part, v = sparse.part(rows, columns), np.array([0.5, -2.0, 1.0])
+    assert np.allclose(part @ v, x[rows][:, [0, 2, 3]] @ v) and np.allclose(part.back(y[rows]), x[rows][:, [0, 2, 3]].T @ y[rows])
 
 
 SPACED = ["she is a stupid man and i am a fool", "an idiot is a stupid idiot and a moron", "y a un idiot"] * 40
@@ -143,3 +149,21 @@ def test_arrays_of_states_decode_alike():
     model = X.CharModel(X.trigram_array(SPACED))
     for token in ("1d10t", "idiooot", "m0r0n!!!", "a i d i o t", "s t u p i d i d i 0 0 t", "id*ot", "st*p1d", "i!!d|0t"):
         assert model.decode_wild(token) == model.decode(token), token
+
+
+def test_words_with_signs_or_long_runs_are_decoded():
+    r = X.Restorer(X.trigram_array(["you pass an ass on the grass", "class mass"] * 40))
+    assert "ass" in r.words("a55") and "pass" in r.words("pa$$") and "class" in r.words("c1ass")
+    for word in ("a5", "5a", "ooo", "i!", "a1b", "xxx"):
+        assert X._HIDDEN.search(word), word
+    for word in ("plain", "2024", "a", "55", "loop"):
+        assert not X._HIDDEN.search(word) and r.words(word) == X._WORD.findall(word)
+
+
+def test_repeated_rows_and_labels_teach_once(tables):
+    docs, labels = tables
+    twice = X.train(docs.unionByName(docs), labels.unionByName(labels))[1]
+    once = X.train(docs, labels)[1]
+    assert twice.keys() == once.keys()
+    counts = X.count_trigrams(docs)
+    assert X.fit(docs.unionByName(docs), labels.unionByName(labels), counts) == X.fit(docs, labels, counts)
