@@ -35,6 +35,7 @@ range below stay.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +102,8 @@ CLASSES = (
 RANGES = ((0x5D0, 0x5EA), (0x621, 0x63A), (0x641, 0x64A), (0x904, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3))
 #: Digits of long internet addresses.
 HEX = ("0123456789abcdef",)
+#: Times that a surname goes through the cipher at most, while it comes out as a listed given name.
+ROUNDS = 8
 
 
 def kind_of(value: Column) -> Column:
@@ -113,42 +116,47 @@ def _characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def _moved(digest: Column, char: Column, classes: tuple[str, ...], ranges: tuple[tuple[int, int], ...]) -> Column:
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """What ``then`` makes of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _moved(digest: Column, char: Column, hexadecimal: Column) -> Column:
     """A character's counterpart in its class, as many places on as the digest says."""
     h = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-    low, point, letters = F.lower(char), F.ascii(char).cast("long"), "".join(classes)
-    # The class's number by letter, and its start and size by number, as texts of three digits each.
-    digits = lambda numbers: F.lit("".join(f"{n:03d}" for n in numbers))
-    at = lambda numbers, i: F.substring(digits(numbers), (i - 1) * 3 + 1, F.lit(3)).cast("int")
-    place = F.instr(F.lit(letters), low)
-    kind = at([k for k, c in enumerate(classes, 1) for _ in c], place)
-    start, size = at([sum(map(len, classes[:k])) for k in range(len(classes))], kind), at(map(len, classes), kind)
-    moved = F.substring(F.lit(letters), start + F.pmod(place - 1 - start + h, size).cast("int") + 1, F.lit(1))
-    out = F.when(place > 0, F.when(char == low, moved).otherwise(F.upper(moved)))
-    if ranges:
-        first = last = F.lit(None).cast("long")
-        for a, b in ranges:
-            first, last = (F.when(point.between(a, b), F.lit(x).cast("long")).otherwise(y) for x, y in ((a, first), (b, last)))
-        other = F.decode(F.unhex(F.lpad(F.hex(F.pmod(point - first + h, last - first + 1) + first), 4, "0")), "UTF-16BE")
-        out = out.when(first.isNotNull(), other)
-    return out.otherwise(char)
-
-
-def _pass(text: Column, key: Column, classes: tuple[str, ...], ranges: tuple[tuple[int, int], ...]) -> Column:
+    by_class = lambda make: F.when(hexadecimal, F.lit(make(HEX))).otherwise(F.lit(make(CLASSES)))
+    letters = by_class("".join)
+    # Start and size of each letter's class, in three digits each.
+    spans = by_class(lambda classes: "".join(f"{sum(map(len, classes[:k])):03d}{len(c):03d}" * len(c) for k, c in enumerate(classes)))
+
+    def placed(place: Column) -> Column:
+        start, size = (F.substring(spans, (place - 1) * 6 + i, F.lit(3)).cast("int") for i in (1, 4))
+        moved = F.substring(letters, start + F.pmod(place - 1 - start + h, size).cast("int") + 1, F.lit(1))
+        return F.when(place > 0, F.when(char == F.lower(char), moved).otherwise(F.upper(moved))).otherwise(F.coalesce(F.get(other, 0), char))
+
+    point = F.ascii(char).cast("long")
+    scripts = F.array(*(F.struct(F.lit(a).cast("long").alias("first"), F.lit(b).cast("long").alias("last")) for a, b in RANGES))
+    turned = lambda s: F.pmod(point - s["first"] + h, s["last"] - s["first"] + 1) + s["first"]
+    other = F.transform(F.filter(scripts, lambda s: point.between(s["first"], s["last"])), lambda s: F.decode(F.unhex(F.lpad(F.hex(turned(s)), 4, "0")), "UTF-16BE"))
+    return _bound(F.instr(letters, F.lower(char)), placed)
+
+
+def _pass(text: Column, key: Column, hexadecimal: Column) -> Column:
     """The cipher from left to right: each letter moves by a digest of the key and all before it."""
     start = F.struct(key.alias("h"), F.lit("").alias("out"))
 
     def step(acc: Column, char: Column) -> Column:
         h = F.when(char.rlike(r"[\p{L}\p{N}]"), F.sha2(F.concat(acc["h"], F.lower(char)), 256)).otherwise(acc["h"])
-        return F.struct(h.alias("h"), F.concat(acc["out"], _moved(acc["h"], char, classes, ranges)).alias("out"))
+        return F.struct(h.alias("h"), F.concat(acc["out"], _moved(acc["h"], char, hexadecimal)).alias("out"))
 
     return F.aggregate(_characters(text), start, step, lambda acc: acc["out"])
 
 
-def cipher(text: Column, key: str, label: str, classes: tuple[str, ...] = CLASSES, ranges: tuple[tuple[int, int], ...] = RANGES) -> Column:
-    """A keyed permutation of the texts of one shape."""
-    keys = [F.sha2(F.lit(f"{key}|{label}|{i}"), 256) for i in (1, 2)]
-    return F.reverse(_pass(F.reverse(_pass(text, keys[0], classes, ranges)), keys[1], classes, ranges))
+def cipher(text: Column, key: str, label: str | Column, hexadecimal: bool | Column = False) -> Column:
+    """A keyed permutation of the texts of one shape: there and back, by two keys."""
+    label, hexadecimal = (F.lit(x) if not isinstance(x, Column) else x for x in (label, hexadecimal))
+    keys = F.array(*(F.sha2(F.concat(F.lit(f"{key}|"), label, F.lit(f"|{i}")), 256) for i in (1, 2)))
+    return F.aggregate(keys, text, lambda out, own: F.reverse(_pass(out, own, hexadecimal)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -157,40 +165,18 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0)), lambda a: a % 10)
 
 
-def _account(value: Column, key: str) -> Column:
-    """All digits but the last permuted; the last one set for the same Luhn remainder."""
-    head = cipher(F.substring(value, F.lit(1), F.length(value) - 1), key, "account")
-    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
-    last = F.pmod(_luhn(digits(value)) - _luhn(F.concat(digits(head), F.lit("0"))), F.lit(10))
-    return F.concat(head, last.cast("string"))
-
-
 def _address(value: Column, key: str) -> Column:
     """A Feistel permutation of the 32 bits, four rounds over two halves of 16."""
     octets = F.split(value, r"\.")
-    left, right = (octets[i].cast("bigint") * 256 + octets[i + 1].cast("bigint") for i in (0, 2))
-    for i in range(4):
-        digest = F.sha2(F.concat(F.sha2(F.lit(f"{key}|ip|{i}"), 256), right.cast("string")), 256)
-        mix = F.conv(F.substring(digest, 1, 4), 16, 10).cast("bigint")
-        left, right = right, F.pmod(left + mix, F.lit(65536))
-    return F.concat_ws(".", *(x.cast("string") for half in (left, right) for x in (F.floor(half / 256), F.pmod(half, F.lit(256)))))
-
+    halves = F.struct(*((octets[i].cast("bigint") * 256 + octets[i + 1].cast("bigint")).alias(side) for i, side in ((0, "left"), (2, "right"))))
+    keys = F.array(*(F.sha2(F.lit(f"{key}|ip|{i}"), 256) for i in range(4)))
 
-def _mail(value: Column, key: str) -> Column:
-    """The top-level domain stays."""
-    top = F.regexp_extract(value, r"\.[^.]*\z", 0)
-    return F.concat(cipher(F.substring(value, F.lit(1), F.length(value) - F.length(top)), key, "mail"), top)
+    def turn(acc: Column, own: Column) -> Column:
+        mix = F.conv(F.substring(F.sha2(F.concat(own, acc["right"].cast("string")), 256), 1, 4), 16, 10).cast("bigint")
+        return F.struct(acc["right"].alias("left"), F.pmod(acc["left"] + mix, F.lit(65536)).alias("right"))
 
-
-def _phone(value: Column, key: str) -> Column:
-    """A plus sign and the first digits of a country code stay, however they are set off."""
-    code = F.regexp_extract(value, r"\A\+(?:[17]|[0-9]{2})", 0)
-    return F.concat(code, cipher(F.substring(value, F.length(code) + 1, F.length(value)), key, "phone"))
-
-
-def _bank(value: Column, key: str) -> Column:
-    """The country stays."""
-    return F.concat(F.substring(value, 1, 2), cipher(F.substring(value, F.lit(3), F.length(value)), key, "bank"))
+    byte = lambda acc: (x.cast("string") for side in ("left", "right") for x in (F.floor(acc[side] / 256), F.pmod(acc[side], F.lit(256))))
+    return F.aggregate(keys, halves, turn, lambda acc: F.concat_ws(".", *byte(acc)))
 
 
 def exchanged(key: str) -> dict[str, str]:
@@ -204,38 +190,36 @@ def exchanged(key: str) -> dict[str, str]:
     return out
 
 
-def _name(value: Column, key: str) -> Column:
-    """Word by word, so that a surname alone and with a given name stay together."""
-    given = F.create_map(*(F.lit(x) for pair in exchanged(key).items() for x in pair))
-    titles = [f for h in HONORIFICS for f in (h, h.upper())]
-
-    def one(word: Column) -> Column:
-        plain = F.initcap(F.lower(word))
-        own = F.when(word == F.upper(word), F.upper(given[plain])).otherwise(given[plain])
-        stays = word.rlike(r"\A(?:" + "|".join(titles) + r")\.?\z") | word.isin(PARTICLES)
-        return F.when(stays, word).when(F.map_contains_key(given, plain), own).otherwise(_surname(word, key))
+def _word(kind: Column, word: Column, key: str) -> Column:
+    """A part of an entity through the cipher; a name's words go by lists first.
 
-    return F.array_join(F.transform(F.split(value, " "), one), " ")
-
-
-def _surname(word: Column, key: str) -> Column:
-    """The cipher, once more if it gives a listed given name, so that none is met by two."""
-    listed = [n for names in GIVEN.values() for n in names]
-    once = F.array(cipher(word, key, "name"))
-    return F.transform(once, lambda out: F.when(F.initcap(F.lower(out)).isin(listed), cipher(out, key, "name")).otherwise(out))[0]
+    A surname whose surrogate is a listed given name goes through again, so that none is met
+    by two."""
+    named, listed = kind == "name", F.create_map(*(F.lit(x) for pair in exchanged(key).items() for x in pair))
+    titles = [f for h in HONORIFICS for f in (h, h.upper())]
+    stays = word.rlike(r"\A(?:" + "|".join(titles) + r")\.?\z") | word.isin(PARTICLES)
+    given = lambda w: F.initcap(F.lower(w))
+    again = lambda out, i: (i == 1) | (named & given(out).isin([n for names in GIVEN.values() for n in names]))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), word, lambda out, i: F.when(again(out, i), cipher(out, key, kind, kind == "ip6")).otherwise(out))
+    own = lambda g: F.when(g.isNotNull(), F.when(word == F.upper(word), F.upper(g)).otherwise(g)).otherwise(walked)
+    return F.when(named & stays, word).otherwise(_bound(F.when(named, listed[given(word)]), own))
 
 
 def surrogate(kind: Column, value: Column, key: str) -> Column:
-    return (
-        F.when(kind == "mail", _mail(value, key))
-        .when(kind == "phone", _phone(value, key))
-        .when(kind == "ip", _address(value, key))
-        .when(kind == "ip6", cipher(value, key, "ip6", HEX, ()))
-        .when(kind == "account", _account(value, key))
-        .when(kind == "bank", _bank(value, key))
-        .when(kind == "social", cipher(value, key, "social"))
-        .otherwise(_name(value, key))
-    )
+    """One cipher for all kinds, as the plan of a cipher for each is a load on the driver.
+
+    Names go word by word, so that a surname alone and with a given name stay together; a
+    top-level domain, a plus sign and a country's sign or first digits stay, however they are
+    set off; an account's last digit is set for the same Luhn remainder."""
+    country = F.regexp_extract(value, r"\A\+(?:[17]|[0-9]{2})", 0)
+    head = F.when(kind == "phone", country).when(kind == "bank", F.substring(value, 1, 2)).otherwise("")
+    tail = F.when(kind == "mail", F.regexp_extract(value, r"\.[^.]*\z", 0)).when(kind == "account", F.substring(value, -1, 1)).otherwise("")
+    body = F.substring(value, F.length(head) + 1, F.length(value) - F.length(head) - F.length(tail))
+    parts = F.when(kind == "name", F.split(value, " ")).otherwise(F.array(body))
+    front = F.concat(head, F.array_join(F.transform(parts, lambda w: _word(kind, w, key)), " "))
+    digits = lambda c: F.regexp_replace(c, "[^0-9]", "")
+    last = lambda c: F.pmod(_luhn(digits(value)) - _luhn(F.concat(digits(c), F.lit("0"))), F.lit(10)).cast("string")
+    return F.when(kind == "ip", _address(value, key)).otherwise(_bound(front, lambda c: F.concat(c, F.when(kind == "account", last(c)).otherwise(tail))))
 
 
 def _identity(kind: Column, value: Column) -> Column:

@@ -99,7 +99,7 @@ def test_addresses_and_accounts_are_permuted(spark):
     n = ips.count()
     assert ips.select(P._address(F.col("v"), KEY).alias("s")).distinct().count() == n
     accounts = spark.range(3000).select(F.lpad((F.col("id") * 7919 + 4000000000000).cast("string"), 16, "4").alias("v"))
-    assert accounts.select(P._account(F.col("v"), KEY).alias("s")).distinct().count() == 3000
+    assert accounts.select(P.surrogate(F.lit("account"), F.col("v"), KEY).alias("s")).distinct().count() == 3000
 
 
 def test_collisions_are_found_and_stop_the_job(spark, docs_of, monkeypatch):
