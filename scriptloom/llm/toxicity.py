@@ -117,11 +117,55 @@ class CharModel:
         p2 = (c2 + 20 * p1) / (c2.sum(1, keepdims=True) + 20)
         p3 = (c3 + 20 * p2[None]) / (c3.sum(2, keepdims=True) + 20)
         self.cost = (-np.log(p3)).astype(np.float32)
+        self._firsts: dict = {}
+        self._endings = [(self.cost[:, :, 0].astype(np.float64), np.zeros((SIZE, SIZE), np.int8))]
 
     def decode(self, token: str) -> str:
         """The likeliest reading of a token or a run of spaced letters (lower case)."""
-        if token.count("*") > 1:
+        head = token.rstrip("*")
+        stars = len(token) - len(head)
+        if "*" in head or stars > 64:
             return self.decode_wild(token)
+        first, moves = self.endings(stars)
+        states = self._states(head)
+        a, b = min(states, key=lambda s: states[s][0] + first[s])
+        out, text = [], states[a, b][1]
+        while text:
+            text, x = text
+            out.append(x)
+        out.reverse()
+        for move in moves:
+            k = int(move[a, b])
+            a, b = (a, b) if not k else (0, 0) if k < 0 else (b, k)
+            out += [ALPHABET[k - 1]] if k > 0 else [" "] * -k
+        return " ".join("".join(out).split())
+
+    def endings(self, stars: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Least costs of a token's end, so many stars, by the state before it; and by star the
+        move from each state: a letter, a sign (-1) or nothing, as it repeats the last one (0)."""
+        own = self.cost.astype(np.float64)[:, :, 1:] + WILDCARD if stars >= len(self._endings) else None
+
+        def best(rest: np.ndarray, repeat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            letters = own + rest[None, :, 1:]
+            k = letters.argmin(2)
+            read, same = np.take_along_axis(letters, k[:, :, None], 2)[:, :, 0], np.where(repeat, rest + DROP_REPEAT, np.inf)
+            value, move = np.minimum(same, read), np.where(read < same, k + 1, 0)
+            sign = KEEP_SIGN * ~repeat + rest[0, 0]
+            return np.minimum(value, sign), np.where(sign < value, -1, move).astype(np.int8)
+
+        # A letter after the end of a word repeats nothing, and a first star nothing before it.
+        repeats, none = np.ones((SIZE, SIZE), bool), np.zeros((SIZE, SIZE), bool)
+        repeats[1:, 0] = False
+        for n in range(len(self._endings), stars + 1):
+            self._endings.append(best(self._endings[n - 1][0], repeats))
+            self._firsts[n] = best(self._endings[n - 1][0], none)
+        if not stars:
+            return self._endings[0][0], []
+        value, move = self._firsts[stars]
+        return value, [move, *(self._endings[n][1] for n in range(stars - 1, 0, -1))]
+
+    def _states(self, token: str) -> dict:
+        """Least cost and reading of a token by the state after it."""
         cost = self.cost
         # State: the last two letters' codes.  Value: cost, reading as a chain of its letters.
         states: dict = {(0, 0): (0.0, None)}
@@ -150,24 +194,16 @@ class CharModel:
                 repeat = c == last and not (a and not b)
                 if repeat:
                     to(a, b, value + DROP_REPEAT, text)
-                if c == "*":
-                    for x, k in _CODES.items():
-                        to(b, k, value + WILDCARD + float(cost[a, b, k]), (text, x))
                 for x, extra in readings:
                     k = _CODES[x]
                     to(b, k, value + extra + (KEEP_REPEAT if repeat else 0) + float(cost[a, b, k]), (text, x))
                 if not own:
                     to(0, 0, value + KEEP_SIGN * (not repeat), (text, " "))
             states, last = new, c
-        _, text = min(((value + float(cost[a, b, 0]), text) for (a, b), (value, text) in states.items()), key=lambda s: s[0], default=(0, None))
-        out = []
-        while text:
-            text, x = text
-            out.append(x)
-        return " ".join("".join(reversed(out)).split())
+        return states
 
     def decode_wild(self, token: str) -> str:
-        """The same over arrays of all states, for tokens in which many are met."""
+        """The same over arrays of all states, for tokens with stars elsewhere than at their end."""
         cost = self.cost.astype(np.float64)
         value = np.full((SIZE, SIZE), np.inf)
         value[0, 0] = 0.0
