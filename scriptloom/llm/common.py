@@ -119,16 +119,33 @@ def resident(key: tuple, make: Callable):
 
 
 def vacate() -> None:
-    """Gives up what the worker keeps, and its memory back to the system where that's possible."""
-    if not _resident:
-        return
-    _resident.clear()
-    gc.collect()
+    """Gives up what the worker keeps, and its memory back to the system."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Memory that is free in the worker goes back to the system where that's possible."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function for a worker that keeps nothing between tasks: idle workers would hold
+    their memory while the executor's other tasks grow."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        vacate()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch with about ``limit`` characters each, and their texts (null: empty)."""
     texts = [x or "" for x in batch.column(text).to_pylist()]

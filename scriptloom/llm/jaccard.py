@@ -38,9 +38,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, sifted, vacate
+from .common import Workspace, chunks, sifted, tidy
 from .graph import components
-from .words import mixed, windows, words
+from .words import TOGETHER, mixed, windows, words
 
 N = 5
 #: The threshold as a fraction, so that comparisons are exact.
@@ -112,10 +112,10 @@ def tag_of(doc_id: str, text: str) -> Column:
 def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """doc_id, tag, key, bands of each document."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         for batch in batches:
-            for own, texts in chunks(batch, "text", 1_000_000):
+            for own, texts in chunks(batch, "text", TOGETHER):
                 sets = gram_sets(texts, n)
                 keys = [set_key(s) for s in sets]
                 hashed: dict = {}
@@ -130,10 +130,10 @@ def sign(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def with_grams(docs: DataFrame, n: int) -> DataFrame:
     """key, grams (little-endian 64-bit) of each document with words."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         for batch in batches:
-            for _, texts in chunks(batch, "text", 1_000_000):
+            for _, texts in chunks(batch, "text", TOGETHER):
                 sets = [s for s in gram_sets(texts, n) if len(s)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "grams"])
 
@@ -202,8 +202,8 @@ def verified(members: DataFrame) -> DataFrame:
     """key, root, links: a row for each set in each pair of blocks.  ``members``: component,
     low, high (the blocks), block, key, copies, bands, grams, sorted by the first three."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         group, rows = None, []
 
         def done() -> pa.RecordBatch:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BATCH_BYTES, vacate
+from .common import BATCH_BYTES, tidy
 
 RATE, BLOCK = 8_000, 64
 UP, DOWN, TAPS = 3, 4, 12
@@ -198,8 +198,8 @@ def audio_features(df: DataFrame, media: str = "media") -> DataFrame:
     schema = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in added])
     types = [pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.float64()]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         for batch in batches:
             rows, size, start = [], 0, 0
             column = batch.column(media)

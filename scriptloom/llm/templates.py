@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, sifted, vacate
+from .common import Workspace, chunks, sifted, tidy
 from .words import Words, windows, words
 
 WINDOW, LEAST = 8, 5
@@ -149,8 +149,8 @@ def all_windows(df: DataFrame, key: str, text: str, sizes: tuple[tuple[int, int]
         wanted = np.sort(wanted)
     kinds_of = (OPENERS_LITERAL, OPENERS_NAMES, EXACT) if sizes is None else tuple(sorted({r for r, _ in sizes}))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         bitmap = None
         if wanted is not None:
             bitmap = np.zeros(1 << 24, bool)

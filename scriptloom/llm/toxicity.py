@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, chunks, vacate
+from .common import Workspace, chunks, tidy
 from .pieces import PieceCache
 
 SAMPLE = 4000
@@ -91,8 +91,8 @@ def trigram_array(texts: list[str]) -> np.ndarray:
 def count_trigrams(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Trigram counts over all texts."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         total = np.zeros(SIZE**3, np.int64)
         for batch in batches:
             for _, texts in chunks(batch, text):
@@ -364,8 +364,8 @@ def fit(docs: DataFrame, labels: DataFrame, counts: np.ndarray, size: int = SAMP
     rows = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")
     rows = rows.groupBy("doc_id", "toxic").agg(F.min_by(text, F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         restorer = Restorer(counts)
         for batch in batches:
             for own, texts in chunks(batch, "text"):
@@ -469,8 +469,8 @@ def score(docs: DataFrame, counts: np.ndarray, weights: dict[str, float], text:
     bias = weights.get("", -math.inf)
     at, value = {f: i for i, f in enumerate(names)}, [weights[f] for f in names]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         restorer = Restorer(counts)
 
         def known(pieces: list[str]) -> list[tuple[int, ...]]:

@@ -38,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, Workspace, sifted, vacate
+from .common import BATCH_BYTES, Workspace, sifted, tidy
 
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4 * 1024
@@ -158,8 +158,8 @@ def write_archives(pages: DataFrame, root: str) -> DataFrame:
     """Writes the pages (page_id, url, html, refers_to) below ``root`` (a URI).  Returns,
     lazily, a row per archive: path, records."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         fs, base = pafs.FileSystem.from_uri(root)
         fs.create_dir(base, recursive=True)
         out = name = None
@@ -195,8 +195,8 @@ def read_records(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in RECORDS.split(", ")]
     number = lambda v: None if v is None else int(v)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 fs, place = pafs.FileSystem.from_uri(path)
@@ -234,8 +234,8 @@ def reassemble(records: DataFrame) -> DataFrame:
     joined = joined.select(*own, F.col("s.block").alias("blocks"), F.col("s.segment").alias("numbers"), F.coalesce("total", F.lit(-1)).alias("total"))
     schema = "record_id string, record_type string, page_id long, refers_to long, stated_digest string, payload binary, payload_bytes long, payload_digest string, error string"
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vacate()
         for batch in batches:
             rows = [_decoded(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("record_type", "stated_digest", "blocks", "numbers", "total")), strict=True)]
             new = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.binary(), pa.int64(), pa.string(), pa.string())]

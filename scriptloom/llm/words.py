@@ -12,7 +12,9 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Characters laid end to end; longer texts are cut between words.
+#: Characters of several texts laid end to end; longer texts are handled alone.
+TOGETHER = 250_000
+#: Longer texts are cut between words.
 SPAN = 1_000_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -130,7 +132,7 @@ def words(texts: list[str]) -> Words:
                 parts.append(own)
             first = i + 1
             continue
-        if size + len(x) > SPAN:
+        if size + len(x) > TOGETHER:
             flush()
         if not group:
             first = i
