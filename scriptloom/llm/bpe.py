@@ -46,6 +46,8 @@ from .unigram import load_ranks
 BLOCK_BYTES = 200_000
 #: Bytes of a word from which it is cut and contracted as a long one.
 LONG = 64
+#: Characters of texts that are encoded together.
+TOGETHER = 250_000
 #: Pieces remembered in a Python worker, at some 180 bytes each.
 CACHED = 800_000
 
@@ -241,7 +243,7 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, text: str = "text", k
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(ranks, pattern, cached)
         for batch in batches:
-            for own, texts in chunks(batch, "__text", 1_000_000):
+            for own, texts in chunks(batch, "__text", TOGETHER):
                 ids, decoded = zip(*code(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=[*keep, "ids", "decoded"])
 

@@ -115,6 +115,7 @@ def resident(key: tuple, make: Callable):
     if key not in _resident:
         vacate()
         _resident[key] = make()
+        give_back()
     return _resident[key]
 
 
