@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, media, secrets, sst, surrogates, templates, toxicity, unigram, warc
+from pyspark.sql import functions as F
+
+from . import bpe, circulant, jaccard, media, negatives, search, secrets, sst, surrogates, templates, toxicity, unigram, warc
 from .common import table
 
 #: Key of the surrogates that the registered queries make.  A deployment brings its own.
@@ -64,6 +66,20 @@ def op10_token_counts(spark, sf_dir):
     return unigram.token_counts(docs, vocabulary("byte_bpe_multi_50k.tiktoken"), pattern()).drop("text")
 
 
+def op11_circulant_minhash(spark, sf_dir):
+    return circulant.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark, sf_dir):
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +93,15 @@ QUERIES = {
         op8_secret_scan,
         op9_token_shards,
         op10_token_counts,
+        op11_circulant_minhash,
+        op12_ranked_search,
+        op13_hard_negatives,
     )
 }
-ORACLE_SQL = {"op2_ngram_jaccard": jaccard.ORACLE, "op8_secret_scan": secrets.ORACLE}
+ORACLE_SQL = {
+    "op2_ngram_jaccard": jaccard.ORACLE,
+    "op8_secret_scan": secrets.ORACLE,
+    "op11_circulant_minhash": circulant.ORACLE,
+    "op12_ranked_search": search.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
+}
