@@ -116,8 +116,9 @@ def encoding_desc(systems: Column | None = None) -> Column:
 
 
 def add_annotation_system(encoding: Column, system: Column) -> Column:
-    """Appends a valid system; identifiers may repeat."""
-    return encoding.withField("annotationSystem", F.array_append(encoding["annotationSystem"], system.cast(SYSTEM)))
+    """Appends what ``annotation_system`` has checked; identifiers may repeat.  A rejected
+    system appends nothing: the old value, with the error."""
+    return _added(encoding, "annotationSystem", system.cast(f"struct<value:{SYSTEM},error:string>"))
 
 
 def encoding_is_empty(encoding: Column) -> Column:
@@ -135,7 +136,8 @@ def revision_desc(changes: Column | None = None) -> Column:
 
 
 def add_change(revision: Column, change: Column) -> Column:
-    return revision.withField("change", F.array_append(revision["change"], change.cast(CHANGE)))
+    """Appends what ``revision_change`` has checked, or nothing: the old value, with the error."""
+    return _added(revision, "change", change.cast(f"struct<value:{CHANGE},error:string>"))
 
 
 def revision_is_empty(revision: Column) -> Column:

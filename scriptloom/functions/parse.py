@@ -77,11 +77,15 @@ def read_tree(xml: str) -> _Node:
     try:
         parser.Parse(xml.encode(), True)
     except expat.ExpatError as e:
-        what = expat.ErrorString(e.code)
-        raise Rejected(errors.UNCLOSED if e.code in (expat.errors.codes[expat.errors.XML_ERROR_NO_ELEMENTS], expat.errors.codes[expat.errors.XML_ERROR_UNCLOSED_TOKEN]) else f"{what} at line {e.lineno}") from None
+        raise ill_formed(e) from None
     return top.children[0]
 
 
+def ill_formed(e: expat.ExpatError) -> Rejected:
+    cut = e.code in (expat.errors.codes[expat.errors.XML_ERROR_NO_ELEMENTS], expat.errors.codes[expat.errors.XML_ERROR_UNCLOSED_TOKEN])
+    return Rejected(errors.UNCLOSED if cut else f"{expat.ErrorString(e.code)} at line {e.lineno}")
+
+
 def _string(value, name: str) -> str | None:
     if value is not None and not isinstance(value, str):
         raise Rejected(f"invalid type for `{name}`: expected a string")
@@ -151,21 +155,39 @@ def _token(depth: int, kind: str, **rest) -> dict:
     return {"depth": depth, "kind": kind, "text": None, "rend": None, "dur": None, "type": None, **rest}
 
 
-def _inline(children: list, depth: int, out: list[dict]) -> None:
-    for c in children:
-        if isinstance(c, str):
-            if c.strip(_SPACES):
-                out.append(_token(depth, "text", text=c))
-        elif c.name == "pause" and set(c.attributes) <= {"dur", "type"} and not any(isinstance(x, _Node) or x.strip(_SPACES) for x in c.children):
-            out.append(_token(depth, "pause", **c.attributes))
-        elif c.name == "hi" and set(c.attributes) <= {"rend"}:
-            out.append(_token(depth, "hi", **c.attributes))
-            before = len(out)
-            _inline(c.children, depth + 1, out)
-            if len(out) == before:
+def is_pause(name: str, attributes: dict) -> bool:
+    return name == "pause" and set(attributes) <= {"dur", "type"}
+
+
+def is_hi(name: str, attributes: dict) -> bool:
+    return name == "hi" and set(attributes) <= {"rend"}
+
+
+def _inline(children: list, out: list[dict]) -> None:
+    """Tokens of mixed content.  A stack of its own, so that content nests as deep as it likes."""
+    stack = [(iter(children), -1)]
+    while stack:
+        rest, before = stack[-1]
+        for c in rest:
+            if isinstance(c, str):
+                if c.strip(_SPACES):
+                    out.append(_token(len(stack) - 1, "text", text=c))
+            elif is_pause(c.name, c.attributes) and not any(isinstance(x, _Node) or x.strip(_SPACES) for x in c.children):
+                out.append(_token(len(stack) - 1, "pause", **c.attributes))
+            elif is_hi(c.name, c.attributes):
+                out.append(_token(len(stack) - 1, "hi", **c.attributes))
+                stack.append((iter(c.children), len(out)))
+                break
+            else:
                 raise Rejected(errors.INLINE)
         else:
-            raise Rejected(errors.INLINE)
+            stack.pop()
+            if len(out) == before:
+                raise Rejected(errors.INLINE)
+
+
+def block_of(kind: str, identifier: str | None, who: str | None, tokens: list[dict]) -> dict:
+    return {"kind": kind, "id": _identifier(identifier), "who": None if who is None else _needed(who, errors.SPEAKER), "inline": tokens}
 
 
 def _blocks(body: _Node) -> list[dict]:
@@ -179,8 +201,8 @@ def _blocks(body: _Node) -> list[dict]:
             raise Rejected(f"unknown variant `{c.name}`, expected `p` or `u`")
         who = c.attributes.get("who") if c.name == "u" else None
         own: list[dict] = []
-        _inline(c.children, 0, own)
-        out.append({"kind": c.name, "id": _identifier(_id_of(c)), "who": None if who is None else _needed(who, errors.SPEAKER), "inline": own})
+        _inline(c.children, own)
+        out.append(block_of(c.name, _id_of(c), who, own))
     return out
 
 
@@ -193,43 +215,51 @@ def read_xml(xml: str) -> dict:
     return {"header": header, "blocks": _blocks(root.one("text", True).one("body", True)), "error": None}
 
 
-def read_inline(value, depth: int, out: list[dict]) -> None:
+def read_inline(value, out: list[dict]) -> None:
     """Tokens of a JSON inline: a text, else an emphasis, else a pause."""
-    if isinstance(value, str):
-        out.append(_token(depth, "text", text=value))
-        return
-    if isinstance(value, dict):
-        if set(value) <= {"rend", "$value"} and isinstance(value.get("$value"), list) and value["$value"]:
-            own = [_token(depth, "hi", rend=_string(value.get("rend"), "rend"))]
-            for v in value["$value"]:
-                read_inline(v, depth + 1, own)
-            if not any(t["kind"] == "text" and not t["text"].strip(_SPACES) for t in own):
-                out += own
-                return
-        elif set(value) <= {"@dur", "@type"}:
-            out.append(_token(depth, "pause", dur=_string(value.get("@dur"), "@dur"), type=_string(value.get("@type"), "@type")))
-            return
-    raise Rejected(errors.INLINE)
+    stack = [[iter([value]), False]]  # what is left of a list, and whether a text in it is blank
+    while stack:
+        depth, frame = len(stack) - 1, stack[-1]
+        for v in frame[0]:
+            if isinstance(v, str):
+                frame[1] |= not v.strip(_SPACES)
+                out.append(_token(depth, "text", text=v))
+            elif isinstance(v, dict) and set(v) <= {"rend", "$value"} and isinstance(v.get("$value"), list) and v["$value"]:
+                out.append(_token(depth, "hi", rend=_string(v.get("rend"), "rend")))
+                stack.append([iter(v["$value"]), False])
+                break
+            elif isinstance(v, dict) and set(v) <= {"@dur", "@type"}:
+                out.append(_token(depth, "pause", dur=_string(v.get("@dur"), "@dur"), type=_string(v.get("@type"), "@type")))
+            else:
+                raise Rejected(errors.INLINE)
+        else:
+            stack.pop()
+            if frame[1] and depth:
+                raise Rejected(errors.INLINE)
+
+
+def _loaded(payload: str):
+    """A JSON text's value.  The standard reader keeps a depth that it doesn't go beyond."""
+    try:
+        return json.loads(payload)
+    except RecursionError:
+        raise Rejected("invalid JSON: nested too deeply") from None
+    except ValueError as e:
+        raise Rejected(f"invalid JSON: {e}") from None
 
 
 def inline_error(payload: str | None) -> str | None:
     """What is wrong with a JSON text as an inline."""
     try:
-        read_inline(json.loads(payload or ""), 0, [])
+        read_inline(_loaded(payload or ""), [])
     except Rejected as e:
-        return str(e)
-    except (ValueError, RecursionError) as e:
-        return f"invalid JSON: {e}".encode("utf-8", "replace").decode()
+        return str(e).encode("utf-8", "replace").decode()
     return None
 
 
 def read_json(payload: str) -> dict:
     """header and blocks of a document in JSON, or Rejected."""
-    try:
-        top = json.loads(payload)
-    except ValueError as e:
-        raise Rejected(f"invalid JSON: {e}") from None
-    return read_members(top)
+    return read_members(_loaded(payload))
 
 
 def read_msgpack(payload: bytes) -> dict:
@@ -281,7 +311,7 @@ def read_members(top) -> dict:
         own = _map(own, kind)
         tokens: list[dict] = []
         for v in each(own, "$value"):
-            read_inline(v, 0, tokens)
+            read_inline(v, tokens)
         who = _string(own.get("@who"), "@who") if kind == "u" else None
         identifier = _string(own.get("@xml:id", own.get("@id")), "@xml:id")
         blocks.append({"kind": kind, "id": _identifier(identifier), "who": None if who is None else _needed(who, errors.SPEAKER), "inline": tokens})

@@ -6,14 +6,18 @@ SQL on both sides (``HOSTILE``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import body, header, json, xml
-from ..functions.errors import CONTAINER_ID_EMPTY, CONTAINER_ID_SPACE, CONTENT, FIELD, FORBIDDEN as FORBIDDEN_ERROR, NOTE, RESPONSIBLE, REVISION, SEGMENT, SPEAKER, SPEAKER_NAME, TITLE, XML
+from ..functions.errors import CONTAINER_ID_EMPTY, CONTAINER_ID_SPACE, CONTENT, FIELD, FORBIDDEN as FORBIDDEN_ERROR, LANGUAGE, NOTE, RESPONSIBLE, REVISION, SEGMENT, SPEAKER, SPEAKER_NAME, SYSTEM, TITLE, XML
 from ..functions.text import EDGES, ENTITIES, FORBIDDEN, SPACES, code_point, escape, first_forbidden, optional
 from ..operators import documents as docs_
 from ..operators import validate
+from ..sources import datasource
+from ..sources.files import shared_folder
 from ..sources.tables import conversation_blocks, conversation_documents, conversation_title, table, text_documents, turn_block
 from ..streaming import pull
 
@@ -406,10 +410,10 @@ def span_texts(spark, sf_dir):
     return validate.span_texts(spans, conversation_documents(c))
 
 
-@query("SELECT 'customer ' || c_custkey AS doc_key, '" + FIELD.format("language") + "' AS error FROM customer WHERE c_custkey % 10 = 0")
+@query(f"SELECT doc_id, {blank_null('raw')} AS value, CASE WHEN {blank_null('raw')} IS NULL THEN '{FIELD.format(LANGUAGE)}' END AS error FROM (SELECT doc_id, {hostile('lang', 'doc_id')} AS raw FROM documents)")
 def language_errors(spark, sf_dir):
-    own = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("doc_key"), header.language_tag(F.when(F.col("c_custkey") % 10 == 0, " ").otherwise("en-GB"))["error"].alias("error"))
-    return own.where("error is not null")
+    own = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{hostile('lang', 'doc_id')} AS raw")
+    return own.select("doc_id", header.language_tag(F.col("raw")).alias("l")).select("doc_id", "l.value", "l.error")
 
 
 # Setters and pushes: a rejected change leaves the old value ---------------------------------
@@ -461,18 +465,30 @@ def encoding_growth(spark, sf_dir):
     """Identifiers may repeat; the first of them is found."""
     e = header.encoding_desc()
     for name, value in (("lang", F.col("lang")), (" source ", F.col("source")), ("lang", F.lit("later"))):
-        e = header.add_annotation_system(e, header.annotation_system(F.lit(name), value)["value"])
+        e = header.add_annotation_system(e, header.annotation_system(F.lit(name), value))["value"]
     rows = table(spark, sf_dir, "documents").select("doc_id", e.alias("e"))
     first = lambda k: header.find_annotation_system(F.col("e"), F.lit(k))["desc"]
     return rows.select("doc_id", F.array_join(F.transform("e.annotationSystem", lambda s: s["id"]), ",").alias("ids"), first("lang").alias("first_lang"), first("source").alias("first_source"), first("Lang").alias("other_case"), header.encoding_is_empty(F.col("e")).alias("is_empty"))
 
 
-@query(f"SELECT conv_id, turn, 'made,' || coalesce(v || '/' || role, '') AS log, CASE WHEN v IS NULL THEN '{FIELD.format(REVISION)}' END AS error FROM (SELECT conv_id, turn, role, {blank_null('raw')} AS v FROM ({_RAW}))")
+@query(f"""SELECT conv_id, turn, 'made' || coalesce(',' || v || '/' || role, '') AS log, CASE WHEN v IS NULL THEN 1 ELSE 2 END::BIGINT AS changes, CASE WHEN v IS NULL THEN '{FIELD.format(REVISION)}' END AS error
+FROM (SELECT conv_id, turn, role, {blank_null('raw')} AS v FROM ({_RAW}))""")
 def revision_growth(spark, sf_dir):
+    """A blank note appends nothing."""
     change = header.revision_change(F.col("raw"), F.concat(F.lit(" "), F.col("role")))
     first = header.revision_desc(F.array(header.revision_change(F.lit("made"), F.lit(" "))["value"]))
-    rows = _turns(spark, sf_dir).select("conv_id", "turn", change["error"].alias("error"), header.add_change(first, change["value"]).alias("r"))
-    return rows.select("conv_id", "turn", F.array_join(F.transform("r.change", lambda c: F.coalesce(F.concat_ws("/", c["description"], c["resp"]), F.lit(""))), ",").alias("log"), "error")
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", header.add_change(first, change).alias("r")).select("conv_id", "turn", "r.error", F.col("r.value.change").alias("c"))
+    return rows.select("conv_id", "turn", F.array_join(F.transform("c", lambda c: F.concat_ws("/", c["description"], c["resp"])), ",").alias("log"), F.size("c").cast("bigint").alias("changes"), "error")
+
+
+@query(f"""SELECT conv_id, turn, 'first' || coalesce(',' || v, '') AS ids, CASE WHEN v IS NULL THEN '{FIELD.format(SYSTEM)}' END AS error, CASE WHEN v IS NOT NULL THEN text END AS found
+FROM (SELECT conv_id, turn, text, {blank_null('raw')} AS v FROM ({_RAW}))""")
+def rejected_systems(spark, sf_dir):
+    """A system without identifier appends nothing; one with it is found."""
+    first = header.add_annotation_system(header.encoding_desc(), header.annotation_system(F.lit("first"), F.lit(None).cast("string")))["value"]
+    rows = _turns(spark, sf_dir).select("conv_id", "turn", "raw", header.add_annotation_system(first, header.annotation_system(F.col("raw"), F.col("text"))).alias("e"))
+    own = header.find_annotation_system(F.col("e.value"), header.annotation_system_id(F.col("raw"))["value"])
+    return rows.select("conv_id", "turn", F.array_join(F.transform("e.value.annotationSystem", lambda s: s["id"]), ",").alias("ids"), "e.error", own["desc"].alias("found"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '<teiHeader><fileDesc><title>x</title></fileDesc><profileDesc><lang>' || lang || '</lang></profileDesc></teiHeader>'
@@ -667,6 +683,54 @@ def streamed_blocks(spark, sf_dir):
     return own.select("doc_key", F.coalesce("block_pos", F.lit(-1).cast("bigint")).alias("block_pos"), "kind", "id", "who", body.flat_text(F.col("inline")).alias("text"), "error")
 
 
+_SPOKEN = f"SELECT doc_key, block_pos, kind, id, who, text, NULL::VARCHAR AS error FROM ({_BLOCKS})"
+
+
+@query(f"""{_SPOKEN} UNION ALL SELECT conv_id::VARCHAR, -1, NULL, NULL, NULL, NULL, '{XML}unknown variant `div`, expected `p` or `u`' FROM conversations GROUP BY conv_id""")
+def blocks_before_fault(spark, sf_dir):
+    """Each document has a fault behind its last block: its blocks come out before the error."""
+    own = conversation_markup(table(spark, sf_dir, "conversations")).select("doc_key", F.replace("xml", F.lit("</body>"), F.lit("<div/></body>")).alias("xml"))
+    return _flat(pull.iter_blocks(own, "doc_key", "xml"))
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_key", F.coalesce("block_pos", F.lit(-1).cast("bigint")).alias("block_pos"), "kind", "id", "who", body.flat_text(F.col("inline")).alias("text"), "error")
+
+
+@query(_SPOKEN)
+def lateral_blocks(spark, sf_dir):
+    """The pull parser behind SQL's LATERAL."""
+    pull.register_tables(spark)
+    conversation_markup(table(spark, sf_dir, "conversations")).createOrReplaceTempView("scriptloom_spoken")
+    return _flat(spark.sql("SELECT doc_key, b.* FROM scriptloom_spoken, LATERAL parse_blocks(xml) b"))
+
+
+@query(_SPOKEN)
+def table_blocks(spark, sf_dir):
+    """The pull parser over a table, in SQL."""
+    pull.register_tables(spark)
+    conversation_markup(table(spark, sf_dir, "conversations")).createOrReplaceTempView("scriptloom_spoken")
+    return _flat(spark.sql("SELECT * FROM document_blocks(TABLE(SELECT doc_key, xml FROM scriptloom_spoken))"))
+
+
+@query(f"""SELECT doc_id::VARCHAR AS doc_key, (pos - 1)::BIGINT AS block_pos, line AS text, NULL::VARCHAR AS error FROM (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: {trimmed('x')} <> '') AS lines FROM documents))""")
+def piece_blocks(spark, sf_dir):
+    """Documents of whole texts, cut in pieces of a thousand characters and read through."""
+    whole = docs_.emit(text_documents(table(spark, sf_dir, "documents")))
+    pieces = whole.selectExpr("doc_key", "posexplode(regexp_extract_all(xml, '(?s).{1,1000}', 0)) AS (piece_pos, piece)")
+    return pull.iter_pieces(pieces).select("doc_key", "block_pos", body.flat_text(F.col("inline")).alias("text"), "error")
+
+
+@query(f"SELECT doc_key, block_pos, kind, id, who, text FROM ({_BLOCKS})")
+def source_round_trip(spark, sf_dir):
+    """Documents written and read again by the data source."""
+    datasource.register(spark)
+    path = f"{shared_folder(spark)}/scripts-{uuid.uuid4().hex}"
+    conversation_markup(table(spark, sf_dir, "conversations")).select("doc_key", "xml").write.format(datasource.NAME).mode("append").save(path)
+    return docs_.blocks_long(spark.read.format(datasource.NAME).load(path)).select("doc_key", "block_pos", "kind", "id", "who", body.flat_text(F.col("inline")).alias("text"))
+
+
 @query(f"""SELECT d.doc_key, {escaped('d.xml')} AS escaped, '<title>Conversation ' || d.doc_key || '</title>' AS title, d.xml AS xml, NULL::VARCHAR AS title_error FROM ({conversation_xml()}) d""")
 def sql_functions(spark, sf_dir):
     """The registered SQL functions: parser, writer, titles, escaping."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,18 @@ from ..functions.json import quoted
 from ..operators.documents import emit, parse
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.  Only a local
+    session gets one of its own when the setting is missing."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='scriptloom-')}"
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
     """Every file below a path, parsed: doc_key is the file's name."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc_key"), "value")

@@ -72,19 +72,28 @@ def test_lists_keep_order_and_repeats(spark):
 def test_finding_annotation_systems(spark):
     e = H.encoding_desc()
     for i, d in (("timestamps", "first"), ("tok", " "), ("timestamps", "second")):
-        e = H.add_annotation_system(e, H.annotation_system(F.lit(i), F.lit(d))["value"])
+        e = H.add_annotation_system(e, H.annotation_system(F.lit(i), F.lit(d)))["value"]
     got = one(spark, F.struct(*(H.find_annotation_system(e, F.lit(k)).alias(n) for n, k in (("a", "timestamps"), ("b", "other"), ("c", "tok"), ("d", " tok"), ("e", "TOK")))))
     assert got.a.desc == "first" and got.b is None and got.c.desc is None and got.d is None and got.e is None
 
 
 def test_revisions(spark):
-    r = H.add_change(H.revision_desc(), H.revision_change(F.lit(" a "), F.lit(" "))["value"])
-    r = H.add_change(r, H.revision_change(F.lit("b"), F.lit(" qa "))["value"])
+    r = H.add_change(H.revision_desc(), H.revision_change(F.lit(" a "), F.lit(" ")))["value"]
+    r = H.add_change(r, H.revision_change(F.lit("b"), F.lit(" qa ")))["value"]
     got = one(spark, r)
     assert [tuple(c) for c in got.change] == [("a", None), ("b", "qa")]
     assert one(spark, H.revision_is_empty(H.revision_desc())) and not one(spark, H.revision_is_empty(r))
 
 
+def test_rejected_notes_and_systems_append_nothing(spark):
+    old = H.add_change(H.revision_desc(), H.revision_change(F.lit("a"), F.lit("x")))["value"]
+    note = one(spark, H.add_change(old, H.revision_change(F.lit(" "), F.lit("qa"))))
+    assert note.error == "revision note may not be empty" and [tuple(c) for c in note.value.change] == [("a", "x")]
+    e = H.add_annotation_system(H.encoding_desc(), H.annotation_system(F.lit("k"), F.lit("d")))["value"]
+    system = one(spark, H.add_annotation_system(e, H.annotation_system(F.lit("\u00a0"), F.lit("d"))))
+    assert system.error == "annotation system may not be empty" and [tuple(x) for x in system.value.annotationSystem] == [("k", "d")]
+
+
 def test_texts_can_be_set_and_cleared(spark):
     f = H.with_text(H.file_desc(F.lit("t"), F.lit("s")), "synopsis", F.lit(" y "))
     assert tuple(one(spark, f)) == ("t", "s", "y")
