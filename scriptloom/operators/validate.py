@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import body
 from ..functions.text import optional
@@ -93,6 +98,74 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return rows.select("doc_key", "block_pos", change.alias("change")).where("change is not null")
 
 
+def _hashed(docs: DataFrame, side: str) -> DataFrame:
+    each = F.transform("blocks", lambda b: F.xxhash64(b["kind"], b["id"], b["who"], F.to_json(b["inline"])))
+    return docs.select("doc_key", each.alias(f"{side}_hashes"), F.transform("blocks", lambda b: b["id"]).alias(f"{side}_ids"))
+
+
+def aligned_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """doc_key, change (added, removed, changed, moved), left_pos, right_pos, id between two sets of
+    documents, blocks being aligned by a longest common subsequence: what is put in or taken out
+    changes nothing behind it.  See ``functions.align``; rows of documents on one side are added
+    or removed.  Blocks are compared by 64-bit hashes; only hashes and identifiers are shuffled."""
+    from ..functions.align import changes
+
+    rows = _hashed(left, "left").join(_hashed(right, "right"), "doc_key", "full_outer")
+    schema = T.StructType.fromDDL("doc_key string, change string, left_pos bigint, right_pos bigint, id string")
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, a, names_a, b, names_b in zip(*(batch.column(c) for c in ("doc_key", "left_hashes", "left_ids", "right_hashes", "right_ids")), strict=True):
+                own = [x.as_py() or [] for x in (a, b, names_a, names_b)]
+                found = changes(*own)
+                if found:
+                    kinds, lefts, rights = zip(*found, strict=True)
+                    ids = [own[2][i] if i is not None else own[3][j] for _, i, j in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([key.as_py()] * len(found), kinds, lefts, rights, ids), types, strict=True)], schema=types)
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Blocks of a section of the digest tree.
+SECTION = 64
+
+
+def digest_tree(header: Column, blocks: Column) -> Column:
+    """A struct of document, header, sections, blocks: SHA-256 of each block's canonical markup, of
+    each run of SECTION blocks' digests, and of the header's markup followed by all sections'
+    digests.  A block put at the end changes its own, one section's and the document's digest."""
+    from ..functions.xml import block_xml, header_xml
+
+    each = F.transform(blocks, lambda b: F.sha2(block_xml(b), 256))
+    starts = F.when(F.size(blocks) > 0, F.sequence(F.lit(1), F.size(blocks), F.lit(SECTION))).otherwise(F.array().cast("array<int>"))
+    return F.struct(F.sha2(header_xml(header), 256).alias("header"), each.alias("blocks"), starts.alias("starts"))
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """doc_key, document, header, sections, blocks: the tree of each document, by built-in
+    expressions, a projection for each level."""
+    tree = digest_tree(F.col("header"), F.col("blocks"))
+    rows = docs.select("doc_key", tree.alias("t")).select("doc_key", "t.header", "t.blocks", "t.starts")
+    sections = F.transform("starts", lambda at: F.sha2(F.array_join(F.slice(F.col("blocks"), at, SECTION), ""), 256))
+    rows = rows.select("doc_key", "header", sections.alias("sections"), "blocks")
+    return rows.select("doc_key", F.sha2(F.concat("header", F.array_join("sections", "")), 256).alias("document"), "header", "sections", "blocks")
+
+
+def changed_sections(left: DataFrame, right: DataFrame) -> DataFrame:
+    """doc_key, section, block_pos of what differs between the trees (``digests``) of two sets of
+    documents: documents of equal digest end at once, and of the others only sections of
+    unlike digest are opened."""
+    a, b = (d.select("doc_key", F.struct("document", "sections", "blocks").alias(n)) for d, n in ((left, "a"), (right, "b")))
+    both = a.join(b, "doc_key", "full_outer").where(~F.col("a.document").eqNullSafe(F.col("b.document")))
+    most = F.greatest(F.coalesce(F.size("a.sections"), F.lit(0)), F.coalesce(F.size("b.sections"), F.lit(0)))
+    rows = both.where(most > 0).withColumn("section", F.explode(F.sequence(F.lit(0), most - 1)))
+    rows = rows.where(~F.get("a.sections", F.col("section")).eqNullSafe(F.get("b.sections", F.col("section"))))
+    rows = rows.withColumn("block_pos", F.explode(F.sequence(F.col("section") * SECTION, (F.col("section") + 1) * SECTION - 1)))
+    rows = rows.where(~F.get("a.blocks", F.col("block_pos")).eqNullSafe(F.get("b.blocks", F.col("block_pos"))))
+    return rows.select("doc_key", F.col("section").cast("bigint").alias("section"), F.col("block_pos").cast("bigint").alias("block_pos"))
+
+
 def find_annotation_systems(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """keys (doc_key, key) with the first system of that identifier, over whole tables."""
     rows = docs.select("doc_key", F.posexplode("header.encodingDesc.annotationSystem").alias("pos", "s"))

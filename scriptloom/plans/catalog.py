@@ -15,7 +15,7 @@ from ..functions import body, header, json, xml
 from ..functions.errors import CONTAINER_ID_EMPTY, CONTAINER_ID_SPACE, CONTENT, FIELD, FORBIDDEN as FORBIDDEN_ERROR, LANGUAGE, NOTE, RESPONSIBLE, REVISION, SEGMENT, SPEAKER, SPEAKER_NAME, SYSTEM, TITLE, XML
 from ..functions.text import EDGES, ENTITIES, FORBIDDEN, SPACES, code_point, escape, first_forbidden, optional
 from ..operators import documents as docs_
-from ..operators import validate
+from ..operators import standoff, validate
 from ..sources import datasource
 from ..sources.files import shared_folder
 from ..sources.tables import conversation_blocks, conversation_documents, conversation_title, table, text_documents, turn_block
@@ -382,6 +382,103 @@ def semantic_diff(spark, sf_dir):
     return validate.differences(own, own.withColumn("blocks", louder))
 
 
+@query(f"""WITH b AS (SELECT doc_key, block_pos, id, count(*) OVER (PARTITION BY doc_key) AS n FROM ({_BLOCKS}))
+SELECT doc_key, 'added' AS change, -1::BIGINT AS left_pos, 0::BIGINT AS right_pos, 'new' AS id FROM b WHERE block_pos = 0
+UNION ALL SELECT doc_key, 'changed', 1, 2, id FROM b WHERE block_pos = 1
+UNION ALL SELECT doc_key, 'moved', 2, n - 1, id FROM b WHERE block_pos = 2 AND n > 5
+UNION ALL SELECT doc_key, 'removed', 3, -1, id FROM b WHERE block_pos = 3 AND n > 4""")
+def aligned_diff(spark, sf_dir):
+    """A block put in front, the second one louder, the third at the end, the fourth taken out."""
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    new = F.array(F.struct(F.lit("p").alias("kind"), F.lit("new").alias("id"), F.lit(None).cast("string").alias("who"), body.text(F.lit("x")).alias("inline")).cast(body.BLOCK))
+    louder = F.transform("blocks", lambda b, i: F.when(i == 1, b.withField("inline", F.transform(b["inline"], lambda t: t.withField("text", F.concat(t["text"], F.lit("!")))))).otherwise(b))
+    moved = F.size("blocks") > 5
+    kept = F.filter(louder, lambda b, i: ~(moved & (i == 2)) & ~((F.size("blocks") > 4) & (i == 3)))
+    later = own.withColumn("blocks", F.concat(new, kept, F.when(moved, F.slice(louder, 3, 1)).otherwise(body.empty_body())))
+    none = F.lit(-1).cast("bigint")
+    return validate.aligned_differences(own, later).select("doc_key", "change", F.coalesce("left_pos", none).alias("left_pos"), F.coalesce("right_pos", none).alias("right_pos"), "id")
+
+
+_BLOCK_XML = f"CASE WHEN kind = 'p' THEN '<p xml:id=\"' || id || '\">' || {escaped('text', '&<>')} || '</p>' ELSE '<u xml:id=\"' || id || '\" who=\"' || who || '\">' || {escaped('text', '&<>')} || '</u>' END"
+
+
+@query(f"""WITH b AS (SELECT doc_key, block_pos, sha256({_BLOCK_XML}) AS d FROM ({_BLOCKS})),
+s AS (SELECT doc_key, block_pos // 64 AS section, sha256(string_agg(d, '' ORDER BY block_pos)) AS d FROM b GROUP BY ALL)
+SELECT doc_key, sha256(sha256('<teiHeader><fileDesc><title>Conversation ' || doc_key || '</title></fileDesc></teiHeader>') || string_agg(d, '' ORDER BY section)) AS document, count(*)::BIGINT AS sections FROM s GROUP BY doc_key""")
+def digest_trees(spark, sf_dir):
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    own = own.withColumn("header", header.header(header.file_desc(F.col("header.fileDesc.title"))))
+    return validate.digests(own).select("doc_key", "document", F.size("sections").cast("bigint").alias("sections"))
+
+
+@query(f"""WITH l AS (SELECT doc_id::VARCHAR AS doc_key, len(list_filter(string_split(text, chr(10)), lambda x: {trimmed('x')} <> '')) AS n FROM documents)
+SELECT doc_key, ((n // 2) // 64)::BIGINT AS section, (n // 2)::BIGINT AS block_pos FROM l WHERE n > 0
+UNION ALL SELECT doc_key, (n // 64)::BIGINT, n::BIGINT FROM l""")
+def changed_blocks(spark, sf_dir):
+    """The middle line of each document changed, and one put at the end: two paths of the tree."""
+    own = text_documents(table(spark, sf_dir, "documents"))
+    line = lambda t: F.struct(F.lit("p").alias("kind"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("who"), body.text(t).alias("inline")).cast(body.BLOCK)
+    middle = F.floor(F.size("blocks") / 2).cast("int")
+    later = F.transform("blocks", lambda b, i: F.when(i == middle, line(F.concat(body.flat_text(b["inline"]), F.lit("!")))).otherwise(b))
+    return validate.changed_sections(validate.digests(own), validate.digests(own.withColumn("blocks", F.concat(later, F.array(line(F.lit("end")))))))
+
+
+# Stand-off spans, each from the middle of a turn to the middle of the next one.
+_OFF = ("CAST(conv_id AS STRING) AS doc_key", "CASE turn % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS type", "'#tool' AS resp", "'s' || turn AS span_id", "'#c' || conv_id || '-t' || turn || ':' || CAST(length(text) DIV 2 AS STRING) AS `from`", "'#c' || conv_id || '-t' || (turn + 1) || ':3' AS `to`", "CASE WHEN turn % 3 = 0 THEN NULL ELSE 'a&' || role END AS ana")
+_OFF_ROWS = "SELECT conv_id::VARCHAR AS doc_key, CASE turn % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS type, '#tool' AS resp, 's' || turn AS span_id, '#c' || conv_id || '-t' || turn || ':' || (length(text) // 2) AS \"from\", '#c' || conv_id || '-t' || (turn + 1) || ':3' AS \"to\", CASE WHEN turn % 3 = 0 THEN NULL ELSE 'a&' || role END AS ana"
+
+
+@query(f"{_OFF_ROWS}, NULL::VARCHAR AS error FROM conversations")
+def standoff_round_trip(spark, sf_dir):
+    """Spans behind the documents' texts in XML, and read from there again."""
+    c = table(spark, sf_dir, "conversations")
+    whole = standoff.with_standoff(conversation_markup(c).select("doc_key", "xml"), c.selectExpr(*_OFF))
+    return standoff.parse_standoff(whole, "doc_key", "xml")
+
+
+@query(f"""WITH b AS (SELECT doc_key, block_pos, id, text, lead(text) OVER (PARTITION BY doc_key ORDER BY block_pos) AS after, lead(id) OVER (PARTITION BY doc_key ORDER BY block_pos) AS next_id FROM ({_BLOCKS})),
+s AS (SELECT doc_key, 's' || split_part(id, '-t', 2) AS span_id, text, after, next_id = 'c' || doc_key || '-t' || (split_part(id, '-t', 2)::INT + 1) AS known FROM b)
+SELECT doc_key, span_id, CASE WHEN known AND length(after) >= 3 THEN substr(text, length(text) // 2 + 1) || left(after, 3) END AS text, CASE WHEN known IS NOT TRUE THEN 'unknown block' WHEN length(after) < 3 THEN 'outside the block' END AS error FROM s""")
+def standoff_texts(spark, sf_dir):
+    """The texts of spans that cross blocks, and the errors of those without an end."""
+    c = table(spark, sf_dir, "conversations")
+    docs = conversation_documents(c)
+    spans = standoff.resolved(c.selectExpr(*_OFF), docs)
+    return spans.select("doc_key", "span_id", "error").join(standoff.texts(spans, docs), ["doc_key", "span_id"], "left").select("doc_key", "span_id", "text", "error")
+
+
+# Two spans of each turn that cross, by thirds of its text, and one around a sixth within the first.
+_CROSS = "inline(array(named_struct('span_id', 'a', 'lo', 0, 'hi', 2 * (length(text) DIV 3)), named_struct('span_id', 'b', 'lo', length(text) DIV 3, 'hi', length(text)), named_struct('span_id', 'c', 'lo', 0, 'hi', length(text) DIV 6)))"
+
+
+def _crossing(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    c = table(spark, sf_dir, "conversations")
+    rows = c.selectExpr("conv_id", "turn", _CROSS).selectExpr("CAST(conv_id AS STRING) AS doc_key", "'t' || turn || span_id AS span_id", "'#c' || conv_id || '-t' || turn || ':' || lo AS `from`", "'#c' || conv_id || '-t' || turn || ':' || hi AS `to`")
+    docs = conversation_documents(c)
+    return standoff.resolved(rows, docs), docs
+
+
+_PART = lambda a, b: escaped(f"substr(text, {a} + 1, {b} - {a})", "&<>")
+
+
+@query(f"""SELECT doc_key, block_pos, '<hi rend="#' || t || 'a"><hi rend="#' || t || 'c">' || {_PART('0', 'n // 6')} || '</hi>' || {_PART('n // 6', 'n // 3')} || '<hi rend="#' || t || 'b">' || {_PART('n // 3', '2 * (n // 3)')}
+  || '</hi></hi><hi rend="#' || t || 'b">' || {_PART('2 * (n // 3)', 'n')} || '</hi>' AS xml, 4::BIGINT AS pieces, text
+FROM (SELECT doc_key, block_pos, text, length(text) AS n, 't' || split_part(id, '-t', 2) AS t FROM ({_BLOCKS})) WHERE n >= 6""")
+def woven_spans(spark, sf_dir):
+    """Crossing spans as nested emphases: the one that crosses falls into two."""
+    rows = standoff.weave(*_crossing(spark, sf_dir)).where(F.length(body.flat_text(F.col("inline"))) >= 6)
+    return rows.select("doc_key", "block_pos", xml.inline_xml(F.col("inline")).alias("xml"), F.size(F.filter("inline", lambda t: t["kind"] == "hi")).cast("bigint").alias("pieces"), body.flat_text(F.col("inline")).alias("text"))
+
+
+@query(f"""WITH b AS (SELECT doc_key, block_pos, length(text) AS n, '#t' || split_part(id, '-t', 2) AS t FROM ({_BLOCKS})),
+s AS (SELECT doc_key, block_pos, unnest([t || 'a', t || 'b', t || 'c']) AS rend, unnest([0, n // 3, 0]) AS start, unnest([2 * (n // 3), n, n // 6]) AS stop FROM b)
+SELECT doc_key, block_pos, rend, start::BIGINT AS start, stop::BIGINT AS stop FROM s WHERE start < stop""")
+def unwoven_spans(spark, sf_dir):
+    """Emphases taken out again are the spans that were woven in."""
+    rows = standoff.unweave(standoff.weave(*_crossing(spark, sf_dir)))
+    return rows.select("doc_key", "block_pos", F.explode("marks").alias("m")).select("doc_key", "block_pos", "m.rend", "m.start", "m.stop")
+
+
 @query(f"SELECT doc_key, sha256(xml) AS hash FROM ({conversation_xml()})")
 def content_hash(spark, sf_dir):
     return conversation_markup(table(spark, sf_dir, "conversations")).select("doc_key", validate.content_hash(F.col("xml")).alias("hash"))
