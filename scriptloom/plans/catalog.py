@@ -15,7 +15,7 @@ from ..functions import body, header, json, xml
 from ..functions.errors import CONTAINER_ID_EMPTY, CONTAINER_ID_SPACE, CONTENT, FIELD, FORBIDDEN as FORBIDDEN_ERROR, LANGUAGE, NOTE, RESPONSIBLE, REVISION, SEGMENT, SPEAKER, SPEAKER_NAME, SYSTEM, TITLE, XML
 from ..functions.text import EDGES, ENTITIES, FORBIDDEN, SPACES, code_point, escape, first_forbidden, optional
 from ..operators import documents as docs_
-from ..operators import standoff, validate
+from ..operators import pieces, standoff, validate
 from ..sources import datasource
 from ..sources.files import shared_folder
 from ..sources.tables import conversation_blocks, conversation_documents, conversation_title, table, text_documents, turn_block
@@ -304,13 +304,16 @@ def round_trip_idempotent(spark, sf_dir):
     return again.select("doc_key", F.col("xml").eqNullSafe(F.col("again")).alias("same"))
 
 
-_BROKEN = """CASE page_id % 6
- WHEN 0 THEN '<TEI><text><body/></text></TEI>'
- WHEN 1 THEN '<TEI><teiHeader><fileDesc><title>Cut off</title></fileDesc>'
- WHEN 2 THEN '<TEI><teiHeader><fileDesc><title>   </title></fileDesc></teiHeader><text><body/></text></TEI>'
- WHEN 3 THEN '<TEI><teiHeader><fileDesc><title>T</title></fileDesc></teiHeader><text><body><div/></body></text></TEI>'
- WHEN 4 THEN '<TEI><teiHeader><fileDesc><title>T</title></fileDesc></teiHeader><text><body><p>a<b/></p></body></text></TEI>'
- ELSE '<TEI><teiHeader><fileDesc><title> Page ' || page_id || ' </title></fileDesc></teiHeader><text><body> <p>' || replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</p> </body></text></TEI>' END AS raw"""
+_HTML = "replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_HEADED = "'<TEI><teiHeader><fileDesc><title> Page ' || page_id || ' </title></fileDesc></teiHeader><text><body>'"
+# Each page's whole source within a document that has a fault, by key.
+_BROKEN = f"""CASE page_id % 6
+ WHEN 0 THEN '<TEI><text><body><p>' || {_HTML} || '</p></body></text></TEI>'
+ WHEN 1 THEN {_HEADED} || '<p>' || {_HTML} || '</p>'
+ WHEN 2 THEN '<TEI><teiHeader><fileDesc><title>   </title><synopsis>' || {_HTML} || '</synopsis></fileDesc></teiHeader><text><body/></text></TEI>'
+ WHEN 3 THEN {_HEADED} || '<div>' || {_HTML} || '</div></body></text></TEI>'
+ WHEN 4 THEN {_HEADED} || '<p>' || {_HTML} || '<b/></p></body></text></TEI>'
+ ELSE {_HEADED} || ' <p>' || {_HTML} || '</p> </body></text></TEI>' END AS raw"""
 
 
 @query(f"""SELECT page_id::VARCHAR AS doc_key, CASE WHEN page_id % 6 = 5 THEN 'Page ' || page_id END AS title, CASE WHEN page_id % 6 = 5 THEN html END AS text, '{XML}' || CASE page_id % 6 WHEN 0 THEN 'missing field `teiHeader`' WHEN 1 THEN 'start tag not closed'
@@ -479,6 +482,17 @@ def unwoven_spans(spark, sf_dir):
     return rows.select("doc_key", "block_pos", F.explode("marks").alias("m")).select("doc_key", "block_pos", "m.rend", "m.start", "m.stop")
 
 
+@query(f"SELECT doc_key, length(xml)::BIGINT AS length, sha256(xml) AS hash FROM ({conversation_xml()})")
+def piecewise_emission(spark, sf_dir):
+    """Markup made token by token and joined only to show that it is the canonical one."""
+    own = conversation_documents(table(spark, sf_dir, "conversations"))
+    heads = own.select("doc_key", header.header(header.file_desc(F.col("header.fileDesc.title"))).alias("header"))
+    made = pieces.markup_pieces(pieces.markup_rows(heads, docs_.blocks_long(own).drop("inline"), docs_.tokens_long(own)))
+    whole = made.groupBy("doc_key").agg(F.array_sort(F.collect_list(F.struct("piece_pos", "piece"))).alias("s"))
+    markup = whole.select("doc_key", F.array_join(F.transform("s", lambda x: F.concat(x["piece"], F.lit(">"))), "").alias("xml"))
+    return markup.select("doc_key", F.length("xml").cast("bigint").alias("length"), validate.content_hash(F.col("xml")).alias("hash"))
+
+
 @query(f"SELECT doc_key, sha256(xml) AS hash FROM ({conversation_xml()})")
 def content_hash(spark, sf_dir):
     return conversation_markup(table(spark, sf_dir, "conversations")).select("doc_key", validate.content_hash(F.col("xml")).alias("hash"))
@@ -687,16 +701,21 @@ def pause_attributes(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", body.paragraph(own)["value"].alias("p")).select("conv_id", "turn", xml.block_xml(F.col("p")).alias("xml"))
 
 
-@query(f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '{CONTENT.format("paragraph")}' WHEN 1 THEN '{CONTENT.format("utterance")}' WHEN 2 THEN '{SEGMENT.format("paragraph")}' WHEN 3 THEN '{CONTENT.format("hi")}' END AS error FROM documents""")
+_BLANK_LINES = f"len(list_filter(lines, lambda x: {trimmed('x')} = '')) > 0"
+
+
+@query(f"""SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN CASE WHEN {_BLANK_LINES} THEN '{SEGMENT.format("paragraph")}' END WHEN 1 THEN CASE WHEN {_BLANK_LINES} THEN '{SEGMENT.format("utterance")}' ELSE '{CONTENT.format("utterance")}' END
+  WHEN 2 THEN '{CONTENT.format("paragraph")}' WHEN 3 THEN CASE WHEN {_BLANK_LINES} THEN '{SEGMENT.format("hi")}' END WHEN 4 THEN CASE WHEN {_BLANK_LINES} THEN '{SEGMENT.format("utterance")}' END END AS error FROM ({_LINES})""")
 def content_errors(spark, sf_dir):
-    """Empty, nested and blank content: the first offence, under the outer container's name."""
-    text, nothing = body.text(F.col("text")), body.empty_tokens()
-    deep = body.hi(body.joined(body.text(F.lit("a")), body.hi(body.text(F.lit(" ")))))
-    cases = [(nothing, body.PARAGRAPH), (body.joined(text, body.hi(body.hi(nothing))), body.UTTERANCE), (body.joined(text, deep, body.hi(nothing)), body.PARAGRAPH), (nothing, body.EMPHASIS), (body.pause(), body.UTTERANCE)]
+    """Lines of whole texts as content, empty and nested content beside them: the first offence,
+    under the outer container's name."""
+    lines, nothing = body.segments(F.col("lines")), body.empty_tokens()
+    cases = [(lines, body.PARAGRAPH), (body.joined(lines, body.hi(body.hi(nothing))), body.UTTERANCE), (body.joined(body.hi(nothing), lines), body.PARAGRAPH), (lines, body.EMPHASIS), (body.joined(body.pause(), body.hi(lines)), body.UTTERANCE)]
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id", f"split({hostile('text', 'doc_id')}, '\n', -1) AS lines")
     error = F.lit(None).cast("string")
     for k, (tokens, container) in enumerate(cases):
         error = F.when(F.col("doc_id") % 6 == k, body.content_error(tokens, container)).otherwise(error)
-    return table(spark, sf_dir, "documents").select("doc_id", error.alias("error"))
+    return rows.select("doc_id", error.alias("error"))
 
 
 @query(f"""SELECT conv_id, turn, CASE WHEN {_BLANK} THEN 'speaker' END AS kind, CASE WHEN {_BLANK} THEN '{SPEAKER}' END AS message FROM ({_RAW})""")
@@ -709,34 +728,39 @@ def error_values(spark, sf_dir):
 # Parser, versions, references, spans, values, streams, SQL ----------------------------------
 
 
-_NOTES = "'<TEI><teiHeader><fileDesc><title>T</title></fileDesc><revisionDesc><change>' || CASE WHEN conv_id % 3 = 0 THEN ' ' ELSE 'note ' || turn END || '<resp>' || role || '</resp></change></revisionDesc></teiHeader><text><body/></text></TEI>' AS raw"
+_NOTES = f"'<TEI><teiHeader><fileDesc><title>T</title></fileDesc><revisionDesc><change>' || CASE WHEN conv_id % 3 = 0 THEN ' ' ELSE {escaped('text', '&<>')} END || '<resp>' || role || '</resp></change></revisionDesc></teiHeader><text><body/></text></TEI>' AS raw"
 
 
-@query(f"SELECT conv_id || '/' || turn AS doc_key, CASE WHEN conv_id % 3 <> 0 THEN 'note ' || turn END AS note, CASE WHEN conv_id % 3 <> 0 THEN role END AS resp, CASE WHEN conv_id % 3 = 0 THEN '{XML}{NOTE}' END AS error FROM conversations")
+@query(f"""SELECT conv_id || '/' || turn AS doc_key, CASE WHEN v <> '' THEN v END AS note, CASE WHEN v <> '' THEN role END AS resp, CASE WHEN v = '' THEN '{XML}{NOTE}' END AS error
+FROM (SELECT conv_id, turn, role, CASE WHEN conv_id % 3 = 0 THEN '' ELSE {trimmed('text')} END AS v FROM conversations)""")
 def parsed_notes(spark, sf_dir):
+    """Turns as revision notes, some of them blank."""
     rows = table(spark, sf_dir, "conversations").selectExpr("conv_id || '/' || turn AS key", _NOTES)
     change = F.col("header.revisionDesc.change")[0]
     return docs_.parse(rows, "key", "raw").select("doc_key", change["description"].alias("note"), change["resp"].alias("resp"), "error")
 
 
-# Members of wrong types, cut and nested texts, by key: JSON documents that are none.
-_JSON = '''CASE doc_id % 8
- WHEN 0 THEN '{"teiHeader":{"fileDesc":{"title":"D' || doc_id || '","series":5}},"text":{"body":{"$value":[]}}}'
- WHEN 1 THEN '{"teiHeader":{"fileDesc":{"title":"D' || doc_id || '"}},"text":{"body":{"$value":[{}]}}}'
- WHEN 2 THEN '{"teiHeader":{"fileDesc":{"title":' || doc_id || '}},"text":{"body":{"$value":[]}}}'
- WHEN 3 THEN '{"teiHeader":[],"text":{"body":{"$value":[]}}}'
- WHEN 4 THEN '{"teiHeader":{"fileDesc":{"title":"D"},"profileDesc":{"speaker":"x"}},"text":{"body":{"$value":[]}}}'
- WHEN 5 THEN '{"teiHeader":{"fileDesc":{"title":"D"}},"text":{"body":{"$value":[{"p":{"$value":[{"rend":1,"$value":["a"]}]}}]}}}'
- WHEN 6 THEN '{"teiHeader":{"fileDesc":{"title":"D"}},"text":{"body":{"$value":[{"p":{"@xml:id":7,"$value":["a"]}}]}}}'
- ELSE '{"teiHeader":{"fileDesc":{"title":"D' || doc_id || '"}},"text":{"body":{"$value":[{"u":{"@who":"' || lang || '","$value":["' || source || '"]}}]}}}' END AS raw'''
+# Members of wrong types and nested texts, by key, around each row's whole text (as JSON): JSON
+# documents that are none.
+_TEXT = "'\"' || replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') || '\"'"
+_JSON = f"""CASE doc_id % 8
+ WHEN 0 THEN '{{"teiHeader":{{"fileDesc":{{"title":"D' || doc_id || '","series":5,"synopsis":' || {_TEXT} || '}}}},"text":{{"body":{{"$value":[]}}}}}}'
+ WHEN 1 THEN '{{"teiHeader":{{"fileDesc":{{"title":"D' || doc_id || '"}}}},"text":{{"body":{{"$value":[{{"p":{{"$value":[' || {_TEXT} || ']}}}},{{}}]}}}}}}'
+ WHEN 2 THEN '{{"teiHeader":{{"fileDesc":{{"title":[' || {_TEXT} || ']}}}},"text":{{"body":{{"$value":[]}}}}}}'
+ WHEN 3 THEN '{{"teiHeader":[' || {_TEXT} || '],"text":{{"body":{{"$value":[]}}}}}}'
+ WHEN 4 THEN '{{"teiHeader":{{"fileDesc":{{"title":"D"}},"profileDesc":{{"speaker":' || {_TEXT} || '}}}},"text":{{"body":{{"$value":[]}}}}}}'
+ WHEN 5 THEN '{{"teiHeader":{{"fileDesc":{{"title":"D"}}}},"text":{{"body":{{"$value":[{{"p":{{"$value":[{{"rend":1,"$value":[' || {_TEXT} || ']}}]}}}}]}}}}}}'
+ WHEN 6 THEN '{{"teiHeader":{{"fileDesc":{{"title":"D"}}}},"text":{{"body":{{"$value":[{{"p":{{"@xml:id":7,"$value":[' || {_TEXT} || ']}}}}]}}}}}}'
+ ELSE '{{"teiHeader":{{"fileDesc":{{"title":"D' || doc_id || '"}}}},"text":{{"body":{{"$value":[{{"u":{{"@who":"' || lang || '","$value":[' || {_TEXT} || ']}}}}]}}}}}}' END AS raw"""
 
 
-@query("""SELECT doc_id::VARCHAR AS doc_key, CASE WHEN doc_id % 8 = 7 THEN 'D' || doc_id END AS title, CASE WHEN doc_id % 8 = 7 THEN lang END AS who, CASE doc_id % 8
+@query("""SELECT doc_id::VARCHAR AS doc_key, CASE WHEN doc_id % 8 = 7 THEN 'D' || doc_id END AS title, CASE WHEN doc_id % 8 = 7 THEN lang END AS who, CASE WHEN doc_id % 8 = 7 THEN text END AS text, CASE doc_id % 8
  WHEN 0 THEN 'invalid type for `series`: expected a string' WHEN 1 THEN 'a block has one member, `p` or `u`' WHEN 2 THEN 'invalid type for `title`: expected a string' WHEN 3 THEN 'invalid type for `teiHeader`: expected a map'
  WHEN 4 THEN 'invalid type for `speaker`: expected a sequence' WHEN 5 THEN 'invalid type for `rend`: expected a string' WHEN 6 THEN 'invalid type for `@xml:id`: expected a string' END AS error FROM documents""")
 def parse_json_errors(spark, sf_dir):
     own = docs_.parse(table(spark, sf_dir, "documents").selectExpr("doc_id", _JSON), "doc_id", "raw", "json")
-    return own.select("doc_key", F.col("header.fileDesc.title").alias("title"), F.get("blocks", 0)["who"].alias("who"), "error")
+    first = F.get("blocks", 0)
+    return own.select("doc_key", F.col("header.fileDesc.title").alias("title"), first["who"].alias("who"), body.flat_text(first["inline"]).alias("text"), "error")
 
 
 @query("""SELECT conv_id::VARCHAR AS doc_key, conv_id % 4 AS stated, CASE WHEN conv_id % 4 = 3 THEN 3 ELSE 2 END AS model_version, CASE WHEN conv_id % 4 = 3 THEN ' ' END AS series,
@@ -815,8 +839,8 @@ def table_blocks(spark, sf_dir):
 def piece_blocks(spark, sf_dir):
     """Documents of whole texts, cut in pieces of a thousand characters and read through."""
     whole = docs_.emit(text_documents(table(spark, sf_dir, "documents")))
-    pieces = whole.selectExpr("doc_key", "posexplode(regexp_extract_all(xml, '(?s).{1,1000}', 0)) AS (piece_pos, piece)")
-    return pull.iter_pieces(pieces).select("doc_key", "block_pos", body.flat_text(F.col("inline")).alias("text"), "error")
+    cut = whole.selectExpr("doc_key", "posexplode(regexp_extract_all(xml, '(?s).{1,1000}', 0)) AS (piece_pos, piece)")
+    return pull.iter_pieces(cut).select("doc_key", "block_pos", body.flat_text(F.col("inline")).alias("text"), "error")
 
 
 @query(f"SELECT doc_key, block_pos, kind, id, who, text FROM ({_BLOCKS})")
