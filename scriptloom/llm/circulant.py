@@ -12,8 +12,8 @@ hash for each distinct run of ``N`` words; fewer words are one run.  Documents a
    hold every candidate pair.
 3. A component within one block (``BLOCK`` sets and ``BLOCK_BYTES`` of hashes) is a group: its
    pairs that share a band are verified on their full sets.  Larger components are verified
-   in two steps.  First each set against the hubs of its buckets, in groups of a hub and one
-   block; so near copies by the thousand fall into few classes at a cost that grows with their
+   in two steps.  First each set against the least hub of its buckets, in groups of a hub and
+   one block; so near copies by the thousand fall into few classes at a cost that grows with their
    number alone.  Then pairs of blocks in which sets of different classes share a band, and
    there only pairs of different classes; a class needs no link that it already has.
 4. Components of the verified links are the result.
@@ -201,33 +201,47 @@ def _together(members: DataFrame) -> DataFrame:
 
 
 def _blocks_of(found: DataFrame, sets: DataFrame) -> DataFrame:
-    """key, component, blocks, block, bands of each candidate set.  A component has as many
+    """key, first_id, component, blocks, block, bands of each candidate set.  A component has as many
     blocks as its sets or their bytes ask for; a set's block is that of its key's hash."""
-    placed = found.join(sets.select("key", "size", "bands"), found["node"] == sets["key"])
+    placed = found.join(sets.select("key", "first_id", "size", "bands"), found["node"] == sets["key"])
     parts = placed.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    out = placed.join(parts, "root").select("key", F.col("root").alias("component"), "blocks", "bands")
+    out = placed.join(parts, "root").select("key", "first_id", F.col("root").alias("component"), "blocks", "bands")
     return out.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
 
 
-def links(placed: DataFrame, grams: DataFrame, work: Workspace) -> DataFrame:
-    """a, b: verified links that connect what is similar.  ``placed``, ``grams``: saved."""
-    own = F.col("key").alias("class")
-    small = placed.where("blocks = 1").join(grams, "key").select(F.struct("component", F.lit(0).alias("low"), F.lit(0).alias("high")).alias("group"), F.lit(2).alias("side"), "key", own, "bands", "grams")
-    near = work.save(verified(_together(small)), "small")
+def sets_of(docs: DataFrame, wanted: DataFrame, n: int, work: Workspace, label: str) -> DataFrame:
+    """key, grams of the wanted sets (key, first_id: saved), and of some others.  One document
+    of each set gives its hashes; those without identifier give theirs all."""
+    ids = work.save(wanted.where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct(), label)
+    able, _ = sifted(docs, ids, "doc_id")
+    texts = able.join(ids.hint("merge"), "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
+    return with_sets(texts, n).dropDuplicates(["key"])
+
+
+def small_links(placed: DataFrame, docs: DataFrame, n: int, work: Workspace) -> DataFrame:
+    """a, b: links of the components that are one block."""
+    own = placed.where("blocks = 1")
+    group = F.struct("component", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    members = own.join(sets_of(docs, own, n, work, "small-ids"), "key").select(group.alias("group"), F.lit(2).alias("side"), "key", F.col("key").alias("class"), "bands", "grams")
+    return work.save(verified(_together(members)), "small")
+
+
+def crowd_links(placed: DataFrame, docs: DataFrame, n: int, work: Workspace) -> DataFrame:
+    """a, b: links of the larger components."""
     crowd = placed.where("blocks > 1")
-    if crowd.isEmpty():
-        return near
-    # Each set against the hubs of its buckets.
+    grams = sets_of(docs, crowd, n, work, "crowd-ids")
+    crowd = work.save(crowd.join(grams, "key").drop("first_id"), "crowd")
+    # Each set against the least of the hubs of its buckets.
     banded = crowd.select("component", "key", "block", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("key").alias("hub"))
-    spokes = banded.join(hubs, "band").where("key <> hub").select("component", "hub", "block", "key").distinct()
-    spokes = work.save(spokes, "spokes")
+    spokes = work.save(banded.join(hubs, "band").groupBy("component", "key", "block").agg(F.min("hub").alias("hub")).where("hub <> key"), "spokes")
     heads = spokes.select("component", "hub", "block", F.col("hub").alias("key")).distinct()
     stars = spokes.withColumn("side", F.lit(1)).unionByName(heads.withColumn("side", F.lit(0)))
-    stars = stars.join(placed.select("key", "bands"), "key").join(grams, "key").select(F.struct(F.col("hub").alias("component"), F.col("block").alias("low"), F.lit(-1).alias("high")).alias("group"), "side", "key", own, "bands", "grams")
+    group = F.struct(F.col("hub").alias("component"), F.col("block").alias("low"), F.lit(-1).alias("high"))
+    stars = stars.select(group.alias("group"), "side", "key", F.col("key").alias("class")).join(crowd.select("key", "bands", "grams"), "key")
     first = work.save(verified(_together(stars)), "stars")
     classes = components(first, work, "starred")
-    classed = crowd.join(classes.select(F.col("node").alias("key"), F.col("root").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "key"))
+    classed = crowd.drop("grams").join(classes.select(F.col("node").alias("key"), F.col("root").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "key"))
     classed = work.save(classed, "classed")
     # Buckets in which different classes meet, and the pairs of blocks they are in.
     banded = classed.select("component", "key", "block", "class", F.explode("bands").alias("band"))
@@ -237,9 +251,9 @@ def links(placed: DataFrame, grams: DataFrame, work: Workspace) -> DataFrame:
     pairs = met.alias("p").join(met.alias("q"), ["component", "band"]).where("p.block <= q.block").select("component", F.col("p.block").alias("low"), F.col("q.block").alias("high")).distinct()
     ends = pairs.select("component", "low", "high", F.col("low").alias("block"), F.when(F.col("low") == F.col("high"), 2).otherwise(0).alias("side"))
     ends = ends.unionByName(pairs.where("low < high").select("component", "low", "high", F.col("high").alias("block"), F.lit(1).alias("side")))
-    rest = open_.select("key").distinct().join(classed, "key").join(grams, "key").join(ends, ["component", "block"])
+    rest = classed.join(open_.select("key").distinct(), "key").join(crowd.select("key", "grams"), "key").join(ends, ["component", "block"])
     rest = rest.select(F.struct("component", "low", "high").alias("group"), "side", "key", "class", "bands", "grams")
-    return near.unionByName(first).unionByName(work.save(verified(_together(rest)), "rest"))
+    return first.unionByName(work.save(verified(_together(rest)), "rest"))
 
 
 def near_duplicates(docs: DataFrame, n: int = N, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,20 +265,17 @@ def near_duplicates(docs: DataFrame, n: int = N, doc_id: str = "doc_id", text: s
     sets = work.save(signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "sets")
 
     inside = sets.select("key", F.explode("bands").alias("band"))
-    buckets = inside.groupBy("band").agg(F.min("key").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
-    stars = inside.join(buckets, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    shared = work.save(inside.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "shared")
+    # What has its buckets to itself isn't shuffled with its key.
+    inside, _ = sifted(inside, shared, "band")
+    hubs = inside.groupBy("band").agg(F.min("key").alias("hub"))
+    stars = inside.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
     placed = work.save(_blocks_of(components(stars, work, "candidates"), sets), "placed")
 
-    # One document of each candidate set gives its hashes; those without identifier apart.
-    ids = placed.join(sets.select("key", "first_id"), "key").where("first_id is not null").select(F.col("first_id").alias("doc_id")).distinct()
-    ids = work.save(ids, "ids")
-    able, _ = sifted(docs, ids, "doc_id")
-    texts = able.join(ids.hint("merge"), "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
-    grams = with_sets(texts, n).join(placed.select("key"), "key", "left_semi").dropDuplicates(["key"])
-    crowded = not placed.where("blocks > 1").isEmpty()
-    grams = work.save(grams, "grams") if crowded else grams
-
-    classes = components(links(placed, grams, work), work, "classes")
+    found = small_links(placed, docs, n, work)
+    if not placed.where("blocks > 1").isEmpty():
+        found = found.unionByName(crowd_links(placed, docs, n, work))
+    classes = components(found, work, "classes")
     each = sets.select("key", "first_id").join(classes.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = each.groupBy("root").agg(F.min("first_id").alias("component_id"))
     each = work.save(each.join(least, "root").select("key", "component_id"), "result")
