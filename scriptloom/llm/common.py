@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -82,6 +82,18 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(columns: Iterable[str], *names: str) -> list[str]:
+    """Names for helper columns that no column has, whatever its case; longer than given if need be."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Bits of the map that ``sifted`` broadcasts: at most 2 ** (SIFT_BITS - 6) rows of 16 bytes.
 SIFT_BITS = 26
 
@@ -97,10 +109,11 @@ def sifted(rows: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, Dat
     word = F.shiftright(place, 6)
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
     own = wanted.select(F.col(key).cast(rows.schema[key].dataType).alias(key))
-    bits = own.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
-    marked = rows.join(F.broadcast(bits), word == F.col("__word"), "left")
-    may = F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))
-    return marked.where(may).drop("__word", "__bits"), marked.where(~may).drop("__word", "__bits")
+    words, bits = unused(rows.columns, "__word", "__bits")
+    map_ = own.select(word.alias(words), bit.alias("__bit")).groupBy(words).agg(F.bit_or("__bit").alias(bits))
+    marked = rows.join(F.broadcast(map_), word == F.col(words), "left")
+    may = F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(may).drop(words, bits), marked.where(~may).drop(words, bits)
 
 
 #: The one large thing that this Python worker keeps between tasks, by its key.
@@ -135,6 +148,22 @@ def give_back() -> None:
         trim(0)
 
 
+#: Rows of an Arrow batch at most, and its bytes: texts are long, and a batch stands in the JVM's
+#: and in the worker's memory at once.
+BATCH_ROWS, BATCH_MB = 1000, 8
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's jobs hand rows to Python workers in batches of BATCH_ROWS rows
+    and BATCH_MB megabytes at most; smaller settings stay.  Results are read lazily, so the
+    setting can't be taken back when an operator returns."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(rows, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set(size, f"{BATCH_MB}m")
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task's function for a worker that keeps nothing between tasks: idle workers would hold
     their memory while the executor's other tasks grow."""

@@ -28,8 +28,8 @@ have become one.
 
 Narrow but for that check, which aggregates entities only, by surrogate, with partial
 sums.  Null texts stay null with no entities; empty ones stay empty; very long texts are
-replaced whole.  Repeated rows are replaced alike; an empty table gives no rows.  Columns
-named like the results are replaced.  Letters of scripts that have neither a class nor a
+replaced whole.  Repeated rows are replaced alike; an empty table gives no rows.  A column
+``entities`` is replaced; all others stay, whatever their names.  Letters of scripts that have neither a class nor a
 range below stay.
 """
 
@@ -41,6 +41,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 # Given names by gender and script, exchanged within each list.
 GIVEN = {
     ("f", "latin"): "Aisha Alice Amina Anna Barbara Carmen Charlotte Claire Elena Emily Emma Fatima Greta Hannah Ingrid Isabel Jennifer Jessica Julia Karen Katarzyna Lakshmi Laura Leila Linda Lucia Maria Marie Mary Mei Nadia Nicole Olivia Patricia Paula Priya Rosa Sarah Sofia Sophie Susan Ursula Yuki Zainab".split(),
@@ -51,6 +53,17 @@ GIVEN = {
 # Words before a name, inside one, and phrases that a name follows.
 HONORIFICS = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Mme Señor Señora Sr Sra".split()
 PARTICLES = "van von der den de del della di da dos du la le bin ibn al ter ten zu zur zum".split()
+# Words of English, German, French and Spanish that open sentences, and so stand behind
+# names with a capital without being part of them.
+COMMON = (
+    "A About After All Also Am An And Are As At Be Because Before But By Can Could Did Do Does For From Had Has Have He Her Here His How I If In Is It Its May Might Must My No Not Now Of Oh On "
+    "Or Our Please Shall She Should So Some That The Their Then There These They This Those To Was We Were What When Where Which While Who Why Will With Would Yes You Your "
+    "Aber Als Am Auch Auf Aus Bei Bis Da Dann Das Der Die Dies Doch Ein Eine Er Es Für Hat Hier Ich Ihr Im Ist Ja Kann Mit Nach Nein Nicht Noch Nun Oder Sie Sind Und Von Vor War Warum Was Wenn Wer Wie Wir Wird Wo Zu "
+    "Alors Après Au Aussi Avec Ce Ces Cette Comme Dans Donc Elle En Est Et Il Ils Je La Le Les Mais Ne Nous Non On Ou Où Oui Par Pas Pour Quand Que Qui Sans Si Son Sur Très Un Une Vous "
+    "Además Ahora Aquí Así Con Cuando De Después Ella Ellos Entonces Era Eso Esta Este Hay La Las Los Muy Nada No Nosotros Para Pero Por Porque Que Quien Se Ser Sin Sobre Son Su También Todo Tras Un Una Usted Ya Yo"
+).split()
+#: A word behind an article is a thing, not a person.
+DETERMINED = r"(?<!\p{L})(?<![Vv][ao]n )(?<![Dd]e )(?:[Tt]he|[Aa]n?|[Dd](?:as|er|ie|em|en|es)|[Ee]ine?[nmrs]?|[Ll][ea]s?|[Uu]ne?|[Ee]l|[Ll]os|[Uu]nas?) (\p{Lu}[\p{L}\p{M}]*+)"
 CUES = ("[Mm]y name is ", "[Nn]ame: ", "[Ss]igned by ", "[Dd]ear ", "[Ii]ch heiße ", "[Mm]e llamo ", "[Jj]e m'appelle ")
 
 
@@ -75,7 +88,7 @@ PATTERNS = {
     "mail": r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++)*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "bank": _EDGE + r"[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?" + _END,
     "phone": r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-]?[0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|[2-9][0-9]{2}[2-9][0-9]{6})" + _END,
-    "ip": r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
+    "ip": r"(?<![\p{L}\p{N}.])(?<![Vv]ersion )(?<![Rr]elease )(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{L}\p{N}]|\.[0-9])",
     "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?=[A-Fa-f:]*[0-9])(?:{_SIX}(?::{_SIX}){{7}}|(?:{_SIX}(?::{_SIX}){{0,5}})?::(?:{_SIX}(?::{_SIX}){{0,5}})?)(?![\p{{L}}\p{{N}}:])",
     "social": _EDGE + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "account": _EDGE + r"[0-9](?:[ -]?[0-9]){12,18}" + _END,
@@ -232,30 +245,60 @@ def _found(text: Column) -> Column:
     return F.when(text.rlike(_HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)))
 
 
-def _words_of(found: Column) -> Column:
+def _names(found: Column) -> Column:
+    return F.filter(found, lambda v: v.rlike(r"\A\p{Lu}\p{L}*+[.'’ -]") & (kind_of(v) == "name"))
+
+
+def _plain_words(found: Column, text: Column) -> Column:
+    """Words of the names among the mentions that the text also has as no name: in small letters,
+    behind an article, or such as open sentences."""
+    words = F.array_distinct(F.flatten(F.transform(_names(found), lambda v: F.split(v, " "))))
+    determined = F.regexp_extract_all(text, F.lit(DETERMINED), F.lit(1))
+    small = lambda w: (w != F.lower(w)) & F.contains(text, F.concat(F.lit(" "), F.lower(w), F.lit(" ")))
+    return _bound(determined, lambda d: F.filter(words, lambda w: w.isin(COMMON) | F.array_contains(d, w) | small(w)))
+
+
+def _trimmed(value: Column, plain: Column) -> Column:
+    """A name without plain words at its end.  What follows an honorific, a given name, an
+    initial or a particle is always part of it."""
+    needs = lambda w: w.rlike(r"\A\p{Lu}\.\z") | w.isin(PARTICLES)
+
+    def cut(words: Column) -> Column:
+        step = lambda n, i: F.when((n == i) & F.array_contains(plain, words[i - 1]) & ~needs(words[i - 2]), i - 1).otherwise(n)
+        size = F.aggregate(F.sequence(F.size(words), F.lit(3), F.lit(-1)), F.size(words), step)
+        return F.when(F.size(words) > 2, F.array_join(F.slice(words, F.lit(1), size), " ")).otherwise(value)
+
+    named = F.size(F.filter(plain, lambda w: F.endswith(value, F.concat(F.lit(" "), w)))) > 0
+    return F.when(named, _bound(F.split(value, " "), cut)).otherwise(value)
+
+
+def _words_of(found: Column, plain: Column) -> Column:
     """Words of the names among the mentions that stand for a person alone, longest first; as
     written and in capitals."""
-    names = F.filter(found, lambda v: v.rlike(r"\A\p{Lu}\p{L}*+[.'’ -]") & (kind_of(v) == "name"))
     titles = [f for h in HONORIFICS for f in (h, h.upper())]
-    words = F.flatten(F.transform(names, lambda v: F.split(v, " ")))
-    own = F.filter(words, lambda w: w.rlike(r"\A\p{Lu}[\p{L}\p{M}'’-]+\z") & ~w.isin(titles))
+    words = F.flatten(F.transform(_names(found), lambda v: F.split(v, " ")))
+    own = F.filter(words, lambda w: w.rlike(r"\A\p{Lu}[\p{L}\p{M}'’-]+\z") & ~w.isin(titles) & ~F.array_contains(plain, w))
     every = F.array_distinct(F.concat(own, F.transform(own, lambda w: F.upper(w))))
     return F.transform(F.reverse(F.array_sort(F.transform(every, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))), lambda x: x["w"])
 
 
-def _marked(docs: DataFrame, text: str) -> DataFrame:
-    """Adds the mentions (``__m``) and, where the text has names, the expression for it with
-    their words (``__p``)."""
-    body = F.col(text)
-    first = docs.withColumn("__m", F.coalesce(_found(body), F.array().cast("array<string>"))).withColumn("__w", F.when(F.size("__m") > 0, _words_of(F.col("__m"))))
-    alone = F.concat(F.lit(rf"{ENTITY}|(?<!\p{{L}})(?:\Q"), F.array_join("__w", r"\E|\Q"), F.lit(r"\E)(?!\p{L})"))
-    named = first.withColumn("__p", F.when(F.size("__w") > 0, alone))
-    return named.withColumn("__m", F.when(F.col("__p").isNull(), F.col("__m")).otherwise(F.regexp_extract_all(body, F.col("__p"), F.lit(0)))).drop("__w")
+def _marked(docs: DataFrame, text: str) -> tuple[DataFrame, str, str, str]:
+    """Adds the mentions as they stand, the expression for them where the text has names (with
+    their words alone), and its plain words; and the names of these columns."""
+    body, none = F.col(text), F.array().cast("array<string>")
+    m, p, x, w = unused(docs.columns, "__m", "__p", "__x", "__w")
+    first = docs.withColumn(m, F.coalesce(_found(body), none)).withColumn(x, F.when(F.size(m) > 0, _plain_words(F.col(m), body)).otherwise(none))
+    first = first.withColumn(w, F.when(F.size(m) > 0, _words_of(F.transform(m, lambda v: _trimmed(v, F.col(x))), F.col(x))))
+    alone = F.concat(F.lit(rf"{ENTITY}|(?<!\p{{L}})(?:\Q"), F.array_join(w, r"\E|\Q"), F.lit(r"\E)(?!\p{L})"))
+    named = first.withColumn(p, F.when(F.size(w) > 0, alone))
+    return named.withColumn(m, F.when(F.col(p).isNull(), F.col(m)).otherwise(F.regexp_extract_all(body, F.col(p), F.lit(0)))).drop(w), m, p, x
 
 
 def entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Every distinct mention: kind, value, surrogate."""
-    values = _marked(docs.select(text), text).select(F.explode(F.array_distinct("__m")).alias("value")).groupBy("value").agg(F.count("*").alias("documents"))
+    marked, m, _, x = _marked(docs.select(text), text)
+    own = F.array_distinct(F.transform(m, lambda v: _trimmed(v, F.col(x))))
+    values = marked.select(F.explode(own).alias("value")).groupBy("value").agg(F.count("*").alias("documents"))
     return values.withColumn("kind", kind_of(F.col("value"))).withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), key))
 
 
@@ -275,13 +318,15 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", check: bool
         if clash:
             raise ValueError(f"two values have one surrogate: {clash[0].asDict()}")
     body = F.col(text)
-    marked = _marked(docs.drop(*({"entities", "__m", "__p", "__w"} & set(docs.columns))), text)
-    kinds = F.transform("__m", lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
+    marked, m, p, x = _marked(docs.drop("entities"), text)
+    kinds = F.transform(F.transform(m, lambda v: _trimmed(v, F.col(x))), lambda v: F.struct(v.alias("value"), kind_of(v).alias("kind")))
     full = F.transform(kinds, lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"), surrogate(e["kind"], e["value"], key).alias("surrogate")))
-    out = marked.withColumn("entities", F.when(F.size("__m") > 0, full).otherwise(F.array().cast("array<struct<kind:string,value:string,surrogate:string>>")))
-    gaps = F.when(F.col("__p").isNull(), F.split(body, ENTITY, -1)).otherwise(F.split(body, F.col("__p"), -1))
-    turns = F.zip_with(gaps, F.col("entities"), lambda gap, e: F.concat(gap, F.coalesce(e["surrogate"], F.lit(""))))
-    return out.withColumn(text, F.when(F.size("__m") > 0, F.array_join(turns, "")).otherwise(body)).drop("__m", "__p")
+    out = marked.withColumn("entities", F.when(F.size(m) > 0, full).otherwise(F.array().cast("array<struct<kind:string,value:string,surrogate:string>>")))
+    gaps = F.when(F.col(p).isNull(), F.split(body, ENTITY, -1)).otherwise(F.split(body, F.col(p), -1))
+    # What is trimmed off a mention stands behind its surrogate, before the next gap.
+    rests = F.zip_with(F.col(m), F.col("entities"), lambda v, e: F.struct(e["surrogate"].alias("s"), F.substring(v, F.length(e["value"]) + 1, F.length(v)).alias("rest")))
+    turns = F.zip_with(gaps, rests, lambda gap, e: F.concat(gap, F.coalesce(e["s"], F.lit("")), F.coalesce(e["rest"], F.lit(""))))
+    return out.withColumn(text, F.when(F.size(m) > 0, F.array_join(turns, "")).otherwise(body)).drop(m, p, x)
 
 
 def surrogate_documents(documents: DataFrame, key: str) -> DataFrame:

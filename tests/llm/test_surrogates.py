@@ -221,3 +221,31 @@ def test_replacement_equals_brute_force(spark):
     for r in runs(spark, texts, check=True):
         assert r.text == entity.sub(replaced, texts[r.doc_id]), texts[r.doc_id]
         assert [e.value for e in r.entities] == [m[0] for m in entity.finditer(texts[r.doc_id])]
+
+
+CLEAN = {
+    "Dr. Smith Then left. Then he slept. Smith came.": ("Smith", " Then left. Then he slept. "),
+    "Frau Müller Haus und Garten. Das Haus ist rot. Müller kam.": ("Müller", " Haus und Garten. Das Haus ist rot. "),
+    "Mr. Will Power. Will you come?": ("Power", ". Will you come?"),
+    "Mary Brown saw a brown dog. Brown ran.": ("Mary", " saw a brown dog. Brown ran."),
+    "Dr. A. van der Berg Today met Berg, who is at home today as well.": ("Berg", " Today met "),
+    "The version 1.2.3.4 is out.": ("", "The version 1.2.3.4 is out."),
+}
+
+
+def test_words_that_are_no_names_stay(spark):
+    for text, got in zip(CLEAN, runs(spark, CLEAN), strict=True):
+        name, rest = CLEAN[text]
+        assert rest in got.text and (not name or name not in got.text.replace(rest, "")), got.text
+        rebuilt, at = "", 0
+        for e in got.entities:  # what is between mentions stays as it is
+            to = text.index(e.value, at)
+            rebuilt += text[at:to] + e.surrogate
+            at = to + len(e.value)
+        assert rebuilt + text[at:] == got.text
+
+
+def test_columns_of_helpers_names_stay(spark):
+    docs = spark.createDataFrame([(1, "Mr. Smith", "a", 2)], "doc_id long, text string, __m string, __x int")
+    out = P.replace_entities(docs, KEY, check=False).first()
+    assert (out["__m"], out["__x"]) == ("a", 2) and out.text != "Mr. Smith"
