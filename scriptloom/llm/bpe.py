@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, resident
+from .common import chunks, resident, unused
 from .pieces import PieceCache, cut_texts
 from .unigram import load_ranks
 
@@ -237,13 +237,14 @@ def encode_decode(df: DataFrame, ranks: str, pattern: str, text: str = "text", k
     ``keep`` (None: all).  ``cached``: pieces that a Python worker remembers; it trades
     memory for time and changes no result."""
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("ids", "decoded")]
-    df = df.select(*keep, F.col(text).alias("__text"))
+    (own_text,) = unused(keep, "__text")
+    df = df.select(*keep, F.col(text).alias(own_text))
     schema = T.StructType([*df.schema.fields[:-1], T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = coder(ranks, pattern, cached)
         for batch in batches:
-            for own, texts in chunks(batch, "__text", TOGETHER):
+            for own, texts in chunks(batch, own_text, TOGETHER):
                 ids, decoded = zip(*code(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], names=[*keep, "ids", "decoded"])
 

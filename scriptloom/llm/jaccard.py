@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, sifted, tidy
+from .common import Workspace, chunks, sifted, tidy, unused
 from .graph import components
 from .words import TOGETHER, mixed, windows, words
 
@@ -287,12 +287,14 @@ def one_of_each(docs: DataFrame, n: int = N) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tag")
     groups = members.groupBy("root").agg(F.min(order)["tag"].alias("first"), F.count("*").alias("n")).where("n > 1")
     work = Workspace(docs.sparkSession, "distinct")
-    crowd = work.save(members.join(groups, "root").select("doc_id", "tag", (F.col("tag") == F.col("first")).alias("__kept")).distinct(), "crowd")
+    crowd = work.save(members.join(groups, "root").select("doc_id", "tag", (F.col("tag") == F.col("first")).alias("kept")).distinct(), "crowd")
     # Only documents that may have copies are shuffled.
     able, alone = sifted(docs, crowd.select("doc_id"), "doc_id")
-    found = able.withColumn("__own", tag_of("doc_id", "text")).join(crowd.select(F.col("tag").alias("__own"), "__kept"), "__own", "left").where("coalesce(__kept, true)")
+    own, kept, row = unused(docs.columns, "__own", "__kept", "__row")
+    marks = crowd.select(F.col("tag").alias(own), F.col("kept").alias(kept))
+    found = able.withColumn(own, tag_of("doc_id", F.col("text"))).join(marks, own, "left").where(F.coalesce(kept, F.lit(True)))
     # Of repeated rows that are kept one stays; those outside the crowd are all kept.
-    once = found.withColumn("__row", F.when(F.col("__kept").isNull(), F.monotonically_increasing_id())).dropDuplicates(["__own", "__row"])
+    once = found.withColumn(row, F.when(F.col(kept).isNull(), F.monotonically_increasing_id())).dropDuplicates([own, row])
     return once.select(*docs.columns).unionByName(alone)
 
 

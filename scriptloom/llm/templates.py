@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, chunks, sifted, tidy
+from .common import Workspace, chunks, sifted, tidy, unused
 from .words import Words, windows, words
 
 WINDOW, LEAST = 8, 5
@@ -240,8 +240,9 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that leak no item, with all their columns."""
-    hit = find_leaks(docs, items).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag")).distinct()
+    own, tag = unused(docs.columns, "__id", "__tag")
+    hit = find_leaks(docs, items).select(F.col("doc_id").alias(own), F.col("tag").alias(tag)).distinct()
     hit = Workspace(docs.sparkSession, "leaks").save(hit, "documents")
-    may, no = sifted(docs, hit.select(F.col("__id").cast(docs.schema["doc_id"].dataType).alias("doc_id")), "doc_id")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col("__tag"))
+    may, no = sifted(docs, hit.select(F.col(own).cast(docs.schema["doc_id"].dataType).alias("doc_id")), "doc_id")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.md5(F.coalesce("text", F.lit("")).cast("binary")) == F.col(tag))
     return may.join(hit, same, "left_anti").unionByName(no)

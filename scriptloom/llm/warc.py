@@ -38,7 +38,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BATCH_BYTES, Workspace, sifted, tidy
+from .common import BATCH_BYTES, Workspace, sifted, tidy, unused
 
 SEGMENT_BYTES = 16 * 1024
 CHUNK_BYTES = 4 * 1024
@@ -149,8 +149,9 @@ def first_pages(pages: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     work = Workspace(pages.sparkSession, "revisits")
     revisits = work.save(keys.join(firsts, "__sha1").where(other).distinct(), "revisits")
     may, no = sifted(pages, revisits.select("page_id"), "page_id")
-    own = revisits.select(F.col("page_id").alias("__id"), F.col("__sha1").alias("__own"), "refers_to")
-    met = may.join(own, F.col("page_id").eqNullSafe(F.col("__id")) & (sha1 == F.col("__own")), "left")
+    id_, digest = unused(may.columns, "__id", "__own")
+    own = revisits.select(F.col("page_id").alias(id_), F.col("__sha1").alias(digest), "refers_to")
+    met = may.join(own, F.col("page_id").eqNullSafe(F.col(id_)) & (sha1 == F.col(digest)), "left")
     return met.select(*pages.columns, "refers_to").unionByName(no.withColumn("refers_to", F.lit(None).cast("long")))
 
 

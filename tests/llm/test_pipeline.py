@@ -76,3 +76,29 @@ def test_empty_and_odd_tables(spark, none, odd):
     for name, stage in C.STAGES:
         assert stage(spark, none, SF).count() == 0, name
         assert stage(spark, odd, SF).count() <= odd.count(), name
+
+
+def test_columns_of_any_names_pass_through(spark):
+    names = ["score", "Entities", "__bits", "__word", "__m", "__p", "__x", "__own", "__kept", "__row", "__id", "__tag", "__text", "own_score", "tag", "key"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    docs = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    work = Workspace(spark, "names")
+    for name, stage in C.STAGES[:-1]:
+        docs = work.save(stage(spark, docs, SF), name)
+        assert docs.columns[-len(names) :] == names
+    rows = docs.collect()
+    assert len(rows) > 20 and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    last = C.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == len(rows)
+
+
+def test_batches_are_made_smaller_but_never_larger(spark):
+    from scriptloom.llm.common import BATCH_ROWS, small_batches
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    for value, want in (("10000", str(BATCH_ROWS)), ("7", "7"), ("0", str(BATCH_ROWS))):
+        spark.conf.set(key, value)
+        small_batches(spark)
+        assert spark.conf.get(key) == want
+    spark.conf.set(key, before)
