@@ -110,22 +110,11 @@ def parse(df: DataFrame, key: str, text: str, form: str = "xml", keep: tuple[str
 
 
 def to_msgpack(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_key, packed, and the columns in ``keep``: each document in MessagePack, from its
-    JSON form, in Arrow batches."""
-    import json as text
+    """doc_key, packed, and the columns in ``keep``: each document in MessagePack, by built-in
+    expressions; null without a header."""
+    from ..functions.msgpack import document_msgpack
 
-    from ..functions.json import document_json
-    from ..functions.msgpack import pack
-
-    rows = docs.select("doc_key", document_json(F.col("header"), F.col("blocks")).alias("json"), *keep)
-    schema = T.StructType([*T.StructType.fromDDL("doc_key string, packed binary").fields, *(docs.schema[c] for c in keep)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = [None if x is None else pack(text.loads(x)) for x in batch.column("json").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_key"), pa.array(packed, pa.binary()), *(batch.column(c) for c in keep)], names=schema.names)
-
-    return rows.mapInArrow(run, schema)
+    return docs.select("doc_key", F.when(F.col("header").isNotNull(), document_msgpack(F.col("header"), F.col("blocks"))).alias("packed"), *keep)
 
 
 def error_of(kind: str, message: Column) -> Column:

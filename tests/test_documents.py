@@ -290,3 +290,26 @@ def test_documents_are_written_in_sql(spark):
     parsed = D.parse(rows, "k", "x", keep=("k",))
     assert all(r.a == r.b for r in parsed.select(F.expr("emit_document(header, blocks)").alias("a"), xml.emit_xml(F.col("header"), F.col("blocks"))["value"].alias("b")).collect())
     assert D.from_titles(spark.createDataFrame([(1, "\1")], "k long, t string"), F.col("k"), F.col("t")).selectExpr("emit_document(header, blocks) AS x").first().x is None
+
+
+def test_msgpack_by_expressions_is_that_of_plain_values(spark):
+    import json as text
+
+    from scriptloom.functions import json as J
+    from scriptloom.functions import msgpack as M
+
+    deep = HEAD_ALL + "".join(f"<p xml:id='i{k}'>" + "<hi rend='r'>a<pause/>" * k + "é" * n + "</hi>" * k + "<hi><hi>b</hi>c</hi></p>" for k, n in ((0, 31), (1, 255), (3, 256), (2, 70_000))) + "".join(f"<u who='w{i}'>x</u>" for i in range(20)) + "</body></text></TEI>"
+    bare = "<TEI><teiHeader><fileDesc><title>T</title></fileDesc><profileDesc/><encodingDesc/><revisionDesc/></teiHeader><text><body><p/></body></text></TEI>"
+    docs = D.parse(spark.createDataFrame([("a", deep), ("b", bare), ("c", "<TEI>")], "k string, xml string"), "k", "xml")
+    packed = D.to_msgpack(docs, ("header", "blocks"))
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1  # the parser's
+    rows = {r.doc_key: r for r in packed.select("doc_key", "packed", J.document_json(F.col("header"), F.col("blocks")).alias("json")).collect()}
+    for key in "ab":
+        assert bytes(rows[key].packed) == M.pack(text.loads(rows[key].json))
+    assert rows["c"].packed is None
+    back = D.parse(packed.where("packed is not null"), "doc_key", "packed", "msgpack", keep=())
+    assert back.join(docs, "doc_key").where(back["blocks"].eqNullSafe(docs["blocks"])).count() == 2
+
+
+HEAD_ALL = "<TEI><teiHeader><fileDesc><title>T</title><series>s</series></fileDesc><profileDesc><speaker>a</speaker><lang>en</lang></profileDesc><encodingDesc><annotationSystem xml:id='k'><desc>d</desc></annotationSystem></encodingDesc><revisionDesc><change>n<resp>r</resp></change></revisionDesc></teiHeader><text><body>"
