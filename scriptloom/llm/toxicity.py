@@ -1,6 +1,8 @@
 """Toxicity of texts written to be misread: a noisy channel, then a linear score.
 
 Writers hide words by look-alike signs (1d10t), repetition (idiooot) and spacing (i d i o t).
+First what isn't seen goes, full-width signs become plain ones, and so do look-alike letters of
+other scripts in words that have Latin ones too (``folded``).
 A word that may be so hidden is a lattice of characters: each sign may stand for letters, a
 repeated letter may be one, and what is between single letters may be nothing or the end of
 a word.  A run of single letters is one lattice; its words as drawn together, without the
@@ -19,8 +21,10 @@ Steps, all distributed:
 3. ``score``: narrow, one pass; the model is some hundreds of kilobytes.
 
 Every word is decoded that has a sign that may stand for a letter beside one, or a letter
-three times in a row; twice in a row is common spelling and is read as written.  A run of
-signs without a letter is a number.
+twice in a row, and every run of three or more single letters with up to three separators
+between two of them; what is read counts beside what is written.  A run of signs without a letter
+is a number.  The lattice's alphabet is Latin (``ALPHABET``): words of other scripts are scored
+as written.
 
 Null and empty texts are scored by the bias alone; very long texts are scored whole.  Without
 a toxic label to learn from, all scores are 0.  Of rows that share an identifier the one with
@@ -61,13 +65,35 @@ SUBSTITUTE, DROP_REPEAT, KEEP_REPEAT, WILDCARD, KEEP_SIGN = 1.0, 0.5, 2.0, 1.5,
 
 _LETTER = r"[^\W\d_]"
 _SIGN = "[" + re.escape("".join(LEET)) + "*]"
-#: A word that may be hidden: a sign beside a letter, or a letter three times in a row.
-_HIDDEN = re.compile(rf"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|({_LETTER})\1\1", re.I)
+#: A word that may be hidden: a sign beside a letter, or a letter twice in a row.
+_HIDDEN = re.compile(rf"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|({_LETTER})\1", re.I)
+#: One that isn't common spelling either: restored texts keep letters that stand twice in a row.
+_ODD = re.compile(rf"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}|({_LETTER})\1\1", re.I)
 _TOKEN = re.compile(rf"(?:{_LETTER}|{_SIGN})+", re.I)
 _WORD = re.compile(rf"{_LETTER}+")
-SEPARATORS = " .-_"
-_QUICK_SPACED = re.compile(r"[ .\-_]\S[ .\-_]\S(?![^\W_])")
-_SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER}|{_SIGN})(?:(?P<s>[ .\-_])(?:{_LETTER}|{_SIGN})(?![^\W_]))(?:(?P=s)(?:{_LETTER}|{_SIGN})(?![^\W_]))+")
+#: What may stand between spaced letters, alone or a few of them, mixed.
+SEPARATORS = " .-_/,"
+_BETWEEN = "[" + re.escape(SEPARATORS) + "]"
+_QUICK_SPACED = re.compile(rf"{_BETWEEN}\S{_BETWEEN}{{1,3}}\S(?![^\W_])")
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_LETTER}|{_SIGN})(?:{_BETWEEN}{{1,3}}(?:{_LETTER}|{_SIGN})(?![^\W_])){{2,}}")
+
+# Signs that aren't seen, and letters of other scripts that look like Latin ones.
+UNSEEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
+ALIKE = {"а": "a", "в": "b", "е": "e", "ё": "ë", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "ï", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "α": "a", "ε": "e", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "κ": "k", "ı": "i"}
+_WIDE = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {ord(c): None for c in UNSEEN}
+_FOLDED = re.compile(f"[{UNSEEN}\uff01-\uff5e{''.join(ALIKE)}]")
+_MIXED = re.compile(rf"(?=[^\W\d_]*[a-z])(?=[^\W\d_]*[{''.join(ALIKE)}]){_LETTER}+")
+_ALIKE = str.maketrans(ALIKE)
+
+
+def folded(text: str) -> str:
+    """A text in lower case without what isn't seen, full-width signs as plain ones, and in
+    words that mix Latin letters with look-alikes of other scripts those as Latin ones."""
+    text = text.lower()
+    if text.isascii() or not _FOLDED.search(text):
+        return text
+    return _MIXED.sub(lambda m: m[0].translate(_ALIKE), text.translate(_WIDE).lower())
+
 
 
 def _lookup() -> np.ndarray:
@@ -293,26 +319,26 @@ class Restorer:
 
     def read(self, token: str) -> list[str]:
         """Likeliest words of a token or run; exclamation marks and stars at its ends may be no letters."""
-        return [w for t in dict.fromkeys((token, token.rstrip("!* .-_").lstrip("*"))) for w in self.token(t).split()]
+        return [w for t in dict.fromkeys((token, token.rstrip("!*" + SEPARATORS).lstrip("*"))) for w in self.token(t).split()]
 
     def spaced(self, run: str) -> list[str]:
         """Words of a run of spaced letters: as read, and as drawn together."""
         if not _WORD.search(run):
             return []
-        return self.read(run) + self.words(re.sub(r"[ .\-_]", "", run))
+        return self.read(run) + self.words(re.sub(_BETWEEN, "", run))
 
     def restore(self, text: str) -> str:
         """The text in lower case with hidden words as they read."""
 
         def plain(part: str) -> str:
-            return _TOKEN.sub(lambda m: meant(m[0]) if _HIDDEN.search(m[0]) else m[0], part)
+            return _TOKEN.sub(lambda m: meant(m[0]) if _ODD.search(m[0]) else m[0], part)
 
         def meant(token: str) -> str:
             """As written if only marks that aren't letters would go."""
             own = self.token(token)
             return token if own.split() == _WORD.findall(token) else own
 
-        return "".join(self.token(x) if spaced and _WORD.search(x) else x if spaced else plain(x) for x, spaced in self._parts((text or "").lower()))
+        return "".join(self.token(x) if spaced and _WORD.search(x) else x if spaced else plain(x) for x, spaced in self._parts(folded(text or "")))
 
     def _parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """A text in lower case cut into runs of spaced letters (True) and what is between."""
@@ -325,7 +351,7 @@ class Restorer:
         yield text[at:], False
 
     def pieces(self, text: str) -> list[str]:
-        return [p for x, spaced in self._parts(text.lower()) for p in ([x] if spaced else x.split())]
+        return [p for x, spaced in self._parts(folded(text)) for p in ([x] if spaced else x.split())]
 
 
 def features(word: str) -> list[str]:

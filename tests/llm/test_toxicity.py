@@ -154,10 +154,20 @@ def test_arrays_of_states_decode_alike():
 def test_words_with_signs_or_long_runs_are_decoded():
     r = X.Restorer(X.trigram_array(["you pass an ass on the grass", "class mass"] * 40))
     assert "ass" in r.words("a55") and "pass" in r.words("pa$$") and "class" in r.words("c1ass")
-    for word in ("a5", "5a", "ooo", "i!", "a1b", "xxx"):
-        assert X._HIDDEN.search(word), word
-    for word in ("plain", "2024", "a", "55", "loop"):
+    for word in ("a5", "5a", "ooo", "i!", "a1b", "xxx", "loop"):
+        assert X._HIDDEN.search(word) and set(r.words(word)) >= set(X._WORD.findall(word)), word
+    for word in ("plain", "2024", "a", "55"):
         assert not X._HIDDEN.search(word) and r.words(word) == X._WORD.findall(word)
+    assert r.restore("grass for the class") == "grass for the class"
+
+
+def test_nothing_that_hides_a_word_passes_the_gates():
+    r = X.Restorer(X.trigram_array(SPACED))
+    texts = ["iddiot", "idiiot", "i  d  i  o  t", "i.d-i.o.t", "i/d/i/o/t", "i,d,i,o,t", "i - d - i - o - t", "\uff49\uff44\uff49\uff4f\uff54", "i\u200bd\u200bi\u200bo\u200bt", "id\u00adiot", "\u0456d\u0456\u043et", "id\u0456\u03bft", "ID\u0406OT", "\uff11d\uff11ot", "i_d__i_o t"]
+    for text in texts:
+        assert "idiot" in {w for p in r.pieces(f"you {text} there") for w in r.words(p)}, text
+    assert X.folded("\u043f\u0440\u043e\u0441\u0442\u043e \u0442\u0435\u043a\u0441\u0442 caf\u00e9") == "\u043f\u0440\u043e\u0441\u0442\u043e \u0442\u0435\u043a\u0441\u0442 caf\u00e9"
+    assert X.folded("ABC") == "abc" and X.folded("") == ""
 
 
 def test_repeated_rows_and_labels_teach_once(tables):
