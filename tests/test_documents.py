@@ -309,7 +309,8 @@ def test_msgpack_by_expressions_is_that_of_plain_values(spark):
         assert bytes(rows[key].packed) == M.pack(text.loads(rows[key].json))
     assert rows["c"].packed is None
     back = D.parse(packed.where("packed is not null"), "doc_key", "packed", "msgpack", keep=())
-    assert back.join(docs, "doc_key").where(back["blocks"].eqNullSafe(docs["blocks"])).count() == 2
+    both = back.select("doc_key", F.col("blocks").alias("again")).join(docs, "doc_key")
+    assert both.where(F.col("again").eqNullSafe(F.col("blocks"))).count() == 2
 
 
 HEAD_ALL = "<TEI><teiHeader><fileDesc><title>T</title><series>s</series></fileDesc><profileDesc><speaker>a</speaker><lang>en</lang></profileDesc><encodingDesc><annotationSystem xml:id='k'><desc>d</desc></annotationSystem></encodingDesc><revisionDesc><change>n<resp>r</resp></change></revisionDesc></teiHeader><text><body>"
