@@ -120,12 +120,14 @@ def emit_xml(document: Document) -> str:
     return _value(xml.emit_xml(*document._literal()))
 
 
-def register(spark: SparkSession) -> None:
+def register(spark: SparkSession, replace: bool = False) -> None:
     """SQL functions: escape_xml_text, title_markup, title_error, first_forbidden_xml_char,
     parse_document (a struct of header, blocks and error), emit_document(header, blocks)
-    (canonical XML, null where it has forbidden characters).  All but the parser are SQL
-    expressions, so the optimizer sees through them."""
-    from ..functions.errors import TITLE
+    (canonical XML, null where it has forbidden characters) and emit_error(header, blocks) (why it
+    is null).  All but the parser are SQL expressions, so the optimizer sees through them.
+    Functions of these names that the session has already stay, but for ``replace``."""
+    from ..functions.errors import FORBIDDEN as MESSAGE
+    from ..functions.errors import TITLE, XML
     from ..functions.text import EDGES, ENTITIES, FORBIDDEN, IN_ATTRIBUTE, IN_TEXT, REFERENCES
 
     sql = lambda s: "r'" + s.replace("'", "\\'") + "'" if "'" not in s else '"' + s + '"'
@@ -139,9 +141,15 @@ def register(spark: SparkSession) -> None:
         "title_markup(s STRING)": f"concat('<title>', {escaped.replace('(s,', f'({trimmed},', 1)}, '</title>')",
         "first_forbidden_xml_char(s STRING)": f"nullif(regexp_extract(s, {sql(FORBIDDEN)}, 0), '')",
     }
+
+    def create(signature: str, out: str) -> None:
+        if replace or not spark.catalog.functionExists(signature.partition("(")[0]):
+            spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS STRING RETURN {out}")
+
     for name, out in functions.items():
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} RETURNS STRING RETURN {out}")
-    spark.udf.register("parse_document", parse._udf(parse.read_xml))
+        create(name, out)
+    if replace or not spark.catalog.functionExists("parse_document"):
+        spark.udf.register("parse_document", parse._udf(parse.read_xml))
 
     def text(value: str, which: str = IN_TEXT) -> str:
         for c, entity in (ENTITIES | REFERENCES).items():
@@ -176,4 +184,6 @@ def register(spark: SparkSession) -> None:
     block = f"CASE WHEN exists(b.inline, t -> t.kind <> 'text' OR t.text <> '') THEN concat({start}, '>', {inline}, '</', b.kind, '>') ELSE concat({start}, '/>') END"
     body = f"CASE WHEN size(blocks) = 0 THEN '<body/>' ELSE concat('<body>', array_join(transform(blocks, b -> {block}), ''), '</body>') END"
     whole = f"concat('<TEI><teiHeader>', {file}, {', '.join(parts)}, '</teiHeader><text>', {body}, '</text></TEI>')"
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION emit_document(header {HEADER}, blocks {BLOCKS}) RETURNS STRING RETURN SELECT CASE WHEN NOT x RLIKE {sql(FORBIDDEN)} THEN x END FROM (SELECT {whole} AS x)")
+    arguments = f"(header {HEADER}, blocks {BLOCKS})"
+    create(f"emit_document{arguments}", f"SELECT CASE WHEN NOT x RLIKE {sql(FORBIDDEN)} THEN x END FROM (SELECT {whole} AS x)")
+    create(f"emit_error{arguments}", f"SELECT CASE WHEN c <> '' THEN concat('{XML}{MESSAGE}', format_string('U+%04X', ascii(c))) END FROM (SELECT regexp_extract({whole}, {sql(FORBIDDEN)}, 0) AS c)")

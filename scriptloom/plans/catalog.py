@@ -852,6 +852,18 @@ def source_round_trip(spark, sf_dir):
     return docs_.blocks_long(spark.read.format(datasource.NAME).load(path)).select("doc_key", "block_pos", "kind", "id", "who", body.flat_text(F.col("inline")).alias("text"))
 
 
+@query(f"""SELECT doc_key, CASE WHEN c IS NULL THEN xml END AS xml, '{XML}{FORBIDDEN_ERROR}' || {point('c')} AS error, '<title>' || {escaped(trimmed('raw'))} || '</title>' AS title
+FROM (SELECT doc_id::VARCHAR AS doc_key, raw, {_TITLE_XML} AS xml, {forbidden('raw')} AS c FROM ({TITLED}) WHERE {blank_null('raw')} IS NOT NULL)""")
+def sql_emission(spark, sf_dir):
+    """Titles of whole texts, some with faults, through the SQL functions alone: markup of titles,
+    documents, and the errors of those that can't be written."""
+    from ..operators import facade
+
+    facade.register(spark)
+    own = docs_.from_titles(titled(spark, sf_dir), F.col("doc_id"), F.col("raw")).where("error is null")
+    return own.selectExpr("doc_key", "emit_document(header, blocks) AS xml", "emit_error(header, blocks) AS error", "title_markup(header.fileDesc.title) AS title")
+
+
 @query(f"""SELECT d.doc_key, {escaped('d.xml')} AS escaped, '<title>Conversation ' || d.doc_key || '</title>' AS title, d.xml AS xml, NULL::VARCHAR AS title_error FROM ({conversation_xml()}) d""")
 def sql_functions(spark, sf_dir):
     """The registered SQL functions: parser, writer, titles, escaping."""

@@ -314,3 +314,11 @@ def test_msgpack_by_expressions_is_that_of_plain_values(spark):
 
 
 HEAD_ALL = "<TEI><teiHeader><fileDesc><title>T</title><series>s</series></fileDesc><profileDesc><speaker>a</speaker><lang>en</lang></profileDesc><encodingDesc><annotationSystem xml:id='k'><desc>d</desc></annotationSystem></encodingDesc><revisionDesc><change>n<resp>r</resp></change></revisionDesc></teiHeader><text><body>"
+
+
+def test_sql_functions_of_a_caller_stay(spark):
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION title_error(s STRING) RETURNS STRING RETURN 'own'")
+    facade.register(spark)
+    assert spark.sql("SELECT title_error('x') AS e").first().e == "own"
+    facade.register(spark, replace=True)
+    assert spark.sql("SELECT title_error('x') AS e").first().e is None
