@@ -53,7 +53,7 @@ def test_signatures_estimate_the_index():
 def test_components_equal_brute_force(docs_of, monkeypatch, block, size):
     monkeypatch.setattr(C, "BLOCK", block)
     monkeypatch.setattr(C, "BLOCK_BYTES", size)
-    texts = near_copies(5)
+    texts = near_copies(5, 6, 6)
     out = C.near_duplicates(docs_of(texts))
     assert result(out) == dict(enumerate(brute(texts)))
     assert all(r.kept == (r.doc_id == r.component_id) for r in out.collect())
@@ -73,14 +73,14 @@ def test_a_dense_component_of_large_sets_and_a_chain(docs_of, monkeypatch):
     rng = np.random.default_rng(6)
     base = [f"v{i}" for i in range(400)]
     texts = []
-    for _ in range(60):  # mutual near copies
+    for _ in range(30):  # mutual near copies
         own = list(base)
         own[int(rng.integers(400))] = "q" + str(rng.integers(9))
         texts.append(" ".join(own))
     for i in range(25):  # each like the next, the ends unlike
         texts.append(" ".join(f"c{k}" for k in range(8 * i, 8 * i + 120)))
     want = brute(texts)
-    assert want[59][1] == 0 and want[84][1] == 60
+    assert want[29][1] == 0 and want[54][1] == 30
     assert result(C.near_duplicates(docs_of(texts))) == dict(enumerate(want))
 
 
