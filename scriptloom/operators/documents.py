@@ -109,6 +109,20 @@ def parse(df: DataFrame, key: str, text: str, form: str = "xml", keep: tuple[str
     return rows.mapInArrow(run, schema)
 
 
+def parse_json(df: DataFrame, key: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``parse`` of JSON documents.  Those that the library has written are decoded by built-in
+    expressions (``functions.variant``); the Arrow node gets the others alone, to read them or to
+    say what is wrong with them."""
+    from ..functions.variant import is_own, parsed
+
+    d, own, value = (f"__{n}" for n in ("decoded", "own", "text"))
+    # Behind a generator what was decoded is a column, and not put in wherever it is named.
+    rows = df.select(F.col(key).cast("string").alias("doc_key"), F.col(text).alias(value), F.explode(F.array(parsed(F.col(text)))).alias(d), *keep)
+    rows = rows.withColumn(own, is_own(F.col(f"{d}.header"), F.col(f"{d}.blocks"), F.col(value)))
+    good = rows.where(own).select("doc_key", f"{d}.header", f"{d}.blocks", F.lit(None).cast("string").alias("error"), *keep)
+    return good.unionByName(parse(rows.where(~F.col(own)), "doc_key", value, "json", keep))
+
+
 def to_msgpack(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_key, packed, and the columns in ``keep``: each document in MessagePack, by built-in
     expressions; null without a header."""

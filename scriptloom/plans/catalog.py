@@ -342,7 +342,7 @@ def document_json(spark, sf_dir):
 def round_trip_json(spark, sf_dir):
     own = conversation_documents(table(spark, sf_dir, "conversations")).withColumn("own", F.struct("header", "blocks"))
     written = own.select("doc_key", json.document_json(F.col("header"), F.col("blocks")).alias("json"), "own")
-    again = docs_.parse(written, "doc_key", "json", "json", keep=("own",))
+    again = docs_.parse_json(written, "doc_key", "json", keep=("own",))
     return again.select("doc_key", F.col("own").eqNullSafe(F.struct("header", "blocks")).alias("same"))
 
 
@@ -758,7 +758,7 @@ _JSON = f"""CASE doc_id % 8
  WHEN 0 THEN 'invalid type for `series`: expected a string' WHEN 1 THEN 'a block has one member, `p` or `u`' WHEN 2 THEN 'invalid type for `title`: expected a string' WHEN 3 THEN 'invalid type for `teiHeader`: expected a map'
  WHEN 4 THEN 'invalid type for `speaker`: expected a sequence' WHEN 5 THEN 'invalid type for `rend`: expected a string' WHEN 6 THEN 'invalid type for `@xml:id`: expected a string' END AS error FROM documents""")
 def parse_json_errors(spark, sf_dir):
-    own = docs_.parse(table(spark, sf_dir, "documents").selectExpr("doc_id", _JSON), "doc_id", "raw", "json")
+    own = docs_.parse_json(table(spark, sf_dir, "documents").selectExpr("doc_id", _JSON), "doc_id", "raw")
     first = F.get("blocks", 0)
     return own.select("doc_key", F.col("header.fileDesc.title").alias("title"), first["who"].alias("who"), body.flat_text(first["inline"]).alias("text"), "error")
 
