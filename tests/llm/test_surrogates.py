@@ -249,3 +249,43 @@ def test_columns_of_helpers_names_stay(spark):
     docs = spark.createDataFrame([(1, "Mr. Smith", "a", 2)], "doc_id long, text string, __m string, __x int")
     out = P.replace_entities(docs, KEY, check=False).first()
     assert (out["__m"], out["__x"]) == ("a", 2) and out.text != "Mr. Smith"
+
+
+def planted(seed, n=60):
+    """Texts of small words with entities between them: (text, [(kind, value)])."""
+    import random
+
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    surname = lambda: rng.choice("Abendroth Bellweather Carminati Dvořák Eszterházy Fjeldsøe Grünwald Ivanovich".split())
+    makers = {
+        "name": lambda: rng.choice([f"{rng.choice(['Mr.', 'Mrs', 'Dr.', 'Frau', 'Señora'])} {surname()}", f"{rng.choice(['Alice', 'Hugo', 'Priya', 'Omar'])} {surname()}", f"Dr. {rng.choice('JKM')}. {surname()}", f"Herr von {surname()}"]),
+        "phone": lambda: rng.choice([f"+1 ({digits(3)}) 555-{digits(4)}", f"+49 {digits(3)} {digits(4)}", f"({digits(3)}) 555-{digits(4)}", f"{digits(3)}-555-{digits(4)}", f"+33 {digits(2)} {digits(2)} {digits(2)} {digits(2)}"]),
+        "account": lambda: rng.choice([digits(16), " ".join(digits(4) for _ in range(4)), "-".join(digits(4) for _ in range(4))]),
+        "ip": lambda: ".".join(str(rng.randrange(256)) for _ in range(4)),
+        "mail": lambda: f"{rng.choice(['a.b', 'čert', 'x_1'])}@mail{rng.randrange(9)}.example.org",
+        "social": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+    }
+    for _ in range(n):
+        parts, found = [], []
+        for _ in range(rng.randint(1, 5)):
+            parts.append(" ".join(rng.choice("tide table of the harbour wall and a lamp".split()) for _ in range(rng.randint(1, 6))))
+            kind = rng.choice(list(makers))
+            value = makers[kind]()
+            parts.append(value)
+            found.append((kind, value))
+        yield " ".join(parts) + " end", found
+
+
+def test_entities_are_those_that_were_planted(spark):
+    cases = list(planted(7))
+    for (text, want), got in zip(cases, runs(spark, [t for t, _ in cases]), strict=True):
+        known = [(e.kind, e.value) for e in got.entities]
+        alone = {w for k, v in want if k == "name" for w in v.split()}
+        assert [x for x in known if not (x[0] == "name" and x[1] in alone)] == want, text
+        at, to = 0, 0
+        for e in got.entities:  # what is between them stays, letter for letter
+            start, now = text.index(e.value, at), got.text.index(e.surrogate, to)
+            assert text[at:start] == got.text[to:now]
+            at, to = start + len(e.value), now + len(e.surrogate)
+        assert text[at:] == got.text[to:]
