@@ -47,7 +47,7 @@ def test_leaks(docs_of, items):
     docs = docs_of(list(DOCS.values()))
     got = found(docs, items)
     assert {(list(DOCS)[d], i) for d, i in got} == {("verbatim", 1), ("changed", 1), ("upper", 1), ("short", 5)}
-    assert found(docs, items, most_shipped=0).keys() == got.keys()
+    assert found(docs, items, common=0).keys() == got.keys()
 
 
 def test_clashing_slots_are_no_leak(docs_of, spark):
@@ -103,11 +103,116 @@ OPENING = "Alice has 12 apples. Alice buys 7 more. Alice eats 3 pears. Alice sel
 def test_names_that_open_sentences(docs_of, spark):
     items = spark.createDataFrame([(1, OPENING), (2, "What is the capital city of France?")], SCHEMA)
     docs = docs_of([OPENING.replace("Alice", "Bob").replace("12", "15"), "Q: What is the capital city of France?", "so, What is the capital city of France", OPENING.replace(". ", ".\n"), FILL])
-    assert set(found(docs, items)) == {(0, 1), (1, 2), (2, 2), (3, 1)} == set(found(docs, items, most_shipped=0))
+    assert set(found(docs, items)) == {(0, 1), (1, 2), (2, 2), (3, 1)} == set(found(docs, items, common=0))
 
 
 def test_verbatim_windows_short_of_literals(docs_of, spark):
     sums, names, title = "Compute 12 + 7 * 3 - 4 / 2", "Alice Brown, Peter Stone, Carmen Lund, Hugo Green", "Great Expectations And Other Famous Stories Retold"
     items = spark.createDataFrame(list(enumerate([sums, names, title])), SCHEMA)
     docs = docs_of([FILL + sums, "well: " + names, "We read " + title + " once", sums.replace("7", "8"), names.replace("Hugo", "Otto").replace("Carmen", "Claire")])
-    assert set(found(docs, items)) == {(0, 0), (1, 1), (2, 2)} == set(found(docs, items, most_shipped=0))
+    assert set(found(docs, items)) == {(0, 0), (1, 1), (2, 2)} == set(found(docs, items, common=0))
+
+
+def test_numbers_in_words():
+    assert tokens("We saw twenty-five birds, two hundred thousand ants, 3 million bees and seven km more; five kilometres in one day. Millions came") == [
+        (0, "We"), (0, "saw"), (T.NUMBER, "twenty-five"), (0, "birds"), (T.NUMBER, "two hundred thousand"), (0, "ants"), (T.NUMBER, "3 million"),
+        (0, "bees"), (0, "and"), (T.NUMBER, "seven"), (0, "km"), (0, "more"), (T.NUMBER, "five"), (T.UNIT, "kilometres"), (0, "in"), (T.NUMBER, "one"), (T.UNIT, "day"), (0, "Millions"), (0, "came"),
+    ]
+    assert list(map(T.value, ["Twenty-Five", "two hundred thousand", "3 million", "2 thousand five hundred six", "1,234.5", "Anna  Lund", "five/six"])) == ["25", "200000", "3000000", "2506", "1,234.5", "anna lund", "five/six"]
+
+
+def test_numbers_spelt_out_are_parameters(docs_of, spark):
+    item = "Anna had twelve apples and gave five of them away so how many apples are left in the basket now"
+    items = spark.createDataFrame([(1, item)], SCHEMA)
+    docs = [FILL + item.replace("twelve", "thirty-one").replace("five", "seven"), FILL + item.replace("twelve", "31").replace("five", "7"), FILL]
+    assert set(found(docs_of(docs), items)) == {(0, 1), (1, 1)}
+
+
+SHORT = ["Who wrote Hamlet first", "name this city", "forty two", "gold"]
+
+
+def test_items_of_few_words_stand_for_themselves(docs_of, spark):
+    items = spark.createDataFrame(list(enumerate(SHORT)), SCHEMA)
+    docs = ["Q: Who wrote Hamlet first?", "they asked who wrote Hamlet first of all", "so.\nName this city!\nwell", "please name this city", "Forty-two", "it is forty two. so", "gold", "gold. more", FILL + "\"who wrote hamlet first\" " + FILL, ""]
+    assert set(found(docs_of(docs), items)) == {(0, 0), (2, 1), (4, 2), (6, 3), (8, 0)} == set(found(docs_of(docs), items, common=0))
+
+
+def leaks_by_hand(text, item):
+    """Matched words by level, with windows as tuples of tokens and plain loops."""
+
+    def read(x):
+        out = {}
+        for r, own in T.readings([x]).items():
+            (hashes, kinds, spans, word) = own[0]
+            out[r] = [(int(k) if r != T.EXACT else 0, x[a:b].lower() if r == T.EXACT or not k else f"<{k}>", f"{k}:{T.value(x[a:b])}", int(w)) for k, (a, b), w in zip(kinds, spans, word, strict=True)]
+        return out
+
+    theirs, mine, places, total = read(item), read(text), [set(), set(), set()], [set(), set(), set()]
+    kinds_of = {r: own[0][1] for r, own in T.readings([item]).items()}
+    own_windows = {}
+    for r, own in theirs.items():
+        size = min(T.WINDOW, len(own))
+        starts = range(len(own) - size + 1)
+        literal = lambda i: sum(k == 0 for k in kinds_of[r][i : i + size].tolist())  # noqa: B023, E731
+        if r != T.EXACT:
+            own_windows[r] = (size, [i for i in starts if size >= T.LEAST and literal(i) * 2 >= size])
+        else:
+            bare = not own_windows[0][1] or not own_windows[1][1]
+            own_windows[r] = (size, [i for i in starts if bare or literal(i) * 2 < size])
+    for r, (size, at) in own_windows.items():
+        for level in range(r, 3):
+            total[level] |= {theirs[r][i][3] for i in at}
+        for s in (T.OPENERS_LITERAL, T.OPENERS_NAMES) if r != T.EXACT else (T.EXACT,):
+            lines = {}
+            for j in range(len(mine[s]) - size + 1):
+                for i in at:
+                    if all(a[1] == b[1] for a, b in zip(theirs[r][i : i + size], mine[s][j : j + size], strict=True)):
+                        lines.setdefault(j - i, []).append((i, j))
+            for own in lines.values():
+                pairs = {(a[2], b[2]) for i, j in own for a, b in zip(theirs[r][i : i + size], mine[s][j : j + size], strict=True) if a[0]}
+                fine = len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+                for i, _ in own:
+                    if fine or not any(t[0] for t in theirs[r][i : i + size]):
+                        for level in range(r, 3):
+                            places[level].add(theirs[r][i][3])
+    share, matched, windows = max((len(p) / max(1, len(t)), len(p), len(t)) for p, t in zip(places, total, strict=True))
+    return (matched, windows) if share >= T.SHARE or max(map(len, places)) >= T.ENOUGH else None
+
+
+def test_templates_equal_brute_force(docs_of, spark):
+    rng = np.random.default_rng(4)
+    plain, names, numbers = ["river", "stone", "walks", "under", "quiet", "green", "over", "then", "boat"], ["Anna", "Bob Lund", "Carla"], ["3", "twelve", "4.5", "twenty six", "900"]
+
+    def passage(n):
+        out = []
+        for _ in range(n):
+            x = rng.random()
+            out.append(rng.choice(names) if x < 0.12 else rng.choice(numbers) + (" km" if x < 0.16 else "") if x < 0.26 else rng.choice(plain) + ("." if x > 0.95 else ""))
+        return " ".join(out)
+
+    stem = "Read this question slowly and choose one of the answers below. "
+    items = [(stem if i % 3 == 0 else "") + passage(int(rng.integers(6, 24))) for i in range(24)]
+
+    def changed(x):
+        for a, b in zip(names + numbers, ["Dora", "Emil Stone", "Fay"] + ["31", "nine", "77", "8.25", "forty one"], strict=True):
+            if rng.random() < 0.5:
+                x = x.replace(a, b) if rng.random() < 0.7 else x.replace(a, b, 1)
+        return x
+
+    docs = [f"{passage(10)} {changed(items[i % 24])} {passage(8)}" + (f" {items[i % 24]}" * 3 if i % 7 == 0 else "") for i in range(48)] + [stem + passage(15) for _ in range(6)]
+    rows = spark.createDataFrame(list(enumerate(items)), SCHEMA)
+    want = {(d, i): m for d, x in enumerate(docs) for i, y in enumerate(items) if (m := leaks_by_hand(x, y))}
+    assert 20 < len(want) < len(docs) * 3
+    for common in (0, 3, 10**9):
+        assert {k: (r.matched, r.windows) for k, r in found(docs_of(docs), rows, common=common).items()} == want
+
+
+def test_repeating_texts_leave_in_batches(docs_of, spark):
+    """A window without slots leaves once; the others are counted by aggregates."""
+    item = "they counted seven boats and nine green carts before the long rain came down over the old town wall"
+    items = spark.createDataFrame([(1, item)], SCHEMA)
+    text = (item + " ") * 3000
+    windows = T.all_windows(docs_of([text]), "doc_id", "text", ((T.OPENERS_LITERAL, T.WINDOW),), T.bloom(T.all_windows(items, "item_id", "text", None).select("hash")))
+    by = {r.s: r["count"] for r in windows.groupBy((F.size("slots") > 0).alias("s")).count().collect()}
+    assert by[False] < 30 and by[True] > 3000
+    assert set(found(docs_of([text]), items)) == {(0, 1)}
