@@ -7,12 +7,13 @@ its count.  Costs are whole micronats, so sums are exact.  Of equal costs the on
 tokens counts, of these the one whose last token is longer.
 
 The vocabulary is a public tokenizer's; the model's probabilities are estimated from the
-corpus by one round of Viterbi training: all texts are segmented under Zipf's law over the
-ranks, tokens are counted (partial sums in each task, at most one row a token from each),
-and a token's probability is its share, with one added to each count.
+corpus by one round of Viterbi training: pre-tokens are counted in each task, the counts of
+each distinct one meet (one shuffle, by pre-token), it is segmented once for the whole corpus
+under Zipf's law over the ranks, and a token's probability is its share of all tokens, with one
+added to each count.
 
-Both passes are narrow but for the sums by token.  Trie and caches have a size limit and
-start anew beyond it, which changes no count.  Null texts count as empty: no pre-tokens, no
+The second pass is narrow.  Counts, trie and caches have a size limit; they leave the task or
+start anew beyond it, which changes no result.  Null texts count as empty: no pre-tokens, no
 tokens, cost 0; very long texts are counted whole.  Repeated rows each count; an empty table
 gives no rows.  Other columns pass through; those named like the results are replaced.
 """
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import base64
 import math
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import chunks, resident
+from .common import chunks, resident, tidy
 from .pieces import PieceCache, cut_texts
 
 
@@ -45,21 +48,65 @@ def zipf_costs(ranks: dict[bytes, int]) -> dict[bytes, int]:
     return {t: round(1e6 * (math.log(r + 1) + mass)) for t, r in ranks.items()}
 
 
+#: Distinct pieces that a task counts before their pre-tokens leave it, and rows of a batch.
+COUNTED, ROWS = 300_000, 50_000
+
+
+def pretoken_counts(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
+    """word, n: each distinct pre-token of all texts, and how often it occurs."""
+
+    def left(pieces: Counter, find: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for p, n in pieces.items():
+            for w in find(p):
+                found[w] += n
+        rows = iter(found.items())
+        while part := list(islice(rows, ROWS)):
+            own, n = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array(n, pa.int64())], names=["word", "n"])
+        pieces.clear()
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, pieces = regex.compile(pattern).findall, Counter()
+        for batch in batches:
+            for _, texts in chunks(batch, text):
+                cut = cut_texts(texts)
+                for p, n in zip(cut.pieces, np.bincount(cut.index, minlength=len(cut.pieces)).tolist(), strict=True):
+                    pieces[p] += n
+                for own, slow in zip(texts, cut.slow, strict=True):
+                    if slow:
+                        # Matches depend on what is around them here: these are pre-tokens already.
+                        yield from left(Counter(find(own)), lambda w: [w])
+                if len(pieces) > COUNTED:
+                    yield from left(pieces, find)
+        yield from left(pieces, find)
+
+    return df.select(text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def estimated_costs(df: DataFrame, ranks: str, pattern: str, text: str = "text") -> np.ndarray:
     """Cost in micronats of each token, in order of rank, as the texts have them."""
-    tokens = sorted(vocabulary := load_ranks(ranks), key=vocabulary.get)
+    vocabulary = load_ranks(ranks)
+    size = len(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment = resident(("segments", ranks, pattern), lambda: _Segmenter(ranks, pattern))
-        total = np.zeros(len(tokens), np.int64)
+        place, trie = resident(("segments", ranks), lambda: _segmenter(ranks))
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for _, texts in chunks(batch, text, 4_000_000):
-                total += segment(texts)
+            # Sorted, so that neighbours share prefixes even if the trie starts anew in between.
+            rows = sorted(zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True))
+            ids, times = [], []
+            for word, n in rows:
+                own = [place[t] for t in trie.tokens(word.encode())]
+                ids += own
+                times += [n] * len(own)
+            np.add.at(total, np.array(ids, np.int64), np.array(times, np.int64))
         (at,) = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["token", "n"])
 
-    counted = df.select(text).mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    n = np.zeros(len(tokens), np.int64)
+    counted = pretoken_counts(df, pattern, text).mapInArrow(run, "token int, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    n = np.zeros(size, np.int64)
     for r in counted.collect():  # at most one row a token of the vocabulary
         n[r.token] = r.n
     return np.round(1e6 * (np.log(n.sum() + len(n)) - np.log(n + 1.0))).astype(np.int64)
@@ -117,31 +164,10 @@ class ForwardTrie:
         return out
 
 
-class _Segmenter:
-    """Counts of tokens, in order of rank, over texts."""
-
-    def __init__(self, ranks: str, pattern: str):
-        self.find = regex.compile(pattern).findall
-        vocabulary = load_ranks(ranks)
-        self.place = {t: i for i, t in enumerate(sorted(vocabulary, key=vocabulary.get))}
-        self.trie = ForwardTrie(zipf_costs(vocabulary))
-        self.cache = PieceCache(self.pieces, 1_000_000)
-
-    def pieces(self, pieces: list[str]) -> list[bytes]:
-        # Sorted, so that neighbours share prefixes even if the trie starts anew in between.
-        done = {p: np.array([self.place[t] for w in self.find(p) for t in self.trie.tokens(w.encode())], np.int32).tobytes() for p in sorted(pieces)}
-        return [done[p] for p in pieces]
-
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        cut = cut_texts(texts)
-        lists = [cut.pieces, *(self.find(t) for t, slow in zip(texts, cut.slow, strict=True) if slow)]
-        total, get = np.zeros(len(self.place)), self.cache.fill(lists)
-        for own, times in [(cut.pieces, np.bincount(cut.index, minlength=len(cut.pieces))), *((x, None) for x in lists[1:])]:
-            values = list(map(get, own))
-            ids = np.frombuffer(b"".join(values), np.int32)
-            sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-            total += np.bincount(ids, None if times is None else np.repeat(times, sizes), len(total))
-        return total.astype(np.int64)
+def _segmenter(ranks: str) -> tuple[dict[bytes, int], ForwardTrie]:
+    """Places of tokens in order of rank, and a trie under Zipf's law."""
+    vocabulary = load_ranks(ranks)
+    return {t: i for i, t in enumerate(sorted(vocabulary, key=vocabulary.get))}, ForwardTrie(zipf_costs(vocabulary))
 
 
 class _Counter:
