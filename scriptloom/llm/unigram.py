@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import base64
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -55,8 +55,8 @@ COUNTED, ROWS = 300_000, 50_000
 def pretoken_counts(df: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """word, n: each distinct pre-token of all texts, and how often it occurs."""
 
-    def left(pieces: Counter, find: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+    def left(pieces: dict[str, int], find: Callable[[str], list[str]]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, int] = defaultdict(int)
         for p, n in pieces.items():
             for w in find(p):
                 found[w] += n
@@ -68,9 +68,9 @@ def pretoken_counts(df: DataFrame, pattern: str, text: str = "text") -> DataFram
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, pieces = regex.compile(pattern).findall, Counter()
+        find, pieces = regex.compile(pattern).findall, defaultdict(int)
         for batch in batches:
-            for _, texts in chunks(batch, text):
+            for _, texts in chunks(batch, text, 4_000_000):
                 cut = cut_texts(texts)
                 for p, n in zip(cut.pieces, np.bincount(cut.index, minlength=len(cut.pieces)).tolist(), strict=True):
                     pieces[p] += n
