@@ -128,18 +128,18 @@ def register(spark: SparkSession, replace: bool = False) -> None:
     Functions of these names that the session has already stay, but for ``replace``."""
     from ..functions.errors import FORBIDDEN as MESSAGE
     from ..functions.errors import TITLE, XML
-    from ..functions.text import EDGES, ENTITIES, FORBIDDEN, IN_ATTRIBUTE, IN_TEXT, REFERENCES
+    from ..functions.text import BLANKS, ENTITIES, FORBIDDEN_FAST, IN_ATTRIBUTE, IN_TEXT, REFERENCES
 
     sql = lambda s: "r'" + s.replace("'", "\\'") + "'" if "'" not in s else '"' + s + '"'
     escaped = "s"
     for c, entity in ENTITIES.items():
         escaped = f"replace({escaped}, {sql(c) if c != chr(34) else chr(39) + chr(34) + chr(39)}, '{entity}')"
-    trimmed = f"nullif(regexp_replace(s, {sql(EDGES)}, ''), '')"
+    trimmed = f"nullif(btrim(s, '{BLANKS}'), '')"
     functions = {
         "escape_xml_text(s STRING)": escaped,
         "title_error(s STRING)": f"CASE WHEN {trimmed} IS NULL THEN '{TITLE}' END",
         "title_markup(s STRING)": f"concat('<title>', {escaped.replace('(s,', f'({trimmed},', 1)}, '</title>')",
-        "first_forbidden_xml_char(s STRING)": f"nullif(regexp_extract(s, {sql(FORBIDDEN)}, 0), '')",
+        "first_forbidden_xml_char(s STRING)": f"nullif(regexp_extract(s, {sql(FORBIDDEN_FAST)}, 0), '')",
     }
 
     def create(signature: str, out: str) -> None:
@@ -184,6 +184,7 @@ def register(spark: SparkSession, replace: bool = False) -> None:
     block = f"CASE WHEN exists(b.inline, t -> t.kind <> 'text' OR t.text <> '') THEN concat({start}, '>', {inline}, '</', b.kind, '>') ELSE concat({start}, '/>') END"
     body = f"CASE WHEN size(blocks) = 0 THEN '<body/>' ELSE concat('<body>', array_join(transform(blocks, b -> {block}), ''), '</body>') END"
     whole = f"concat('<TEI><teiHeader>', {file}, {', '.join(parts)}, '</teiHeader><text>', {body}, '</text></TEI>')"
+    # The markup is a lambda's argument, so that it is made once however often its name stands there.
     arguments = f"(header {HEADER}, blocks {BLOCKS})"
-    create(f"emit_document{arguments}", f"SELECT CASE WHEN NOT x RLIKE {sql(FORBIDDEN)} THEN x END FROM (SELECT {whole} AS x)")
-    create(f"emit_error{arguments}", f"SELECT CASE WHEN c <> '' THEN concat('{XML}{MESSAGE}', format_string('U+%04X', ascii(c))) END FROM (SELECT regexp_extract({whole}, {sql(FORBIDDEN)}, 0) AS c)")
+    create(f"emit_document{arguments}", f"transform(array({whole}), x -> CASE WHEN NOT x RLIKE {sql(FORBIDDEN_FAST)} THEN x END)[0]")
+    create(f"emit_error{arguments}", f"transform(array(regexp_extract({whole}, {sql(FORBIDDEN_FAST)}, 0)), c -> CASE WHEN c <> '' THEN concat('{XML}{MESSAGE}', format_string('U+%04X', ascii(c))) END)[0]")

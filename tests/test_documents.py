@@ -322,3 +322,12 @@ def test_sql_functions_of_a_caller_stay(spark):
     assert spark.sql("SELECT title_error('x') AS e").first().e == "own"
     facade.register(spark, replace=True)
     assert spark.sql("SELECT title_error('x') AS e").first().e is None
+
+
+def test_markup_is_made_once_by_each_sql_function(spark):
+    facade.register(spark, replace=True)
+    docs = D.from_titles(spark.createDataFrame([(1, "a \1"), (2, " b ")], "k long, t string"), F.col("k"), F.col("t"))
+    for name, want in (("emit_document", {"1": None, "2": MINIMAL.replace("Tide Tables", "b")}), ("emit_error", {"1": "XML processing error: document contains XML 1.0 forbidden character U+0001", "2": None})):
+        own = docs.selectExpr("doc_key", f"{name}(header, blocks) AS x")
+        assert {r.doc_key: r.x for r in own.collect()} == want
+        assert own._jdf.queryExecution().optimizedPlan().toString().count("<TEI>") == 1

@@ -75,3 +75,16 @@ def test_optional_and_blank(spark):
     assert [x.o for x in r] == [None, None, None, "a b"]
     assert [x.b for x in r] == [True, True, True, False]
     assert [x.h for x in r] == [None, False, True, True]
+
+
+def test_every_code_point_is_trimmed_and_judged_as_by_the_slow_patterns(spark):
+    points = [i for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF]
+    found = one(spark, F.regexp_extract_all(F.lit("".join(map(chr, points))), F.lit(text.FORBIDDEN_FAST), F.lit(0)))
+    assert found == [chr(i) for i in points if not allowed(i)]
+    rows = spark.createDataFrame([(f"{chr(i)}\n a{chr(i)}b{chr(i)}",) for i in points if i < 0x10000] + [("",), (" \u2003\n",), ("x\r\n",), ("x\u2028\u2029 ",)], "s string")
+    assert rows.where(text.trim(F.col("s")) != F.regexp_replace("s", text.EDGES, "")).count() == 0
+
+
+def test_long_texts_are_trimmed_at_their_edges_alone(spark):
+    plan = spark.createDataFrame([("a",)], "s string").select(text.optional(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan
