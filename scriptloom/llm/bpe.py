@@ -1,10 +1,10 @@
 """Byte-level BPE by recursive DuckDB queries, one database for each Python worker.
 
 Texts are split by the tokenizer's pattern; distinct words that are no token by themselves
-become token-position rows, first one for each byte.  A recursive query then joins each
-row and its right neighbour with the merge table, takes each word's pair of least rank (of
-equal ranks the leftmost), contracts it, and goes on with the words that had one; the other
-words' rows are final.  That is the order in which the tiktoken library merges, so the ids
+become lists of tokens, first one for each byte.  A recursive query then joins each word's pairs
+of neighbours with the merge table, takes each word's pair of least rank (of equal ranks the
+leftmost), contracts it, and goes on with the words that had one; the other words' lists are
+final.  That is the order in which the tiktoken library merges, so the ids
 are the same.  A second query decodes documents from their final ids: token bytes,
 aggregated in order of position.
 
@@ -46,31 +46,28 @@ from .unigram import load_ranks
 BLOCK_BYTES = 200_000
 #: Bytes of a word from which it is cut and contracted as a long one.
 LONG = 64
-#: Characters of texts that are encoded together.
-TOGETHER = 250_000
+#: Characters of texts that are encoded together: a query costs the same for few new words as for
+#: thousands.
+TOGETHER = 1_000_000
+#: Ids that are decoded together.
+DECODED = 100_000
 #: Pieces remembered in a Python worker, at some 180 bytes each.
-CACHED = 800_000
+CACHED = 600_000
 
 ENCODE_SQL = """
 WITH RECURSIVE step AS (
-    SELECT word, pos, id, TRUE AS live FROM bytes_in
+    SELECT word, list(id ORDER BY pos) AS ids, TRUE AS live FROM bytes_in GROUP BY word
   UNION ALL (
     WITH pairs AS (
-        SELECT word, pos, id, lead(pos) OVER w AS next_pos, lead(id) OVER w AS next_id
-        FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)
-    ), ranked AS (
-        SELECT word, pos, next_pos, rank::BIGINT * 4294967296 + pos AS place
-        FROM pairs JOIN merges ON left_id = id AND right_id = next_id
+        SELECT word, unnest(ids[:-2]) AS left_id, unnest(ids[2:]) AS right_id, generate_subscripts(ids[2:], 1) AS pos FROM step WHERE live
     ), best AS (
-        SELECT word, min(place) >> 32 AS rank, arg_min(pos, place) AS at, arg_min(next_pos, place) AS gone
-        FROM ranked GROUP BY word
+        SELECT word, min(rank::BIGINT * 4294967296 + pos) AS place FROM pairs JOIN merges USING (left_id, right_id) GROUP BY word
     )
-    SELECT p.word, p.pos, CASE WHEN p.pos = b.at THEN b.rank::INTEGER ELSE p.id END AS id, b.word IS NOT NULL AS live
-    FROM pairs p LEFT JOIN best b ON b.word = p.word
-    WHERE b.word IS NULL OR p.pos <> b.gone
+    SELECT s.word, CASE WHEN b.word IS NULL THEN s.ids ELSE list_concat(list_append(s.ids[:(place & 4294967295) - 1], (place >> 32)::INTEGER), s.ids[(place & 4294967295) + 2:]) END AS ids, b.word IS NOT NULL AS live
+    FROM step s LEFT JOIN best b ON b.word = s.word WHERE s.live
   )
 )
-SELECT word, pos, id FROM step WHERE NOT live
+SELECT word, ids FROM step WHERE NOT live
 """
 
 LONG_SQL = """
@@ -104,7 +101,7 @@ WITH RECURSIVE step(word, pos, id, live) USING KEY (word, pos) AS (
     LEFT JOIN (SELECT DISTINCT word FROM chosen) b ON b.word = p.word
   )
 )
-SELECT word, pos, id FROM step WHERE id >= 0
+SELECT word, list(id ORDER BY pos) AS ids FROM step WHERE id >= 0 GROUP BY word
 """
 
 DECODE_SQL = """
@@ -189,11 +186,12 @@ class Coder:
             word = np.repeat(np.arange(len(own), dtype=np.int32), sizes)
             pos = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
             self.db.register("bytes_in", pa.table({"word": word, "pos": pos, "id": self.base[flat]}))
-            got = self.db.sql(f"SELECT word, id FROM ({sql}) ORDER BY word, pos").to_arrow_table()
+            got = self.db.sql(sql).to_arrow_table().combine_chunks()
             self.db.unregister("bytes_in")
-            data = np.asarray(got.column("id")).astype(self.kind).tobytes()
-            at = (np.searchsorted(np.asarray(got.column("word")), np.arange(len(own) + 1)) * width).tolist()
-            out.update((name, data[a:b]) for (name, _), a, b in zip(own, at[:-1], at[1:], strict=True))
+            ids = got.column("ids").combine_chunks()
+            data = np.asarray(ids.flatten()).astype(self.kind).tobytes()
+            ends = (np.cumsum(np.asarray(ids.value_lengths())) * width).tolist()
+            out.update((own[k][0], data[a:b]) for k, a, b in zip(got.column("word").to_pylist(), [0, *ends], ends, strict=False))
         return out
 
     def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -212,7 +210,10 @@ class Coder:
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
         cut = [self.find(p) for p in pieces]
-        known = self.words(list(set().union(*cut)))
+        # Most words have been met already, with other signs around them.
+        get = self.cache.known.get
+        known = {w: get(w) for w in set().union(*cut)}
+        known.update(self.words([w for w, ids in known.items() if ids is None]))
         return [known[c[0]] if len(c) == 1 else b"".join([known[w] for w in c]) for c in cut]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
@@ -224,8 +225,13 @@ class Coder:
                 words = self.find(texts[k])
                 get = self.cache.fill([words])
                 ids[k] = np.frombuffer(b"".join(map(get, words)), self.kind)
-        for own, back in zip(ids, self.decoded(ids), strict=True):
-            yield own.astype("<u4").tobytes(), back
+        lo = size = 0
+        for k, own in enumerate(ids):
+            size += len(own)
+            if size > DECODED or k == len(ids) - 1:
+                for part, back in zip(ids[lo : k + 1], self.decoded(ids[lo : k + 1]), strict=True):
+                    yield part.astype("<u4").tobytes(), back
+                lo, size = k + 1, 0
 
 
 def coder(ranks: str, pattern: str, cached: int = CACHED) -> Coder:

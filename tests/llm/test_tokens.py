@@ -262,3 +262,14 @@ def test_documents_are_decoded_from_their_ids():
     ids = [np.array(x, "<u2") for x in ([], [5, 5, 7], [300, 2, 40_000], [])]
     names = {v: k for k, v in code.ranks.items()}
     assert code.decoded(ids) == [b"".join(names[i] for i in x.tolist()) for x in ids] and code.decoded([]) == []
+
+
+def test_words_met_already_are_not_contracted_again(monkeypatch):
+    code = bpe.Coder(RANKS, P.PATTERN)
+    first = dict(zip("ab", code(["zqxvorn zqxvorm", "zqxvorp"]), strict=True))
+    asked, contracted = [], code.contracted
+    monkeypatch.setattr(code, "contracted", lambda rest, sql: asked.extend(w for w, _ in rest) or contracted(rest, sql))
+    ((ids, back),) = code(['zqxvorn, zqxvorm! zqxvorq zqxvorn.'])
+    assert sorted(asked) == [" zqxvorn", " zqxvorq"] and back == b"zqxvorn, zqxvorm! zqxvorq zqxvorn." and len(first) == 2
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=unigram.load_ranks(RANKS), special_tokens={})
+    assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(back.decode())
