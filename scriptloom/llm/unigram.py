@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import base64
 import math
+import struct
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -113,46 +114,52 @@ def estimated_costs(df: DataFrame, ranks: str, pattern: str, text: str = "text")
 
 
 class ForwardTrie:
-    """Forward states of all prefixes seen so far: cost, tokens, and where the last one starts."""
+    """Forward states of all prefixes seen so far: cost, tokens, where the last one starts, and the
+    first place from which a token may still reach on.  What begins before it is no beginning of a
+    token, nor is anything longer, so later bytes needn't look there."""
 
     def __init__(self, costs: dict[bytes, int], limit: int = 200_000):
         self.costs, self.limit = costs, limit
-        self.longest = max(map(len, costs))
+        self.begun = {t[:i] for t in costs for i in range(1, len(t) + 1)}
         self.clear()
 
     def clear(self) -> None:
         #: From (node << 8 | byte) to node; states by node.
         self.edges: dict[int, int] = {}
-        self.states: list[tuple[int, int, int]] = [(0, 0, 0)]
+        self.states: list[tuple[int, int, int, int]] = [(0, 0, 0, 0)]
 
-    def path(self, word: bytes) -> list[tuple[int, int, int]]:
+    def path(self, word: bytes) -> list[tuple[int, int, int, int]]:
         """The states of a pre-token's prefixes."""
         if len(self.states) > self.limit:
             self.clear()
-        edges, states, cost_of, longest = self.edges, self.states, self.costs.get, self.longest
+        edges, states, cost_of, begun = self.edges, self.states, self.costs.get, self.begun
         node, path = 0, [states[0]]
         for end, byte in enumerate(word, 1):
             edge = node << 8 | byte
             known = edges.get(edge)
             if known is None:
                 # The single byte is a token, so there is a state before any other comes.
-                before = path[-1]
-                best = (before[0] + cost_of(word[end - 1 : end]), before[1] + 1, end - 1)
-                for start in range(max(0, end - longest), end - 1):
+                last = end - 1
+                least, tokens, _, first = path[last]
+                least, tokens, at = least + cost_of(word[last:end]), tokens + 1, last
+                while first < last and word[first:end] not in begun:
+                    first += 1
+                for start in range(first, last):
                     cost = cost_of(word[start:end])
                     if cost is not None:
                         before = path[start]
-                        if before[0] + cost <= best[0]:
-                            best = min(best, (before[0] + cost, before[1] + 1, start))
+                        cost += before[0]
+                        if cost < least or cost == least and (before[1] + 1, start) < (tokens, at):
+                            least, tokens, at = cost, before[1] + 1, start
                 known = edges[edge] = len(states)
-                states.append(best)
+                states.append((least, tokens, at, first))
             node = known
             path.append(states[node])
         return path
 
     def count(self, word: bytes) -> tuple[int, int]:
         """(tokens, cost) of a pre-token's best segmentation."""
-        cost, tokens, _ = self.path(word)[-1]
+        cost, tokens, _, _ = self.path(word)[-1]
         return tokens, cost
 
     def tokens(self, word: bytes) -> list[bytes]:
@@ -171,6 +178,10 @@ def _segmenter(ranks: str) -> tuple[dict[bytes, int], ForwardTrie]:
     return {t: i for i, t in enumerate(sorted(vocabulary, key=vocabulary.get))}, ForwardTrie(zipf_costs(vocabulary))
 
 
+#: Pre-tokens, tokens and cost of a piece.
+ROW = struct.Struct("=3q")
+
+
 class _Counter:
     """Pre-tokens, tokens and cost of texts."""
 
@@ -180,17 +191,23 @@ class _Counter:
         self.trie = ForwardTrie(dict(zip(sorted(vocabulary, key=vocabulary.get), costs.tolist(), strict=True)))
         self.cache = PieceCache(self.pieces, 1_000_000)
 
-    def words(self, words: list[str]) -> tuple[int, int, int]:
-        tokens = cost = 0
-        for w in words:
-            t, c = self.trie.count(w.encode())
-            tokens, cost = tokens + t, cost + c
-        return len(words), tokens, cost
+    def words(self, words: Iterable[str]) -> np.ndarray:
+        """A row for each of these distinct words, in order."""
+        # Most have been met already, as pieces; sorted, as neighbours share prefixes.
+        get, count, rows = self.cache.known.get, self.trie.count, []
+        for w in sorted(words):
+            rows.append(get(w) or ROW.pack(1, *count(w.encode())))
+        return np.frombuffer(b"".join(rows), np.int64).reshape(-1, 3)
 
     def pieces(self, pieces: list[str]) -> list[bytes]:
-        done = {p: self.words(self.find(p)) for p in sorted(pieces)}
+        cut = [self.find(p) for p in pieces]
+        own = set().union(*cut)
+        place = {w: i for i, w in enumerate(sorted(own))}
+        ends = np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))
+        index = np.fromiter((place[w] for c in cut for w in c), np.int64, ends[-1])
+        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(self.words(own)[index], axis=0)])
         # Three 64-bit integers a piece: smaller than a tuple, and joined without a look at each.
-        rows = np.array([done[p] for p in pieces], np.int64).tobytes()
+        rows = (sums[ends] - sums[np.concatenate([[0], ends[:-1]])]).tobytes()
         return [rows[i : i + 24] for i in range(0, len(rows), 24)]
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -201,7 +218,8 @@ class _Counter:
         out = sums[cut.offsets[1:]] - sums[cut.offsets[:-1]]
         for k, slow in enumerate(cut.slow):
             if slow:
-                out[k] = self.words(self.find(texts[k]))
+                times = Counter(self.find(texts[k]))
+                out[k] = self.words(times).T @ np.array([times[w] for w in sorted(times)], np.int64)
         return out
 
 

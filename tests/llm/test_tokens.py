@@ -273,3 +273,29 @@ def test_words_met_already_are_not_contracted_again(monkeypatch):
     assert sorted(asked) == [" zqxvorn", " zqxvorq"] and back == b"zqxvorn, zqxvorm! zqxvorq zqxvorn." and len(first) == 2
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=unigram.load_ranks(RANKS), special_tokens={})
     assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(back.decode())
+
+
+def test_each_word_is_walked_once_whatever_stands_around_it(monkeypatch):
+    costs = unigram.zipf_costs(ranks := unigram.load_ranks(RANKS))
+    counter = unigram._Counter(RANKS, P.PATTERN, np.array([costs[t] for t in sorted(ranks, key=ranks.get)]))
+    asked, count = [], counter.trie.count
+    monkeypatch.setattr(counter.trie, "count", lambda w: asked.append(w) or count(w))
+    texts = ["a zqxvorn zqxvorm zqxvorm, zqxvorm! zqxvorm.", "zqxvorm zqxvorm?  zqxvorn", "", "a zqxvorm zqxvorn;"]
+    got = [counter([t])[0].tolist() for t in texts]
+    assert asked.count(b" zqxvorm") == asked.count(b" zqxvorn") == 1
+    for text, row in zip(texts, got, strict=True):
+        best = [plain_viterbi(w.encode(), costs) for w in regex.compile(P.PATTERN).findall(text)]
+        assert row == [len(best), sum(b[1] for b in best), sum(b[0] for b in best)]
+
+
+def test_places_that_no_token_reaches_are_left_out_without_loss():
+    costs = unigram.zipf_costs(unigram.load_ranks(RANKS))
+    rng, trie, looked = np.random.default_rng(5), unigram.ForwardTrie(costs, 2000), []
+    words = ["".join(rng.choice(list("abeinrsté the"), rng.integers(1, 40))).encode() for _ in range(1500)]
+    for w in words:
+        cost, tokens, parts = plain_viterbi(w, costs)
+        assert trie.count(w) == (tokens, cost) and trie.tokens(w) == parts
+    trie.clear()
+    trie.costs = type("Costs", (dict,), {"get": lambda self, t: looked.append(t) or dict.get(self, t)})(costs)
+    trie.count(b"zqxv" * 10)
+    assert len(looked) < 200  # 820 pairs of places
